@@ -1,3 +1,242 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered package-inventory and doc-index queries (I, J) over views
+derived from ``part`` (packages, markers) and ``events`` (doc lookups)."""
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import packages as P
+from ..sources.tables import table
+from .registry import query
+from .sql_common import with_
+
+SPECS = [">=10", ">=5,<20", "==10.3.1", "!=7.0", "~=1.0", ">abc", "<=25.12.4"]
+_SPECS_SQL = ", ".join(f"'{s}'" for s in SPECS)
+MARKER_FILES = ["uv.lock", "poetry.lock", "Pipfile", "pyproject.toml", "pyproject.toml", "setup.py"]
+_MARKERS_SQL = ", ".join(f"'{s}'" for s in MARKER_FILES)
+
+
+def packages_view(spark, sf_dir):
+    """One distribution per part row, spread over four environments."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    under = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), k.cast("string"))
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), k.cast("string"))
+    files = F.when(
+        k % 3 == 1,
+        F.array(F.concat(under, F.lit("/__init__.py")), F.lit("_priv/x.py"), F.lit("tests/t.py"), F.concat(name, F.lit(".dist-info/RECORD"))),
+    ).otherwise(F.array().cast("array<string>"))
+    requires = F.array(
+        F.concat(F.lit("dep"), (k % 7).cast("string"), F.lit(">=1."), (k % 3).cast("string")),
+        F.concat(F.lit("extra"), (k % 5).cast("string"), F.lit('[cli]; python_version>"3.8"')),
+        F.concat(F.lit("tilde"), (k % 4).cast("string"), F.lit("~=2.0")),
+    )
+    pk = p.select(
+        F.concat(F.lit("env"), (k % 4).cast("string")).alias("env"),
+        name.alias("name"),
+        F.concat_ws(".", F.col("p_size").cast("string"), (k % 13).cast("string"), (k % 5).cast("string")).alias("version"),
+        F.array().cast("array<string>").alias("import_names"),
+        requires.alias("requires"),
+        files.alias("files"),
+        F.when(k % 3 == 0, under).alias("top_level"),
+        k.alias("k"),
+    )
+    return P.normalise(pk)
+
+
+_PKG_CTE = """
+pk AS (
+  SELECT p_partkey AS k, 'env' || CAST(p_partkey % 4 AS VARCHAR) AS env,
+         replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS name,
+         CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 13 AS VARCHAR) || '.' || CAST(p_partkey % 5 AS VARCHAR) AS version,
+         p_size AS v1, p_partkey % 13 AS v2, p_partkey % 5 AS v3,
+         replace(p_name, ' ', '_') || CAST(p_partkey AS VARCHAR) AS under
+  FROM part)
+"""
+
+
+@query("package_list", with_(_PKG_CTE) + "SELECT env, name, version FROM pk")
+def package_list(spark, sf_dir):
+    return P.package_list(packages_view(spark, sf_dir))
+
+
+@query(
+    "import_names",
+    with_(_PKG_CTE)
+    + "SELECT env, name, CASE WHEN k % 3 = 2 THEN lower(replace(name, '-', '_')) ELSE under END AS import_name FROM pk",
+)
+def import_names(spark, sf_dir):
+    return packages_view(spark, sf_dir).select("env", "name", F.explode("import_names").alias("import_name"))
+
+
+@query(
+    "dependencies",
+    with_(_PKG_CTE)
+    + """SELECT env, name, 'dep' || CAST(k % 7 AS VARCHAR) AS dependency FROM pk
+         UNION ALL SELECT env, name, 'extra' || CAST(k % 5 AS VARCHAR) FROM pk
+         UNION ALL SELECT env, name, 'tilde' || CAST(k % 4 AS VARCHAR) FROM pk""",
+)
+def dependencies(spark, sf_dir):
+    return packages_view(spark, sf_dir).select("env", "name", F.explode("dependencies").alias("dependency"))
+
+
+@query(
+    "import_to_package",
+    with_(_PKG_CTE)
+    + """, imp AS (SELECT env, name, CASE WHEN k % 3 = 2 THEN lower(replace(name, '-', '_')) ELSE under END AS import_name FROM pk)
+         SELECT env, lower(import_name) AS import_key, min(name) AS package FROM imp GROUP BY ALL""",
+)
+def import_to_package(spark, sf_dir):
+    return P.import_to_package(packages_view(spark, sf_dir)).select("env", "import_key", "package")
+
+
+@query(
+    "version_check",
+    with_(_PKG_CTE)
+    + f""", s AS (SELECT *, k % 7 AS si, ([{_SPECS_SQL}])[k % 7 + 1] AS spec FROM pk),
+         c AS (SELECT k, spec, version,
+                 CASE si WHEN 0 THEN v1 >= 10
+                         WHEN 1 THEN v1 >= 5 AND v1 < 20
+                         WHEN 2 THEN v1 = 10 AND v2 = 3 AND v3 = 1
+                         WHEN 3 THEN NOT (v1 = 7 AND v2 = 0 AND v3 = 0)
+                         WHEN 4 THEN false WHEN 5 THEN false
+                         ELSE v1 < 25 OR (v1 = 25 AND (v2 < 12 OR (v2 = 12 AND v3 <= 4))) END AS compatible
+               FROM s)
+         SELECT k AS request_id, spec, version AS current, compatible, CAST(CASE WHEN compatible THEN 0 ELSE 1 END AS BIGINT) AS n_details FROM c""",
+)
+def version_check(spark, sf_dir):
+    pk = packages_view(spark, sf_dir)
+    spec = F.element_at(F.array(*[F.lit(s) for s in SPECS]), (F.col("k") % 7 + 1).cast("int"))
+    req = pk.select(F.col("k").alias("request_id"), "version", spec.alias("spec"))
+    r = P.check_spec(req)
+    return r.select("request_id", "spec", "current", "compatible", F.size("details").cast("long").alias("n_details"))
+
+
+@query(
+    "compat_report",
+    with_(_PKG_CTE)
+    + f""", s AS (SELECT *, k % 7 AS si, ([{_SPECS_SQL}])[k % 7 + 1] AS spec FROM pk),
+         c AS (SELECT spec, CASE si WHEN 0 THEN v1 >= 10 WHEN 1 THEN v1 >= 5 AND v1 < 20
+                         WHEN 2 THEN v1 = 10 AND v2 = 3 AND v3 = 1 WHEN 3 THEN NOT (v1 = 7 AND v2 = 0 AND v3 = 0)
+                         WHEN 4 THEN false WHEN 5 THEN false
+                         ELSE v1 < 25 OR (v1 = 25 AND (v2 < 12 OR (v2 = 12 AND v3 <= 4))) END AS compatible FROM s)
+         SELECT spec, CAST(count(*) FILTER (WHERE compatible) AS BIGINT) AS n_compatible,
+                CAST(count(*) FILTER (WHERE NOT compatible) AS BIGINT) AS n_incompatible FROM c GROUP BY spec""",
+)
+def compat_report(spark, sf_dir):
+    pk = packages_view(spark, sf_dir)
+    spec = F.element_at(F.array(*[F.lit(s) for s in SPECS]), (F.col("k") % 7 + 1).cast("int"))
+    r = P.check_spec(pk.select(F.col("k").alias("request_id"), "version", spec.alias("spec")))
+    return r.groupBy("spec").agg(
+        F.count_if("compatible").cast("long").alias("n_compatible"), F.count_if(~F.col("compatible")).cast("long").alias("n_incompatible")
+    )
+
+
+@query(
+    "inventory_fingerprint",
+    with_(_PKG_CTE)
+    + """SELECT env, substr(sha256('[' || string_agg('["' || name || '", "' || version || '"]', ', ' ORDER BY name, version) || ']'), 1, 16) AS fingerprint,
+              CAST(count(*) AS BIGINT) AS packages_count FROM pk GROUP BY env""",
+)
+def inventory_fingerprint(spark, sf_dir):
+    return P.inventory_fingerprint(packages_view(spark, sf_dir))
+
+
+def markers_view(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        F.concat(F.lit("r"), (k % 7).cast("string"), F.lit("/d"), (k % 3).cast("string")).alias("dir"),
+        F.element_at(F.array(*[F.lit(m) for m in MARKER_FILES]), (k % 6 + 1).cast("int")).alias("file"),
+        F.when(k % 6 == 3, F.lit("[tool.poetry]\nname = 'x'")).when(k % 6 == 4, F.lit("[tool.uv]\ndev = true")).otherwise(F.lit("")).alias("text"),
+    )
+
+
+@query(
+    "pkg_manager",
+    f"""WITH mk AS (
+          SELECT 'r' || CAST(p_partkey % 7 AS VARCHAR) || '/d' || CAST(p_partkey % 3 AS VARCHAR) AS dir,
+                 ([{_MARKERS_SQL}])[p_partkey % 6 + 1] AS file, p_partkey % 6 AS fk FROM part),
+        kinds AS (SELECT dir, CASE WHEN fk = 0 THEN 0 WHEN fk = 1 THEN 1 WHEN fk = 2 THEN 2 WHEN fk = 3 THEN 3 WHEN fk = 4 THEN 4 END AS p FROM mk WHERE fk < 5),
+        req AS (SELECT p_partkey AS request_id, 'r' || CAST(p_partkey % 11 AS VARCHAR) || '/d' || CAST(p_partkey % 5 AS VARCHAR) || '/src' AS dir FROM part),
+        lv AS (SELECT request_id, dir, 0 AS depth FROM req
+               UNION ALL SELECT request_id, regexp_replace(dir, '/src$', ''), 1 FROM req
+               UNION ALL SELECT request_id, regexp_replace(dir, '/d[0-9]+/src$', ''), 2 FROM req
+               UNION ALL SELECT request_id, '', 3 FROM req),
+        hit AS (SELECT request_id, arg_min(p, depth * 10 + p) AS p FROM lv JOIN kinds USING (dir) GROUP BY request_id)
+        SELECT r.request_id, r.dir, coalesce((['uv', 'poetry', 'pipenv', 'poetry', 'uv'])[h.p + 1], 'pip') AS manager,
+               CASE coalesce((['uv', 'poetry', 'pipenv', 'poetry', 'uv'])[h.p + 1], 'pip') WHEN 'uv' THEN 'uv add x' WHEN 'poetry' THEN 'poetry add x'
+                    WHEN 'pipenv' THEN 'pipenv install x' ELSE 'pip install x' END AS install_command
+        FROM req r LEFT JOIN hit h USING (request_id)""",
+)
+def pkg_manager(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    req = p.select(k.alias("request_id"), F.concat(F.lit("r"), (k % 11).cast("string"), F.lit("/d"), (k % 5).cast("string"), F.lit("/src")).alias("dir"))
+    m = P.detect_manager(markers_view(spark, sf_dir), req)
+    return m.select("request_id", "dir", "manager", P.install_command(F.col("manager"), F.lit("x")).alias("install_command"))
+
+
+def doc_index_view(spark, sf_dir):
+    """Doc-index entries derived from ``events``: one cached object per event,
+    attributed to the package of part ``user_id``."""
+    e = table(spark, sf_dir, "events")
+    pk = packages_view(spark, sf_dir).select(F.col("k").alias("user_id"), F.col("name").alias("package"), F.col("version").alias("real_version"))
+    d = e.join(pk, "user_id", "left")
+    return d.select(
+        F.concat(F.lit("env"), (F.col("event_id") % 4).cast("string")).alias("env"),
+        F.concat(F.lit("obj"), F.col("event_id").cast("string")).alias("name"),
+        "package",
+        F.when(F.col("event_id") % 5 == 0, F.lit("0.0.0")).when(F.col("event_id") % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("real_version")).alias("package_version"),
+        F.col("ts").alias("cached_at"),
+        (F.col("event_id") % 17).cast("long").alias("hit_count"),
+    )
+
+
+_DOC_CTE = (
+    _PKG_CTE
+    + """,
+doc AS (
+  SELECT 'env' || CAST(e.event_id % 4 AS VARCHAR) AS env, 'obj' || CAST(e.event_id AS VARCHAR) AS name, pk.name AS package,
+         CASE WHEN e.event_id % 5 = 0 THEN '0.0.0' WHEN e.event_id % 11 = 0 THEN NULL ELSE pk.version END AS package_version,
+         e.ts AS cached_at, e.event_id % 17 AS hit_count
+  FROM events e LEFT JOIN pk ON pk.k = e.user_id),
+fresh AS (
+  SELECT d.*, c.version AS current_version,
+         CASE WHEN d.package IS NOT NULL AND c.version IS NOT NULL AND d.package_version IS DISTINCT FROM c.version THEN 'stale_version'
+              WHEN d.cached_at IS NOT NULL AND d.cached_at < (SELECT max(ts) FROM events) - INTERVAL 168 HOURS THEN 'expired'
+              ELSE 'hit' END AS status
+  FROM doc d LEFT JOIN pk c ON c.env = d.env AND c.name = d.package)
+"""
+)
+
+
+def _fresh(spark, sf_dir):
+    now = table(spark, sf_dir, "events").select(F.max("ts")).scalar()
+    pk = packages_view(spark, sf_dir)
+    return P.doc_freshness(doc_index_view(spark, sf_dir), pk, now)
+
+
+@query("doc_freshness", with_(_DOC_CTE) + "SELECT env, name, package, status FROM fresh")
+def doc_freshness(spark, sf_dir):
+    return _fresh(spark, sf_dir).select("env", "name", "package", "status")
+
+
+@query(
+    "lfu_victims",
+    with_(_DOC_CTE)
+    + """SELECT env, name, hit_count FROM (
+           SELECT env, name, hit_count, row_number() OVER (PARTITION BY env ORDER BY hit_count, cached_at, name) AS rn,
+                  count(*) OVER (PARTITION BY env) AS n FROM doc) WHERE n >= 500 AND rn <= 50""",
+)
+def lfu_victims(spark, sf_dir):
+    return P.lfu_victims(doc_index_view(spark, sf_dir)).select("env", "name", "hit_count")
+
+
+@query(
+    "cache_stats",
+    with_(_DOC_CTE)
+    + """SELECT env, CAST(count(*) FILTER (WHERE status = 'hit') AS BIGINT) AS cache_hits,
+              CAST(count(*) FILTER (WHERE status IN ('miss', 'stale_version', 'expired')) AS BIGINT) AS cache_misses,
+              CAST(0 AS BIGINT) AS evictions, CAST(count(DISTINCT name) AS BIGINT) AS entries FROM fresh GROUP BY env""",
+)
+def cache_stats(spark, sf_dir):
+    return P.cache_stats(_fresh(spark, sf_dir))
