@@ -1,3 +1,123 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered symbol (F) and API-documentation (H) queries over the
+generated Python corpus."""
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import docs as H
+from ..operators import symbols as S
+from .corpus_views import code_analysis
+from .registry import query
+from .sql_common import GEN, with_
+
+
+@query(
+    "symbols",
+    with_(GEN)
+    + """SELECT path, 'C' || CAST(k AS VARCHAR) AS name, 'class' AS type, module || '.C' || CAST(k AS VARCHAR) AS full_name, CAST(5 + hd AS BIGINT) AS line FROM ok
+         UNION ALL SELECT path, 'g', 'function', module || '.C' || CAST(k AS VARCHAR) || '.g', CAST(8 + hd AS BIGINT) FROM ok
+         UNION ALL SELECT path, 'f' || CAST(k AS VARCHAR), 'function', module || '.f' || CAST(k AS VARCHAR), CAST(12 + hd AS BIGINT) FROM ok""",
+)
+def symbols(spark, sf_dir):
+    return S.symbols(code_analysis(spark, sf_dir)).select("path", "name", "type", "full_name", "line")
+
+
+@query(
+    "symbol_search",
+    with_(GEN) + "SELECT path, module || '.C' || CAST(k AS VARCHAR) || '.g' AS full_name, CAST(8 + hd AS BIGINT) AS line FROM ok",
+)
+def symbol_search(spark, sf_dir):
+    return S.search_symbols(S.symbols(code_analysis(spark, sf_dir)), "g").select("path", "full_name", "line")
+
+
+@query(
+    "symbol_references",
+    with_(GEN)
+    + """, defs AS (
+           SELECT module || '.C' || CAST(k AS VARCHAR) AS full_name, path, CAST(5 + hd AS BIGINT) AS line, 'definition' AS kind FROM ok
+           UNION ALL SELECT module || '.C' || CAST(k AS VARCHAR) || '.g', path, CAST(8 + hd AS BIGINT), 'definition' FROM ok
+           UNION ALL SELECT module || '.f' || CAST(k AS VARCHAR), path, CAST(12 + hd AS BIGINT), 'definition' FROM ok),
+         imps AS (SELECT 'm' || CAST(d AS VARCHAR) || '.f' || CAST(d AS VARCHAR) AS full_name, path, CAST(3 AS BIGINT) AS line, 'import' AS kind FROM ok WHERE d IS NOT NULL)
+         SELECT * FROM defs UNION ALL SELECT * FROM imps i WHERE EXISTS (SELECT 1 FROM defs x WHERE x.full_name = i.full_name)""",
+)
+def symbol_references(spark, sf_dir):
+    return S.references(code_analysis(spark, sf_dir)).select("full_name", "path", "line", "kind")
+
+
+@query(
+    "completions",
+    with_(GEN)
+    + """, req AS (SELECT k AS request_id, project, module FROM ok WHERE k % 10 = 0)
+         SELECT r.request_id, o.name, o.type FROM req r JOIN (
+           SELECT project, module, 'f' || CAST(k AS VARCHAR) AS name, 'function' AS type FROM ok
+           UNION ALL SELECT project, module, 'C' || CAST(k AS VARCHAR), 'class' FROM ok) o
+         ON o.project = r.project AND o.module = r.module WHERE starts_with(o.name, 'f')""",
+)
+def completions(spark, sf_dir):
+    a = code_analysis(spark, sf_dir)
+    syms = S.symbols(a)
+    req = (
+        a.where(F.col("error").isNull())
+        .select("project", F.regexp_replace("path", r"\.py$", "").alias("module"), F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("request_id"))
+        .where(F.col("request_id") % 10 == 0)
+        .withColumn("prefix", F.lit("f"))
+    )
+    return S.completions(syms, req)
+
+
+@query(
+    "api_docs",
+    with_(GEN)
+    + """SELECT module || '.f' || CAST(k AS VARCHAR) AS name, 'function' AS object_type, 'f' || CAST(k AS VARCHAR) || '(a: int, b) -> int' AS signature,
+              CAST(2 AS BIGINT) AS n_params, CAST(1 AS BIGINT) AS n_required, 'from ' || module || ' import f' || CAST(k AS VARCHAR) AS import_statement,
+              'Return a.' AS short_description FROM ok""",
+)
+def api_docs(spark, sf_dir):
+    d = H.api_docs(code_analysis(spark, sf_dir)).where(F.col("name").rlike(r"\.f\d+$"))
+    return d.select(
+        "name", "object_type", "signature", F.size("parameters").cast("long").alias("n_params"),
+        F.size(F.filter("parameters", lambda p: p["required"])).cast("long").alias("n_required"), "import_statement", "short_description",
+    )
+
+
+@query(
+    "doc_lookup",
+    with_(GEN)
+    + """SELECT 'm' || CAST(k AS VARCHAR) || '.C' || CAST(k AS VARCHAR) AS object_name, NOT broken AS found,
+              CASE WHEN broken THEN NULL ELSE 'class' END AS object_type,
+              CASE WHEN broken THEN NULL ELSE 'g' END AS methods, CASE WHEN broken THEN NULL ELSE 'size' END AS attributes
+         FROM gen WHERE k % 5 = 0""",
+)
+def doc_lookup(spark, sf_dir):
+    a = code_analysis(spark, sf_dir)
+    docs = H.api_docs(a)
+    req = a.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("k")).where(F.col("k") % 5 == 0).select(
+        F.col("k").alias("request_id"), F.concat(F.lit("m"), F.col("k").cast("string"), F.lit(".C"), F.col("k").cast("string")).alias("object_name")
+    )
+    r = H.resolve_names(docs, req)
+    return r.select(
+        "object_name", "found", F.col("doc.object_type").alias("object_type"),
+        F.array_join("doc.methods", ",").alias("methods"), F.array_join("doc.attributes", ",").alias("attributes"),
+    )
+
+
+@query(
+    "doc_budget_short",
+    with_(GEN)
+    + """SELECT module || '.f' || CAST(k AS VARCHAR) AS name, 'a:true,b:false' AS parameters, 'from ' || module || ' import f' || CAST(k AS VARCHAR) AS import_statement FROM ok""",
+)
+def doc_budget_short(spark, sf_dir):
+    d = H.api_docs(code_analysis(spark, sf_dir)).where(F.col("name").rlike(r"\.f\d+$")).withColumn("found", F.lit(True))
+    s = H.apply_budget(d, "short")
+    return s.select("name", F.array_join(F.transform("parameters", lambda p: F.concat(p["name"], F.lit(":"), F.lower(p["required"].cast("string")))), ",").alias("parameters"), "import_statement")
+
+
+@query(
+    "doc_goal_debugging",
+    with_(GEN)
+    + """SELECT module || '.f' || CAST(k AS VARCHAR) AS name, 'f' || CAST(k AS VARCHAR) || '(a: int, b) -> int' AS signature,
+              'Return a.' AS short_description, CAST(0 AS BIGINT) AS n_raises, 'debugging' AS task_goal FROM ok""",
+)
+def doc_goal_debugging(spark, sf_dir):
+    d = H.with_doc_details(H.api_docs(code_analysis(spark, sf_dir)).where(F.col("name").rlike(r"\.f\d+$"))).withColumn("found", F.lit(True))
+    g = H.apply_goal(d.withColumn("related", F.array().cast("array<string>")), "debugging", "short")
+    return g.select("name", "signature", "short_description", F.size("raises").cast("long").alias("n_raises"), "task_goal")
