@@ -1,3 +1,102 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered log-ingestion queries (A4, A8-A10, K6) over data Spark derives
+from the driver tables."""
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import accounting as A
+from ..operators import search as S
+from ..sources import logs as L
+from ..sources.tables import document_files, table
+from .corpus_views import code_files
+from .registry import query
+from .sql_common import DOC_FILES, with_
+
+
+def _rg_events(spark, sf_dir):
+    """Search-tool JSON event stream for ``License`` over the documents:
+    a begin event per file, a match event per line, plus noise lines."""
+    m = S.search_text(document_files(spark, sf_dir), "License")
+    ev = m.select(
+        F.to_json(
+            F.struct(
+                F.lit("match").alias("type"),
+                F.struct(
+                    F.struct(F.col("path").alias("text")).alias("path"),
+                    F.col("line").alias("line_number"),
+                    F.struct(F.concat("text", F.lit("\n")).alias("text")).alias("lines"),
+                    F.array(F.struct(F.struct(F.lit("License").alias("text")).alias("match"), F.lit(0).alias("start"), F.lit(7).alias("end"))).alias("submatches"),
+                ).alias("data"),
+            )
+        ).alias("value")
+    )
+    begin = m.select(F.to_json(F.struct(F.lit("begin").alias("type"), F.struct(F.struct(F.col("path").alias("text")).alias("path")).alias("data"))).alias("value"))
+    noise = table(spark, sf_dir, "documents").select(F.concat(F.lit("not json "), F.col("doc_id").cast("string")).alias("value"))
+    return ev.unionByName(begin).unionByName(noise)
+
+
+@query(
+    "search_event_ingest",
+    with_(DOC_FILES) + "SELECT path, CAST(line AS BIGINT) AS line, text FROM doc_lines WHERE regexp_matches(text, 'License')",
+)
+def search_event_ingest(spark, sf_dir):
+    return L.parse_search_events(_rg_events(spark, sf_dir)).select("path", "line", "text")
+
+
+APPROX = "CASE WHEN length(coalesce({t}, '')) = 0 THEN 0 ELSE greatest(1, length({t}) // 4) END"
+
+
+@query(
+    "session_log_ingest",
+    f"""SELECT CAST(conv_id AS VARCHAR) AS session_id,
+              CAST(sum(CASE WHEN role = 'assistant' THEN {APPROX.format(t='text')} ELSE 0 END) AS BIGINT) AS output_tokens,
+              CAST(sum(CASE WHEN role <> 'assistant' THEN {APPROX.format(t='text')} ELSE 0 END) AS BIGINT) AS input_tokens,
+              CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS turn_count,
+              CAST(count(*) FILTER (WHERE role = 'assistant' AND turn % 4 = 1) AS BIGINT) AS tool_calls,
+              coalesce(CAST(max(turn) FILTER (WHERE role = 'assistant') - min(turn) FILTER (WHERE role = 'assistant') AS DOUBLE), 0.0) AS wall_clock_seconds
+         FROM conversations GROUP BY conv_id""",
+)
+def session_log_ingest(spark, sf_dir):
+    """A8 + L1: conversations written as JSONL session logs (one file per
+    conversation, events in turn order), then parsed back."""
+    c = table(spark, sf_dir, "conversations")
+    tok = A.tokens(F.col("text"))
+    asst = F.col("role") == "assistant"
+    event = F.to_json(
+        F.struct(
+            F.col("role").alias("type"),
+            F.when(asst, F.date_format(F.timestamp_seconds(F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"),
+            F.when(asst, tok).alias("output_tokens"),
+            F.when(~asst, F.struct(tok.alias("input_tokens"))).alias("usage"),
+            F.when(asst & (F.col("turn") % 4 == 1), F.array(F.struct(F.lit("tool_use").alias("type")))).otherwise(F.array().cast("array<struct<type:string>>")).alias("content"),
+        )
+    )
+    files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", event.alias("e")))), lambda x: x["e"]), "\n").alias("text"))
+    lines = L.numbered_lines(files.select(F.lit("logs").alias("project"), F.concat(F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), "text"))
+    m = A.session_metrics(A.parse_session_events(lines))
+    return m.select("session_id", "output_tokens", "input_tokens", "turn_count", "tool_calls", "wall_clock_seconds")
+
+
+@query(
+    "free_text_sessions",
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS turn_count,
+              CAST(CASE WHEN sum(length(upper(role) || ': ' || text)) > 0 THEN greatest(1, sum(length(upper(role) || ': ' || text)) // 4) ELSE 0 END AS BIGINT) AS total_tokens
+         FROM conversations GROUP BY conv_id""",
+)
+def free_text_sessions(spark, sf_dir):
+    """One free-text log file per turn (``ROLE: text``), grouped by conversation."""
+    c = table(spark, sf_dir, "conversations")
+    f = c.select(F.col("conv_id").cast("string").alias("project"), F.concat(F.col("turn").cast("string"), F.lit(".txt")).alias("path"), F.concat(F.upper("role"), F.lit(": "), F.col("text")).alias("text"))
+    # the corpus text never contains the role words on its own, so counts come from the prefixes
+    f = f.withColumn("text", F.regexp_replace("text", "(?i)assistant(?!:)", "asst"))
+    return L.free_text_sessions(f)
+
+
+@query("file_representations")
+def file_representations(spark, sf_dir):
+    """K6: raw source vs AST dump vs structured JSON sizes per file (no SQL
+    oracle: the AST dump text is a Python rendering)."""
+    from ..operators import extract as X
+
+    f = code_files(spark, sf_dir)
+    a = X.analyze_files(f, with_dump=True).join(f.select("project", "path", "text"), ["project", "path"])
+    return A.file_representations(a.where(F.col("error").isNull()))
