@@ -6,6 +6,7 @@ query's work grows with the tables. Within one query the parse happens once.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import extract as X
@@ -19,5 +20,10 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed corpus, persisted: reports read it several times (edges,
+    nodes, bindings, uses) and Catalyst cannot prune through the Python
+    parse, so without persistence each reference would parse again. Blocks
+    spill to disk under memory pressure and are recomputed from the parquet
+    scan if an executor is lost."""
     files = code_files(spark, sf_dir).withColumn("n_lines", line_count(F.col("text")))
-    return X.analyze_files(files, carry=["n_lines"])
+    return X.analyze_files(files, carry=["n_lines"]).persist(StorageLevel.MEMORY_AND_DISK)

@@ -37,6 +37,10 @@ def python_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(project, path, text, k)`` -- one generated module per part row."""
     part = table(spark, sf_dir, "part")
     mx = part.select(F.max("p_partkey")).scalar()
+    # Parsing costs far more per row than scanning; spread the keys (a cheap
+    # bigint shuffle) over every core before the texts are generated. An
+    # explicit partition count is not coalesced away by AQE.
+    part = part.select("p_partkey").repartition(max(2, spark.sparkContext.defaultParallelism * 2), "p_partkey")
     k = F.col("p_partkey")
     d = import_target(k, mx)
     imp = F.element_at(F.array(*[F.lit(m) for m in ("os", "json", "pandas", "numpy")]), (k % 4 + 1).cast("int"))
