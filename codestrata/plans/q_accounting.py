@@ -245,3 +245,32 @@ def threshold_guard(spark, sf_dir):
     limits = spark.createDataFrame(_LIMITS, "name string, limit_ms double")
     g = A.threshold_guard(A.timing_summary(timings_from_events(spark, sf_dir)), limits)
     return g.select("suite", "name", "median_ms", "limit_ms")
+
+
+@query(
+    "run_pairs_rounded",
+    with_(_RUNS_CTE)
+    + """SELECT task_id, agent, round_even(accuracy_improvement, 1) AS accuracy_improvement_r1,
+              round_even(token_savings_pct, 1) AS token_savings_pct_r1, round_even(speed_improvement_pct, 1) AS speed_improvement_pct_r1 FROM pairs""",
+)
+def run_pairs_rounded(spark, sf_dir):
+    p = A.run_pairs(runs_from_events(spark, sf_dir))
+    return p.select("task_id", "agent", "accuracy_improvement_r1", "token_savings_pct_r1", "speed_improvement_pct_r1")
+
+
+_TASK_ROWS = ", ".join(f"('{k}', '{v[0]}', '{v[1]}', '{v[2]}')" for k, v in A.EVAL_TASKS.items())
+
+
+@query(
+    "task_labels",
+    with_(_RUNS_CTE)
+    + f""", tasks(task_id, task_name, category, difficulty) AS (VALUES {_TASK_ROWS})
+         SELECT p.task_id, p.agent, coalesce(t.task_name, p.task_id) AS task_name, t.category, t.difficulty
+         FROM pairs p LEFT JOIN tasks t USING (task_id)""",
+)
+def task_labels(spark, sf_dir):
+    p = A.run_pairs(runs_from_events(spark, sf_dir))
+    t = A.task_dimension(spark)
+    return p.join(F.broadcast(t), "task_id", "left").select(
+        "task_id", "agent", F.coalesce(A.task_label(F.col("task_id")), F.col("task_id")).alias("task_name"), "category", "difficulty"
+    )

@@ -180,3 +180,14 @@ def project_rollup(spark, sf_dir):
 )
 def cross_refs(spark, sf_dir):
     return G.cross_references(code_analysis(spark, sf_dir)).select("project", "name", "module", "line", "type")
+
+
+@query(
+    "dep_classes_local",
+    with_(GEN)
+    + """, tops AS (SELECT project, imp AS name FROM ok UNION SELECT project, 'm' || CAST(d AS VARCHAR) FROM ok WHERE d IS NOT NULL)
+         SELECT project, CASE WHEN name IN ('os', 'json') THEN 'stdlib' WHEN name LIKE 'm%' THEN 'local' ELSE 'third_party' END AS class, name FROM tops""",
+)
+def dep_classes_local(spark, sf_dir):
+    d = G.dependency_classes(code_analysis(spark, sf_dir), with_local=True)
+    return d.select("project", "class", F.explode("modules").alias("name"))

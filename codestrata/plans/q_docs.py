@@ -121,3 +121,38 @@ def doc_goal_debugging(spark, sf_dir):
     d = H.with_doc_details(H.api_docs(code_analysis(spark, sf_dir)).where(F.col("name").rlike(r"\.f\d+$"))).withColumn("found", F.lit(True))
     g = H.apply_goal(d.withColumn("related", F.array().cast("array<string>")), "debugging", "short")
     return g.select("name", "signature", "short_description", F.size("raises").cast("long").alias("n_raises"), "task_goal")
+
+
+@query(
+    "goto_definitions",
+    with_(GEN)
+    + """SELECT path, 'x' AS name, CAST(9 + hd AS BIGINT) AS line, CAST(8 + hd AS BIGINT) AS def_line, 'param' AS def_kind FROM ok
+         UNION ALL SELECT path, 'a', CAST(14 + hd AS BIGINT), CAST(12 + hd AS BIGINT), 'param' FROM ok
+         UNION ALL SELECT path, 'a', CAST(15 + hd AS BIGINT), CAST(12 + hd AS BIGINT), 'param' FROM ok""",
+)
+def goto_definitions(spark, sf_dir):
+    return S.goto(code_analysis(spark, sf_dir)).select("path", "name", "line", F.col("def_line").cast("long").alias("def_line"), "def_kind")
+
+
+@query(
+    "codegen_context",
+    with_(GEN)
+    + """SELECT k AS request_id, 'm' || CAST(k AS VARCHAR) || '.f' || CAST(k AS VARCHAR) AS object_name, NOT broken AS found,
+              CAST(CASE WHEN broken THEN 2 ELSE 1 END AS BIGINT) AS n_warnings, false AS is_compatible,
+              CASE WHEN broken THEN NULL ELSE 'from m' || CAST(k AS VARCHAR) || ' import f' || CAST(k AS VARCHAR) END AS import_statement
+         FROM gen""",
+)
+def codegen_context(spark, sf_dir):
+    from ..plans.project import codegen_context as ctx
+    from .q_packages import packages_view
+
+    a = code_analysis(spark, sf_dir)
+    docs = H.api_docs(a)
+    k = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    req = a.select(
+        k.alias("request_id"), F.lit("env0").alias("env"), F.concat(F.lit("m"), k.cast("string"), F.lit(".f"), k.cast("string")).alias("object_name"),
+        F.lit(None).cast("string").alias("package_name"), F.lit(None).cast("string").alias("import_name"), F.lit("3.8").alias("min_python"),
+        F.lit(None).cast("string").alias("package_version_spec"), F.lit("short").alias("budget"),
+    )
+    c = ctx(req, docs, packages_view(spark, sf_dir).drop("k"))
+    return c.select("request_id", "object_name", "found", F.size("warnings").cast("long").alias("n_warnings"), "is_compatible", "import_statement")

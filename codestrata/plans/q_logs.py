@@ -100,3 +100,16 @@ def file_representations(spark, sf_dir):
     f = code_files(spark, sf_dir)
     a = X.analyze_files(f, with_dump=True).join(f.select("project", "path", "text"), ["project", "path"])
     return A.file_representations(a.where(F.col("error").isNull()))
+
+
+@query(
+    "generic_sessions",
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id,
+              CAST(CASE WHEN sum(length(text)) > 0 THEN greatest(1, sum(length(text)) // 4) ELSE 0 END AS BIGINT) AS total_tokens
+         FROM conversations GROUP BY conv_id""",
+)
+def generic_sessions(spark, sf_dir):
+    """A10: one log file per conversation turn part; session = file stem."""
+    c = table(spark, sf_dir, "conversations")
+    f = c.select(F.lit("logs").alias("project"), F.concat(F.lit("sessions/"), F.col("conv_id").cast("string"), F.lit(".log")).alias("path"), "text")
+    return L.generic_sessions(f)

@@ -240,3 +240,92 @@ def lfu_victims(spark, sf_dir):
 )
 def cache_stats(spark, sf_dir):
     return P.cache_stats(_fresh(spark, sf_dir))
+
+
+@query(
+    "package_details",
+    with_(_PKG_CTE)
+    + """SELECT env, CASE WHEN k % 5 = 0 THEN 'missing-' || CAST(k AS VARCHAR) WHEN k % 2 = 0 THEN upper(name) ELSE name END AS request,
+              k % 5 <> 0 AS installed, CASE WHEN k % 5 = 0 THEN NULL ELSE version END AS version FROM pk""",
+)
+def package_details(spark, sf_dir):
+    pk = packages_view(spark, sf_dir)
+    req = pk.select(
+        "env",
+        F.when(F.col("k") % 5 == 0, F.concat(F.lit("missing-"), F.col("k").cast("string")))
+        .when(F.col("k") % 2 == 0, F.upper("name"))
+        .otherwise(F.col("name"))
+        .alias("request"),
+    )
+    d = P.package_details(pk.drop("k"), req)
+    return d.select("env", "request", "installed", F.col("pkg.version").alias("version"))
+
+
+@query("inventory", with_(_PKG_CTE) + "SELECT env, CAST(count(*) AS BIGINT) AS package_count FROM pk GROUP BY env")
+def inventory(spark, sf_dir):
+    return P.inventory(packages_view(spark, sf_dir)).select("env", "package_count")
+
+
+def _new_snapshot(pk):
+    """A later inventory: every 10th package upgraded, every 13th removed, one
+    new package per 17 keys."""
+    kept = pk.where(F.col("k") % 13 != 0).withColumn(
+        "version", F.when(F.col("k") % 10 == 0, F.concat(F.col("version"), F.lit(".post1"))).otherwise(F.col("version"))
+    )
+    added = pk.where(F.col("k") % 17 == 0).withColumn("name", F.concat(F.col("name"), F.lit("-new")))
+    return kept.unionByName(added)
+
+
+_SNAP_CTE = (
+    _PKG_CTE
+    + """,
+new AS (SELECT env, name, CASE WHEN k % 10 = 0 THEN version || '.post1' ELSE version END AS version FROM pk WHERE k % 13 <> 0
+        UNION ALL SELECT env, name || '-new', version FROM pk WHERE k % 17 = 0)
+"""
+)
+
+
+@query(
+    "stale_inventories",
+    with_(_SNAP_CTE)
+    + """, o AS (SELECT env, substr(sha256('[' || string_agg('["' || name || '", "' || version || '"]', ', ' ORDER BY name, version) || ']'), 1, 16) AS old_fp FROM pk GROUP BY env),
+           n AS (SELECT env, substr(sha256('[' || string_agg('["' || name || '", "' || version || '"]', ', ' ORDER BY name, version) || ']'), 1, 16) AS new_fp FROM new GROUP BY env)
+         SELECT coalesce(o.env, n.env) AS env, old_fp, new_fp, old_fp IS DISTINCT FROM new_fp AS stale FROM o FULL OUTER JOIN n ON o.env = n.env""",
+)
+def stale_inventories(spark, sf_dir):
+    pk = packages_view(spark, sf_dir)
+    return P.stale_inventories(pk, _new_snapshot(pk))
+
+
+@query(
+    "refresh_counts",
+    with_(_SNAP_CTE)
+    + """, d AS (SELECT coalesce(o.env, n.env) AS env, o.version AS old_v, n.version AS new_v
+                 FROM (SELECT env, name, version FROM pk) o FULL OUTER JOIN new n ON o.env = n.env AND o.name = n.name),
+           c AS (SELECT env, CAST(count(*) FILTER (WHERE old_v IS NULL) AS BIGINT) AS added, CAST(count(*) FILTER (WHERE new_v IS NULL) AS BIGINT) AS removed,
+                        CAST(count(*) FILTER (WHERE old_v IS NOT NULL AND new_v IS NOT NULL AND old_v <> new_v) AS BIGINT) AS changed FROM d GROUP BY env),
+           docs AS (SELECT 'env' || CAST(event_id % 4 AS VARCHAR) AS env, count(*) AS n FROM events GROUP BY ALL)
+         SELECT c.env, added, removed, changed, CAST(CASE WHEN added + removed + changed > 0 THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS evicted
+         FROM c LEFT JOIN docs USING (env)""",
+)
+def refresh_counts(spark, sf_dir):
+    pk = packages_view(spark, sf_dir)
+    return P.refresh(pk, _new_snapshot(pk), doc_index_view(spark, sf_dir))
+
+
+@query(
+    "import_audit",
+    """WITH p0 AS (SELECT p_partkey AS k FROM part), i AS (SELECT 'm' || CAST(k AS VARCHAR) || '.py' AS path, k FROM p0 WHERE k % 50 <> 49)
+       SELECT path, (['os', 'json', 'pandas', 'numpy'])[k % 4 + 1] AS top,
+              CASE WHEN k % 4 < 2 THEN 'stdlib' ELSE 'missing' END AS status FROM i""",
+)
+def import_audit(spark, sf_dir):
+    from ..operators.extract import stdlib_array
+    from ..operators.graph import file_imports
+    from .corpus_views import code_analysis
+
+    imps = file_imports(code_analysis(spark, sf_dir)).where(F.col("level") == 0).withColumn("env", F.lit("env0"))
+    # absolute `import x` statements only (from-imports of local modules are graph edges)
+    imps = imps.where(F.col("line") == 2)
+    lookup = P.import_to_package(packages_view(spark, sf_dir))
+    return P.import_audit(imps, lookup, stdlib_array()).select("path", "top", "status")

@@ -134,3 +134,35 @@ def config_refs(spark, sf_dir):
 )
 def config_category_counts(spark, sf_dir):
     return S.config_category_counts(S.find_config_references(document_files(spark, sf_dir), "licen[sc]e"))
+
+
+@query(
+    "search_by_type",
+    with_(DOC_FILES)
+    + """SELECT project, path, CAST(line AS BIGINT) AS line, text FROM doc_lines
+         WHERE regexp_matches(text, 'License') AND regexp_matches(path, '\\.(yaml|yml)$')""",
+)
+def search_by_type(spark, sf_dir):
+    return S.search_text(document_files(spark, sf_dir), PATTERN, file_types="yaml")
+
+
+_PAGE_LINES = """
+page_files AS (
+  SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS project,
+         regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || CAST(page_id AS VARCHAR) || '.html' AS path,
+         CASE WHEN right(coalesce(html, ''), 1) = chr(10) THEN substr(html, 1, length(html) - 1) ELSE coalesce(html, '') END AS body
+  FROM pages),
+page_lines AS (
+  SELECT project, path, line, arr[line] AS text
+  FROM (SELECT project, path, arr, generate_subscripts(arr, 1) AS line FROM (SELECT project, path, string_split(body, chr(10)) AS arr FROM page_files)))
+"""
+
+
+@query(
+    "search_pages",
+    with_(_PAGE_LINES) + "SELECT project, path, CAST(line AS BIGINT) AS line, text FROM page_lines WHERE regexp_matches(text, '<title>[A-Z]')",
+)
+def search_pages(spark, sf_dir):
+    from ..sources.tables import page_files
+
+    return S.search_text(page_files(spark, sf_dir), "<title>[A-Z]")

@@ -204,3 +204,24 @@ def diag_ingest(spark, sf_dir):
 def diag_summary(spark, sf_dir):
     d = D.parse_pyflakes(_tool_lines(spark, sf_dir)).withColumn("project", F.lit("logs"))
     return D.file_summary(d).select("path", "total", "errors", "warnings")
+
+
+@query(
+    "apply_rewrite",
+    with_(GEN) + "SELECT path, CAST(1 AS BIGINT) AS n FROM ok WHERE k % 3 = 0",
+)
+def apply_rewrite(spark, sf_dir):
+    """The rewritten corpus as a new table version; rows report files
+    that now call ``logging.info``."""
+    files = code_files(spark, sf_dir)
+    new = E.apply_rewrite(files, E.rewrite(files, "print($$$ARGS)", "logging.info($$$ARGS)"))
+    return new.where(F.col("text").contains("logging.info(")).select("path", F.regexp_count("text", F.lit(r"logging\.info\(")).cast("long").alias("n"))
+
+
+@query(
+    "variables",
+    with_(GEN) + "SELECT path, 'value' AS name, CAST(16 + hd AS BIGINT) AS line, 'missing_' || CAST(k % 5 AS VARCHAR) AS value FROM ok WHERE k % 7 = 0",
+)
+def variables(spark, sf_dir):
+    a = X.analyze_files(_seeded_files(spark, sf_dir))
+    return X.variables(a).select("path", "name", "line", "value")
