@@ -99,23 +99,35 @@ def goto(analysis: DataFrame) -> DataFrame:
     )
 
 
+def resolve_import_targets(targets: DataFrame, reexports: DataFrame, max_hops: int = 10) -> DataFrame:
+    """Follow ``(project, target)`` names through module-level re-exports
+    (``reexports(project, target, next_target)``) to a fixpoint, at most
+    ``max_hops`` steps. Works on the distinct targets only (far fewer rows
+    than uses); each hop is one join, checkpointed, with an early stop."""
+    from .graph import _checkpoint
+
+    cur = _checkpoint(targets.select("project", "target").distinct().withColumn("final", F.col("target")))
+    for _ in range(max_hops):
+        step = cur.join(reexports.select("project", F.col("target").alias("final"), "next_target"), ["project", "final"], "left")
+        nxt = _checkpoint(step.select("project", "target", F.coalesce("next_target", "final").alias("final")).distinct())
+        changed = nxt.join(cur, ["project", "target", "final"], "left_anti").count()
+        cur = nxt
+        if changed == 0:
+            break
+    return cur
+
+
 def definitions(analysis: DataFrame, max_hops: int = 10) -> DataFrame:
     """like :func:`goto`, then import bindings are followed to the symbol
-    they name, through re-exports, for at most ``max_hops`` joins."""
+    they name, through re-exports (at most ``max_hops``)."""
     g = goto(analysis)
-    syms = symbols(analysis).select("project", F.col("full_name").alias("target"), F.col("path").alias("def_path"), F.col("line").alias("def_line2"), "type")
-    # module-level import bindings by their module-qualified name (re-exports)
+    syms = symbols(analysis).select("project", F.col("full_name").alias("final"), F.col("path").alias("def_path"), F.col("line").alias("def_line2"), "type")
     reexp = bindings(analysis).where((F.col("kind") == "import") & (F.col("scope") == "<module>")).select(
         "project", F.concat_ws(".", module_name(F.col("path")), F.col("name")).alias("target"), F.col("target").alias("next_target")
     )
-    cur = g.where(F.col("def_kind") == "import").select("project", "path", "line", "column", "name", "target")
-    resolved = None
-    for _ in range(max_hops):
-        hit = cur.join(syms, ["project", "target"])
-        resolved = hit if resolved is None else resolved.unionByName(hit)
-        cur = cur.join(syms.select("project", "target"), ["project", "target"], "left_anti").join(reexp, ["project", "target"]).select(
-            "project", "path", "line", "column", "name", F.col("next_target").alias("target")
-        )
+    imp = g.where(F.col("def_kind") == "import").select("project", "path", "line", "column", "name", "target")
+    finals = resolve_import_targets(imp.select("project", "target"), reexp, max_hops)
+    resolved = imp.join(finals, ["project", "target"]).join(syms, ["project", "final"]).drop("final")
     local = g.where(F.col("def_kind") != "import").select(
         "project", "path", "line", "column", "name", F.lit(None).cast("string").alias("target"), F.col("path").alias("def_path"), F.col("def_line").alias("def_line2"), F.col("def_kind").alias("type")
     )
@@ -161,3 +173,35 @@ def rename(files: DataFrame, refs: DataFrame, full_name: str, new_name: str) ->
         return pd.DataFrame(out, columns=["project", "path", "n_changes", "old_text", "new_text"])
 
     return joined.groupBy("project", "path").applyInPandas(splice, RENAME_TYPE)
+
+
+def hover(analysis: DataFrame, docs: DataFrame) -> DataFrame:
+    """every resolved use with its definition's documentation record
+    (``docs`` is the H1 index keyed by dotted ``name``)."""
+    d = definitions(analysis)
+    syms = symbols(analysis).select(F.col("path").alias("def_path"), F.col("line").alias("def_line"), F.col("full_name").alias("target_name"))
+    d = d.join(syms, ["def_path", "def_line"], "left")
+    doc = docs.select(F.col("name").alias("target_name"), "signature", "docstring", "short_description")
+    return d.join(doc, "target_name", "left")
+
+
+def signature_help(analysis: DataFrame) -> DataFrame:
+    """for every call of a simple name that resolves (in-file or through
+    an import) to a known function: callee, its parameters (without
+    ``self``/``cls``), the number of positional arguments given and the
+    active parameter index (last filled position, -1 when none)."""
+    calls = analysis.select(*KEY_COLS, F.explode("calls").alias("c")).select(
+        *KEY_COLS, F.col("c.callee").alias("name"), F.col("c.scope").alias("scope"), F.col("c.line").cast("long").alias("line"),
+        F.col("c.col").cast("long").alias("column"), F.col("c.n_args").alias("n_args"), F.col("c.keywords").alias("keywords"),
+    ).where(~F.col("name").contains("."))
+    defs = definitions(analysis).select(*KEY_COLS, "line", "column", "name", "def_path", "def_line")
+    j = calls.join(defs, [*KEY_COLS, "line", "column", "name"])
+    fn = analysis.select(F.col("path").alias("def_path"), F.explode("functions").alias("f")).select(
+        "def_path", F.col("f.line").cast("long").alias("def_line"), F.col("f.name").alias("callee"),
+        F.filter("f.params", lambda p: ~p["name"].isin("self", "cls")).alias("params"), F.col("f.returns").alias("returns"),
+    )
+    out = j.join(fn, ["def_path", "def_line"])
+    return out.select(
+        *KEY_COLS, "line", "column", "callee", "def_path", "params", "n_args", "keywords",
+        (F.least(F.col("n_args"), F.size("params")) - 1).cast("long").alias("active_parameter"),
+    )

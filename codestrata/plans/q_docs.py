@@ -156,3 +156,64 @@ def codegen_context(spark, sf_dir):
     )
     c = ctx(req, docs, packages_view(spark, sf_dir).drop("k"))
     return c.select("request_id", "object_name", "found", F.size("warnings").cast("long").alias("n_warnings"), "is_compatible", "import_statement")
+
+
+def _call_files(spark, sf_dir):
+    """The corpus with ``result = f<d>(1, b=2)`` appended to every module of
+    key ``k % 7 == 1`` that imports ``f<d>``."""
+    from .corpus_views import code_files
+    from ..sources.corpus import import_target
+
+    f = code_files(spark, sf_dir).withColumn("_k", F.regexp_extract("path", r"^m(\d+)\.py$", 1).cast("long"))
+    hit = F.regexp_extract("text", r"from m(\d+) import", 1)
+    text = F.when((F.col("_k") % 7 == 1) & (hit != ""), F.concat("text", F.lit("result = f"), hit, F.lit("(1, b=2)\n"))).otherwise(F.col("text"))
+    return f.withColumn("text", text).drop("_k")
+
+
+_CALLS_CTE = """
+calls AS (
+  SELECT o.path, CAST(16 + o.hd AS BIGINT) AS line, 'f' || CAST(o.d AS VARCHAR) AS callee, t.path AS def_path,
+         CAST(12 + CASE WHEN t.d IS NULL THEN 0 ELSE 1 END AS BIGINT) AS def_line, 'm' || CAST(o.d AS VARCHAR) || '.f' || CAST(o.d AS VARCHAR) AS target_name
+  FROM ok o JOIN gen t ON t.k = o.d AND NOT t.broken
+  WHERE o.k % 7 = 1 AND o.d IS NOT NULL)
+"""
+
+
+@query(
+    "signature_help",
+    with_(GEN, _CALLS_CTE)
+    + "SELECT path, line, callee, def_path, CAST(1 AS BIGINT) AS n_args, 'b' AS keywords, CAST(0 AS BIGINT) AS active_parameter, 'a,b' AS params FROM calls",
+)
+def signature_help(spark, sf_dir):
+    from ..operators import extract as X
+
+    a = X.analyze_files(_call_files(spark, sf_dir)).persist()
+    s = S.signature_help(a)
+    return s.select(
+        "path", "line", "callee", "def_path", F.col("n_args").cast("long").alias("n_args"), F.array_join("keywords", ",").alias("keywords"),
+        "active_parameter", F.array_join(F.transform("params", lambda p: p["name"]), ",").alias("params"),
+    )
+
+
+@query(
+    "definitions_follow_imports",
+    with_(GEN, _CALLS_CTE) + "SELECT path, line, callee AS name, def_path, def_line FROM calls",
+)
+def definitions_follow_imports(spark, sf_dir):
+    from ..operators import extract as X
+
+    a = X.analyze_files(_call_files(spark, sf_dir)).persist()
+    d = S.definitions(a).where(F.col("type") == "function")
+    return d.select("path", "line", "name", "def_path", F.col("def_line").cast("long").alias("def_line"))
+
+
+@query(
+    "hover",
+    with_(GEN, _CALLS_CTE) + "SELECT path, line, target_name, 'Return a.' AS docstring FROM calls",
+)
+def hover(spark, sf_dir):
+    from ..operators import extract as X
+
+    a = X.analyze_files(_call_files(spark, sf_dir)).persist()
+    h = S.hover(a, H.api_docs(a))
+    return h.where(F.col("type") == "function").select("path", "line", "target_name", "docstring")

@@ -69,3 +69,12 @@ def test_references_and_rename(files):
     assert len(refs) >= 2
     out = S.rename(f, S.references(a), "r.x", "value").first()
     assert out.new_text == "value = 1\ny = value + 2\nprint(value)"
+
+
+def test_definitions_follow_reexports_and_signature_help(files):
+    f = files([("a.py", "def f(x, y=1):\n    return x\n"), ("b.py", "from a import f\n"), ("c.py", "from b import f\nf(1)\n")])
+    a = X.analyze_files(f)
+    d = S.definitions(a).where("path = 'c.py' AND name = 'f'").collect()
+    assert [(r.def_path, r.def_line) for r in d] == [("a.py", 1)]
+    sh = S.signature_help(a).collect()
+    assert len(sh) == 1 and sh[0].callee == "f" and sh[0].active_parameter == 0 and [p.name for p in sh[0].params] == ["x", "y"]
