@@ -329,3 +329,28 @@ def threshold_guard(summary: DataFrame, thresholds: DataFrame, name: str = "name
     """M3: summary rows whose median exceeds their limit. ``thresholds`` is a
     small fixed table (name, limit_ms); broadcast it."""
     return summary.join(F.broadcast(thresholds), name).where(F.col("median_ms") > F.col("limit_ms"))
+
+
+def project_representations(files: DataFrame, project_json: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
+    """K7: per project, all source text joined by newlines (``without``) vs
+    the structured project report as JSON (``with``). ``project_json`` has
+    ``(project, json)``. Lengths are summed, never concatenated."""
+    raw = files.groupBy("project").agg((F.sum(F.length("text")) + F.count("*") - 1).cast("long").alias("text_length"))
+    n = F.col("text_length")
+    tok = F.when(n <= 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(n / 4).cast("long")))
+    without = raw.select(F.col("project").alias("scenario"), F.lit("without").alias("side"), F.lit("all source text").alias("label"), "text_length", tok.alias("tokens"))
+    w = project_json.select(F.col("project").alias("scenario"), F.lit("with").alias("side"), F.lit("project analysis").alias("label"), F.length("json").cast("long").alias("text_length"), approx_tokens(F.col("json")).alias("tokens"))
+    return without.unionByName(w).withColumn("cost_usd", cost_usd(F.col("tokens"), model)).withColumn(
+        "info_quality", F.when(F.col("side") == "with", F.lit(4)).otherwise(F.lit(5))
+    )
+
+
+def doc_representations(docs: DataFrame, budget_docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
+    """K8: per documented name, the full docstring with its signature
+    (``without``) vs the budget-projected structured record as JSON (``with``)."""
+    full = docs.select(F.col("name").alias("scenario"), F.concat_ws("\n", F.coalesce("signature", F.lit("")), F.coalesce("docstring", F.lit(""))).alias("body"))
+    rec = budget_docs.select(F.col("name").alias("scenario"), F.to_json(F.struct(*budget_docs.columns)).alias("body"))
+    a = full.select("scenario", F.lit("without").alias("side"), F.lit("full docstring").alias("label"), "body", F.lit(3).alias("info_quality"))
+    b = rec.select("scenario", F.lit("with").alias("side"), F.lit("structured record").alias("label"), "body", F.lit(5).alias("info_quality"))
+    t = approx_tokens(F.col("body"))
+    return a.unionByName(b).select("scenario", "side", "label", F.length("body").cast("long").alias("text_length"), t.alias("tokens"), cost_usd(t, model).alias("cost_usd"), "info_quality")

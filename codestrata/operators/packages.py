@@ -293,3 +293,29 @@ def cache_stats(lookups: DataFrame, key: str = "env") -> DataFrame:
         F.count_if(st == "evicted").cast("long").alias("evictions"),
         F.countDistinct("name").cast("long").alias("entries"),
     )
+
+
+def packages_from_metadata(files: DataFrame) -> DataFrame:
+    """Distribution metadata files collected from many environments ->
+    ``packages``. ``files(env, path, text)`` holds ``*.dist-info/METADATA``,
+    ``top_level.txt`` and ``RECORD`` files; one group per (env, dist-info
+    folder), so the work is a single aggregation."""
+    dist = F.regexp_extract("path", r"([^/]+\.(?:dist|egg)-info)/[^/]+$", 1)
+    kind = F.element_at(F.split("path", "/"), -1)
+    f = files.where(dist != "").select("env", dist.alias("dist"), kind.alias("kind"), "text")
+    lines = F.split(F.coalesce("text", F.lit("")), "\r?\n")
+    header = lambda key: F.filter(lines, lambda l: l.startswith(key + ": "))
+    meta = f.where(F.col("kind") == "METADATA").select(
+        "env", "dist",
+        F.substring_index(F.element_at(header("Name"), 1), ": ", -1).alias("name"),
+        F.substring_index(F.element_at(header("Version"), 1), ": ", -1).alias("version"),
+        F.transform(header("Requires-Dist"), lambda l: F.regexp_replace(l, "^Requires-Dist: ", "")).alias("requires"),
+    )
+    top = f.where(F.col("kind") == "top_level.txt").select("env", "dist", F.col("text").alias("top_level"))
+    rec = f.where(F.col("kind") == "RECORD").select(
+        "env", "dist", F.filter(F.transform(lines, lambda l: F.split(l, ",").getItem(0)), lambda x: x != "").alias("files")
+    )
+    out = meta.join(top, ["env", "dist"], "left").join(rec, ["env", "dist"], "left")
+    return normalise(
+        out.select("env", "name", "version", F.array().cast("array<string>").alias("import_names"), "requires", "files", "top_level")
+    )

@@ -329,3 +329,29 @@ def import_audit(spark, sf_dir):
     imps = imps.where(F.col("line") == 2)
     lookup = P.import_to_package(packages_view(spark, sf_dir))
     return P.import_audit(imps, lookup, stdlib_array()).select("path", "top", "status")
+
+
+def metadata_files(spark, sf_dir):
+    """Distribution metadata files (METADATA, RECORD, top_level.txt) written
+    by Spark for every package of the packages view."""
+    pk = packages_view(spark, sf_dir)
+    folder = F.concat(F.lit("site-packages/"), F.col("name"), F.lit("-"), F.col("version"), F.lit(".dist-info/"))
+    meta = F.concat(
+        F.lit("Metadata-Version: 2.1\nName: "), F.col("name"), F.lit("\nVersion: "), F.col("version"), F.lit("\n"),
+        F.array_join(F.transform("requires", lambda r: F.concat(F.lit("Requires-Dist: "), r)), "\n"), F.lit("\n"),
+    )
+    m = pk.select("env", F.concat(folder, F.lit("METADATA")).alias("path"), meta.alias("text"))
+    rec = pk.where(F.size("files") > 0).select("env", F.concat(folder, F.lit("RECORD")).alias("path"), F.array_join(F.transform("files", lambda x: F.concat(x, F.lit(",,"))), "\n").alias("text"))
+    top = pk.where(F.col("top_level").isNotNull()).select("env", F.concat(folder, F.lit("top_level.txt")).alias("path"), F.concat("top_level", F.lit("\n")).alias("text"))
+    return m.unionByName(rec).unionByName(top)
+
+
+@query(
+    "metadata_packages",
+    with_(_PKG_CTE)
+    + """SELECT env, name, version, CASE WHEN k % 3 = 2 THEN lower(replace(name, '-', '_')) ELSE under END AS import_name,
+              CAST(3 AS BIGINT) AS n_dependencies FROM pk""",
+)
+def metadata_packages(spark, sf_dir):
+    p = P.packages_from_metadata(metadata_files(spark, sf_dir))
+    return p.select("env", "name", "version", F.explode("import_names").alias("import_name"), F.size("dependencies").cast("long").alias("n_dependencies"))
