@@ -245,11 +245,10 @@ def line_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, "\n", "")) + 1).cast("long")
 
 
-def dependency_classes(analysis: DataFrame, with_local: bool = False) -> DataFrame:
-    """``(project, class, modules array<string>)`` with class ``stdlib`` or
-    ``third_party`` over level-0 import tops (local modules count as third
-    party, as the reference does); ``with_local`` adds a ``local`` class and
-    removes them from ``third_party``."""
+def dependency_rows(analysis: DataFrame, with_local: bool = False) -> DataFrame:
+    """C8 as rows: distinct ``(project, class, name)`` over level-0 import tops
+    with class ``stdlib`` or ``third_party`` (local modules count as third
+    party, as the reference does); ``with_local`` adds a ``local`` class."""
     imps = file_imports(analysis).where(F.col("level") == 0).select("project", top(F.col("module")).alias("name")).where(F.col("name") != "").distinct()
     std = F.array_contains(stdlib_array(), F.col("name"))
     cls = F.when(std, "stdlib").otherwise("third_party")
@@ -257,7 +256,14 @@ def dependency_classes(analysis: DataFrame, with_local: bool = False) -> DataFra
         local = local_modules(analysis.select(*KEY_COLS)).withColumn("is_local", F.lit(True))
         imps = imps.join(local.withColumnRenamed("module", "name"), ["project", "name"], "left")
         cls = F.when(std, "stdlib").when(F.col("is_local"), "local").otherwise("third_party")
-    return imps.withColumn("class", cls).groupBy("project", "class").agg(F.array_sort(F.collect_list("name")).alias("modules"))
+    return imps.select("project", cls.alias("class"), "name")
+
+
+def dependency_classes(analysis: DataFrame, with_local: bool = False) -> DataFrame:
+    """C8 report form: ``(project, class, modules array<string>)``, sorted.
+    The list per project is bounded by the distinct top-level module names
+    it imports; use :func:`dependency_rows` to stay in row form."""
+    return dependency_rows(analysis, with_local).groupBy("project", "class").agg(F.array_sort(F.collect_list("name")).alias("modules"))
 
 
 def file_rows(files: DataFrame, analysis: DataFrame) -> DataFrame:
@@ -287,9 +293,9 @@ def project_rollup(files: DataFrame, analysis: DataFrame) -> DataFrame:
         F.sum("ni").cast("long").alias("total_imports"),
         F.sum("n_lines").cast("long").alias("total_lines"),
     )
-    deps = dependency_classes(analysis).groupBy("project").agg(
-        F.sum(F.when(F.col("class") == "stdlib", F.size("modules")).otherwise(0)).cast("long").alias("stdlib_deps"),
-        F.sum(F.when(F.col("class") == "third_party", F.size("modules")).otherwise(0)).cast("long").alias("third_party_deps"),
+    deps = dependency_rows(analysis).groupBy("project").agg(
+        F.count_if(F.col("class") == "stdlib").cast("long").alias("stdlib_deps"),
+        F.count_if(F.col("class") == "third_party").cast("long").alias("third_party_deps"),
     )
     return discovered.join(stats, "project", "left").join(deps, "project", "left").fillna(0, ["stdlib_deps", "third_party_deps"])
 

@@ -63,11 +63,10 @@ def package_list(packages: DataFrame) -> DataFrame:
 
 
 def inventory(packages: DataFrame) -> DataFrame:
-    """Per environment count and the package list."""
-    return packages.groupBy("env").agg(
-        F.count("*").cast("long").alias("package_count"),
-        F.array_sort(F.collect_list(F.struct("name", "version"))).alias("packages"),
-    )
+    """Per environment package count and inventory fingerprint; the
+    package rows themselves stay rows (``package_list``), so no environment
+    is ever gathered into one value."""
+    return packages.groupBy("env").agg(F.count("*").cast("long").alias("package_count"))
 
 
 def package_details(packages: DataFrame, requests: DataFrame) -> DataFrame:

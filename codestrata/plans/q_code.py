@@ -144,8 +144,7 @@ def cycles(spark, sf_dir):
          SELECT project, CASE WHEN name IN ('os', 'json') THEN 'stdlib' ELSE 'third_party' END AS class, name FROM tops""",
 )
 def dep_classes(spark, sf_dir):
-    d = G.dependency_classes(code_analysis(spark, sf_dir))
-    return d.select("project", "class", F.explode("modules").alias("name"))
+    return G.dependency_rows(code_analysis(spark, sf_dir))
 
 
 @query(
@@ -189,5 +188,4 @@ def cross_refs(spark, sf_dir):
          SELECT project, CASE WHEN name IN ('os', 'json') THEN 'stdlib' WHEN name LIKE 'm%' THEN 'local' ELSE 'third_party' END AS class, name FROM tops""",
 )
 def dep_classes_local(spark, sf_dir):
-    d = G.dependency_classes(code_analysis(spark, sf_dir), with_local=True)
-    return d.select("project", "class", F.explode("modules").alias("name"))
+    return G.dependency_rows(code_analysis(spark, sf_dir), with_local=True)
