@@ -51,3 +51,10 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(host, F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.col("html").alias("text"),
     )
+
+
+def decode_files(binary_files: DataFrame) -> DataFrame:
+    """A2: ``(project, path, content binary)`` -> ``(project, path, text)``,
+    dropping files that are not valid UTF-8 (as the reference skips them)."""
+    s = F.col("content").cast("string")
+    return binary_files.where(F.is_valid_utf8(s)).select("project", "path", s.alias("text"))
