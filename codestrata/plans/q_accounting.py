@@ -119,7 +119,7 @@ def token_total_rollup(spark, sf_dir):
               CAST(sum({_approx('text')}) AS BIGINT) AS total_tokens,
               CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS turn_count,
               CAST(count(*) FILTER (WHERE role = 'tool') AS BIGINT) AS tool_calls,
-              0.0 AS wall_clock_seconds
+              CAST(0.0 AS DOUBLE) AS wall_clock_seconds
          FROM conversations GROUP BY conv_id""",
 )
 def session_metrics(spark, sf_dir):
@@ -238,7 +238,7 @@ _LIMITS = [("view", 20.0), ("click", 25.0), ("error", 10.0), ("signup", 30.0), (
     "threshold_guard",
     with_(_TIMING_CTE)
     + "SELECT t.suite, t.name, t.median_ms, l.limit_ms FROM tim t JOIN (VALUES "
-    + ", ".join(f"('{n}', {v})" for n, v in _LIMITS)
+    + ", ".join(f"('{n}', CAST({v} AS DOUBLE))" for n, v in _LIMITS)
     + ") l(name, limit_ms) ON t.name = l.name WHERE t.median_ms > l.limit_ms",
 )
 def threshold_guard(spark, sf_dir):
