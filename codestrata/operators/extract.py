@@ -61,6 +61,9 @@ def analyze_files(files: DataFrame, with_dump: bool = False, carry: list[str] |
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    from ..session import prepare
+
+    prepare(files.sparkSession)
     carry = list(carry or [])
     extra = T.StructType([files.schema[c] for c in carry]) if carry else None
     schema = analysis_schema(extra)

@@ -229,6 +229,20 @@ def severity_counts(spark: SparkSession, findings: DataFrame) -> DataFrame:
     return sev.join(c, "severity", "full_outer").select("severity", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+def lint_summary(files: DataFrame, findings: DataFrame, rules=None, language: str = "python") -> DataFrame:
+    """E4/E10 counters: files checked (unparseable files included), rules
+    applied (empty patterns included) and total findings."""
+    n_rules = len(_rule_rows(rules))
+    checked = python_files(files, language).agg(F.count("*").cast("long").alias("files_checked"))
+    total = findings.agg(F.count("*").cast("long").alias("total_findings"), F.countDistinct("path").cast("long").alias("files_with_findings"))
+    return _summary_pair(checked, total).withColumn("rules_applied", F.lit(n_rules).cast("long"))
+
+
+def _summary_pair(a: DataFrame, b: DataFrame) -> DataFrame:
+    # two single-row aggregates side by side (1 x 1 join on a constant key)
+    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 def rule_counts(findings: DataFrame) -> DataFrame:
     """Findings per rule."""
     return findings.groupBy("rule_id").agg(F.count("*").cast("long").alias("n"), F.countDistinct("path").cast("long").alias("files"))

@@ -225,3 +225,14 @@ def apply_rewrite(spark, sf_dir):
 def variables(spark, sf_dir):
     a = X.analyze_files(_seeded_files(spark, sf_dir))
     return X.variables(a).select("path", "name", "line", "value")
+
+
+@query(
+    "lint_summary",
+    with_(GEN)
+    + """SELECT CAST(count(*) AS BIGINT) AS files_checked, CAST(count(*) FILTER (WHERE NOT broken) AS BIGINT) AS total_findings,
+              CAST(count(*) FILTER (WHERE NOT broken) AS BIGINT) AS files_with_findings, CAST(5 AS BIGINT) AS rules_applied FROM gen""",
+)
+def lint_summary(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    return E.lint_summary(files, E.check_rules(files))

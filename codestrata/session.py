@@ -43,6 +43,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     conf = spark.conf
     if conf.get("spark.sql.session.timeZone", None) is None:
         conf.set("spark.sql.session.timeZone", "UTC")
+    # Arrow batches feed whole source files to Python workers: the stock
+    # 10 000 rows per batch can hold gigabytes of text, so lower it unless the
+    # session chose its own value.
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
     checkpoint_dir(spark)
     return spark
 
