@@ -236,3 +236,71 @@ def variables(spark, sf_dir):
 def lint_summary(spark, sf_dir):
     files = code_files(spark, sf_dir)
     return E.lint_summary(files, E.check_rules(files))
+
+
+def _mypy_lines(spark, sf_dir):
+    """mypy-style lines for error/view/click events."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "view", "click"))
+    eid = F.col("event_id")
+    loc = F.concat(
+        F.lit("src/f"), (F.col("user_id") % 50).cast("string"), F.lit(".py:"), (eid % 300 + 1).cast("string"),
+        F.when(eid % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(":"), (eid % 80 + 1).cast("string"))),
+    )
+    sev = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "note").otherwise("warning")
+    return e.select(F.concat(loc, F.lit(": "), sev, F.lit(": value "), F.col("value").cast("string")).alias("value"))
+
+
+_MYPY = """
+mp AS (
+  SELECT 'src/f' || CAST(user_id % 50 AS VARCHAR) || '.py' AS path, CAST(event_id % 300 + 1 AS BIGINT) AS line,
+         CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 80 + 1 END AS BIGINT) AS "column",
+         CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'info' ELSE 'warning' END AS severity,
+         'value ' || CAST(value AS VARCHAR) AS message, 'mypy' AS source
+  FROM events WHERE event_type IN ('error', 'view', 'click'))
+"""
+
+
+@query("mypy_ingest", with_(_MYPY) + 'SELECT path, line, "column", severity, message FROM mp')
+def mypy_ingest(spark, sf_dir):
+    return D.parse_mypy(_mypy_lines(spark, sf_dir)).select("path", "line", "column", "severity", "message")
+
+
+def _pyright_docs(spark, sf_dir):
+    """One pyright JSON report per purchase/signup/click event."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "signup", "click"))
+    diag = F.struct(
+        F.concat(F.lit("src/f"), (F.col("user_id") % 50).cast("string"), F.lit(".py")).alias("file"),
+        F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("string")).otherwise(F.lit("warning")).alias("severity"),
+        F.concat(F.lit("code "), F.col("event_id").cast("string")).alias("message"),
+        F.lit("reportGeneralTypeIssues").alias("rule"),
+        F.struct(F.struct((F.col("event_id") % 300).cast("int").alias("line"), (F.col("event_id") % 60).cast("int").alias("character")).alias("start")).alias("range"),
+    )
+    return e.select(F.to_json(F.struct(F.array(diag).alias("generalDiagnostics"))).alias("value"))
+
+
+_PYRIGHT = """
+pr AS (
+  SELECT 'src/f' || CAST(user_id % 50 AS VARCHAR) || '.py' AS path, CAST(event_id % 300 + 1 AS BIGINT) AS line,
+         CAST(event_id % 60 AS BIGINT) AS "column", CASE WHEN event_id % 5 = 0 THEN 'error' ELSE 'warning' END AS severity,
+         'code ' || CAST(event_id AS VARCHAR) AS message, 'pyright' AS source
+  FROM events WHERE event_type IN ('purchase', 'signup', 'click'))
+"""
+
+
+@query("pyright_ingest", with_(_PYRIGHT) + 'SELECT path, line, "column", severity, message FROM pr')
+def pyright_ingest(spark, sf_dir):
+    return D.parse_pyright(_pyright_docs(spark, sf_dir)).select("path", "line", "column", "severity", "message")
+
+
+@query(
+    "type_check_fallback",
+    with_(_MYPY, _PYRIGHT)
+    + """SELECT path, source, CAST(count(*) AS BIGINT) AS n FROM (
+           SELECT path, source FROM mp
+           UNION ALL SELECT path, source FROM pr WHERE path NOT IN (SELECT path FROM mp)) GROUP BY path, source""",
+)
+def type_check_fallback(spark, sf_dir):
+    cols = ["project", "path", "line", "column", "severity", "source", "message"]
+    mp = D.parse_mypy(_mypy_lines(spark, sf_dir)).withColumn("project", F.lit("logs")).select(*cols)
+    pr = D.parse_pyright(_pyright_docs(spark, sf_dir)).withColumn("project", F.lit("logs")).select(*cols)
+    return D.type_checker_fallback(mp, pr).groupBy("path", "source").agg(F.count("*").cast("long").alias("n"))
