@@ -168,10 +168,15 @@ def _dfs_cycles(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"project": [project] * len(out), "cycle": out, "length": [len(c) - 1 for c in out]})
 
 
+class NotConverged(RuntimeError):
+    """Label propagation hit its round limit (very long paths)."""
+
+
 def _scc_labels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Strongly connected components of a (trimmed) edge set by label
     propagation: forward minimum labels, then backward marking inside one
-    colour from its root. Returns ``(project, node, scc)``."""
+    colour from its root. Returns ``(project, node, scc)``; raises
+    :class:`NotConverged` rather than return split components."""
     nodes = edges.select("project", F.col("src").alias("node")).union(edges.select("project", F.col("dst").alias("node"))).distinct()
     remaining_edges = edges
     remaining = _checkpoint(nodes)
@@ -189,6 +194,8 @@ def _scc_labels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             colour = nxt
             if changed == 0:
                 break
+        else:
+            raise NotConverged("forward colouring did not converge")
         # backward marking from roots inside each colour
         marked = colour.where(F.col("node") == F.col("colour")).select("project", "node", "colour")
         marked = _checkpoint(marked)
@@ -204,6 +211,8 @@ def _scc_labels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             marked = nxt
             if grew == 0:
                 break
+        else:
+            raise NotConverged("backward marking did not converge")
         found = marked.select("project", "node", F.col("colour").alias("scc"))
         done = found if done is None else _checkpoint(done.unionByName(found))
         remaining = _checkpoint(remaining.join(found, ["project", "node"], "left_anti"))
@@ -227,7 +236,12 @@ def circular_dependencies(edges: DataFrame, group_edge_bound: int = 100_000, tri
     big = core.join(sizes.where(F.col("n_edges") > group_edge_bound).select("project"), "project", "left_semi")
     out = small.groupBy("project").applyInPandas(_dfs_cycles, CYCLE_SCHEMA)
     if not big.isEmpty():
-        labels = _scc_labels(big)
+        try:
+            labels = _scc_labels(big)
+        except NotConverged:
+            # paths longer than the round limit: keep whole projects together
+            # (correct, but one task per project)
+            return out.unionByName(big.groupBy("project").applyInPandas(_dfs_cycles, CYCLE_SCHEMA))
         lab = big.join(labels.select("project", F.col("node").alias("src"), F.col("scc").alias("s1")), ["project", "src"]).join(
             labels.select("project", F.col("node").alias("dst"), F.col("scc").alias("s2")), ["project", "dst"]
         ).where(F.col("s1") == F.col("s2"))

@@ -106,9 +106,11 @@ def search_text(
     rx = regex(pattern, case_sensitive)
     globs = [glob] if isinstance(glob, str) else list(glob or [])
     f = select_files(files, file_types, globs).where(F.col("text").rlike(f"(?m){rx}"))
-    f = f.select("project", "path", line_array(F.col("text")).alias("arr"))
-    m = f.select("project", "path", "arr", F.posexplode("arr").alias("pos", "text")).where(F.col("text").rlike(rx))
-    cols = ["project", "path", (F.col("pos") + 1).cast("long").alias("line"), "text"]
+    # chunked sources (see sources.tree) number their lines from line_offset
+    off = F.col("line_offset") if "line_offset" in files.columns else F.lit(0)
+    f = f.select("project", "path", off.cast("long").alias("_off"), line_array(F.col("text")).alias("arr"))
+    m = f.select("project", "path", "_off", "arr", F.posexplode("arr").alias("pos", "text")).where(F.col("text").rlike(rx))
+    cols = ["project", "path", (F.col("pos") + 1 + F.col("_off")).cast("long").alias("line"), "text"]
     if context_lines and context_lines > 0:
         n = int(context_lines)
         start = F.greatest(F.col("pos") + 1 - n, F.lit(1))

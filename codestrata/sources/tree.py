@@ -9,7 +9,12 @@ Files must live on storage every executor can read (a shared mount).
 
 Options: ``path`` (root), ``project`` (default: root folder name),
 ``suffixes`` (default ``.py,.pyi``), ``exclude`` (comma-separated globs; when
-given, hidden entries are skipped too), ``max_depth`` (root = 0).
+given, hidden entries are skipped too), ``max_depth`` (root = 0),
+``chunk_bytes`` (0 = whole files, the default, which parsing needs). With
+``chunk_bytes`` set, a larger file is cut at line boundaries into several
+rows with ``chunk`` and ``line_offset`` (lines before the chunk), so one huge
+log or text file spreads over tasks instead of becoming one oversized row;
+text search adds ``line_offset`` to its line numbers.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "project string, path string, text string, size long"
+SCHEMA = "project string, path string, text string, size long, chunk int, line_offset long"
 
 
 class _Part(InputPartition):
@@ -44,6 +49,7 @@ class _Reader(DataSourceReader):
         self.suffixes = tuple(s.strip() for s in options.get("suffixes", ".py,.pyi").split(",") if s.strip())
         self.exclude = [p.strip() for p in options.get("exclude", "").split(",") if p.strip()]
         self.max_depth = int(options["max_depth"]) if options.get("max_depth") not in (None, "") else None
+        self.chunk_bytes = int(options.get("chunk_bytes") or 0)
 
     def partitions(self):
         parts = [_Part("", False)]  # files directly under the root
@@ -91,7 +97,25 @@ class _Reader(DataSourceReader):
                 text = raw.decode("utf-8")
             except (OSError, UnicodeDecodeError):
                 continue  # unreadable or not UTF-8: skipped, as the reference does
-            yield (self.project, rel, text, len(raw))
+            if not self.chunk_bytes or len(raw) <= self.chunk_bytes:
+                yield (self.project, rel, text, len(raw), 0, 0)
+                continue
+            yield from self._chunks(rel, text, len(raw))
+
+    def _chunks(self, rel, text, size):
+        """Line-aligned pieces of about ``chunk_bytes`` characters."""
+        start, chunk, offset = 0, 0, 0
+        n = len(text)
+        while start < n:
+            end = min(n, start + self.chunk_bytes)
+            if end < n:
+                nl = text.rfind("\n", start, end)
+                end = nl + 1 if nl >= start else (text.find("\n", end) + 1 or n)
+            piece = text[start:end]
+            yield (self.project, rel, piece, size, chunk, offset)
+            offset += piece.count("\n")
+            chunk += 1
+            start = end
 
     def _walk_top(self):
         try:

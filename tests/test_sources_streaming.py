@@ -80,3 +80,27 @@ def test_streaming_search_and_sessions(spark, tmp_path):
     q.stop()
     rows = spark.sql("SELECT * FROM s1_out").collect()
     assert len(rows) == 1 and rows[0].turn_count == 2 and rows[0].wall_clock_seconds == 10.0
+
+
+def test_chunked_source_keeps_line_numbers(spark, tmp_path):
+    from codestrata.operators import search as S
+
+    lines = [f"line {i} {'KEY' if i % 97 == 0 else ''}" for i in range(1, 2001)]
+    (tmp_path / "big.py").write_text("\n".join(lines) + "\n")
+    whole = read_tree(spark, str(tmp_path))
+    chunked = read_tree(spark, str(tmp_path), chunk_bytes=1000)
+    assert chunked.count() > 10
+    a = sorted(r.line for r in S.search_text(whole, "KEY").collect())
+    b = sorted(r.line for r in S.search_text(chunked, "KEY").collect())
+    assert a == b == [i for i in range(1, 2001) if i % 97 == 0]
+
+
+def test_cycles_fall_back_when_labels_do_not_converge(spark, monkeypatch):
+    from codestrata.operators import graph as G
+
+    def boom(*a, **k):
+        raise G.NotConverged("test")
+
+    monkeypatch.setattr(G, "_scc_labels", boom)
+    df = spark.createDataFrame([("p", "a", "b"), ("p", "b", "a")], "project string, src string, dst string")
+    assert [tuple(r.cycle) for r in G.circular_dependencies(df, group_edge_bound=0).collect()] == [("a", "b", "a")]
