@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,9 +125,11 @@ def search_text(
 
 
 def limit_per_file(matches: DataFrame, n: int) -> DataFrame:
-    """First ``n`` matches of every file (the tool's per-file max count)."""
-    w = Window.partitionBy("path").orderBy("line")
-    return matches.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    """First ``n`` matches of every file (the tool's per-file max count).
+    Two-phase salted top-k: a huge (chunked) file does not land in one task."""
+    from ..plans.topk import top_k_per_group
+
+    return top_k_per_group(matches, ["path"], ["line"], n).drop("rank")
 
 
 def first_results(matches: DataFrame, max_results: int) -> DataFrame:
