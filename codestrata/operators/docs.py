@@ -152,18 +152,50 @@ def module_exports(analysis: DataFrame, limit: int = 20) -> DataFrame:
     return analysis.select("project", mod.alias("module"), F.slice(F.array_sort(F.array_distinct(ex)), 1, limit).alias("exports"))
 
 
-def related(docs: DataFrame, limit: int = 5) -> DataFrame:
-    """H8: up to ``limit`` same-module callables whose short names contain
-    each other (case-insensitive), name order. The equi-join on module comes
-    first so the containment test never sees a cross product of modules."""
+def _substrings(s: Column, max_len: int) -> Column:
+    """All distinct substrings of ``s`` (at most ``max_len`` characters are
+    considered), as an array -- O(len^2) per name, bounded by name length."""
+    n = F.least(F.length(s), F.lit(max_len))
+    return F.array_distinct(
+        F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1))))
+    )
+
+
+def see_also(docstring: Column) -> Column:
+    """Names listed in a ``See Also`` section (numpydoc/Google style):
+    identifiers at the start of each entry, in order."""
+    sec = F.regexp_extract(docstring, r"(?s)See Also:?[ \t]*\n(?:[ \t]*-+[ \t]*\n)?(.*?)(?:\n[ \t]*\n|$)", 1)
+    items = F.split(F.regexp_replace(sec, r"\n", ","), ",")
+    names = F.transform(items, lambda x: F.regexp_extract(F.trim(x), r"^([A-Za-z_][\w.]*)", 1))
+    return F.filter(names, lambda x: x != "")
+
+
+def related(docs: DataFrame, limit: int = 5, max_name_len: int = 64) -> DataFrame:
+    """H8: up to ``limit`` related names per documented object: ``See Also``
+    entries first (in order), then same-module functions/classes whose short
+    names contain each other (case-insensitive), in name order.
+
+    Containment is found with an equi-join on ``(project, module,
+    substring)``: each short name is exploded into its substrings and joined
+    to the names equal to one of them, so no module is ever paired with
+    itself in full."""
     from ..plans.topk import top_k_per_group
 
-    short = F.element_at(F.split("name", r"\."), -1)
-    d = docs.where(F.col("object_type").isin("function", "class")).select("project", "module", "name", F.lower(short).alias("s"))
-    o = d.select("project", "module", F.col("name").alias("other"), F.col("s").alias("os"))
-    pairs = d.join(o, ["project", "module"]).where((F.col("name") != F.col("other")) & (F.col("s").contains(F.col("os")) | F.col("os").contains(F.col("s"))))
-    top = top_k_per_group(pairs, ["project", "name"], ["other"], limit)
-    return top.groupBy("project", "name").agg(F.array_sort(F.collect_list("other")).alias("related"))
+    short = F.lower(F.element_at(F.split("name", r"\."), -1))
+    d = docs.where(F.col("object_type").isin("function", "class")).select("project", "module", "name", short.alias("s"))
+    subs = d.select("project", "module", "name", F.explode(_substrings(F.col("s"), max_name_len)).alias("sub"))
+    others = d.select("project", "module", F.col("name").alias("other"), F.col("s").alias("sub"))
+    contained = subs.join(others, ["project", "module", "sub"]).where(F.col("name") != F.col("other")).select("project", "name", "other")
+    pairs = contained.unionByName(contained.select("project", F.col("other").alias("name"), F.col("name").alias("other"))).distinct()
+    pairs = pairs.select("project", "name", "other", F.lit(1).alias("prio"), F.lit(0).alias("pos"))
+    sa = docs.select("project", "name", F.posexplode(see_also(F.col("docstring"))).alias("pos", "other")).select(
+        "project", "name", "other", F.lit(0).alias("prio"), "pos"
+    )
+    allr = sa.unionByName(pairs)
+    top = top_k_per_group(allr, ["project", "name"], ["prio", "pos", "other"], limit)
+    return top.groupBy("project", "name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]).alias("related")
+    )
 
 
 def resolve_names(docs: DataFrame, requests: DataFrame) -> DataFrame:

@@ -134,12 +134,25 @@ def definitions(analysis: DataFrame, max_hops: int = 10) -> DataFrame:
     return local.unionByName(resolved).withColumnRenamed("def_line2", "def_line")
 
 
-def completions(syms: DataFrame, requests: DataFrame) -> DataFrame:
+def completions(syms: DataFrame, requests: DataFrame, max_prefix: int = 64) -> DataFrame:
     """F8: ``requests(request_id, project, module, prefix)`` -> visible
-    module-level names of that module starting with the prefix. Equi-join on
-    (project, module) first, then the prefix test, so no pair explosion."""
+    module-level names of that module starting with the prefix.
+
+    Each name is exploded into its prefixes (bounded by name length) and
+    equi-joined on ``(project, module, prefix)``, so the join emits only
+    matching pairs; an empty prefix asks for every name of the module."""
     s = syms.where(F.col("scope") == "<module>").select("project", "module", "name", "type")
-    return requests.join(s, ["project", "module"]).where(F.col("name").startswith(F.col("prefix"))).select("request_id", "name", "type")
+    pre = s.select(
+        "project", "module", "name", "type",
+        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("name"), F.lit(max_prefix))), lambda i: F.substring("name", 1, i))).alias("prefix"),
+    )
+    keyed = requests.where(F.length("prefix") > 0)
+    hit = keyed.join(pre, ["project", "module", "prefix"]).select("request_id", "name", "type")
+    everything = requests.where(F.coalesce(F.length("prefix"), F.lit(0)) == 0).join(s, ["project", "module"]).select("request_id", "name", "type")
+    # prefixes longer than max_prefix fall back to a filtered join on the first max_prefix characters
+    long_req = requests.where(F.length("prefix") > max_prefix).withColumn("_p", F.substring("prefix", 1, max_prefix))
+    long_hit = long_req.join(pre.withColumnRenamed("prefix", "_p"), ["project", "module", "_p"]).where(F.col("name").startswith(F.col("prefix"))).select("request_id", "name", "type")
+    return hit.unionByName(everything).unionByName(long_hit)
 
 
 RENAME_TYPE = T.StructType(

@@ -63,3 +63,16 @@ def test_project_and_doc_representations(spark, files):
     est = A.doc_representations(docs, H.apply_budget(docs.withColumn("found", F.lit(True)), "short"))
     cmp = A.compare(est).collect()
     assert len(cmp) == docs.count()
+
+
+def test_related_see_also_and_completions(spark, files):
+    from codestrata.operators import symbols as S
+
+    src = "def load(x):\n    '''Load.\n\n    See Also\n    --------\n    dump : the inverse\n    '''\n\ndef load_all():\n    pass\n\ndef dump():\n    pass\n"
+    a = X.analyze_files(files([("m.py", src)]))
+    docs = H.api_docs(a)
+    rel = {r.name: r.related for r in H.related(docs).collect()}
+    assert rel["m.load"] == ["dump", "m.load_all"]
+    req = spark.createDataFrame([(1, "p", "m", "lo"), (2, "p", "m", ""), (3, "p", "m", "zz")], "request_id int, project string, module string, prefix string")
+    got = sorted((r.request_id, r.name) for r in S.completions(S.symbols(a), req).collect())
+    assert got == [(1, "load"), (1, "load_all"), (2, "dump"), (2, "load"), (2, "load_all")]
