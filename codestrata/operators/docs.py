@@ -198,10 +198,28 @@ def related(docs: DataFrame, limit: int = 5, max_name_len: int = 64) -> DataFram
     )
 
 
+def builtin_docs(spark) -> DataFrame:
+    """Records for the interpreter's builtin names (bounded literal table):
+    ``object_type = builtin``, ``import_statement = # Built-in: x``."""
+    import builtins
+
+    names = sorted(n for n in dir(builtins) if not n.startswith("_"))
+    b = spark.createDataFrame([(n,) for n in names], "name string")
+    return b.select(
+        F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("path"), F.lit("builtins").alias("module"), "name",
+        F.lit("builtin").alias("object_type"), F.lit(None).cast("string").alias("signature"),
+        F.array().cast(f"array<struct<name:string,type:string,default:string,required:boolean,kind:string>>").alias("parameters"),
+        F.lit(None).cast("string").alias("returns"), F.lit(None).cast("string").alias("docstring"), F.lit(None).cast("string").alias("short_description"),
+        F.array().cast("array<string>").alias("methods"), F.array().cast("array<string>").alias("attributes"),
+        import_statement(F.col("name"), F.lit("builtin")).alias("import_statement"), F.lit(None).cast("string").alias("source_file"),
+    )
+
+
 def resolve_names(docs: DataFrame, requests: DataFrame) -> DataFrame:
     """H2: ``requests(request_id, object_name)`` -> the record of the longest
-    module prefix that exists, the rest as attribute path. Unknown names get
-    ``found = false``."""
+    module prefix that exists, the rest as attribute path. Builtin names
+    resolve first (pass ``docs.unionByName(builtin_docs(spark))``). Unknown
+    names get ``found = false``."""
     parts = F.split("object_name", r"\.")
     pref = requests.select(
         "request_id", "object_name",

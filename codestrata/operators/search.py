@@ -243,3 +243,21 @@ def config_category_counts(refs: DataFrame) -> DataFrame:
         .agg(F.count("*").cast("long").alias("n_refs"), F.countDistinct("path").cast("long").alias("n_files"))
         .select(F.coalesce(F.col("category"), F.lit("TOTAL")).alias("category"), "n_refs", "n_files")
     )
+
+
+def search_report(
+    files: DataFrame,
+    pattern: str,
+    *,
+    max_results: int = 100,
+    case_sensitive: bool = True,
+    file_types: str | Iterable[str] | None = None,
+    glob: str | Iterable[str] | None = None,
+    context_lines: int = 0,
+) -> dict[str, DataFrame]:
+    """D1-D6 in the reference's shape: ``matches`` (first ``max_results`` in
+    (path, line) order) and a one-row ``summary`` with ``match_count`` and
+    ``truncated`` computed over the per-file cap of ``max_results + 1``."""
+    m = search_text(files, pattern, case_sensitive=case_sensitive, file_types=file_types, glob=glob, context_lines=context_lines)
+    s = search_summary(m, max_results).select(F.col("count").alias("match_count"), "truncated", "total", "files_with_matches")
+    return {"matches": first_results(m, max_results), "summary": s}

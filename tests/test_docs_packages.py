@@ -76,3 +76,20 @@ def test_related_see_also_and_completions(spark, files):
     req = spark.createDataFrame([(1, "p", "m", "lo"), (2, "p", "m", ""), (3, "p", "m", "zz")], "request_id int, project string, module string, prefix string")
     got = sorted((r.request_id, r.name) for r in S.completions(S.symbols(a), req).collect())
     assert got == [(1, "load"), (1, "load_all"), (2, "dump"), (2, "load"), (2, "load_all")]
+
+
+def test_search_report_and_builtins(spark, files):
+    from codestrata.operators import search as S
+
+    f = files([("a.py", "k\nk\nk\n"), ("b.py", "k\n")])
+    rep = S.search_report(f, "k", max_results=2)
+    assert rep["matches"].count() == 2
+    s = rep["summary"].first()
+    assert s.match_count == 2 and s.truncated
+    a = X.analyze_files(files([("m.py", "def f():\n    pass\n")]))
+    docs = H.api_docs(a).unionByName(H.builtin_docs(spark))
+    req = spark.createDataFrame([(1, "len"), (2, "m.f"), (3, "nope.x")], "request_id int, object_name string")
+    r = {x.request_id: x for x in H.resolve_names(docs, req).collect()}
+    assert r[1].found and r[1].doc.import_statement == "# Built-in: len"
+    assert r[2].found and r[2].doc.import_statement == "from m import f"
+    assert not r[3].found
