@@ -230,7 +230,11 @@ def circular_dependencies(edges: DataFrame, group_edge_bound: int = 100_000, tri
     projects are first split into strongly connected components so each DFS
     task holds one component only.
     """
-    core = trim_acyclic(edges, trim_rounds)
+    e = edges.select("project", "src", "dst").distinct()
+    if e.count() <= group_edge_bound:
+        # every project fits one task anyway: the trim rounds would only add jobs
+        return e.groupBy("project").applyInPandas(_dfs_cycles, CYCLE_SCHEMA)
+    core = trim_acyclic(e, trim_rounds)
     sizes = core.groupBy("project").agg(F.count("*").alias("n_edges"))
     small = core.join(sizes.where(F.col("n_edges") <= group_edge_bound).select("project"), "project", "left_semi")
     big = core.join(sizes.where(F.col("n_edges") > group_edge_bound).select("project"), "project", "left_semi")
