@@ -165,7 +165,13 @@ def _dfs_cycles(pdf: pd.DataFrame) -> pd.DataFrame:
             if not advanced:
                 stack.pop()
                 on_stack.pop(path.pop(), None)
-    return pd.DataFrame({"project": [project] * len(out), "cycle": out, "length": [len(c) - 1 for c in out]})
+    return pd.DataFrame(
+        {
+            "project": pd.Series([project] * len(out), dtype=object),
+            "cycle": pd.Series(out, dtype=object),
+            "length": pd.Series([len(c) - 1 for c in out], dtype="int64"),
+        }
+    )
 
 
 class NotConverged(RuntimeError):
