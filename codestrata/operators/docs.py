@@ -38,7 +38,7 @@ def doc_examples(docs: pd.Series) -> pd.Series:
             except ValueError:
                 pass
         out.append(rows)
-    return pd.Series(out)
+    return pd.Series(out, dtype=object)
 
 
 def _raises(doc: str) -> list[dict]:
@@ -78,7 +78,7 @@ def doc_raises(docs: pd.Series) -> pd.Series:
     """H7: Sphinx ``:raises X: d`` lines (if any), else entries of a
     ``Raises``/``Exceptions`` section at exactly four spaces, with indented
     continuation lines, until the next section."""
-    return pd.Series([_raises(d) for d in docs])
+    return pd.Series([_raises(d) for d in docs], dtype=object)
 
 
 def import_statement(name: Column, obj_type: Column) -> Column:

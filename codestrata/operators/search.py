@@ -186,7 +186,7 @@ def _offsets_udf(py_pattern: str, flags: int):
                     s = len(t[: m.start()].encode("utf-8"))
                     row.append({"match": m.group(0), "start": s, "end": s + len(m.group(0).encode("utf-8"))})
             out.append(row)
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     return offsets
 
