@@ -84,5 +84,6 @@ def approx_tokens(text: Column) -> Column:
 def word_tokens(text: Column) -> Column:
     """About 0.75 words per token over whitespace-separated words."""
     t = F.coalesce(text, F.lit(""))
-    words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
+    # maximal runs of non-whitespace, counted without building an array
+    words = F.regexp_count(t, F.lit(r"(?U)\S+"))
     return F.when(t == "", F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(words / F.lit(0.75)).cast("long")))
