@@ -60,3 +60,10 @@ def search_stream(files: DataFrame, pattern: str, **kwargs) -> DataFrame:
     """S3: line matches of newly landed files (stateless)."""
     kwargs.pop("per_file_limit", None)  # needs a window: not available in a stream
     return S.search_text(files, pattern, **kwargs)
+
+
+def lint_stream(files: DataFrame, rules=None) -> DataFrame:
+    """S3: rule findings for newly landed files (stateless ``mapInArrow``)."""
+    from ..operators import structural as E
+
+    return E.check_rules(files, rules)

@@ -104,3 +104,13 @@ def test_cycles_fall_back_when_labels_do_not_converge(spark, monkeypatch):
     monkeypatch.setattr(G, "_scc_labels", boom)
     df = spark.createDataFrame([("p", "a", "b"), ("p", "b", "a")], "project string, src string, dst string")
     assert [tuple(r.cycle) for r in G.circular_dependencies(df, group_edge_bound=0).collect()] == [("a", "b", "a")]
+
+
+def test_streaming_lint(spark, tmp_path):
+    src = tmp_path / "landed"
+    spark.createDataFrame([("p", "a.py", "print('x')\nassert y\n")], "project string, path string, text string").write.parquet(str(src))
+    stream = spark.readStream.schema("project string, path string, text string").parquet(str(src))
+    q = ST.lint_stream(stream).writeStream.format("memory").queryName("lint_out").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.rule_id for r in spark.sql("SELECT rule_id FROM lint_out").collect()) == ["assert-without-message", "print-statement"]
