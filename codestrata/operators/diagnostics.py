@@ -47,7 +47,8 @@ def undefined_names(analysis: DataFrame) -> DataFrame:
 def unused_imports(analysis: DataFrame) -> DataFrame:
     """Import bindings with no use resolving to them (same file, scope and
     name); names listed in ``__all__`` count as used."""
-    b = bindings(analysis).where(F.col("kind") == "import")
+    # ``from __future__ import x`` is a compiler directive, never "unused"
+    b = bindings(analysis).where((F.col("kind") == "import") & ~F.coalesce(F.col("target"), F.lit("")).startswith("__future__."))
     used = uses(analysis).where(F.col("resolved").isNotNull()).select(*KEY_COLS, F.col("resolved").alias("scope"), "name").distinct()
     un = b.join(used, [*KEY_COLS, "scope", "name"], "left_anti").where(~((F.col("scope") == "<module>") & F.array_contains("dunder_all", F.col("name"))))
     return un.select(

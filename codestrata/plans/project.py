@@ -10,7 +10,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import docs as H
 from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import packages as P

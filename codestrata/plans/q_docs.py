@@ -162,7 +162,6 @@ def _call_files(spark, sf_dir):
     """The corpus with ``result = f<d>(1, b=2)`` appended to every module of
     key ``k % 7 == 1`` that imports ``f<d>``."""
     from .corpus_views import code_files
-    from ..sources.corpus import import_target
 
     f = code_files(spark, sf_dir).withColumn("_k", F.regexp_extract("path", r"^m(\d+)\.py$", 1).cast("long"))
     hit = F.regexp_extract("text", r"from m(\d+) import", 1)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..operators import diagnostics as D
 from ..operators import extract as X
 from ..operators import structural as E
-from ..operators.graph import line_count
 from ..sources.tables import table
 from .corpus_views import code_analysis, code_files
 from .registry import query
