@@ -70,3 +70,19 @@ def test_package_manager(spark):
     req = spark.createDataFrame([(1, "proj/src"), (2, "other")], "request_id int, dir string")
     m = {r.request_id: r.manager for r in P.detect_manager(markers, req).collect()}
     assert m == {1: "poetry", 2: "pip"}
+
+
+def test_version_change_invalidates_and_evicts(spark):
+    now = dt.datetime(2024, 2, 1)
+    idx = spark.createDataFrame(
+        [("e", f"doc{i}", "pkg", "1.0.0", now, 0) for i in range(3)], "env string, name string, package string, package_version string, cached_at timestamp, hit_count long"
+    )
+    old = spark.createDataFrame([("e", "pkg", "1.0.0")], "env string, name string, version string")
+    new = spark.createDataFrame([("e", "pkg", "2.0.0")], "env string, name string, version string")
+    r = P.refresh(old, new, idx).first()
+    assert (r.changed, r.evicted) == (1, 3)
+    assert P.refresh(old, old, idx).first().evicted == 0
+    st = {x.status for x in P.doc_freshness(idx, new, F.lit(now)).collect()}
+    assert st == {"stale_version"}
+    assert {x.status for x in P.doc_freshness(idx, old, F.lit(now)).collect()} == {"hit"}
+    assert P.stale_inventories(old, new).first().stale and not P.stale_inventories(old, old).first().stale
