@@ -46,7 +46,7 @@ def symbol_references(spark, sf_dir):
 @query(
     "completions",
     with_(GEN)
-    + """, req AS (SELECT k AS request_id, project, module FROM ok WHERE k % 10 = 0)
+    + """, req AS (SELECT k AS request_id, project, module FROM ok)
          SELECT r.request_id, o.name, o.type FROM req r JOIN (
            SELECT project, module, 'f' || CAST(k AS VARCHAR) AS name, 'function' AS type FROM ok
            UNION ALL SELECT project, module, 'C' || CAST(k AS VARCHAR), 'class' FROM ok) o
@@ -58,21 +58,33 @@ def completions(spark, sf_dir):
     req = (
         a.where(F.col("error").isNull())
         .select("project", F.regexp_replace("path", r"\.py$", "").alias("module"), F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("request_id"))
-        .where(F.col("request_id") % 10 == 0)
         .withColumn("prefix", F.lit("f"))
     )
     return S.completions(syms, req)
 
 
+_DOCS_CTE = """
+docs AS (
+  SELECT module AS name, 'module' AS object_type, CAST(NULL AS VARCHAR) AS signature, CAST(0 AS BIGINT) AS n_params, CAST(0 AS BIGINT) AS n_required,
+         'import ' || module AS import_statement, 'Module ' || CAST(k AS VARCHAR) || '.' AS short_description, '' AS params FROM ok
+  UNION ALL
+  SELECT module || '.C' || CAST(k AS VARCHAR), 'class', 'C' || CAST(k AS VARCHAR) || '()', CAST(0 AS BIGINT), CAST(0 AS BIGINT),
+         'from ' || module || ' import C' || CAST(k AS VARCHAR), CAST(NULL AS VARCHAR), '' FROM ok
+  UNION ALL
+  SELECT module || '.C' || CAST(k AS VARCHAR) || '.g', 'function', 'g(x: int) -> str', CAST(1 AS BIGINT), CAST(1 AS BIGINT),
+         'from ' || module || '.C' || CAST(k AS VARCHAR) || ' import g', CAST(NULL AS VARCHAR), 'x:true' FROM ok
+  UNION ALL
+  SELECT module || '.f' || CAST(k AS VARCHAR), 'function', 'f' || CAST(k AS VARCHAR) || '(a: int, b) -> int', CAST(2 AS BIGINT), CAST(1 AS BIGINT),
+         'from ' || module || ' import f' || CAST(k AS VARCHAR), 'Return a.', 'a:true,b:false' FROM ok)
+"""
+
+
 @query(
     "api_docs",
-    with_(GEN)
-    + """SELECT module || '.f' || CAST(k AS VARCHAR) AS name, 'function' AS object_type, 'f' || CAST(k AS VARCHAR) || '(a: int, b) -> int' AS signature,
-              CAST(2 AS BIGINT) AS n_params, CAST(1 AS BIGINT) AS n_required, 'from ' || module || ' import f' || CAST(k AS VARCHAR) AS import_statement,
-              'Return a.' AS short_description FROM ok""",
+    with_(GEN, _DOCS_CTE) + "SELECT name, object_type, signature, n_params, n_required, import_statement, short_description FROM docs",
 )
 def api_docs(spark, sf_dir):
-    d = H.api_docs(code_analysis(spark, sf_dir)).where(F.col("name").rlike(r"\.f\d+$"))
+    d = H.api_docs(code_analysis(spark, sf_dir))
     return d.select(
         "name", "object_type", "signature", F.size("parameters").cast("long").alias("n_params"),
         F.size(F.filter("parameters", lambda p: p["required"])).cast("long").alias("n_required"), "import_statement", "short_description",
@@ -85,12 +97,12 @@ def api_docs(spark, sf_dir):
     + """SELECT 'm' || CAST(k AS VARCHAR) || '.C' || CAST(k AS VARCHAR) AS object_name, NOT broken AS found,
               CASE WHEN broken THEN NULL ELSE 'class' END AS object_type,
               CASE WHEN broken THEN NULL ELSE 'g' END AS methods, CASE WHEN broken THEN NULL ELSE 'size' END AS attributes
-         FROM gen WHERE k % 5 = 0""",
+         FROM gen""",
 )
 def doc_lookup(spark, sf_dir):
     a = code_analysis(spark, sf_dir)
     docs = H.api_docs(a)
-    req = a.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("k")).where(F.col("k") % 5 == 0).select(
+    req = a.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("k")).select(
         F.col("k").alias("request_id"), F.concat(F.lit("m"), F.col("k").cast("string"), F.lit(".C"), F.col("k").cast("string")).alias("object_name")
     )
     r = H.resolve_names(docs, req)
@@ -100,64 +112,22 @@ def doc_lookup(spark, sf_dir):
     )
 
 
-@query(
-    "doc_budget_short",
-    with_(GEN)
-    + """SELECT module || '.f' || CAST(k AS VARCHAR) AS name, 'a:true,b:false' AS parameters, 'from ' || module || ' import f' || CAST(k AS VARCHAR) AS import_statement FROM ok""",
-)
+@query("doc_budget_short", with_(GEN, _DOCS_CTE) + "SELECT name, params AS parameters, import_statement FROM docs")
 def doc_budget_short(spark, sf_dir):
-    d = H.api_docs(code_analysis(spark, sf_dir)).where(F.col("name").rlike(r"\.f\d+$")).withColumn("found", F.lit(True))
+    d = H.api_docs(code_analysis(spark, sf_dir)).withColumn("found", F.lit(True))
     s = H.apply_budget(d, "short")
     return s.select("name", F.array_join(F.transform("parameters", lambda p: F.concat(p["name"], F.lit(":"), F.lower(p["required"].cast("string")))), ",").alias("parameters"), "import_statement")
 
 
 @query(
     "doc_goal_debugging",
-    with_(GEN)
-    + """SELECT module || '.f' || CAST(k AS VARCHAR) AS name, 'f' || CAST(k AS VARCHAR) || '(a: int, b) -> int' AS signature,
-              'Return a.' AS short_description, CAST(0 AS BIGINT) AS n_raises, 'debugging' AS task_goal FROM ok""",
+    with_(GEN, _DOCS_CTE) + "SELECT name, signature, short_description, CAST(0 AS BIGINT) AS n_raises, 'debugging' AS task_goal FROM docs",
 )
 def doc_goal_debugging(spark, sf_dir):
-    d = H.with_doc_details(H.api_docs(code_analysis(spark, sf_dir)).where(F.col("name").rlike(r"\.f\d+$"))).withColumn("found", F.lit(True))
+    d = H.with_doc_details(H.api_docs(code_analysis(spark, sf_dir))).withColumn("found", F.lit(True))
     g = H.apply_goal(d.withColumn("related", F.array().cast("array<string>")), "debugging", "short")
     return g.select("name", "signature", "short_description", F.size("raises").cast("long").alias("n_raises"), "task_goal")
 
-
-@query(
-    "goto_definitions",
-    with_(GEN)
-    + """SELECT path, 'x' AS name, CAST(9 + hd AS BIGINT) AS line, CAST(8 + hd AS BIGINT) AS def_line, 'param' AS def_kind FROM ok
-         UNION ALL SELECT path, 'a', CAST(14 + hd AS BIGINT), CAST(12 + hd AS BIGINT), 'param' FROM ok
-         UNION ALL SELECT path, 'a', CAST(15 + hd AS BIGINT), CAST(12 + hd AS BIGINT), 'param' FROM ok""",
-)
-def goto_definitions(spark, sf_dir):
-    return S.goto(code_analysis(spark, sf_dir)).select("path", "name", "line", F.col("def_line").cast("long").alias("def_line"), "def_kind")
-
-
-@query(
-    "codegen_context",
-    with_(GEN)
-    + """SELECT k AS request_id, 'm' || CAST(k AS VARCHAR) || '.f' || CAST(k AS VARCHAR) AS object_name, NOT broken AS found,
-              CAST(CASE WHEN broken THEN 2 ELSE 1 END AS BIGINT) AS n_warnings, false AS is_compatible,
-              CASE WHEN broken THEN NULL ELSE 'from m' || CAST(k AS VARCHAR) || ' import f' || CAST(k AS VARCHAR) END AS import_statement
-         FROM gen""",
-)
-def codegen_context(spark, sf_dir):
-    from ..plans.project import codegen_context as ctx
-    from .q_packages import packages_view
-
-    a = code_analysis(spark, sf_dir)
-    docs = H.api_docs(a)
-    k = F.regexp_extract("path", r"(\d+)", 1).cast("long")
-    req = a.select(
-        k.alias("request_id"), F.lit("env0").alias("env"), F.concat(F.lit("m"), k.cast("string"), F.lit(".f"), k.cast("string")).alias("object_name"),
-        F.lit(None).cast("string").alias("package_name"), F.lit(None).cast("string").alias("import_name"), F.lit("3.8").alias("min_python"),
-        F.lit(None).cast("string").alias("package_version_spec"), F.lit("short").alias("budget"),
-    )
-    c = ctx(req, docs, packages_view(spark, sf_dir).drop("k"))
-    return c.select("request_id", "object_name", "found", F.size("warnings").cast("long").alias("n_warnings"), "is_compatible", "import_statement")
-
-
 def _call_files(spark, sf_dir):
     """The corpus with ``result = f<d>(1, b=2)`` appended to every module of
     key ``k % 7 == 1`` that imports ``f<d>``."""
