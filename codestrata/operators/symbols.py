@@ -127,9 +127,15 @@ def definitions(analysis: DataFrame, max_hops: int = 10) -> DataFrame:
     )
     imp = g.where(F.col("def_kind") == "import").select("project", "path", "line", "column", "name", "target")
     finals = resolve_import_targets(imp.select("project", "target"), reexp, max_hops)
-    resolved = imp.join(finals, ["project", "target"]).join(syms, ["project", "final"]).drop("final")
+    resolved = (
+        imp.join(finals, ["project", "target"])
+        .join(syms, ["project", "final"])
+        .withColumn("def_name", F.element_at(F.split("final", r"\."), -1))
+        .drop("final")
+    )
     local = g.where(F.col("def_kind") != "import").select(
-        "project", "path", "line", "column", "name", F.lit(None).cast("string").alias("target"), F.col("path").alias("def_path"), F.col("def_line").alias("def_line2"), F.col("def_kind").alias("type")
+        "project", "path", "line", "column", "name", F.lit(None).cast("string").alias("target"), F.col("path").alias("def_path"),
+        F.col("def_line").alias("def_line2"), F.col("def_kind").alias("type"), F.col("name").alias("def_name"),
     )
     return local.unionByName(resolved).withColumnRenamed("def_line2", "def_line")
 
@@ -192,8 +198,10 @@ def hover(analysis: DataFrame, docs: DataFrame) -> DataFrame:
     """every resolved use with its definition's documentation record
     (``docs`` is the H1 index keyed by dotted ``name``)."""
     d = definitions(analysis)
-    syms = symbols(analysis).select(F.col("path").alias("def_path"), F.col("line").alias("def_line"), F.col("full_name").alias("target_name"))
-    d = d.join(syms, ["def_path", "def_line"], "left")
+    syms = symbols(analysis).select(
+        F.col("path").alias("def_path"), F.col("line").alias("def_line"), F.col("name").alias("def_name"), F.col("full_name").alias("target_name")
+    )
+    d = d.join(syms, ["def_path", "def_line", "def_name"], "left")
     doc = docs.select(F.col("name").alias("target_name"), "signature", "docstring", "short_description")
     return d.join(doc, "target_name", "left")
 

@@ -90,12 +90,18 @@ def from_imports(spark, sf_dir):
     + """SELECT project, path, path AS file_name, CAST(1 AS BIGINT) AS n_functions, CAST(1 AS BIGINT) AS n_classes,
               CAST(1 + hd AS BIGINT) AS n_imports, 'Module ' || CAST(k AS VARCHAR) || '.' AS description,
               array_to_string(list_sort(list_filter(['pandas', 'numpy', CASE WHEN d IS NOT NULL THEN 'm' || CAST(d AS VARCHAR) END],
-                                                    lambda x: x IS NOT NULL AND (x = imp OR x LIKE 'm%'))), ',') AS third_party
-         FROM ok""",
+                                                    lambda x: x IS NOT NULL AND (x = imp OR x LIKE 'm%'))), ',') AS third_party,
+              false AS has_error
+         FROM ok
+         UNION ALL
+         SELECT project, path, path, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), '', true FROM gen WHERE broken""",
 )
 def file_summary(spark, sf_dir):
-    s = X.file_summary(code_analysis(spark, sf_dir)).where(F.col("error").isNull())
-    return s.select("project", "path", "file_name", "n_functions", "n_classes", "n_imports", "description", F.array_join("third_party", ",").alias("third_party"))
+    s = X.file_summary(code_analysis(spark, sf_dir))
+    return s.select(
+        "project", "path", "file_name", "n_functions", "n_classes", "n_imports", "description",
+        F.array_join("third_party", ",").alias("third_party"), F.col("error").isNotNull().alias("has_error"),
+    )
 
 
 @query(
