@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import packages as P
 from ..sources.tables import table
 from .registry import query
-from .sql_common import with_
+from .sql_common import GEN, with_
 
 SPECS = [">=10", ">=5,<20", "==10.3.1", "!=7.0", "~=1.0", ">abc", "<=25.12.4"]
 _SPECS_SQL = ", ".join(f"'{s}'" for s in SPECS)
@@ -315,9 +315,9 @@ def refresh_counts(spark, sf_dir):
 
 @query(
     "import_audit",
-    """WITH p0 AS (SELECT p_partkey AS k FROM part), i AS (SELECT 'm' || CAST(k AS VARCHAR) || '.py' AS path, k FROM p0 WHERE k % 50 <> 49)
-       SELECT path, (['os', 'json', 'pandas', 'numpy'])[k % 4 + 1] AS top,
-              CASE WHEN k % 4 < 2 THEN 'stdlib' ELSE 'missing' END AS status FROM i""",
+    with_(GEN)
+    + """SELECT path, imp AS top, CASE WHEN k % 4 < 2 THEN 'stdlib' ELSE 'missing' END AS status FROM ok
+         UNION ALL SELECT path, 'm' || CAST(d AS VARCHAR), 'missing' FROM ok WHERE d IS NOT NULL""",
 )
 def import_audit(spark, sf_dir):
     from ..operators.extract import stdlib_array
@@ -325,8 +325,6 @@ def import_audit(spark, sf_dir):
     from .corpus_views import code_analysis
 
     imps = file_imports(code_analysis(spark, sf_dir)).where(F.col("level") == 0).withColumn("env", F.lit("env0"))
-    # absolute `import x` statements only (from-imports of local modules are graph edges)
-    imps = imps.where(F.col("line") == 2)
     lookup = P.import_to_package(packages_view(spark, sf_dir))
     return P.import_audit(imps, lookup, stdlib_array()).select("path", "top", "status")
 
