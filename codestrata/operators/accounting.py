@@ -98,16 +98,18 @@ def file_representations(analysis_with_text: DataFrame) -> DataFrame:
     return st.select("scenario", "side", "label", F.length(F.coalesce("body", F.lit(""))).cast("long").alias("text_length"), t.alias("tokens"), cost_usd(t).alias("cost_usd"), "info_quality")
 
 
-def compare(estimates: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
+def compare(estimates: DataFrame, model: str = DEFAULT_MODEL, keys=("scenario",)) -> DataFrame:
     """K9: per scenario, best (minimum) tokens of each side, tokens saved,
-    percent saved (0 when the base is 0) and dollars saved per 1k calls."""
-    g = estimates.groupBy("scenario").agg(
+    percent saved (0 when the base is 0) and dollars saved per 1k calls.
+    ``keys`` may add attributes of the scenario carried along (e.g. a group
+    for the rollup), avoiding a join back to the source."""
+    g = estimates.groupBy(*keys).agg(
         F.min(F.when(F.col("side") == "without", F.col("tokens"))).cast("long").alias("best_without_tokens"),
         F.min(F.when(F.col("side") == "with", F.col("tokens"))).cast("long").alias("best_with_tokens"),
     )
     saved = F.col("best_without_tokens") - F.col("best_with_tokens")
     return g.select(
-        "scenario",
+        *keys,
         "best_without_tokens",
         "best_with_tokens",
         saved.alias("tokens_saved"),

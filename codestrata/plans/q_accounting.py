@@ -55,18 +55,26 @@ def cost(spark, sf_dir):
 
 
 def _doc_estimates(spark, sf_dir):
+    """Four estimates per document (raw text and word count without the
+    skill; first line and 400-character head with it) from ONE scan: the
+    estimates are an exploded array of structs, not a union of four scans."""
     d = table(spark, sf_dir, "documents")
-    scen = F.col("doc_id").cast("string")
-    first_line = F.split(F.col("text"), "\n").getItem(0)
-    e1 = A.estimate(d, "text", "raw text", scen, "without", 5)
-    e2 = d.select(
-        scen.alias("scenario"), F.lit("without").alias("side"), F.lit("word estimate").alias("label"),
-        F.length("text").cast("long").alias("text_length"), A.tokens(F.col("text"), "word").alias("tokens"),
-        A.cost_usd(A.tokens(F.col("text"), "word")).alias("cost_usd"), F.lit(5).alias("info_quality"),
+    t = F.col("text")
+
+    def est(side, label, body, quality, method="approximate"):
+        tok = A.tokens(body, method)
+        return F.struct(
+            F.lit(side).alias("side"), F.lit(label).alias("label"), F.length(F.coalesce(body, F.lit(""))).cast("long").alias("text_length"),
+            tok.alias("tokens"), A.cost_usd(tok).alias("cost_usd"), F.lit(quality).alias("info_quality"),
+        )
+
+    rows = F.array(
+        est("without", "raw text", t, 5),
+        est("without", "word estimate", t, 5, "word"),
+        est("with", "first line", F.split(t, "\n").getItem(0), 2),
+        est("with", "head", F.substring(t, 1, 400), 3),
     )
-    e3 = A.estimate(d.withColumn("_s", first_line), "_s", "first line", scen, "with", 2)
-    e4 = A.estimate(d.withColumn("_s", F.substring("text", 1, 400)), "_s", "head", scen, "with", 3)
-    return e1.unionByName(e2).unionByName(e3).unionByName(e4)
+    return d.select(F.col("doc_id").cast("string").alias("scenario"), "lang", F.explode(rows).alias("e")).select("scenario", "lang", "e.*")
 
 
 _SAVINGS_CTE = f"""
@@ -106,8 +114,7 @@ def token_savings(spark, sf_dir):
          FROM j GROUP BY ROLLUP (lang)""",
 )
 def token_total_rollup(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("scenario"), "lang")
-    c = A.compare(_doc_estimates(spark, sf_dir)).join(d, "scenario")
+    c = A.compare(_doc_estimates(spark, sf_dir), keys=("scenario", "lang"))
     return A.savings_rollup(c, "lang").withColumn("savings_pct", F.round("savings_pct", 6))
 
 
