@@ -243,10 +243,16 @@ def run_pairs(runs: DataFrame, order_col: str = "filename") -> DataFrame:
     """L3 + L4: pairs of latest with/without runs per (task, agent) and their
     comparison. Percentages are kept unrounded; ``*_r1`` columns round half
     to even on the decimal value (``bround``)."""
-    last = latest_runs(runs, order_col)
-    w = last.where(F.col("skill_enabled")).select("task_id", "agent", *[F.col(c).alias("w_" + c) for c in RUN_METRICS])
-    wo = last.where(~F.col("skill_enabled")).select("task_id", "agent", *[F.col(c).alias("o_" + c) for c in RUN_METRICS])
-    p = w.join(wo, ["task_id", "agent"])
+    # one aggregation per (task, agent): the latest run of each side via a
+    # conditional max_by (NULL ordering values are skipped), no self-join
+    metrics = F.struct(*RUN_METRICS)
+    g = runs.groupBy("task_id", "agent").agg(
+        F.max_by(metrics, F.when(F.col("skill_enabled"), F.col(order_col))).alias("w"),
+        F.max_by(metrics, F.when(~F.col("skill_enabled"), F.col(order_col))).alias("o"),
+        F.count_if(F.col("skill_enabled")).alias("_nw"),
+        F.count_if(~F.col("skill_enabled")).alias("_no"),
+    ).where((F.col("_nw") > 0) & (F.col("_no") > 0))
+    p = g.select("task_id", "agent", *[F.col("w." + c).alias("w_" + c) for c in RUN_METRICS], *[F.col("o." + c).alias("o_" + c) for c in RUN_METRICS])
     tok = F.when(F.col("o_total_tokens") > 0, (F.col("o_total_tokens") - F.col("w_total_tokens")) * 100.0 / F.col("o_total_tokens")).otherwise(F.lit(0.0))
     spd = F.when(
         F.col("o_wall_clock_seconds") > 0, (F.col("o_wall_clock_seconds") - F.col("w_wall_clock_seconds")) * 100.0 / F.col("o_wall_clock_seconds")
@@ -319,10 +325,14 @@ def timing_summary(timings: DataFrame, keys=("suite", "name"), value: str = "ms"
 def speedups(summary: DataFrame, baseline: str, key: str = "suite", name: str = "name") -> DataFrame:
     """M2: ``median(other) / median(baseline)`` within each key, only where
     the baseline median is positive."""
-    base = summary.where(F.col(name) == baseline).select(key, F.col("median_ms").alias("base_median"))
-    other = summary.where(F.col(name) != baseline).select(key, F.col(name).alias("name"), F.col("median_ms"))
-    return other.join(base, key).where(F.col("base_median") > 0).select(
-        key, "name", (F.col("median_ms") / F.col("base_median")).alias("speedup")
+    from pyspark.sql import Window
+
+    # the summary has one row per (key, name): a window over it replaces a
+    # self-join that would aggregate the raw timings twice
+    w = Window.partitionBy(key)
+    s = summary.withColumn("base_median", F.max(F.when(F.col(name) == baseline, F.col("median_ms"))).over(w))
+    return s.where((F.col(name) != baseline) & (F.col("base_median") > 0)).select(
+        key, F.col(name).alias("name"), (F.col("median_ms") / F.col("base_median")).alias("speedup")
     )
 
 
