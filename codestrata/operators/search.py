@@ -53,6 +53,15 @@ def regex(pattern: str, case_sensitive: bool = True, unicode: bool = True) -> st
     return f"(?{flags}){pattern}" if flags else pattern
 
 
+_REGEX_META = set(".^$*+?{}[]\\|()")
+
+
+def literal_of(pattern: str) -> str | None:
+    """The pattern itself when it has no regex metacharacters (then a plain
+    substring test is equivalent and much cheaper than a regex), else None."""
+    return pattern if pattern and not (set(pattern) & _REGEX_META) else None
+
+
 def select_files(
     files: DataFrame,
     file_types: str | Iterable[str] | None = None,
@@ -104,12 +113,15 @@ def search_text(
     array, so it costs no shuffle.
     """
     rx = regex(pattern, case_sensitive)
+    lit = literal_of(pattern) if case_sensitive else None
     globs = [glob] if isinstance(glob, str) else list(glob or [])
-    f = select_files(files, file_types, globs).where(F.col("text").rlike(f"(?m){rx}"))
+    pre = F.col("text").contains(lit) if lit else F.col("text").rlike(f"(?m){rx}")
+    f = select_files(files, file_types, globs).where(pre)
     # chunked sources (see sources.tree) number their lines from line_offset
     off = F.col("line_offset") if "line_offset" in files.columns else F.lit(0)
     f = f.select("project", "path", off.cast("long").alias("_off"), line_array(F.col("text")).alias("arr"))
-    m = f.select("project", "path", "_off", "arr", F.posexplode("arr").alias("pos", "text")).where(F.col("text").rlike(rx))
+    hit = F.col("text").contains(lit) if lit else F.col("text").rlike(rx)
+    m = f.select("project", "path", "_off", "arr", F.posexplode("arr").alias("pos", "text")).where(hit)
     cols = ["project", "path", (F.col("pos") + 1 + F.col("_off")).cast("long").alias("line"), "text"]
     if context_lines and context_lines > 0:
         n = int(context_lines)
