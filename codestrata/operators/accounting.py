@@ -43,13 +43,52 @@ EVAL_TASKS = {
 # ---------------------------------------------------------------------------
 
 
+_EXACT_AVAILABLE: bool | None = None
+
+
+def exact_tokenizer_available() -> bool:
+    """Whether the cl100k_base encoding loads here (probed once on the driver;
+    it needs a vocabulary file that may not be present offline)."""
+    global _EXACT_AVAILABLE
+    if _EXACT_AVAILABLE is None:
+        try:
+            import tiktoken
+
+            tiktoken.get_encoding("cl100k_base")
+            _EXACT_AVAILABLE = True
+        except Exception:  # noqa: BLE001 - missing package, vocabulary or network
+            _EXACT_AVAILABLE = False
+    return _EXACT_AVAILABLE
+
+
+def _exact_tokens_udf():
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def exact(texts: pd.Series) -> pd.Series:
+        import tiktoken
+
+        enc = tiktoken.get_encoding("cl100k_base")
+        return pd.Series([0 if not t else len(enc.encode(t, disallowed_special=())) for t in texts], dtype="int64")
+
+    return exact
+
+
 def tokens(text: Column, method: str = "approximate") -> Column:
-    """K1/K2 (K3's exact tokenizer needs a vocabulary file that is not
-    available offline, so ``auto`` means ``approximate``)."""
-    if method in ("approximate", "auto"):
+    """K1-K3: ``approximate`` (4 characters per token), ``word`` (0.75 words
+    per token), ``tiktoken`` (exact cl100k_base counts in an Arrow-batched
+    UDF; raises when the encoding cannot load) and ``auto`` (exact when
+    available, else approximate)."""
+    if method == "auto":
+        method = "tiktoken" if exact_tokenizer_available() else "approximate"
+    if method == "approximate":
         return approx_tokens(text)
     if method == "word":
         return word_tokens(text)
+    if method == "tiktoken":
+        if not exact_tokenizer_available():
+            raise RuntimeError("tiktoken cl100k_base encoding is not available")
+        return _exact_tokens_udf()(text)
     raise ValueError(f"unknown token method {method!r}")
 
 

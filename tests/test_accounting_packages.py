@@ -86,3 +86,15 @@ def test_version_change_invalidates_and_evicts(spark):
     assert st == {"stale_version"}
     assert {x.status for x in P.doc_freshness(idx, old, F.lit(now)).collect()} == {"hit"}
     assert P.stale_inventories(old, new).first().stale and not P.stale_inventories(old, old).first().stale
+
+
+def test_auto_tokens_fall_back(spark):
+    import pytest
+
+    df = spark.createDataFrame([("hello world test string",)], "text string")
+    if not A.exact_tokenizer_available():
+        assert df.select(A.tokens(F.col("text"), "auto").alias("t")).first().t == 5
+        with pytest.raises(RuntimeError):
+            A.tokens(F.col("text"), "tiktoken")
+    else:
+        assert df.select(A.tokens(F.col("text"), "tiktoken").alias("t")).first().t > 0
