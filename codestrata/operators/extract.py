@@ -31,7 +31,7 @@ def analysis_schema(extra: T.StructType | None = None) -> T.StructType:
     return base
 
 
-def _parse_batches(with_dump: bool, carry: list[str], arrow_schema):
+def _parse_batches(with_dump: bool, carry: list[str], arrow_schema, python_only: bool = True):
     def run(batches):
         import pyarrow as pa
 
@@ -41,7 +41,12 @@ def _parse_batches(with_dump: bool, carry: list[str], arrow_schema):
             d = batch.to_pydict()
             rows = []
             for i, text in enumerate(d["text"]):
-                rec = P.analyze(text, with_dump)
+                path = d["path"][i] or ""
+                if python_only and not path.endswith((".py", ".pyi")):
+                    rec = P.analyze(None)
+                    rec["error"] = f"Not a Python file: {path}"
+                else:
+                    rec = P.analyze(text, with_dump)
                 rec["project"] = d["project"][i]
                 rec["path"] = d["path"][i]
                 for c in carry:
@@ -52,12 +57,13 @@ def _parse_batches(with_dump: bool, carry: list[str], arrow_schema):
     return run
 
 
-def analyze_files(files: DataFrame, with_dump: bool = False, carry: list[str] | None = None) -> DataFrame:
+def analyze_files(files: DataFrame, with_dump: bool = False, carry: list[str] | None = None, python_only: bool = True) -> DataFrame:
     """``files(project, path, text, ...)`` -> ``analysis`` rows (one per file).
 
     ``carry`` names extra input columns passed through unchanged (e.g. the
     line count computed JVM-side). The text itself is not carried: join back
-    on ``(project, path)`` when a report needs it.
+    on ``(project, path)`` when a report needs it. With ``python_only`` (B2),
+    files not ending in ``.py``/``.pyi`` get an error row instead of a parse.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -67,7 +73,7 @@ def analyze_files(files: DataFrame, with_dump: bool = False, carry: list[str] |
     carry = list(carry or [])
     extra = T.StructType([files.schema[c] for c in carry]) if carry else None
     schema = analysis_schema(extra)
-    fn = _parse_batches(with_dump, carry, to_arrow_schema(schema))
+    fn = _parse_batches(with_dump, carry, to_arrow_schema(schema), python_only)
     return files.select("project", "path", "text", *carry).mapInArrow(fn, schema)
 
 

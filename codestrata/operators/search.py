@@ -270,6 +270,11 @@ def search_report(
     """D1-D6 in the reference's shape: ``matches`` (first ``max_results`` in
     (path, line) order) and a one-row ``summary`` with ``match_count`` and
     ``truncated`` computed over the per-file cap of ``max_results + 1``."""
-    m = search_text(files, pattern, case_sensitive=case_sensitive, file_types=file_types, glob=glob, context_lines=context_lines)
+    from pyspark import StorageLevel
+
+    # both outputs read the matches: search once
+    m = search_text(files, pattern, case_sensitive=case_sensitive, file_types=file_types, glob=glob, context_lines=context_lines).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     s = search_summary(m, max_results).select(F.col("count").alias("match_count"), "truncated", "total", "files_with_matches")
     return {"matches": first_results(m, max_results), "summary": s}

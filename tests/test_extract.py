@@ -98,3 +98,9 @@ def test_project_rollup(spark, files):
     a = X.analyze_files(f.withColumn("n_lines", G.line_count(F.col("text"))), carry=["n_lines"])
     r = G.project_rollup(f, a).first()
     assert (r.total_files, r.total_functions, r.stdlib_deps) == (2, 2, 1)
+
+
+def test_non_python_files_are_error_rows(files):
+    a = X.analyze_files(files([("notes.txt", "def f(): pass\n"), ("ok.py", "x = 1\n")]))
+    s = {r.path: r.error for r in X.file_summary(a).collect()}
+    assert s["notes.txt"].startswith("Not a Python file") and s["ok.py"] is None
