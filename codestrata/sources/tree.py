@@ -10,6 +10,7 @@ Files must live on storage every executor can read (a shared mount).
 Options: ``path`` (root), ``project`` (default: root folder name),
 ``suffixes`` (default ``.py,.pyi``), ``exclude`` (comma-separated globs; when
 given, hidden entries are skipped too), ``max_depth`` (root = 0),
+``target_partitions`` (default 64: read tasks, by hashing file paths),
 ``chunk_bytes`` (0 = whole files, the default, which parsing needs). With
 ``chunk_bytes`` set, a larger file is cut at line boundaries into several
 rows with ``chunk`` and ``line_offset`` (lines before the chunk), so one huge
@@ -29,9 +30,17 @@ SCHEMA = "project string, path string, text string, size long, chunk int, line_o
 
 
 class _Part(InputPartition):
-    def __init__(self, rel: str, is_dir: bool):
+    def __init__(self, rel: str, is_dir: bool, bucket: int = 0, buckets: int = 1):
         self.rel = rel
         self.is_dir = is_dir
+        self.bucket = bucket
+        self.buckets = buckets
+
+
+def _bucket(rel: str, buckets: int) -> int:
+    import zlib
+
+    return zlib.crc32(rel.encode("utf-8", "surrogatepass")) % buckets
 
 
 def _excluded(rel: str, name: str, patterns: list[str]) -> bool:
@@ -50,17 +59,23 @@ class _Reader(DataSourceReader):
         self.exclude = [p.strip() for p in options.get("exclude", "").split(",") if p.strip()]
         self.max_depth = int(options["max_depth"]) if options.get("max_depth") not in (None, "") else None
         self.chunk_bytes = int(options.get("chunk_bytes") or 0)
+        self.target_partitions = int(options.get("target_partitions") or 64)
 
     def partitions(self):
-        parts = [_Part("", False)]  # files directly under the root
+        """One unit per top-level directory plus one for root files; each unit
+        is split into hash buckets of file paths so that a single huge
+        directory is read by many tasks (every bucket lists the subtree, but
+        reads only its own files)."""
+        units = [("", False)]  # files directly under the root
         try:
             entries = sorted(os.scandir(self.root), key=lambda e: e.name)
         except OSError:
-            return parts
+            entries = []
         for e in entries:
             if e.is_dir(follow_symlinks=False) and not e.name.startswith("__") and not _excluded(e.name, e.name, self.exclude):
-                parts.append(_Part(e.name, True))
-        return parts
+                units.append((e.name, True))
+        buckets = max(1, -(-self.target_partitions // len(units)))
+        return [_Part(rel, is_dir, b, buckets) for rel, is_dir in units for b in range(buckets)]
 
     def _walk(self, rel_dir: str, depth: int):
         here = os.path.join(self.root, rel_dir) if rel_dir else self.root
@@ -90,6 +105,8 @@ class _Reader(DataSourceReader):
         else:
             rels = (r for r in self._walk_top())
         for rel in rels:
+            if partition.buckets > 1 and _bucket(rel, partition.buckets) != partition.bucket:
+                continue
             full = os.path.join(self.root, rel)
             try:
                 with open(full, "rb") as fh:

@@ -114,3 +114,16 @@ def test_streaming_lint(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.rule_id for r in spark.sql("SELECT rule_id FROM lint_out").collect()) == ["assert-without-message", "print-statement"]
+
+
+def test_source_tree_splits_one_big_directory(spark, tmp_path):
+    d = tmp_path / "big"
+    d.mkdir()
+    for i in range(40):
+        (d / f"m{i}.py").write_text(f"x = {i}\n")
+    df = read_tree(spark, str(tmp_path), target_partitions=8)
+    assert df.rdd.getNumPartitions() >= 8
+    got = sorted(r.path for r in df.collect())
+    assert got == sorted(f"big/m{i}.py" for i in range(40))
+    sizes = df.rdd.glom().map(len).collect()
+    assert max(sizes) < 40
