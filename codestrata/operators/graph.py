@@ -47,15 +47,31 @@ def file_imports(analysis: DataFrame) -> DataFrame:
     )
 
 
-def import_edges(analysis: DataFrame) -> DataFrame:
+def resolve_relative(path: Column, module: Column, level: Column) -> Column:
+    """Absolute name of ``from <level dots><module> import ...`` in the file
+    at ``path``: the file's package (the module itself for ``__init__``),
+    minus ``level - 1`` trailing components, plus ``module``."""
+    parts = F.split(module_name(path), r"\.")
+    is_pkg = path.rlike(r"(^|/)__init__\.pyi?$")
+    pkg = F.when(is_pkg, parts).otherwise(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
+    keep = F.size(pkg) - (level - 1)
+    base = F.when(keep > 0, F.array_join(F.slice(pkg, 1, F.greatest(keep, F.lit(1))), ".")).otherwise(F.lit(""))
+    return F.when(base == "", module).when(module == "", base).otherwise(F.concat_ws(".", base, module))
+
+
+def import_edges(analysis: DataFrame, resolve_relative_imports: bool = False) -> DataFrame:
     """Distinct ``(project, src, dst)`` module edges.
 
     An absolute import is kept when its first component or its full name is a
     local module (two left-semi joins, unioned); a relative import is always
-    kept, with its module text unresolved.
+    kept, with its module text unresolved unless ``resolve_relative_imports``
+    turns it into the absolute module name.
     """
     local = local_modules(analysis.select(*KEY_COLS))
-    imps = file_imports(analysis).select("project", module_name(F.col("path")).alias("src"), F.col("module").alias("dst"), "level")
+    imps = file_imports(analysis)
+    if resolve_relative_imports:
+        imps = imps.withColumn("module", F.when(F.col("level") > 0, resolve_relative(F.col("path"), F.col("module"), F.col("level"))).otherwise(F.col("module")))
+    imps = imps.select("project", module_name(F.col("path")).alias("src"), F.col("module").alias("dst"), "level")
     absolute = imps.where(F.col("level") == 0)
     by_top = absolute.withColumn("t", top(F.col("dst"))).join(
         local.withColumnRenamed("module", "t"), ["project", "t"], "left_semi"

@@ -104,3 +104,13 @@ def test_non_python_files_are_error_rows(files):
     a = X.analyze_files(files([("notes.txt", "def f(): pass\n"), ("ok.py", "x = 1\n")]))
     s = {r.path: r.error for r in X.file_summary(a).collect()}
     assert s["notes.txt"].startswith("Not a Python file") and s["ok.py"] is None
+
+
+def test_relative_imports_resolve(files):
+    a = X.analyze_files(
+        files([("pkg/__init__.py", "from .core import run\n"), ("pkg/core.py", "from .util import h\nfrom ..top import t\n"), ("pkg/util.py", "def h(): pass\n")])
+    )
+    raw = {(r.src, r.dst) for r in G.import_edges(a).collect()}
+    assert raw == {("pkg", "core"), ("pkg.core", "util"), ("pkg.core", "top")}
+    res = {(r.src, r.dst) for r in G.import_edges(a, resolve_relative_imports=True).collect()}
+    assert res == {("pkg", "pkg.core"), ("pkg.core", "pkg.util"), ("pkg.core", "top")}
