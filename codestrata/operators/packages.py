@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 VERSION_RE = r"\d+(?:\.\d+){0,3}"
 BUILTIN_TYPES = ("str", "int", "float", "bool", "list", "dict", "set", "tuple", "bytes", "object", "type", "complex", "frozenset", "bytearray")
 
-# Package-manager markers in priority order and install commands.
-MANAGER_PRIORITY = ("uv", "poetry", "pipenv", "pip")
+# Install command per package manager.
 INSTALL_COMMANDS = {"uv": "uv add {}", "poetry": "poetry add {}", "pipenv": "pipenv install {}", "pip": "pip install {}"}
 
 

@@ -43,9 +43,6 @@ CONFIG_GLOBS = [
     "Dockerfile", "Dockerfile.*", "docker-compose*.yml", "docker-compose*.yaml", "*.conf", "*.properties",
 ]
 
-MATCH_SCHEMA = "project string, path string, line bigint, text string"
-
-
 def regex(pattern: str, case_sensitive: bool = True, unicode: bool = True) -> str:
     """The Java regex used for a user pattern: ``(?U)`` makes ``\\w``/``\\b``
     Unicode-aware like the search tool's, ``(?i)`` folds case."""

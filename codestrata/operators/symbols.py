@@ -19,9 +19,6 @@ from .diagnostics import bindings, uses
 from .extract import KEY_COLS
 from .graph import module_name
 
-SYMBOL_COLS = ["project", "path", "module", "name", "type", "full_name", "scope", "line", "column", "description", "docstring"]
-
-
 def symbols(analysis: DataFrame) -> DataFrame:
     """one row per definition with its dotted ``full_name``; docstrings
     capped at 500 characters."""
