@@ -119,9 +119,11 @@ def _sig(fn: Column, ps: Column) -> Column:
     return F.concat(fn["name"], F.lit("("), F.array_join(parts, ", "), F.lit(") -> "), F.coalesce(fn["returns"], F.lit("None")))
 
 
-def file_summary(analysis: DataFrame) -> DataFrame:
-    """One row per file: counts, description, third-party names, error."""
+def file_summary(analysis: DataFrame, extra: tuple = ()) -> DataFrame:
+    """One row per file: counts, description, third-party names, error (B2,
+    B16, C1); ``extra`` names carried columns to keep (e.g. ``n_lines``)."""
     return analysis.select(
+        *extra,
         "project",
         "path",
         F.element_at(F.split("path", "/"), -1).alias("file_name"),

@@ -310,7 +310,7 @@ def file_rows(files: DataFrame, analysis: DataFrame) -> DataFrame:
     """Per-file report row. ``analysis`` must carry ``n_lines``."""
     from .extract import file_summary
 
-    return file_summary(analysis).join(analysis.select(*KEY_COLS, "n_lines"), KEY_COLS)
+    return file_summary(analysis, extra=("n_lines",))
 
 
 def project_rollup(files: DataFrame, analysis: DataFrame) -> DataFrame:
