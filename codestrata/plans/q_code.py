@@ -195,3 +195,16 @@ def cross_refs(spark, sf_dir):
 )
 def dep_classes_local(spark, sf_dir):
     return G.dependency_rows(code_analysis(spark, sf_dir), with_local=True)
+
+
+@query(
+    "cycles_distributed",
+    with_(GEN)
+    + """SELECT project, string_agg(module, ',' ORDER BY k) || ',m' || CAST(b * 5 AS VARCHAR) AS cycle, CAST(5 AS BIGINT) AS length
+         FROM gen WHERE b % 2 = 0 GROUP BY project, b HAVING count(*) = 5""",
+)
+def cycles_distributed(spark, sf_dir):
+    """C7 through the large-project route (checkpointed trim, SCC labelling,
+    one DFS task per component), as every project takes at scale."""
+    c = G.circular_dependencies(G.import_edges(code_analysis(spark, sf_dir)), group_edge_bound=0)
+    return c.select("project", F.array_join("cycle", ",").alias("cycle"), "length")

@@ -5,7 +5,7 @@ import __spark_entry__ as E
 EXPECTED = [
     'agent_averages', 'api_docs', 'apply_rewrite', 'attributes', 'cache_stats', 'classes',
     'codegen_context', 'compat_report', 'completions', 'config_category_counts', 'config_refs', 'cost',
-    'cross_refs', 'cycles', 'definitions_follow_imports', 'dep_classes', 'dep_classes_local', 'dependencies',
+    'cross_refs', 'cycles', 'cycles_distributed', 'definitions_follow_imports', 'dep_classes', 'dep_classes_local', 'dependencies',
     'diag_file_summary', 'diag_ingest', 'diag_project', 'diag_summary', 'doc_budget_short', 'doc_freshness',
     'doc_goal_debugging', 'doc_lookup', 'file_representations', 'file_summary', 'free_text_sessions', 'from_imports',
     'functions', 'generic_sessions', 'goto_definitions', 'hover', 'import_adjacency', 'import_audit',
