@@ -181,14 +181,22 @@ def related(docs: DataFrame, limit: int = 5, max_name_len: int = 64) -> DataFram
     itself in full."""
     from ..plans.topk import top_k_per_group
 
+    from pyspark import StorageLevel
+
     short = F.lower(F.element_at(F.split("name", r"\."), -1))
-    d = docs.where(F.col("object_type").isin("function", "class")).select("project", "module", "name", short.alias("s"))
+    # derived once: the doc index is a union over the parsed corpus and is
+    # read three times below (names, candidates, See Also entries)
+    d = (
+        docs.where(F.col("object_type").isin("function", "class"))
+        .select("project", "module", "name", short.alias("s"), "docstring")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     subs = d.select("project", "module", "name", F.explode(_substrings(F.col("s"), max_name_len)).alias("sub"))
     others = d.select("project", "module", F.col("name").alias("other"), F.col("s").alias("sub"))
     contained = subs.join(others, ["project", "module", "sub"]).where(F.col("name") != F.col("other")).select("project", "name", "other")
     pairs = contained.unionByName(contained.select("project", F.col("other").alias("name"), F.col("name").alias("other"))).distinct()
     pairs = pairs.select("project", "name", "other", F.lit(1).alias("prio"), F.lit(0).alias("pos"))
-    sa = docs.select("project", "name", F.posexplode(see_also(F.col("docstring"))).alias("pos", "other")).select(
+    sa = d.select("project", "name", F.posexplode(see_also(F.col("docstring"))).alias("pos", "other")).select(
         "project", "name", "other", F.lit(0).alias("prio"), "pos"
     )
     allr = sa.unionByName(pairs)

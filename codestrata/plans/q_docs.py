@@ -229,3 +229,70 @@ def codegen_context(spark, sf_dir):
     )
     c = ctx(req, docs, packages_view(spark, sf_dir).drop("k"))
     return c.select("request_id", "object_name", "found", F.size("warnings").cast("long").alias("n_warnings"), "is_compatible", "import_statement")
+
+
+def _helper_files(spark, sf_dir):
+    """The corpus with a documented helper appended to every module: a
+    doctest example and a ``Raises`` section, and a name containing the
+    module's function name."""
+    from .corpus_views import code_files
+
+    f = code_files(spark, sf_dir)
+    k = F.regexp_extract("path", r"^m(\d+)\.py$", 1)
+    helper = F.concat(
+        F.lit("\n\ndef f"), k, F.lit("_helper(v):\n"),
+        F.lit('    """Help f'), k, F.lit(".\n\n    >>> f"), k, F.lit("_helper(2)\n    2\n\n"),
+        F.lit("    Raises:\n        ValueError: If v is bad.\n    \"\"\"\n    return v\n"),
+    )
+    return f.withColumn("text", F.concat("text", helper))
+
+
+def _helper_docs(spark, sf_dir):
+    from ..operators import extract as X
+
+    a = X.analyze_files(_helper_files(spark, sf_dir)).persist()
+    return a, H.api_docs(a)
+
+
+@query(
+    "related_names",
+    with_(GEN)
+    + """SELECT module || '.f' || CAST(k AS VARCHAR) AS name, module || '.f' || CAST(k AS VARCHAR) || '_helper' AS related FROM ok
+         UNION ALL SELECT module || '.f' || CAST(k AS VARCHAR) || '_helper', module || '.f' || CAST(k AS VARCHAR) FROM ok""",
+)
+def related_names(spark, sf_dir):
+    _, docs = _helper_docs(spark, sf_dir)
+    return H.related(docs).select("name", F.explode("related").alias("related"))
+
+
+@query(
+    "module_exports",
+    with_(GEN)
+    + """SELECT module, 'C' || CAST(k AS VARCHAR) AS export FROM ok
+         UNION ALL SELECT module, 'f' || CAST(k AS VARCHAR) FROM ok
+         UNION ALL SELECT module, 'f' || CAST(k AS VARCHAR) || '_helper' FROM ok""",
+)
+def module_exports(spark, sf_dir):
+    a, _ = _helper_docs(spark, sf_dir)
+    return H.module_exports(a.where(F.col("error").isNull())).select("module", F.explode("exports").alias("export"))
+
+
+@query(
+    "doc_examples",
+    with_(GEN)
+    + """SELECT module || '.f' || CAST(k AS VARCHAR) || '_helper' AS name, 'f' || CAST(k AS VARCHAR) || '_helper(2)' AS code, '2' AS expected FROM ok""",
+)
+def doc_examples(spark, sf_dir):
+    _, docs = _helper_docs(spark, sf_dir)
+    d = H.with_doc_details(docs)
+    return d.select("name", F.explode("examples").alias("e")).select("name", "e.code", "e.expected")
+
+
+@query(
+    "doc_raises",
+    with_(GEN) + "SELECT module || '.f' || CAST(k AS VARCHAR) || '_helper' AS name, 'ValueError' AS exception, 'If v is bad.' AS description FROM ok",
+)
+def doc_raises(spark, sf_dir):
+    _, docs = _helper_docs(spark, sf_dir)
+    d = H.with_doc_details(docs)
+    return d.select("name", F.explode("raises").alias("r")).select("name", "r.exception", "r.description")
