@@ -164,26 +164,35 @@ RENAME_TYPE = T.StructType(
 
 
 def rename(files: DataFrame, refs: DataFrame, full_name: str, new_name: str) -> DataFrame:
-    """rewrite every reference of ``full_name`` to ``new_name``; one
-    grouped-map task per changed file splices the identifiers."""
+    """rewrite every reference of ``full_name`` to ``new_name``; an empty
+    new name is an error."""
     if not new_name:
         raise ValueError("new name must not be empty")
-    old = full_name.rsplit(".", 1)[-1]
-    pos = refs.where((F.col("full_name") == full_name)).select("project", "path", "line").distinct()
-    txt = files.join(pos.select("project", "path").distinct(), ["project", "path"], "left_semi")
-    joined = txt.join(pos.groupBy("project", "path").agg(F.collect_list("line").alias("lines")), ["project", "path"])
+    spark = files.sparkSession
+    return rename_batch(files, refs, spark.createDataFrame([(full_name, new_name)], "full_name string, new_name string"))
+
+
+def rename_batch(files: DataFrame, refs: DataFrame, renames: DataFrame) -> DataFrame:
+    """F9 at corpus scale: ``renames(full_name, new_name)`` joined to the
+    reference table; one grouped-map task per changed file splices the
+    identifiers on the referenced lines (word-bounded). Returns ``(project,
+    path, n_changes, old_text, new_text)``; feed it to ``line_diff``."""
+    r = renames.where(F.coalesce(F.length("new_name"), F.lit(0)) > 0).withColumn("old_name", F.element_at(F.split("full_name", r"\."), -1))
+    pos = refs.join(r, "full_name").select("project", "path", "line", "old_name", "new_name").distinct()
+    per_file = pos.groupBy("project", "path").agg(F.collect_list(F.struct("line", "old_name", "new_name")).alias("edits"))
+    joined = files.select("project", "path", "text").join(per_file, ["project", "path"])
 
     def splice(pdf: pd.DataFrame) -> pd.DataFrame:
         import re
 
         out = []
-        pat = re.compile(r"\b" + re.escape(old) + r"\b")
-        for proj, path, text, lines in zip(pdf["project"], pdf["path"], pdf["text"], pdf["lines"]):
+        for proj, path, text, edits in zip(pdf["project"], pdf["path"], pdf["text"], pdf["edits"]):
             ls = text.split("\n")
             n = 0
-            for ln in set(int(x) for x in lines):
+            for e in edits:
+                ln = int(e["line"])
                 if 1 <= ln <= len(ls):
-                    ls[ln - 1], k = pat.subn(new_name, ls[ln - 1])
+                    ls[ln - 1], k = re.subn(r"\b" + re.escape(e["old_name"]) + r"\b", e["new_name"], ls[ln - 1])
                     n += k
             out.append((proj, path, n, text, "\n".join(ls)))
         return pd.DataFrame(out, columns=["project", "path", "n_changes", "old_text", "new_text"])

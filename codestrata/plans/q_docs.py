@@ -296,3 +296,23 @@ def doc_raises(spark, sf_dir):
     _, docs = _helper_docs(spark, sf_dir)
     d = H.with_doc_details(docs)
     return d.select("name", F.explode("raises").alias("r")).select("name", "r.exception", "r.description")
+
+
+@query(
+    "rename_symbols",
+    with_(GEN)
+    + """SELECT o.path, CAST(1 + CASE WHEN o.d IS NOT NULL AND t.k IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS n_changes
+         FROM ok o LEFT JOIN ok t ON t.k = o.d""",
+)
+def rename_symbols(spark, sf_dir):
+    """F9 over the corpus: every module's ``f<k>`` becomes ``run<k>``, at its
+    definition and at every import of it."""
+    from .corpus_views import code_files
+
+    a = code_analysis(spark, sf_dir)
+    syms = S.symbols(a)
+    renames = syms.where((F.col("type") == "function") & (F.col("scope") == "<module>")).select(
+        "full_name", F.regexp_replace("name", "^f", "run").alias("new_name")
+    )
+    r = S.rename_batch(code_files(spark, sf_dir), S.references(a, syms), renames)
+    return r.select("path", F.col("n_changes").cast("long").alias("n_changes"))
