@@ -208,3 +208,21 @@ def cycles_distributed(spark, sf_dir):
     one DFS task per component), as every project takes at scale."""
     c = G.circular_dependencies(G.import_edges(code_analysis(spark, sf_dir)), group_edge_bound=0)
     return c.select("project", F.array_join("cycle", ",").alias("cycle"), "length")
+
+
+@query(
+    "analyze_project_summary",
+    with_(GEN)
+    + """, tops AS (SELECT project, imp AS name FROM ok UNION SELECT project, 'm' || CAST(d AS VARCHAR) FROM ok WHERE d IS NOT NULL)
+         SELECT g.project, CAST(count(*) AS BIGINT) AS total_files,
+                CAST(count(*) FILTER (WHERE NOT broken) AS BIGINT) AS total_functions,
+                CAST(sum(16 + CASE WHEN d IS NULL THEN 0 ELSE 1 END + CASE WHEN broken THEN 1 ELSE 0 END) AS BIGINT) AS total_lines,
+                CAST((SELECT count(*) FROM tops t WHERE t.project = g.project AND t.name NOT IN ('os', 'json')) AS BIGINT) AS third_party_deps
+         FROM gen g GROUP BY g.project""",
+)
+def analyze_project_summary(spark, sf_dir):
+    """The whole-project entry point (exclusions, depth, report dict)."""
+    from .project import analyze_project
+
+    res = analyze_project(code_files(spark, sf_dir), exclude_patterns=["venv", "__pycache__"], max_depth=5, include_cycles=False)
+    return res["summary"].select("project", "total_files", "total_functions", "total_lines", "third_party_deps")

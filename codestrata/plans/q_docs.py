@@ -232,15 +232,15 @@ def codegen_context(spark, sf_dir):
 
 
 def _helper_files(spark, sf_dir):
-    """The corpus with a documented helper appended to every module: a
-    doctest example and a ``Raises`` section, and a name containing the
-    module's function name."""
+    """The corpus with a documented, decorated helper appended to every
+    module: a doctest example, a ``Raises`` section, and a name containing
+    the module's function name."""
     from .corpus_views import code_files
 
     f = code_files(spark, sf_dir)
     k = F.regexp_extract("path", r"^m(\d+)\.py$", 1)
     helper = F.concat(
-        F.lit("\n\ndef f"), k, F.lit("_helper(v):\n"),
+        F.lit("\n\n@functools.lru_cache(maxsize=None)\ndef f"), k, F.lit("_helper(v):\n"),
         F.lit('    """Help f'), k, F.lit(".\n\n    >>> f"), k, F.lit("_helper(2)\n    2\n\n"),
         F.lit("    Raises:\n        ValueError: If v is bad.\n    \"\"\"\n    return v\n"),
     )
@@ -316,3 +316,18 @@ def rename_symbols(spark, sf_dir):
     )
     r = S.rename_batch(code_files(spark, sf_dir), S.references(a, syms), renames)
     return r.select("path", F.col("n_changes").cast("long").alias("n_changes"))
+
+
+@query(
+    "decorators",
+    with_(GEN)
+    + """SELECT path, 'f' || CAST(k AS VARCHAR) || '_helper' AS function, 'functools.lru_cache' AS decorator, 'functools.lru_cache' AS decorators_used FROM ok""",
+)
+def decorators(spark, sf_dir):
+    """Decorator names per function, and the file's first-seen list."""
+    from ..operators import extract as X
+
+    a, _ = _helper_docs(spark, sf_dir)
+    fn = X.functions(a).select("project", "path", F.col("name").alias("function"), F.explode("decorators").alias("decorator"))
+    used = a.select("project", "path", F.array_join("decorators_used", ",").alias("decorators_used"))
+    return fn.join(used, ["project", "path"]).select("path", "function", "decorator", "decorators_used")
