@@ -66,10 +66,13 @@ def references(analysis: DataFrame, syms: DataFrame | None = None) -> DataFrame:
     """``(project, full_name, path, line, column, kind)`` for every
     definition: the definition itself, same-file uses that resolve to it,
     imports of it in other files and the uses of those imports."""
+    from pyspark import StorageLevel
+
     syms = syms if syms is not None else symbols(analysis)
     b = bindings(analysis)
     u = uses(analysis).where(F.col("resolved").isNotNull())
-    d = syms.select("project", "path", "module", "name", "scope", "full_name", "line")
+    # the symbol table is a four-branch union read three times below: derive once
+    d = syms.select("project", "path", "module", "name", "scope", "full_name", "line").persist(StorageLevel.MEMORY_AND_DISK)
     # same-file uses resolving to the definition's scope
     local = u.join(d.select("project", "path", F.col("scope").alias("resolved"), "name", "full_name"), ["project", "path", "resolved", "name"]).select(
         "project", "full_name", "path", "line", "column", F.lit("use").alias("kind")
@@ -174,30 +177,40 @@ def rename(files: DataFrame, refs: DataFrame, full_name: str, new_name: str) ->
 
 def rename_batch(files: DataFrame, refs: DataFrame, renames: DataFrame) -> DataFrame:
     """F9 at corpus scale: ``renames(full_name, new_name)`` joined to the
-    reference table; one grouped-map task per changed file splices the
-    identifiers on the referenced lines (word-bounded). Returns ``(project,
-    path, n_changes, old_text, new_text)``; feed it to ``line_diff``."""
+    reference table; the edits of a file are collected in the JVM (bounded
+    by the file), joined to its text, and an Arrow-batched ``mapInArrow``
+    splices the identifiers on the referenced lines (word-bounded) -- no
+    per-file Python group. Returns ``(project, path, n_changes, old_text,
+    new_text)``; feed it to ``line_diff``."""
     r = renames.where(F.coalesce(F.length("new_name"), F.lit(0)) > 0).withColumn("old_name", F.element_at(F.split("full_name", r"\."), -1))
     pos = refs.join(r, "full_name").select("project", "path", "line", "old_name", "new_name").distinct()
     per_file = pos.groupBy("project", "path").agg(F.collect_list(F.struct("line", "old_name", "new_name")).alias("edits"))
     joined = files.select("project", "path", "text").join(per_file, ["project", "path"])
 
-    def splice(pdf: pd.DataFrame) -> pd.DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(RENAME_TYPE)
+
+    def splice(batches):
         import re
 
-        out = []
-        for proj, path, text, edits in zip(pdf["project"], pdf["path"], pdf["text"], pdf["edits"]):
-            ls = text.split("\n")
-            n = 0
-            for e in edits:
-                ln = int(e["line"])
-                if 1 <= ln <= len(ls):
-                    ls[ln - 1], k = re.subn(r"\b" + re.escape(e["old_name"]) + r"\b", e["new_name"], ls[ln - 1])
-                    n += k
-            out.append((proj, path, n, text, "\n".join(ls)))
-        return pd.DataFrame(out, columns=["project", "path", "n_changes", "old_text", "new_text"])
-
-    return joined.groupBy("project", "path").applyInPandas(splice, RENAME_TYPE)
+        import pyarrow as pa
+
+        for b in batches:
+            d = b.to_pydict()
+            out = []
+            for proj, path, text, edits in zip(d["project"], d["path"], d["text"], d["edits"]):
+                ls = (text or "").split("\n")
+                n = 0
+                for e in edits or []:
+                    ln = int(e["line"])
+                    if 1 <= ln <= len(ls):
+                        ls[ln - 1], k = re.subn(r"\b" + re.escape(e["old_name"]) + r"\b", e["new_name"], ls[ln - 1])
+                        n += k
+                out.append({"project": proj, "path": path, "n_changes": n, "old_text": text, "new_text": "\n".join(ls)})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return joined.select("project", "path", "text", "edits").mapInArrow(splice, RENAME_TYPE)
 
 
 def hover(analysis: DataFrame, docs: DataFrame) -> DataFrame:
