@@ -244,7 +244,7 @@ def _scc_labels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return done
 
 
-def circular_dependencies(edges: DataFrame, group_edge_bound: int = 100_000, trim_rounds: int = 50) -> DataFrame:
+def circular_dependencies(edges: DataFrame, group_edge_bound: int = 100_000, trim_rounds: int = 50, component_buckets: int = 4096) -> DataFrame:
     """``(project, cycle array<string>, length)``.
 
     Trim, then group the cyclic core: projects whose residual core has at
@@ -271,7 +271,11 @@ def circular_dependencies(edges: DataFrame, group_edge_bound: int = 100_000, tri
         lab = big.join(labels.select("project", F.col("node").alias("src"), F.col("scc").alias("s1")), ["project", "src"]).join(
             labels.select("project", F.col("node").alias("dst"), F.col("scc").alias("s2")), ["project", "dst"]
         ).where(F.col("s1") == F.col("s2"))
-        out = out.unionByName(lab.groupBy("project", "s1").applyInPandas(lambda p: _dfs_cycles(p[["project", "src", "dst"]]), CYCLE_SCHEMA))
+        # components are hashed into buckets per project: DFS over a disjoint
+        # union of components finds exactly the per-component cycles, and
+        # millions of tiny components do not become millions of Python groups
+        bucket = F.pmod(F.xxhash64("s1"), F.lit(component_buckets)).alias("_b")
+        out = out.unionByName(lab.groupBy("project", bucket).applyInPandas(lambda p: _dfs_cycles(p[["project", "src", "dst"]]), CYCLE_SCHEMA))
     return out
 
 
