@@ -267,7 +267,12 @@ def doc_freshness(doc_index: DataFrame, packages: DataFrame, now: Column, ttl_ho
     j = doc_index.join(cur, [key, "package"], "left")
     stale_version = F.col("package").isNotNull() & F.col("current_version").isNotNull() & ~F.col("package_version").eqNullSafe(F.col("current_version"))
     expired = F.col("cached_at").isNotNull() & (F.col("cached_at") < now - F.expr(f"INTERVAL {int(ttl_hours)} HOURS"))
-    return j.withColumn("status", F.when(stale_version, "stale_version").when(expired, "expired").otherwise("hit"))
+    status = F.when(stale_version, "stale_version").when(expired, "expired").otherwise("hit")
+    # the hit counter rises before the TTL test: expired entries still count
+    # the lookup, stale versions do not
+    return j.withColumn("status", status).withColumn(
+        "hit_count_after", F.col("hit_count") + F.when(F.col("status") == "stale_version", 0).otherwise(1)
+    )
 
 
 def lfu_victims(doc_index: DataFrame, key: str = "env", max_entries: int = 500, count: int = 50) -> DataFrame:

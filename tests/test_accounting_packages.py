@@ -98,3 +98,14 @@ def test_auto_tokens_fall_back(spark):
             A.tokens(F.col("text"), "tiktoken")
     else:
         assert df.select(A.tokens(F.col("text"), "tiktoken").alias("t")).first().t > 0
+
+
+def test_hit_count_rises_before_ttl(spark):
+    now = dt.datetime(2024, 2, 1)
+    idx = spark.createDataFrame(
+        [("e", "old", "pkg", "1.0", now - dt.timedelta(hours=500), 2), ("e", "new", "pkg", "1.0", now, 2), ("e", "stale", "pkg", "0.9", now, 2)],
+        "env string, name string, package string, package_version string, cached_at timestamp, hit_count long",
+    )
+    pk = spark.createDataFrame([("e", "pkg", "1.0")], "env string, name string, version string")
+    r = {x.name: (x.status, x.hit_count_after) for x in P.doc_freshness(idx, pk, F.lit(now)).collect()}
+    assert r == {"old": ("expired", 3), "new": ("hit", 3), "stale": ("stale_version", 2)}
