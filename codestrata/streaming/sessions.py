@@ -67,3 +67,58 @@ def lint_stream(files: DataFrame, rules=None) -> DataFrame:
     from ..operators import structural as E
 
     return E.check_rules(files, rules)
+
+
+_STATE_SCHEMA = "input_tokens long, output_tokens long, turn_count long, tool_calls long, first_ts string, last_ts string"
+_OUT_SCHEMA = (
+    "session_id string, input_tokens long, output_tokens long, total_tokens long, turn_count long, tool_calls long, "
+    "first_ts string, last_ts string, wall_clock_seconds double"
+)
+
+
+def _session_state_update(key, pdfs, state):
+    """Per session: fold each micro-batch (in line order) into running totals;
+    the first timestamp seen stays first, the latest line's becomes last --
+    the batch reader's file-order rule, kept across batches."""
+    import pandas as pd
+
+    (sid,) = key
+    if state.exists:
+        inp, out, turns, tools, first, last = state.get
+    else:
+        inp, out, turns, tools, first, last = 0, 0, 0, 0, None, None
+    for pdf in pdfs:
+        pdf = pdf.sort_values("line_no")
+        is_turn = pdf["type"].isin(["assistant", "turn.completed"])
+        inp += int(pdf["usage_in"].sum() + pdf.loc[is_turn, "top_in"].sum())
+        out += int(pdf["usage_out"].sum() + pdf.loc[is_turn, "top_out"].sum())
+        turns += int(is_turn.sum())
+        tools += int(((pdf["type"] == "tool_use") | (pdf["role"] == "tool")).sum() + pdf["tool_blocks"].sum())
+        ts = pdf["ts"].dropna()
+        if len(ts):
+            first = first if first is not None else ts.iloc[0]
+            last = ts.iloc[-1]
+    state.update((inp, out, turns, tools, first, last))
+    wall = 0.0
+    if first and last:
+        t1 = pd.to_datetime(first, utc=True, errors="coerce")
+        t2 = pd.to_datetime(last, utc=True, errors="coerce")
+        if not (pd.isna(t1) or pd.isna(t2)):
+            wall = (t2 - t1).total_seconds()
+    yield pd.DataFrame(
+        [{"session_id": sid, "input_tokens": inp, "output_tokens": out, "total_tokens": inp + out, "turn_count": turns,
+          "tool_calls": tools, "first_ts": first, "last_ts": last, "wall_clock_seconds": wall}]
+    )
+
+
+def session_metrics_stateful(events: DataFrame) -> DataFrame:
+    """S1, exact file-order semantics in a stream: ``applyInPandasWithState``
+    keeps one small state row per session (running totals, first/last
+    timestamp), output mode ``update``. ``events`` has the columns of
+    ``accounting.parse_session_events`` (``session_id, line_no, type, role,
+    ts, usage_in, usage_out, top_in, top_out, tool_blocks``)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return events.groupBy("session_id").applyInPandasWithState(
+        _session_state_update, _OUT_SCHEMA, _STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+    )

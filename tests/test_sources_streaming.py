@@ -127,3 +127,25 @@ def test_source_tree_splits_one_big_directory(spark, tmp_path):
     assert got == sorted(f"big/m{i}.py" for i in range(40))
     sizes = df.rdd.glom().map(len).collect()
     assert max(sizes) < 40
+
+
+def test_stateful_session_metrics_across_batches(spark, tmp_path):
+    from codestrata.operators import accounting as A
+
+    schema = "session_id string, line_no long, value string"
+    d = tmp_path / "logs"
+    b1 = [("s1", 0, '{"type":"assistant","timestamp":"2024-01-01T00:00:00Z","usage":{"input_tokens":1,"output_tokens":2}}')]
+    b2 = [("s1", 1, '{"type":"turn.completed","ts":"2024-01-01T00:00:30Z","input_tokens":5,"output_tokens":6,"content":[{"type":"tool_use"}]}')]
+    spark.createDataFrame(b1, schema).write.parquet(str(d / "b1"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(d / "*"))
+    q = (
+        ST.session_metrics_stateful(A.parse_session_events(stream))
+        .writeStream.outputMode("update").format("memory").queryName("s1_state").option("checkpointLocation", str(tmp_path / "ck")).start()
+    )
+    q.processAllAvailable()
+    spark.createDataFrame(b2, schema).write.parquet(str(d / "b2"))
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.sql("SELECT * FROM s1_state ORDER BY turn_count DESC").collect()
+    last = rows[0]
+    assert (last.input_tokens, last.output_tokens, last.turn_count, last.tool_calls, last.wall_clock_seconds) == (6, 8, 2, 1, 30.0)
