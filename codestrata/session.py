@@ -58,7 +58,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster's value is used as is. Only when it is unset (tests, local
     runs) a fresh scratch folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current

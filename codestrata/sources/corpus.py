@@ -33,6 +33,15 @@ def import_target(k: Column, mx: Column) -> Column:
     return F.coalesce(ring, chain).cast("long")
 
 
+def _parallelism(spark: SparkSession) -> int:
+    """Cores of the cluster (classic sessions); the shuffle width otherwise
+    (Spark Connect sessions have no SparkContext)."""
+    try:
+        return max(1, int(spark.sparkContext.defaultParallelism))
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+
+
 def python_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(project, path, text, k)`` -- one generated module per part row."""
     part = table(spark, sf_dir, "part")
@@ -40,7 +49,7 @@ def python_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Parsing costs far more per row than scanning; spread the keys (a cheap
     # bigint shuffle) over every core before the texts are generated. An
     # explicit partition count is not coalesced away by AQE.
-    part = part.select("p_partkey").repartition(max(2, spark.sparkContext.defaultParallelism * 2), "p_partkey")
+    part = part.select("p_partkey").repartition(_parallelism(spark) * 2, "p_partkey")
     k = F.col("p_partkey")
     d = import_target(k, mx)
     imp = F.element_at(F.array(*[F.lit(m) for m in ("os", "json", "pandas", "numpy")]), (k % 4 + 1).cast("int"))
