@@ -20,7 +20,10 @@ from ..functions import pyast
 KEY_COLS = ["project", "path"]
 
 
-def analysis_schema(extra: T.StructType | None = None) -> T.StructType:
+FINDINGS_DDL = "array<struct<rule_id:string,line:long,column:long,end_line:long,text:string,message:string,severity:string>>"
+
+
+def analysis_schema(extra: T.StructType | None = None, with_findings: bool = False) -> T.StructType:
     base = T.StructType([T.StructField("project", T.StringType()), T.StructField("path", T.StringType())])
     if extra:
         for f in extra.fields:
@@ -28,13 +31,16 @@ def analysis_schema(extra: T.StructType | None = None) -> T.StructType:
     parsed = T._parse_datatype_string(pyast.ANALYSIS_DDL)
     for f in parsed.fields:
         base.add(f)
+    if with_findings:
+        base.add("findings", T._parse_datatype_string(FINDINGS_DDL))
     return base
 
 
-def _parse_batches(with_dump: bool, carry: list[str], arrow_schema, python_only: bool = True):
+def _parse_batches(with_dump: bool, carry: list[str], arrow_schema, python_only: bool = True, rules=None):
     def run(batches):
         import pyarrow as pa
 
+        from codestrata.functions import pattern as PT
         from codestrata.functions import pyast as P
 
         for batch in batches:
@@ -46,7 +52,18 @@ def _parse_batches(with_dump: bool, carry: list[str], arrow_schema, python_only:
                     rec = P.analyze(None)
                     rec["error"] = f"Not a Python file: {path}"
                 else:
-                    rec = P.analyze(text, with_dump)
+                    rec = P.analyze(text, with_dump, keep_tree=rules is not None)
+                tree = rec.pop("_tree", None)
+                if rules is not None:
+                    found = []
+                    if tree is not None:
+                        try:
+                            for rid, pat, msg, sev in rules:
+                                for m in PT.find_matches(pat, tree, text or ""):
+                                    found.append({"rule_id": rid, "line": m["start_line"], "column": m["start_col"], "end_line": m["end_line"], "text": m["text"][:200], "message": msg, "severity": sev})
+                        except RecursionError:
+                            pass
+                    rec["findings"] = found
                 rec["project"] = d["project"][i]
                 rec["path"] = d["path"][i]
                 for c in carry:
@@ -57,13 +74,17 @@ def _parse_batches(with_dump: bool, carry: list[str], arrow_schema, python_only:
     return run
 
 
-def analyze_files(files: DataFrame, with_dump: bool = False, carry: list[str] | None = None, python_only: bool = True) -> DataFrame:
+def analyze_files(
+    files: DataFrame, with_dump: bool = False, carry: list[str] | None = None, python_only: bool = True, rules=None
+) -> DataFrame:
     """``files(project, path, text, ...)`` -> ``analysis`` rows (one per file).
 
     ``carry`` names extra input columns passed through unchanged (e.g. the
     line count computed JVM-side). The text itself is not carried: join back
     on ``(project, path)`` when a report needs it. With ``python_only`` (B2),
     files not ending in ``.py``/``.pyi`` get an error row instead of a parse.
+    ``rules`` (a rule list, YAML text, or ``"default"``) adds a ``findings``
+    column evaluated in the same task, so analysis plus lint is one pass.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -72,8 +93,15 @@ def analyze_files(files: DataFrame, with_dump: bool = False, carry: list[str] |
     prepare(files.sparkSession)
     carry = list(carry or [])
     extra = T.StructType([files.schema[c] for c in carry]) if carry else None
-    schema = analysis_schema(extra)
-    fn = _parse_batches(with_dump, carry, to_arrow_schema(schema), python_only)
+    compiled = None
+    if rules is not None:
+        from ..functions import pattern as PT
+        from .structural import _rule_rows
+
+        rows = _rule_rows(None if rules == "default" else rules)
+        compiled = [(rid, PT.compile_pattern(p), msg, sev) for rid, p, msg, sev in rows if p and p.strip()]
+    schema = analysis_schema(extra, with_findings=compiled is not None)
+    fn = _parse_batches(with_dump, carry, to_arrow_schema(schema), python_only, compiled)
     return files.select("project", "path", "text", *carry).mapInArrow(fn, schema)
 
 
@@ -239,6 +267,14 @@ def variables(analysis: DataFrame, first: int | None = 10) -> DataFrame:
     )
 
 
+def findings(analysis: DataFrame) -> DataFrame:
+    """E4 rows from an analysis made with ``rules=``: same columns as
+    ``structural.check_rules``."""
+    return analysis.select(*KEY_COLS, F.explode("findings").alias("f")).select(
+        *KEY_COLS, "f.rule_id", "f.line", "f.column", "f.end_line", "f.text", "f.message", "f.severity"
+    )
+
+
 def syntax_errors(analysis: DataFrame) -> DataFrame:
     """G1: one error row per unparseable file."""
     return analysis.where(F.col("error").isNotNull()).select(

@@ -22,12 +22,14 @@ def analyze_project(
     include_graph: bool = True,
     include_cycles: bool = True,
     include_cross_refs: bool = False,
+    rules=None,
 ) -> dict[str, DataFrame]:
     """``{files, summary, dependencies[, edges][, adjacency][, cycles][, cross_references]}``.
 
     ``files(project, path, text)``; exclusion globs match any path component
     (hidden components are then skipped too); ``max_depth`` counts
-    directories below the project root."""
+    directories below the project root. ``rules`` (e.g. ``"default"``)
+    adds lint ``findings`` computed in the same parse."""
     f = files
     if exclude_patterns:
         from ..functions.text import glob_to_regex
@@ -37,7 +39,7 @@ def analyze_project(
     if max_depth is not None:
         f = f.where(F.size(F.split("path", "/")) - 1 <= max_depth)
     f = f.where(F.col("path").endswith(".py") | F.col("path").endswith(".pyi"))
-    a = X.analyze_files(f.withColumn("n_lines", G.line_count(F.col("text"))), carry=["n_lines"]).persist(StorageLevel.MEMORY_AND_DISK)
+    a = X.analyze_files(f.withColumn("n_lines", G.line_count(F.col("text"))), carry=["n_lines"], rules=rules).persist(StorageLevel.MEMORY_AND_DISK)
     out = {
         "files": G.file_rows(f, a),
         "summary": G.project_rollup(f, a),
@@ -53,6 +55,8 @@ def analyze_project(
             out["cycles"] = G.circular_dependencies(edges)
     if include_cross_refs:
         out["cross_references"] = G.cross_references(a)
+    if rules is not None:
+        out["findings"] = X.findings(a)
     return out
 
 

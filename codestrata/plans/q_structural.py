@@ -303,3 +303,11 @@ def type_check_fallback(spark, sf_dir):
     mp = D.parse_mypy(_mypy_lines(spark, sf_dir)).withColumn("project", F.lit("logs")).select(*cols)
     pr = D.parse_pyright(_pyright_docs(spark, sf_dir)).withColumn("project", F.lit("logs")).select(*cols)
     return D.type_checker_fallback(mp, pr).groupBy("path", "source").agg(F.count("*").cast("long").alias("n"))
+
+
+@query("lint_same_pass", with_(GEN, _FINDINGS) + 'SELECT path, rule_id, line, "column", text, severity FROM findings')
+def lint_same_pass(spark, sf_dir):
+    """E4 evaluated inside the extraction pass (one parse for analysis and
+    lint)."""
+    a = X.analyze_files(code_files(spark, sf_dir), rules="default")
+    return X.findings(a).select("path", "rule_id", "line", "column", "text", "severity")

@@ -3,6 +3,7 @@
 import __spark_entry__ as E
 
 EXPECTED = [
+    'lint_same_pass',
     'decorators', 'analyze_project_summary',
     'rename_symbols',
     'related_names', 'module_exports', 'doc_examples', 'doc_raises',

@@ -78,3 +78,10 @@ def test_definitions_follow_reexports_and_signature_help(files):
     assert [(r.def_path, r.def_line) for r in d] == [("a.py", 1)]
     sh = S.signature_help(a).collect()
     assert len(sh) == 1 and sh[0].callee == "f" and sh[0].active_parameter == 0 and [p.name for p in sh[0].params] == ["x", "y"]
+
+
+def test_lint_in_the_same_pass(files):
+    f = files([("pr.py", "print('hello')\nassert x\n"), ("bad.py", "def broken(\n"), ("star.py", "from os import *\n")])
+    one = sorted((r.path, r.rule_id, r.line) for r in X.findings(X.analyze_files(f, rules="default")).collect())
+    two = sorted((r.path, r.rule_id, r.line) for r in E.check_rules(f).collect())
+    assert one == two and len(one) == 3
