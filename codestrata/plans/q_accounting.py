@@ -281,3 +281,21 @@ def task_labels(spark, sf_dir):
     return p.join(F.broadcast(t), "task_id", "left").select(
         "task_id", "agent", F.coalesce(A.task_label(F.col("task_id")), F.col("task_id")).alias("task_name"), "category", "difficulty"
     )
+
+
+@query(
+    "project_text_tokens",
+    """SELECT source AS scenario, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS text_length,
+              CAST(CASE WHEN sum(length(text)) + count(*) - 1 <= 0 THEN 0 ELSE greatest(1, (sum(length(text)) + count(*) - 1) // 4) END AS BIGINT) AS tokens
+       FROM documents GROUP BY source""",
+)
+def project_text_tokens(spark, sf_dir):
+    """K7 ``without`` side: all text of a project joined by newlines (lengths
+    summed, never concatenated) and its token estimate; the ``with`` side is
+    the JSON report, compared by ``compare``."""
+    from ..sources.tables import document_files
+
+    f = document_files(spark, sf_dir)
+    empty = spark.createDataFrame([], "project string, json string")
+    r = A.project_representations(f, empty)
+    return r.where(F.col("side") == "without").select("scenario", "text_length", "tokens")
