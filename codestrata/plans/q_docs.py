@@ -331,3 +331,19 @@ def decorators(spark, sf_dir):
     fn = X.functions(a).select("project", "path", F.col("name").alias("function"), F.explode("decorators").alias("decorator"))
     used = a.select("project", "path", F.array_join("decorators_used", ",").alias("decorators_used"))
     return fn.join(used, ["project", "path"]).select("path", "function", "decorator", "decorators_used")
+
+
+@query(
+    "doc_text_tokens",
+    with_(GEN, _DOCS_CTE)
+    + """SELECT name AS scenario, CAST(length(coalesce(signature, '') || chr(10) || coalesce(short_description, '')) AS BIGINT) AS text_length,
+              CAST(greatest(1, length(coalesce(signature, '') || chr(10) || coalesce(short_description, '')) // 4) AS BIGINT) AS tokens FROM docs""",
+)
+def doc_text_tokens(spark, sf_dir):
+    """K8 ``without`` side: signature and full docstring per documented name
+    (the corpus docstrings are one line each)."""
+    from ..operators import accounting as A
+
+    docs = H.api_docs(code_analysis(spark, sf_dir))
+    est = A.doc_representations(docs, H.apply_budget(docs.withColumn("found", F.lit(True)), "short"))
+    return est.where(F.col("side") == "without").select("scenario", "text_length", "tokens")

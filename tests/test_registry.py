@@ -3,6 +3,7 @@
 import __spark_entry__ as E
 
 EXPECTED = [
+    'doc_text_tokens',
     'project_text_tokens',
     'lint_same_pass',
     'decorators', 'analyze_project_summary',
