@@ -347,3 +347,25 @@ def doc_text_tokens(spark, sf_dir):
     docs = H.api_docs(code_analysis(spark, sf_dir))
     est = A.doc_representations(docs, H.apply_budget(docs.withColumn("found", F.lit(True)), "short"))
     return est.where(F.col("side") == "without").select("scenario", "text_length", "tokens")
+
+
+@query(
+    "main_exports",
+    with_(GEN)
+    + """SELECT 'pkg-' || module AS name, 'C' || CAST(k AS VARCHAR) AS export FROM ok
+         UNION ALL SELECT 'pkg-' || module, 'f' || CAST(k AS VARCHAR) FROM ok
+         UNION ALL SELECT 'pkg-' || module, 'f' || CAST(k AS VARCHAR) || '_helper' FROM ok""",
+)
+def main_exports(spark, sf_dir):
+    """I8: main exports of a package = the static exports of its import
+    names (one package per module of the helper corpus)."""
+    from ..operators import packages as P
+
+    a, _ = _helper_docs(spark, sf_dir)
+    ok = a.where(F.col("error").isNull())
+    exports = H.module_exports(ok).select("module", "exports")
+    pk = ok.select(
+        F.lit("env0").alias("env"), F.concat(F.lit("pkg-"), F.regexp_replace("path", r"\.py$", "")).alias("name"),
+        F.array(F.regexp_replace("path", r"\.py$", "")).alias("import_names"),
+    )
+    return P.main_exports(exports, pk).select("name", F.explode("main_exports").alias("export"))
