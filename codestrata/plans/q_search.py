@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import search as S
-from ..sources.tables import document_files
+from ..sources.tables import doc_extension, document_files, table
 from .registry import query
 from .sql_common import DOC_FILES, with_
 
@@ -166,3 +166,25 @@ def search_pages(spark, sf_dir):
     from ..sources.tables import page_files
 
     return S.search_text(page_files(spark, sf_dir), "<title>[A-Z]")
+
+
+@query(
+    "decode_files",
+    with_(DOC_FILES)
+    + "SELECT path, CAST(length(body) AS BIGINT) AS n_chars FROM doc_files WHERE doc_id % 13 <> 0",
+)
+def decode_files(spark, sf_dir):
+    """A2: documents as raw bytes (every 13th with an invalid UTF-8 tail)
+    decoded back; undecodable files are skipped."""
+    from ..functions.text import body
+    from ..sources.tables import decode_files as decode
+
+    d = table(spark, sf_dir, "documents")
+    raw = F.encode(body(F.coalesce("text", F.lit(""))), "UTF-8")
+    content = F.when(F.col("doc_id") % 13 == 0, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
+    files = d.select(
+        F.col("source").alias("project"),
+        F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), doc_extension(F.col("doc_id")))).alias("path"),
+        content.alias("content"),
+    )
+    return decode(files).select("path", F.length("text").cast("long").alias("n_chars"))

@@ -3,6 +3,7 @@
 import __spark_entry__ as E
 
 EXPECTED = [
+    'decode_files',
     'main_exports',
     'doc_text_tokens',
     'project_text_tokens',
