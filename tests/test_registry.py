@@ -31,7 +31,11 @@ EXPECTED = [
 
 
 def test_registry_complete():
-    qs, os_ = E.queries(), E.oracle_sql()
+    from codestrata.plans import registry
+
+    registry._load_all()
+    qs, os_ = registry.QUERIES, registry.ORACLES
+    assert set(qs) <= set(E.queries()) and set(os_) <= set(E.oracle_sql())
     assert sorted(qs) == sorted(EXPECTED)
     assert sorted(set(qs) - set(os_)) == ["file_representations"]
     assert set(os_) <= set(qs)
