@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import decontam, packing, quality, secret_scan, simhash, token_counts, token_files, warc
+from codestrata.llm import decontam, line_dedup, packing, quality, secret_scan, simhash, token_counts, token_files, warc
 from codestrata.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    out = line_dedup.dedup_lines(docs, dropped="gone")
+    return out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_dropped"), F.array_join(F.transform("gone", lambda n: n.cast("string")), ",").alias("dropped"), "text")
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
