@@ -73,5 +73,37 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[
         yield table, bounds(table.column(key).to_numpy())
 
 
+class LocalSets:
+    """Disjoint sets of the links a task has found; of a chain only
+    ``(node, smallest node)`` links go on, so few rounds are left to do."""
+
+    LIMIT = 500_000
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def find(self, x):
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    def join(self, a, b) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    @property
+    def full(self) -> bool:
+        return len(self.up) > self.LIMIT
+
+    def take(self) -> tuple[list, list]:
+        """The links, which are then forgotten."""
+        links = [(x, r) for x in list(self.up) if (r := self.find(x)) != x]
+        self.up = {}
+        return [a for a, _ in links], [b for _, b in links]
+
+
 def bounds(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import column, materialize
-from codestrata.llm.components import bucket_tiles, connected_components, whole_groups
+from codestrata.llm.components import LocalSets, bucket_tiles, connected_components, whole_groups
 
 BOUND = 16_384
 BLOCK = 65_536
@@ -104,18 +104,23 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, bound: int = BOUND)
     keyed = distinct.select("fp", tables.alias("key")).select(F.xxhash64("key.t", "key.k").alias("g"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = LocalSets()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in sets.take()], ["a", "b"])
         for table, cuts in whole_groups(batches, "g"):
-            fp = table.column("fp").to_numpy().view(np.uint64)
+            signed = table.column("fp").to_numpy()
+            fp = signed.view(np.uint64)
             size = np.diff(cuts)
             two = cuts[:-1][size == 2]
             near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-            a, b = [fp[near]], [fp[near + 1]]
+            for a, b in zip(signed[near].tolist(), signed[near + 1].tolist(), strict=True):
+                sets.join(a, b)
             for first, n in zip(cuts[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 if links := forest(np.unique(fp[first : first + n]), radius):
-                    pairs = np.array(links, np.uint64)
-                    a.append(pairs[:, 0])
-                    b.append(pairs[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+                    for a, b in np.array(links, np.uint64).view(np.int64).tolist():
+                        sets.join(a, b)
+            if sets.full:
+                yield flush()
+        yield flush()
 
     tiles = bucket_tiles(keyed, "fp", bound)
     return tiles.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
