@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -257,7 +258,7 @@ def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             counts: list[int] = []
             for _, texts in chunks(column(batch, "text").to_pylist()):
                 counts += engine.count(texts)
-            size = pa.compute.binary_length(column(batch, "text").cast(pa.binary()))
+            size = pc.binary_length(column(batch, "text").cast(pa.binary()))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), size.cast(pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     counted = slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")

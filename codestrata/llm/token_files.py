@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def read_token_files(spark: SparkSession, path: str, id_type: str = "long") -> D
                 table = reader.read_all().combine_chunks()
                 seqs = table.column("input_ids").chunk(0)
                 length, ids = seqs.type.list_size, seqs.flatten().to_numpy()
-                if int(pa.compute.sum(table.column("attention_mask").chunk(0).flatten()).as_py() or 0) != about["ids"]:
+                if int(pc.sum(table.column("attention_mask").chunk(0).flatten()).as_py() or 0) != about["ids"]:
                     raise ValueError("a token file's mask and its number of ids differ")
                 lists = table.column("doc_starts").chunk(0)
                 row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
