@@ -87,14 +87,14 @@ def decontaminate(df: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
     shingles = distinct.select("words", "n", "s", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("s") + 1)).alias("i"))
     shingles = shingles.select("words", "n", "i", token(F.col("words"), F.col("i"), F.col("s")).alias("token"))
     files = max(1, windows.count() // WINDOWS_PER_FILE)
-    tokens = materialize(shingles.select("token").distinct().coalesce(files), "shingles")
+    tokens = materialize(shingles.select("token").distinct().repartition(files), "shingles")
     sizes = sorted(r.s for r in distinct.select("s").distinct().collect()) or [1]  # at most SHINGLE values
 
     found = materialize(occurring_shingles(docs.select("id", "k", words_of(F.col("text")).alias("w")), tokens, sizes), "places")
     rarity = found.groupBy("token").agg(F.count("*").alias("seen"))
     # a window with a shingle that no document has cannot occur
     ranked = shingles.join(rarity, "token", "left").groupBy("words", "n").agg(F.min_by(F.struct("token", "i"), F.struct(F.coalesce("seen", F.lit(0)), "i")).alias("p"), F.min(F.coalesce("seen", F.lit(0))).alias("least"))
-    prefixes = materialize(ranked.where("least > 0").select(F.col("p.token").alias("token"), F.col("p.i").alias("i"), "n", F.array_join("words", " ").alias("words")).coalesce(files), "prefixes")
+    prefixes = materialize(ranked.where("least > 0").select(F.col("p.token").alias("token"), F.col("p.i").alias("i"), "n", F.array_join("words", " ").alias("words")).repartition(files), "prefixes")
     starts = found.join(prefixes, "token").select("id", "k", (F.col("pos") - F.col("i") + 1).alias("a"), "n", "words").where("a >= 0").distinct()
     # the candidates of one document are bounded by its length
     held = starts.groupBy("id", "k").agg(F.collect_list(F.struct("a", "n", "words")).alias("c")).withColumnsRenamed({"id": "cid", "k": "ck"})
