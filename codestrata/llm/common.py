@@ -8,11 +8,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codestrata.session import checkpoint_dir
 
 #: Texts of at most this many characters are handled together in a task.
 CHUNK_CHARS = 4_000_000
+#: Bits of a sieve: a fixed size, so it can be sent to every task.
+SIEVE = 1 << 26
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -54,3 +57,20 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - (ends - lengths), lengths)
+
+
+def sieve(wanted: DataFrame, name: str) -> np.ndarray:
+    """SIEVE bits, set where the hash in column ``name`` of a wanted row falls.
+    It keeps most other rows out of a shuffle; a fuller one lets more through,
+    which costs time but changes no result. The tasks make it, the driver gets
+    at most SIEVE / 64 numbers."""
+    bit = wanted.select(F.expr(f"pmod({name}, {SIEVE}) div 64").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({name}, 64) as int))").alias("b"))
+    words = bit.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(SIEVE // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % SIEVE
+    return (bits[at // 64] >> (at % 64)) & 1 == 1

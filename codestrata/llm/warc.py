@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import column, materialize
+from codestrata.llm.common import column, materialize, passes, sieve
 from codestrata.session import checkpoint_dir
 
 MAGIC = "WARC/1.0\r\n"
@@ -60,8 +60,18 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     pages = pages.select("*", base32_sha1(F.col("payload").cast("binary")).alias("sha"), F.octet_length("payload").alias("size"))
-    again = revisits(pages, least)
-    records = pages.join(again, (pages.id == again.rid) & (pages.sha == again.rsha), "left")
+    again = materialize(revisits(pages, least), "revisits")
+    bits = sieve(again.select(F.xxhash64("rid").alias("h")), "h")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("maybe", pa.array(passes(bits, column(batch, "h").to_numpy())))
+
+    # only pages that may be revisits have to meet the table of revisits
+    marked = pages.withColumn("h", F.xxhash64("id"))
+    marked = marked.mapInArrow(mark, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema) + ", maybe boolean").drop("h")
+    met = marked.where("maybe").join(again, (F.col("id") == again.rid) & (F.col("sha") == again.rsha), "left").drop("rid", "rsha")
+    records = marked.where("not maybe").withColumn("first", F.lit(None).cast(again.schema["first"].dataType)).unionByName(met)
     visited = F.col("first").isNotNull()
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     named = lambda c: F.concat(F.lit(f"<{NAME}"), c.cast("string"), F.lit(">"))
