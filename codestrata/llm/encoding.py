@@ -14,7 +14,7 @@ from codestrata.llm.common import ragged
 from codestrata.llm.token_counts import LETTER, NUMBER, PLAIN, byte_alphabet, parts
 
 #: Distinct words that a task's pool holds at most before it begins anew.
-CACHE = 1_000_000
+CACHE = 700_000
 
 
 class ByteIds:

@@ -37,7 +37,7 @@ from codestrata.llm.encoding import word_ids
 
 MAGIC = "ARROW1"
 BATCH = 1024
-FILE_IDS = 8_000_000
+FILE_IDS = 4_000_000
 
 
 def arrow_file(ids: list[np.ndarray], docs: pa.Array, length: int, part: int, number: int, wide: bool) -> bytes:
