@@ -151,6 +151,10 @@ class _Matcher:
         return False
 
 
+# Line ends as the parser sees them.
+NEWLINE = re.compile(r"\r\n|\r|\n")
+
+
 def _segment(text: str, lines: list[str], nodes) -> str | None:
     nodes = [n for n in (nodes if isinstance(nodes, list) else [nodes]) if isinstance(n, ast.AST) and hasattr(n, "lineno")]
     if not nodes:
@@ -172,7 +176,7 @@ def _span(lines, l1, c1, l2, c2) -> str:
 def find_matches(pattern: Pattern, tree: ast.AST, text: str) -> list[dict]:
     """All matches in document order: text, kind, 1-based start/end line,
     0-based columns, metavariables (name -> source text)."""
-    lines = text.split("\n")
+    lines = NEWLINE.split(text)
     out = []
     for node in ast.walk(tree):
         if type(node) is not pattern.root_type:
@@ -218,10 +222,7 @@ def substitute(template: str, metavariables: dict) -> str:
 
 def rewrite(text: str, matches: list[dict], replacement: str) -> tuple[str, list[dict]]:
     """Replace outermost, non-overlapping matches from the bottom up."""
-    lines = text.split("\n")
-    starts = [0]
-    for ln in lines[:-1]:
-        starts.append(starts[-1] + len(ln.encode()) + 1)
+    starts = [0, *(len(text[: m.end()].encode()) for m in NEWLINE.finditer(text))]
     raw = text.encode()
     chosen, last_end = [], -1
     for m in matches:  # document order, outer first at equal start

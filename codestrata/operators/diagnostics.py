@@ -96,8 +96,10 @@ def project_diagnostics(files: DataFrame, diags: DataFrame) -> DataFrame:
 
 
 def type_checker_fallback(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Secondary checker rows only for files where the primary found none."""
-    return primary.unionByName(secondary.join(primary.select("path").distinct(), "path", "left_anti"))
+    """Secondary checker rows only for files where the primary found none;
+    files are told apart by project too where both sides have one."""
+    keys = [c for c in ("project", "path") if c in primary.columns and c in secondary.columns]
+    return primary.unionByName(secondary.join(primary.select(*keys).distinct(), keys, "left_anti"))
 
 
 # ---------------------------------------------------------------------------

@@ -62,9 +62,9 @@ def _raises(doc: str) -> list[dict]:
         if not stripped:
             continue
         indent = len(line) - len(line.lstrip(" "))
-        m = re.match(r"^([\w.]+)\s*:\s*(.*)$", stripped)
+        m = re.match(r"^([\w.]+)\s*(?::\s*(.*))?$", stripped)
         if indent == 4 and m:
-            cur = {"exception": m.group(1), "description": m.group(2).strip()}
+            cur = {"exception": m.group(1), "description": (m.group(2) or "").strip()}
             out.append(cur)
         elif indent > 4 and cur is not None:
             cur["description"] = (cur["description"] + " " + stripped).strip()
@@ -152,13 +152,9 @@ def module_exports(analysis: DataFrame, limit: int = 20) -> DataFrame:
     return analysis.select("project", mod.alias("module"), F.slice(F.array_sort(F.array_distinct(ex)), 1, limit).alias("exports"))
 
 
-def _substrings(s: Column, max_len: int) -> Column:
-    """All distinct substrings of ``s`` (at most ``max_len`` characters are
-    considered), as an array -- O(len^2) per name, bounded by name length."""
-    n = F.least(F.length(s), F.lit(max_len))
-    return F.array_distinct(
-        F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1))))
-    )
+def _runs(s: Column) -> Column:
+    """The distinct runs of one, two and three letters of a name."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.array(*[F.substring(s, i, F.lit(n)) for n in (1, 2, 3)]))))
 
 
 def see_also(docstring: Column) -> Column:
@@ -170,15 +166,14 @@ def see_also(docstring: Column) -> Column:
     return F.filter(names, lambda x: x != "")
 
 
-def related(docs: DataFrame, limit: int = 5, max_name_len: int = 64) -> DataFrame:
+def related(docs: DataFrame, limit: int = 5) -> DataFrame:
     """H8: up to ``limit`` related names per documented object: ``See Also``
-    entries first (in order), then same-module functions/classes whose short
-    names contain each other (case-insensitive), in name order.
+    entries first (in order), then public members of the same module whose
+    short names contain each other (case-insensitive), in name order.
 
-    Containment is found with an equi-join on ``(project, module,
-    substring)``: each short name is exploded into its substrings and joined
-    to the names equal to one of them, so no module is ever paired with
-    itself in full."""
+    A name that another contains begins with one of its runs of up to three
+    letters, so an equi-join on ``(project, module, run)`` finds all pairs:
+    one key for the contained name, as many as it has letters for the other."""
     from ..plans.topk import top_k_per_group
 
     from pyspark import StorageLevel
@@ -191,9 +186,10 @@ def related(docs: DataFrame, limit: int = 5, max_name_len: int = 64) -> DataFram
         .select("project", "module", "name", short.alias("s"), "docstring")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    subs = d.select("project", "module", "name", F.explode(_substrings(F.col("s"), max_name_len)).alias("sub"))
-    others = d.select("project", "module", F.col("name").alias("other"), F.col("s").alias("sub"))
-    contained = subs.join(others, ["project", "module", "sub"]).where(F.col("name") != F.col("other")).select("project", "name", "other")
+    member = (F.col("name") == F.concat_ws(".", "module", F.element_at(F.split("name", r"\."), -1))) & ~F.col("s").startswith("_") & (F.col("s") != "")
+    subs = d.where(member).select("project", "module", "name", "s", F.explode(_runs(F.col("s"))).alias("sub"))
+    others = d.where(member).select("project", "module", F.col("name").alias("other"), F.col("s").alias("part"), F.substring("s", 1, 3).alias("sub"))
+    contained = subs.join(others, ["project", "module", "sub"]).where((F.col("name") != F.col("other")) & F.col("s").contains(F.col("part"))).select("project", "name", "other")
     pairs = contained.unionByName(contained.select("project", F.col("other").alias("name"), F.col("name").alias("other"))).distinct()
     pairs = pairs.select("project", "name", "other", F.lit(1).alias("prio"), F.lit(0).alias("pos"))
     sa = d.select("project", "name", F.posexplode(see_also(F.col("docstring"))).alias("pos", "other")).select(
@@ -225,19 +221,26 @@ def builtin_docs(spark) -> DataFrame:
 
 def resolve_names(docs: DataFrame, requests: DataFrame) -> DataFrame:
     """H2: ``requests(request_id, object_name)`` -> the record of the longest
-    module prefix that exists, the rest as attribute path. Builtin names
-    resolve first (pass ``docs.unionByName(builtin_docs(spark))``). Unknown
-    names get ``found = false``."""
+    module prefix that exists, the rest as attribute path; requests with a
+    ``project`` are answered from that project (and the builtins) alone.
+    Builtin names resolve first (pass
+    ``docs.unionByName(builtin_docs(spark))``). Unknown names get ``found =
+    false``."""
     parts = F.split("object_name", r"\.")
+    own = ["project"] if "project" in requests.columns else []
     pref = requests.select(
-        "request_id", "object_name",
+        "request_id", *own, "object_name",
         F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(parts, 1, i), ".").alias("prefix")))).alias("p"),
-    ).select("request_id", "object_name", "p.n", "p.prefix")
-    mods = docs.where(F.col("object_type") == "module").select(F.col("name").alias("prefix")).distinct()
-    best = pref.join(mods, "prefix", "left_semi").groupBy("request_id").agg(F.max_by("prefix", "n").alias("module"))
+    ).select("request_id", *own, "object_name", "p.n", "p.prefix")
+    mods = docs.where(F.col("object_type") == "module").select(*own, F.col("name").alias("prefix")).distinct()
+    best = pref.join(mods, [*own, "prefix"], "left_semi").groupBy("request_id").agg(F.max_by("prefix", "n").alias("module"))
     r = requests.join(best, "request_id", "left")
     d = docs.select(F.col("name").alias("object_name"), F.struct(*docs.columns).alias("doc"))
-    return r.join(d, "object_name", "left").withColumn("found", F.col("doc").isNotNull())
+    if not own:
+        return r.join(d, "object_name", "left").withColumn("found", F.col("doc").isNotNull())
+    d = d.withColumnRenamed("object_name", "_name")
+    same = (F.col("object_name") == F.col("_name")) & (F.col("doc.project").isNull() | (F.col("doc.project") == F.col("project")))
+    return r.join(d, same, "left").drop("_name").withColumn("found", F.col("doc").isNotNull())
 
 
 # Fields kept per budget and per task goal.

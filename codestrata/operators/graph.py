@@ -110,29 +110,6 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def trim_acyclic(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: repeatedly keep only edges whose
-    source has an incoming and whose target has an outgoing residual edge.
-
-    Each round is two left-semi joins; the residual is checkpointed every
-    round so lineage stays flat. Stops at a fixpoint or after ``max_rounds``
-    (the residual is still a correct, just larger, input for the DFS).
-    """
-    cur = _checkpoint(edges.select("project", "src", "dst").distinct())
-    n = cur.count()
-    for _ in range(max_rounds):
-        has_in = cur.select("project", F.col("dst").alias("src")).distinct()
-        has_out = cur.select("project", F.col("src").alias("dst")).distinct()
-        nxt = cur.join(has_in, ["project", "src"], "left_semi").join(has_out, ["project", "dst"], "left_semi")
-        nxt = _checkpoint(nxt)
-        m = nxt.count()
-        cur = nxt
-        if m == n:
-            break
-        n = m
-    return cur
-
-
 def _dfs_cycles(pdf: pd.DataFrame) -> pd.DataFrame:
     """Back-edge cycles of one group's edges, DFS over sorted nodes and sorted
     neighbours; each cycle rotated to start at its smallest member and closed;
@@ -190,93 +167,43 @@ def _dfs_cycles(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-class NotConverged(RuntimeError):
-    """Label propagation hit its round limit (very long paths)."""
-
-
-def _scc_labels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Strongly connected components of a (trimmed) edge set by label
-    propagation: forward minimum labels, then backward marking inside one
-    colour from its root. Returns ``(project, node, scc)``; raises
-    :class:`NotConverged` rather than return split components."""
-    nodes = edges.select("project", F.col("src").alias("node")).union(edges.select("project", F.col("dst").alias("node"))).distinct()
-    remaining_edges = edges
-    remaining = _checkpoint(nodes)
-    done = None
-    while remaining.count() > 0:
-        # forward colouring: colour(v) = min id reaching v
-        colour = remaining.withColumn("colour", F.col("node"))
-        for _ in range(max_rounds):
-            prop = remaining_edges.join(colour.select("project", F.col("node").alias("src"), F.col("colour").alias("c")), ["project", "src"]).groupBy(
-                "project", F.col("dst").alias("node")
-            ).agg(F.min("c").alias("c"))
-            nxt = colour.join(prop, ["project", "node"], "left").select("project", "node", F.least("colour", F.coalesce("c", "colour")).alias("colour"))
-            nxt = _checkpoint(nxt)
-            changed = nxt.join(colour, ["project", "node", "colour"], "left_anti").count()
-            colour = nxt
-            if changed == 0:
-                break
-        else:
-            raise NotConverged("forward colouring did not converge")
-        # backward marking from roots inside each colour
-        marked = colour.where(F.col("node") == F.col("colour")).select("project", "node", "colour")
-        marked = _checkpoint(marked)
-        ce = remaining_edges.join(colour.select("project", F.col("node").alias("src"), F.col("colour").alias("cs")), ["project", "src"]).join(
-            colour.select("project", F.col("node").alias("dst"), F.col("colour").alias("cd")), ["project", "dst"]
-        ).where(F.col("cs") == F.col("cd"))
-        for _ in range(max_rounds):
-            new = ce.join(marked.select("project", F.col("node").alias("dst"), F.col("colour").alias("cd")), ["project", "dst", "cd"], "left_semi").select(
-                "project", F.col("src").alias("node"), F.col("cs").alias("colour")
-            )
-            nxt = _checkpoint(marked.unionByName(new).distinct())
-            grew = nxt.count() - marked.count()
-            marked = nxt
-            if grew == 0:
-                break
-        else:
-            raise NotConverged("backward marking did not converge")
-        found = marked.select("project", "node", F.col("colour").alias("scc"))
-        done = found if done is None else _checkpoint(done.unionByName(found))
-        remaining = _checkpoint(remaining.join(found, ["project", "node"], "left_anti"))
-        remaining_edges = remaining_edges.join(found.select("project", F.col("node").alias("src")), ["project", "src"], "left_anti").join(
-            found.select("project", F.col("node").alias("dst")), ["project", "dst"], "left_anti"
-        )
-    return done
-
-
-def circular_dependencies(edges: DataFrame, group_edge_bound: int = 100_000, trim_rounds: int = 50, component_buckets: int = 4096) -> DataFrame:
-    """``(project, cycle array<string>, length)``.
-
-    Trim, then group the cyclic core: projects whose residual core has at
-    most ``group_edge_bound`` edges run one DFS task per project; larger
-    projects are first split into strongly connected components so each DFS
-    task holds one component only.
+def weak_components(edges: DataFrame) -> DataFrame:
+    """``(project, node, root)``: the smallest module that a module hangs
+    together with, whatever the direction of the imports. Large-star and
+    small-star rounds (logarithmic in the longest chain), checkpointed."""
+    cur = _checkpoint(edges.where("src != dst").select("project", F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    state = None
+    while True:
+        both = cur.union(cur.select("project", F.col("b"), F.col("a")))
+        low = both.groupBy("project", "a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(low, ["project", "a"]).where("b > a and b != m").select("project", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(large.groupBy("project", "a").agg(F.min("b").alias("m")), ["project", "a"])
+        cur = _checkpoint(small.select("project", "a", F.col("m").alias("b")).union(small.where("b != m").select("project", F.col("b"), F.col("m"))).distinct())
+        now = cur.agg(F.count("*"), F.sum(F.xxhash64("project", "a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    roots = cur.groupBy("project", "a").agg(F.min("b").alias("root"))
+    return roots.union(cur.select("project", F.col("b"), F.col("b")).distinct()).toDF("project", "node", "root")
+
+
+def circular_dependencies(edges: DataFrame, by_component: bool = False, component_buckets: int = 4096) -> DataFrame:
+    """``(project, cycle array<string>, length)``, a depth-first walk over
+    the sorted modules of each project.
+
+    A project is a Python group of its (narrow) edges. With ``by_component``
+    each project is first cut into its weakly connected components, hashed
+    into buckets: for very large projects. The walk never leaves a weak
+    component, so the answer is the same either way, and no project's answer
+    depends on another's size.
     """
     e = edges.select("project", "src", "dst").distinct()
-    if e.count() <= group_edge_bound:
-        # every project fits one task anyway: the trim rounds would only add jobs
+    if not by_component:
         return e.groupBy("project").applyInPandas(_dfs_cycles, CYCLE_SCHEMA)
-    core = trim_acyclic(e, trim_rounds)
-    sizes = core.groupBy("project").agg(F.count("*").alias("n_edges"))
-    small = core.join(sizes.where(F.col("n_edges") <= group_edge_bound).select("project"), "project", "left_semi")
-    big = core.join(sizes.where(F.col("n_edges") > group_edge_bound).select("project"), "project", "left_semi")
-    out = small.groupBy("project").applyInPandas(_dfs_cycles, CYCLE_SCHEMA)
-    if not big.isEmpty():
-        try:
-            labels = _scc_labels(big)
-        except NotConverged:
-            # paths longer than the round limit: keep whole projects together
-            # (correct, but one task per project)
-            return out.unionByName(big.groupBy("project").applyInPandas(_dfs_cycles, CYCLE_SCHEMA))
-        lab = big.join(labels.select("project", F.col("node").alias("src"), F.col("scc").alias("s1")), ["project", "src"]).join(
-            labels.select("project", F.col("node").alias("dst"), F.col("scc").alias("s2")), ["project", "dst"]
-        ).where(F.col("s1") == F.col("s2"))
-        # components are hashed into buckets per project: DFS over a disjoint
-        # union of components finds exactly the per-component cycles, and
-        # millions of tiny components do not become millions of Python groups
-        bucket = F.pmod(F.xxhash64("s1"), F.lit(component_buckets)).alias("_b")
-        out = out.unionByName(lab.groupBy("project", bucket).applyInPandas(lambda p: _dfs_cycles(p[["project", "src", "dst"]]), CYCLE_SCHEMA))
-    return out
+    roots = weak_components(e).withColumnsRenamed({"node": "src"})
+    lab = e.join(roots, ["project", "src"], "left")
+    bucket = F.pmod(F.xxhash64(F.coalesce("root", "src")), F.lit(component_buckets)).alias("_b")
+    return lab.groupBy("project", bucket).applyInPandas(lambda p: _dfs_cycles(p[["project", "src", "dst"]]), CYCLE_SCHEMA)
 
 
 # ---------------------------------------------------------------------------

@@ -180,7 +180,8 @@ def detect_manager(markers: DataFrame, requests: DataFrame, max_levels: int = 10
         .when((F.col("file") == "pyproject.toml") & F.col("text").contains("[tool.poetry]"), F.struct(F.lit(3).alias("p"), F.lit("poetry").alias("m")))
         .when((F.col("file") == "pyproject.toml") & F.col("text").contains("[tool.uv]"), F.struct(F.lit(4).alias("p"), F.lit("uv").alias("m")))
     )
-    mk = markers.select("dir", kind.alias("k")).where(F.col("k").isNotNull())
+    # one best marker per folder first: folders may hold any number of files
+    mk = markers.select("dir", kind.alias("k")).where(F.col("k").isNotNull()).groupBy("dir").agg(F.min("k").alias("k"))
     parts = F.split(F.col("dir"), "/")
     anc = F.transform(
         F.sequence(F.lit(0), F.least(F.size(parts), F.lit(max_levels - 1))),

@@ -138,14 +138,14 @@ def limit_per_file(matches: DataFrame, n: int) -> DataFrame:
     Two-phase salted top-k: a huge (chunked) file does not land in one task."""
     from ..plans.topk import top_k_per_group
 
-    return top_k_per_group(matches, ["path"], ["line"], n).drop("rank")
+    return top_k_per_group(matches, ["project", "path"], ["line"], n).drop("rank")
 
 
 def first_results(matches: DataFrame, max_results: int) -> DataFrame:
     """Global cap in ``(path, line)`` order -> ``TakeOrderedAndProject``
     (each task keeps its own top ``n``; only ``n`` rows per task reach the
     final merge)."""
-    return matches.orderBy("path", "line").limit(max_results)
+    return matches.orderBy("path", "line", "project").limit(max_results)
 
 
 def search_summary(matches: DataFrame, max_results: int) -> DataFrame:
@@ -153,7 +153,7 @@ def search_summary(matches: DataFrame, max_results: int) -> DataFrame:
     ``count`` returned and ``truncated = total > max_results``.
 
     One partial aggregate per file, then a single-row sum."""
-    per_file = matches.groupBy("path").agg(F.count("*").alias("n"))
+    per_file = matches.groupBy("project", "path").agg(F.count("*").alias("n"))
     total = F.sum(F.least(F.col("n"), F.lit(max_results + 1))).cast("long")
     return per_file.agg(
         F.coalesce(total, F.lit(0).cast("long")).alias("total"),
@@ -249,7 +249,7 @@ def config_category_counts(refs: DataFrame) -> DataFrame:
     """References per category plus an overall ``TOTAL`` row (``rollup``)."""
     return (
         refs.rollup("category")
-        .agg(F.count("*").cast("long").alias("n_refs"), F.countDistinct("path").cast("long").alias("n_files"))
+        .agg(F.count("*").cast("long").alias("n_refs"), F.countDistinct(F.struct("project", "path")).cast("long").alias("n_files"))
         .select(F.coalesce(F.col("category"), F.lit("TOTAL")).alias("category"), "n_refs", "n_files")
     )
 

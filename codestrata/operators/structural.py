@@ -125,6 +125,8 @@ def python_files(files: DataFrame, language: str = "python") -> DataFrame:
 def literal_tokens(pattern: str) -> list[str]:
     """Identifier-like literals of a pattern that every match must contain."""
     stripped = re.sub(r"\$\$\$[A-Za-z_]\w*|\$[A-Za-z_]\w*", " ", pattern)
+    # a string or number can be written in other ways in the text
+    stripped = re.sub(r"""(?s)\b[A-Za-z]{0,2}(\"{3}.*?\"{3}|'{3}.*?'{3}|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|\b\d[\w.]*""", " ", stripped)
     keywords = {"def", "class", "return", "import", "from", "as", "try", "except", "pass", "if", "else", "for", "in", "while", "with", "lambda", "not", "and", "or", "is", "None", "True", "False", "async", "await", "yield", "raise", "del", "global", "nonlocal", "assert", "finally", "elif", "break", "continue"}
     return [t for t in re.findall(r"[A-Za-z_]\w*", stripped) if t not in keywords]
 
@@ -156,10 +158,10 @@ def search_pattern(files: DataFrame, pattern: str, language: str = "python") ->
             rows = []
             for proj, path, text in zip(d["project"], d["path"], d["text"]):
                 try:
-                    tree = ast.parse(text or "")
+                    found = P.find_matches(compiled, ast.parse(text or ""), text or "")
                 except (SyntaxError, RecursionError, ValueError, MemoryError):
                     continue
-                for m in P.find_matches(compiled, tree, text or ""):
+                for m in found:
                     rows.append({"project": proj, "path": path, **{k: m[k] for k in ("text", "kind", "start_line", "start_col", "end_line", "end_col")}, "metavariables": list(m["metavariables"].items())})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -173,7 +175,7 @@ def search_summary(files: DataFrame, matches: DataFrame, max_results: int = 100,
     """E1 counters: files searched, files with matches, total matches and
     ``truncated = total >= max_results`` (true at equality, as reported)."""
     searched = python_files(files, language).agg(F.count("*").cast("long").alias("files_searched"))
-    m = matches.agg(F.count("*").cast("long").alias("total_matches"), F.countDistinct("path").cast("long").alias("files_with_matches"))
+    m = matches.agg(F.count("*").cast("long").alias("total_matches"), F.countDistinct(F.struct("project", "path")).cast("long").alias("files_with_matches"))
     return _summary(searched, m, max_results)
 
 
@@ -207,10 +209,11 @@ def check_rules(files: DataFrame, rules=None, language: str = "python") -> DataF
             for proj, path, text in zip(d["project"], d["path"], d["text"]):
                 try:
                     tree = ast.parse(text or "")
+                    found = [(rule, P.find_matches(rule[1], tree, text or "")) for rule in compiled]
                 except (SyntaxError, RecursionError, ValueError, MemoryError):
                     continue
-                for rid, pat, msg, sev in compiled:
-                    for m in P.find_matches(pat, tree, text or ""):
+                for (rid, _, msg, sev), matches in found:
+                    for m in matches:
                         out.append(
                             {"project": proj, "path": path, "rule_id": rid, "line": m["start_line"], "column": m["start_col"], "end_line": m["end_line"], "text": m["text"][:200], "message": msg, "severity": sev}
                         )
@@ -234,7 +237,7 @@ def lint_summary(files: DataFrame, findings: DataFrame, rules=None, language: st
     applied (empty patterns included) and total findings."""
     n_rules = len(_rule_rows(rules))
     checked = python_files(files, language).agg(F.count("*").cast("long").alias("files_checked"))
-    total = findings.agg(F.count("*").cast("long").alias("total_findings"), F.countDistinct("path").cast("long").alias("files_with_findings"))
+    total = findings.agg(F.count("*").cast("long").alias("total_findings"), F.countDistinct(F.struct("project", "path")).cast("long").alias("files_with_findings"))
     return _summary_pair(checked, total).withColumn("rules_applied", F.lit(n_rules).cast("long"))
 
 
@@ -245,7 +248,7 @@ def _summary_pair(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def rule_counts(findings: DataFrame) -> DataFrame:
     """Findings per rule."""
-    return findings.groupBy("rule_id").agg(F.count("*").cast("long").alias("n"), F.countDistinct("path").cast("long").alias("files"))
+    return findings.groupBy("rule_id").agg(F.count("*").cast("long").alias("n"), F.countDistinct(F.struct("project", "path")).cast("long").alias("files"))
 
 
 def rewrite(files: DataFrame, pattern: str, replacement: str, language: str = "python") -> DataFrame:
@@ -267,10 +270,9 @@ def rewrite(files: DataFrame, pattern: str, replacement: str, language: str = "p
             out = []
             for proj, path, text in zip(d["project"], d["path"], d["text"]):
                 try:
-                    tree = ast.parse(text or "")
+                    ms = P.find_matches(compiled, ast.parse(text or ""), text or "")
                 except (SyntaxError, RecursionError, ValueError, MemoryError):
                     continue
-                ms = P.find_matches(compiled, tree, text or "")
                 if not ms:
                     continue
                 new, reps = P.rewrite(text, ms, replacement)

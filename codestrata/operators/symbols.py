@@ -17,7 +17,14 @@ from pyspark.sql import types as T
 
 from .diagnostics import bindings, uses
 from .extract import KEY_COLS
-from .graph import module_name
+from .graph import module_name, resolve_relative
+
+
+def absolute_target(path, target):
+    """An import binding's target, with leading dots resolved in its file."""
+    dots = F.length(F.regexp_extract(target, r"^(\.*)", 1))
+    return F.when(dots > 0, resolve_relative(path, F.expr("ltrim('.', target)"), dots)).otherwise(target)
+
 
 def symbols(analysis: DataFrame) -> DataFrame:
     """one row per definition with its dotted ``full_name``; docstrings
@@ -69,10 +76,10 @@ def references(analysis: DataFrame, syms: DataFrame | None = None) -> DataFrame:
     from pyspark import StorageLevel
 
     syms = syms if syms is not None else symbols(analysis)
-    b = bindings(analysis)
+    b = bindings(analysis).withColumn("target", absolute_target(F.col("path"), F.col("target")))
     u = uses(analysis).where(F.col("resolved").isNotNull())
     # the symbol table is a four-branch union read three times below: derive once
-    d = syms.select("project", "path", "module", "name", "scope", "full_name", "line").persist(StorageLevel.MEMORY_AND_DISK)
+    d = syms.select("project", "path", "module", "name", "scope", "full_name", "line", "column").persist(StorageLevel.MEMORY_AND_DISK)
     # same-file uses resolving to the definition's scope
     local = u.join(d.select("project", "path", F.col("scope").alias("resolved"), "name", "full_name"), ["project", "path", "resolved", "name"]).select(
         "project", "full_name", "path", "line", "column", F.lit("use").alias("kind")
@@ -85,7 +92,7 @@ def references(analysis: DataFrame, syms: DataFrame | None = None) -> DataFrame:
     imp_uses = u.join(imp.select("project", "path", F.col("scope").alias("resolved"), "name", "full_name"), ["project", "path", "resolved", "name"]).select(
         "project", "full_name", "path", "line", "column", F.lit("use").alias("kind")
     )
-    defs = d.select("project", "full_name", "path", "line", F.lit(None).cast("long").alias("column"), F.lit("definition").alias("kind"))
+    defs = d.select("project", "full_name", "path", "line", "column", F.lit("definition").alias("kind"))
     return defs.unionByName(local).unionByName(imp_rows).unionByName(imp_uses)
 
 
@@ -93,40 +100,44 @@ def goto(analysis: DataFrame) -> DataFrame:
     """for every use, the in-file binding it resolves to (no import
     following): ``(project, path, line, column, name, def_line, def_kind, target)``."""
     u = uses(analysis).where(F.col("resolved").isNotNull()).select("project", "path", "line", "column", "name", F.col("resolved").alias("scope"))
-    b = bindings(analysis).groupBy("project", "path", "scope", "name").agg(F.min_by(F.struct("line", "kind", "target"), "line").alias("b"))
+    b = bindings(analysis).withColumn("target", absolute_target(F.col("path"), F.col("target"))).groupBy("project", "path", "scope", "name").agg(F.min_by(F.struct("line", "kind", "target"), "line").alias("b"))
     return u.join(b, ["project", "path", "scope", "name"]).select(
         "project", "path", "line", "column", "name", F.col("b.line").alias("def_line"), F.col("b.kind").alias("def_kind"), F.col("b.target").alias("target")
     )
 
 
-def resolve_import_targets(targets: DataFrame, reexports: DataFrame, max_hops: int = 10) -> DataFrame:
+def resolve_import_targets(targets: DataFrame, reexports: DataFrame) -> DataFrame:
     """Follow ``(project, target)`` names through module-level re-exports
-    (``reexports(project, target, next_target)``) to a fixpoint, at most
-    ``max_hops`` steps. Works on the distinct targets only (far fewer rows
-    than uses); each hop is one join, checkpointed, with an early stop."""
+    (``reexports(project, target, next_target)``) to their end. Every round
+    doubles the steps a pointer spans, so a chain of any length takes a
+    logarithm of rounds, each one join and a checkpoint; a name that only
+    leads in a circle keeps whatever it reached when all steps are spanned."""
     from .graph import _checkpoint
 
     cur = _checkpoint(targets.select("project", "target").distinct().withColumn("final", F.col("target")))
-    for _ in range(max_hops):
-        step = cur.join(reexports.select("project", F.col("target").alias("final"), "next_target"), ["project", "final"], "left")
-        nxt = _checkpoint(step.select("project", "target", F.coalesce("next_target", "final").alias("final")).distinct())
-        changed = nxt.join(cur, ["project", "target", "final"], "left_anti").count()
+    jump = _checkpoint(reexports.select("project", F.col("target").alias("final"), F.col("next_target").alias("to")).distinct())
+    for _ in range(max(1, jump.count()).bit_length()):
+        step = cur.join(jump, ["project", "final"], "left")
+        nxt = _checkpoint(step.select("project", "target", F.coalesce("to", "final").alias("final")).distinct())
+        done = nxt.join(cur, ["project", "target", "final"], "left_anti").isEmpty()
         cur = nxt
-        if changed == 0:
+        if done:
             break
+        onward = jump.select("project", F.col("final").alias("to"), F.col("to").alias("further"))
+        jump = _checkpoint(jump.join(onward, ["project", "to"], "left").select("project", "final", F.coalesce("further", "to").alias("to")).distinct())
     return cur
 
 
-def definitions(analysis: DataFrame, max_hops: int = 10) -> DataFrame:
+def definitions(analysis: DataFrame) -> DataFrame:
     """like :func:`goto`, then import bindings are followed to the symbol
-    they name, through re-exports (at most ``max_hops``)."""
+    they name, through re-exports of any length."""
     g = goto(analysis)
     syms = symbols(analysis).select("project", F.col("full_name").alias("final"), F.col("path").alias("def_path"), F.col("line").alias("def_line2"), "type")
-    reexp = bindings(analysis).where((F.col("kind") == "import") & (F.col("scope") == "<module>")).select(
+    reexp = bindings(analysis).withColumn("target", absolute_target(F.col("path"), F.col("target"))).where((F.col("kind") == "import") & (F.col("scope") == "<module>")).select(
         "project", F.concat_ws(".", module_name(F.col("path")), F.col("name")).alias("target"), F.col("target").alias("next_target")
     )
     imp = g.where(F.col("def_kind") == "import").select("project", "path", "line", "column", "name", "target")
-    finals = resolve_import_targets(imp.select("project", "target"), reexp, max_hops)
+    finals = resolve_import_targets(imp.select("project", "target"), reexp)
     resolved = (
         imp.join(finals, ["project", "target"])
         .join(syms, ["project", "final"])
@@ -140,25 +151,18 @@ def definitions(analysis: DataFrame, max_hops: int = 10) -> DataFrame:
     return local.unionByName(resolved).withColumnRenamed("def_line2", "def_line")
 
 
-def completions(syms: DataFrame, requests: DataFrame, max_prefix: int = 64) -> DataFrame:
+def completions(syms: DataFrame, requests: DataFrame) -> DataFrame:
     """F8: ``requests(request_id, project, module, prefix)`` -> visible
     module-level names of that module starting with the prefix.
 
-    Each name is exploded into its prefixes (bounded by name length) and
-    equi-joined on ``(project, module, prefix)``, so the join emits only
-    matching pairs; an empty prefix asks for every name of the module."""
-    s = syms.where(F.col("scope") == "<module>").select("project", "module", "name", "type")
-    pre = s.select(
-        "project", "module", "name", "type",
-        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("name"), F.lit(max_prefix))), lambda i: F.substring("name", 1, i))).alias("prefix"),
-    )
-    keyed = requests.where(F.length("prefix") > 0)
-    hit = keyed.join(pre, ["project", "module", "prefix"]).select("request_id", "name", "type")
+    An equi-join on ``(project, module, first character)``, then the prefix
+    test: a request meets only names of its module with its first letter. An
+    empty prefix asks for every name of the module."""
+    s = syms.where(F.col("scope") == "<module>").select("project", "module", "name", "type", F.substring("name", 1, 1).alias("_c"))
+    keyed = requests.where(F.length("prefix") > 0).withColumn("_c", F.substring("prefix", 1, 1))
+    hit = keyed.join(s, ["project", "module", "_c"]).where(F.col("name").startswith(F.col("prefix"))).select("request_id", "name", "type")
     everything = requests.where(F.coalesce(F.length("prefix"), F.lit(0)) == 0).join(s, ["project", "module"]).select("request_id", "name", "type")
-    # prefixes longer than max_prefix fall back to a filtered join on the first max_prefix characters
-    long_req = requests.where(F.length("prefix") > max_prefix).withColumn("_p", F.substring("prefix", 1, max_prefix))
-    long_hit = long_req.join(pre.withColumnRenamed("prefix", "_p"), ["project", "module", "_p"]).where(F.col("name").startswith(F.col("prefix"))).select("request_id", "name", "type")
-    return hit.unionByName(everything).unionByName(long_hit)
+    return hit.unionByName(everything)
 
 
 RENAME_TYPE = T.StructType(
@@ -175,16 +179,56 @@ def rename(files: DataFrame, refs: DataFrame, full_name: str, new_name: str) ->
     return rename_batch(files, refs, spark.createDataFrame([(full_name, new_name)], "full_name string, new_name string"))
 
 
+def _spans(raw: bytes, column: int | None, kind: str, old: bytes) -> list[tuple[int, int]]:
+    """Where the name stands in the line: at its column if that is known, after
+    ``def``/``class`` for other definitions, after ``import`` for imports. A use
+    whose text is another name (an alias) has none."""
+    import re
+
+    word = rb"(?<![\w.\x80-\xff])" + re.escape(old) + rb"(?![\w\x80-\xff])"
+    if column is not None:
+        m = re.compile(re.escape(old) + rb"(?![\w\x80-\xff])").match(raw, column)
+        if m or kind == "use":
+            return [m.span()] if m else []
+    if kind == "definition":
+        m = re.search(rb"\b(?:def|class)\s+(" + re.escape(old) + rb")(?![\w\x80-\xff])", raw)
+        return [m.span(1)] if m else []
+    keyword = re.search(rb"\bimport\b", raw)
+    return [m.span() for m in re.finditer(word, raw) if m.start() >= (keyword.end() if keyword else 0) and not re.search(rb"\bas\s+$", raw[: m.start()])]
+
+
+def splice_names(text: str, edits: list[dict]) -> tuple[int, str]:
+    """Replace names by position, from the right, so names can be swapped."""
+    import re
+
+    parts = re.split(r"(\r\n|\r|\n)", text)
+    found: dict[int, dict[tuple[int, int], bytes]] = {}
+    for e in edits:
+        at = 2 * (int(e["line"]) - 1)
+        if 0 <= at < len(parts):
+            for span in _spans(parts[at].encode(), e["column"], e["kind"], e["old_name"].encode()):
+                found.setdefault(at, {})[span] = e["new_name"].encode()
+    for at, spans in found.items():
+        raw = parts[at].encode()
+        for (a, z), new in sorted(spans.items(), reverse=True):
+            raw = raw[:a] + new + raw[z:]
+        parts[at] = raw.decode(errors="replace")
+    return sum(map(len, found.values())), "".join(parts)
+
+
 def rename_batch(files: DataFrame, refs: DataFrame, renames: DataFrame) -> DataFrame:
-    """F9 at corpus scale: ``renames(full_name, new_name)`` joined to the
-    reference table; the edits of a file are collected in the JVM (bounded
-    by the file), joined to its text, and an Arrow-batched ``mapInArrow``
-    splices the identifiers on the referenced lines (word-bounded) -- no
-    per-file Python group. Returns ``(project, path, n_changes, old_text,
+    """F9 at corpus scale: ``renames(full_name, new_name)``, with a ``project``
+    column if they are for one project each, joined to the reference table; the
+    edits of a file are collected in the JVM (bounded by the file), joined to
+    its text, and an Arrow-batched ``mapInArrow`` splices them by line and
+    column: strings, comments and attributes of the same name stay. Empty new
+    names are an error. Returns ``(project, path, n_changes, old_text,
     new_text)``; feed it to ``line_diff``."""
-    r = renames.where(F.coalesce(F.length("new_name"), F.lit(0)) > 0).withColumn("old_name", F.element_at(F.split("full_name", r"\."), -1))
-    pos = refs.join(r, "full_name").select("project", "path", "line", "old_name", "new_name").distinct()
-    per_file = pos.groupBy("project", "path").agg(F.collect_list(F.struct("line", "old_name", "new_name")).alias("edits"))
+    empty = F.coalesce(F.length("new_name"), F.lit(0)) == 0
+    r = renames.withColumn("new_name", F.when(empty, F.raise_error(F.lit("new name must not be empty"))).otherwise(F.col("new_name")))
+    r = r.withColumn("old_name", F.element_at(F.split("full_name", r"\."), -1))
+    pos = refs.join(r, [c for c in ("project", "full_name") if c in r.columns]).select("project", "path", "line", "column", "kind", "old_name", "new_name").distinct()
+    per_file = pos.groupBy("project", "path").agg(F.collect_list(F.struct("line", "column", "kind", "old_name", "new_name")).alias("edits"))
     joined = files.select("project", "path", "text").join(per_file, ["project", "path"])
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -192,22 +236,13 @@ def rename_batch(files: DataFrame, refs: DataFrame, renames: DataFrame) -> DataF
     arrow = to_arrow_schema(RENAME_TYPE)
 
     def splice(batches):
-        import re
-
         import pyarrow as pa
 
         for b in batches:
-            d = b.to_pydict()
             out = []
-            for proj, path, text, edits in zip(d["project"], d["path"], d["text"], d["edits"]):
-                ls = (text or "").split("\n")
-                n = 0
-                for e in edits or []:
-                    ln = int(e["line"])
-                    if 1 <= ln <= len(ls):
-                        ls[ln - 1], k = re.subn(r"\b" + re.escape(e["old_name"]) + r"\b", e["new_name"], ls[ln - 1])
-                        n += k
-                out.append({"project": proj, "path": path, "n_changes": n, "old_text": text, "new_text": "\n".join(ls)})
+            for d in b.to_pylist():
+                n, new = splice_names(d["text"] or "", d["edits"] or [])
+                out.append({"project": d["project"], "path": d["path"], "n_changes": n, "old_text": d["text"], "new_text": new})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return joined.select("project", "path", "text", "edits").mapInArrow(splice, RENAME_TYPE)
@@ -218,11 +253,11 @@ def hover(analysis: DataFrame, docs: DataFrame) -> DataFrame:
     (``docs`` is the H1 index keyed by dotted ``name``)."""
     d = definitions(analysis)
     syms = symbols(analysis).select(
-        F.col("path").alias("def_path"), F.col("line").alias("def_line"), F.col("name").alias("def_name"), F.col("full_name").alias("target_name")
+        "project", F.col("path").alias("def_path"), F.col("line").alias("def_line"), F.col("name").alias("def_name"), F.col("full_name").alias("target_name")
     )
-    d = d.join(syms, ["def_path", "def_line", "def_name"], "left")
-    doc = docs.select(F.col("name").alias("target_name"), "signature", "docstring", "short_description")
-    return d.join(doc, "target_name", "left")
+    d = d.join(syms, ["project", "def_path", "def_line", "def_name"], "left")
+    doc = docs.select("project", F.col("name").alias("target_name"), "signature", "docstring", "short_description")
+    return d.join(doc, ["project", "target_name"], "left")
 
 
 def signature_help(analysis: DataFrame) -> DataFrame:
@@ -236,11 +271,11 @@ def signature_help(analysis: DataFrame) -> DataFrame:
     ).where(~F.col("name").contains("."))
     defs = definitions(analysis).select(*KEY_COLS, "line", "column", "name", "def_path", "def_line")
     j = calls.join(defs, [*KEY_COLS, "line", "column", "name"])
-    fn = analysis.select(F.col("path").alias("def_path"), F.explode("functions").alias("f")).select(
-        "def_path", F.col("f.line").cast("long").alias("def_line"), F.col("f.name").alias("callee"),
+    fn = analysis.select("project", F.col("path").alias("def_path"), F.explode("functions").alias("f")).select(
+        "project", "def_path", F.col("f.line").cast("long").alias("def_line"), F.col("f.name").alias("callee"),
         F.filter("f.params", lambda p: ~p["name"].isin("self", "cls")).alias("params"), F.col("f.returns").alias("returns"),
     )
-    out = j.join(fn, ["def_path", "def_line"])
+    out = j.join(fn, ["project", "def_path", "def_line"])
     return out.select(
         *KEY_COLS, "line", "column", "callee", "def_path", "params", "n_args", "keywords",
         (F.least(F.col("n_args"), F.size("params")) - 1).cast("long").alias("active_parameter"),

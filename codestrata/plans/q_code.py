@@ -204,9 +204,8 @@ def dep_classes_local(spark, sf_dir):
          FROM gen WHERE b % 2 = 0 GROUP BY project, b HAVING count(*) = 5""",
 )
 def cycles_distributed(spark, sf_dir):
-    """C7 through the large-project route (checkpointed trim, SCC labelling,
-    one DFS task per component), as every project takes at scale."""
-    c = G.circular_dependencies(G.import_edges(code_analysis(spark, sf_dir)), group_edge_bound=0)
+    """C7 with every project cut into its weakly connected components."""
+    c = G.circular_dependencies(G.import_edges(code_analysis(spark, sf_dir)), by_component=True)
     return c.select("project", F.array_join("cycle", ",").alias("cycle"), "length")
 
 

@@ -55,8 +55,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's value is used as is. Only when it is unset (tests, local
-    runs) a fresh scratch folder is created and registered.
+    The cluster's value is used as is. Only in a local session without one
+    (tests) a scratch folder is made: on a cluster it would be the driver's
+    own, so there it is an error.
     """
     try:
         sc = spark.sparkContext
@@ -66,6 +67,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="codestrata-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)

@@ -57,8 +57,10 @@ def doc_index_ttl_stream(entries: DataFrame, ttl: str = "168 hours") -> DataFram
 
 
 def search_stream(files: DataFrame, pattern: str, **kwargs) -> DataFrame:
-    """S3: line matches of newly landed files (stateless)."""
-    kwargs.pop("per_file_limit", None)  # needs a window: not available in a stream
+    """S3: line matches of newly landed files (stateless); a per-file limit
+    would need a window over the file and is refused."""
+    if kwargs.get("per_file_limit") is not None:
+        raise ValueError("per_file_limit is not available in a stream")
     return S.search_text(files, pattern, **kwargs)
 
 

@@ -93,3 +93,19 @@ def test_search_report_and_builtins(spark, files):
     assert r[1].found and r[1].doc.import_statement == "# Built-in: len"
     assert r[2].found and r[2].doc.import_statement == "from m import f"
     assert not r[3].found
+
+
+def test_long_names_are_related_and_raises_need_no_colon(spark, files):
+    long = "n" * 69 + "x"
+    a = X.analyze_files(files([("m.py", f"def {long}():\n    pass\n\n\ndef {long}_b():\n    pass\n\n\ndef _{long}():\n    pass\n\n\nclass C:\n    def {long}_c(self):\n        pass\n")]))
+    rel = {r.name: r.related for r in H.related(H.api_docs(a)).collect()}
+    assert rel == {f"m.{long}": [f"m.{long}_b"], f"m.{long}_b": [f"m.{long}"]}
+    assert H._raises("x\n\nRaises:\n    ValueError\n        when bad\n    KeyError: no key\n") == [{"exception": "ValueError", "description": "when bad"}, {"exception": "KeyError", "description": "no key"}]
+
+
+def test_markers_are_reduced_per_folder(spark):
+    from codestrata.operators import packages as P
+
+    mk = spark.createDataFrame([("a", "poetry.lock", "")] * 50 + [("a", "uv.lock", ""), ("b", "x", "")], "dir string, file string, text string")
+    req = spark.createDataFrame([(1, "a/b/c"), (2, "b")], "request_id int, dir string")
+    assert {r.request_id: r.manager for r in P.detect_manager(mk, req).collect()} == {1: "uv", 2: "pip"}

@@ -72,9 +72,9 @@ def test_import_graph_and_cycles(spark, files):
     assert adj["app"] == [] and adj["a"] == ["b"]
 
 
-def _cycles(spark, edges, bound=100_000):
+def _cycles(spark, edges, split=False):
     df = spark.createDataFrame([("p", s, d) for s, d in edges], "project string, src string, dst string")
-    return sorted(tuple(r.cycle) for r in G.circular_dependencies(df, group_edge_bound=bound).collect())
+    return sorted(tuple(r.cycle) for r in G.circular_dependencies(df, by_component=split).collect())
 
 
 def test_cycles_small_graphs(spark):
@@ -87,10 +87,13 @@ def test_cycles_small_graphs(spark):
     assert len(got) == 1 and len(got[0]) == 21 and got[0][0] == "m00"
 
 
-def test_cycles_distributed_scc_route(spark):
-    # bound 0 forces the label-propagation split into components
+def test_cycles_by_component_give_the_same_answer(spark):
     edges = [("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "f")]
-    assert _cycles(spark, edges, bound=0) == [("a", "b", "a"), ("c", "d", "e", "c")]
+    assert _cycles(spark, edges, split=True) == [("a", "b", "a"), ("c", "d", "e", "c")]
+    branching = [("a", "d"), ("b", "c"), ("c", "d"), ("d", "b"), ("d", "c"), ("x", "x"), ("y", "z")]
+    assert _cycles(spark, branching) == _cycles(spark, branching, split=True) == [("b", "c", "d", "b"), ("x", "x")]
+    ring = [(f"m{i:02d}", f"m{(i + 1) % 20:02d}") for i in range(20)]
+    assert _cycles(spark, ring, split=True) == _cycles(spark, ring)
 
 
 def test_project_rollup(spark, files):

@@ -95,17 +95,6 @@ def test_chunked_source_keeps_line_numbers(spark, tmp_path):
     assert a == b == [i for i in range(1, 2001) if i % 97 == 0]
 
 
-def test_cycles_fall_back_when_labels_do_not_converge(spark, monkeypatch):
-    from codestrata.operators import graph as G
-
-    def boom(*a, **k):
-        raise G.NotConverged("test")
-
-    monkeypatch.setattr(G, "_scc_labels", boom)
-    df = spark.createDataFrame([("p", "a", "b"), ("p", "b", "a")], "project string, src string, dst string")
-    assert [tuple(r.cycle) for r in G.circular_dependencies(df, group_edge_bound=0).collect()] == [("a", "b", "a")]
-
-
 def test_streaming_lint(spark, tmp_path):
     src = tmp_path / "landed"
     spark.createDataFrame([("p", "a.py", "print('x')\nassert y\n")], "project string, path string, text string").write.parquet(str(src))
