@@ -235,6 +235,6 @@ def rewrite(text: str, matches: list[dict], replacement: str) -> tuple[str, list
     for s, e, m in reversed(chosen):
         new = substitute(replacement, m["metavariables"])
         raw = raw[:s] + new.encode() + raw[e:]
-        reps.append({"line": m["start_line"], "original": m["text"][:200], "replacement": new[:200]})
+        reps.append({"line": m["start_line"], "original": m["text"], "replacement": new})
     reps.reverse()
     return raw.decode(errors="replace"), reps

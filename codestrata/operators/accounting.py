@@ -5,7 +5,10 @@ tables (model prices, task names) are fixed, tiny literals inlined as maps.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens, word_tokens
@@ -146,6 +149,19 @@ def compare(estimates: DataFrame, model: str = DEFAULT_MODEL, keys=("scenario",)
         F.min(F.when(F.col("side") == "without", F.col("tokens"))).cast("long").alias("best_without_tokens"),
         F.min(F.when(F.col("side") == "with", F.col("tokens"))).cast("long").alias("best_with_tokens"),
     )
+    return savings(g, model, keys)
+
+
+def compare_in_row(rows: DataFrame, without: list[Column], with_: list[Column], model: str = DEFAULT_MODEL, keys=("scenario",)) -> DataFrame:
+    """K9 where all estimates of a scenario are columns of one row: the best of
+    each side is a ``least``, so nothing is shuffled."""
+    best = [F.least(*side) if len(side) > 1 else side[0] for side in (without, with_)]
+    named = rows.select(*keys, best[0].cast("long").alias("best_without_tokens"), best[1].cast("long").alias("best_with_tokens"))
+    return savings(named, model, keys)
+
+
+def savings(g: DataFrame, model: str = DEFAULT_MODEL, keys=("scenario",)) -> DataFrame:
+    """Tokens, percent and dollars saved from the best tokens of both sides."""
     saved = F.col("best_without_tokens") - F.col("best_with_tokens")
     return g.select(
         *keys,
@@ -340,32 +356,55 @@ def agent_averages(pairs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def timing_summary(timings: DataFrame, keys=("suite", "name"), value: str = "ms", peak: str | None = "peak_kb", exact: bool = True) -> DataFrame:
+def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``(*keys, median)``, exact, with bounded state however large a group is.
+
+    Each group is cut at 63 approximate quantiles; the counts of its ranges say
+    which range holds the middle ranks, and only the distinct values of that
+    range, with their counts, are put in order. Nulls are left out, as by
+    ``median``; null keys are a group of their own."""
+    r = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias("_v"))
+    shares = [F.lit(i / 64) for i in range(1, 64)]
+    cuts = r.groupBy("_g").agg(F.percentile_approx("_v", F.array(*shares), F.lit(1000)).alias("_cuts"))
+    placed = r.groupBy("_g", "_v").agg(F.count("*").alias("_n")).join(cuts, "_g")
+    placed = placed.select("_g", "_v", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
+    ranges = placed.groupBy("_g", "_b").agg(F.sum("_n").alias("_m"))
+    group = Window.partitionBy("_g")
+    seen = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = ranges.select("_g", "_b", (F.sum("_m").over(seen) - F.col("_m")).alias("_before"), "_m", F.sum("_m").over(group).alias("_all"))
+    lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    middle = ranges.where((F.col("_before") < upper) & (F.col("_before") + F.col("_m") >= lower)).select("_g", "_b", "_before", "_all")
+    inside = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("_before") + F.sum("_n").over(inside)
+    ranked = placed.join(middle, ["_g", "_b"]).select("_g", "_v", "_all", "_n", upto.alias("_upto"))
+    hit = ranked.where((F.col("_upto") - F.col("_n") < upper) & (F.col("_upto") >= lower))
+    return hit.groupBy("_g").agg(((F.min("_v") + F.max("_v")) / 2).alias("median")).select("_g.*", "median")
+
+
+def timing_summary(timings: DataFrame, keys=("suite", "name"), value: str = "ms", peak: str | None = "peak_kb") -> DataFrame:
     """M1: per key mean, median, min, max, sample stdev (0 for one value),
-    rounded to 3 places; peak rounded to 1.
-
-    ``exact=False`` uses ``percentile_approx`` for the median, whose state is
-    bounded per group (for very large or skewed groups)."""
+    rounded to 3 places; peak rounded to 1. The median is :func:`exact_median`."""
     v = F.col(value)
-    med = F.median(v) if exact else F.percentile_approx(v, 0.5, 10000)
     aggs = [
         F.count("*").cast("long").alias("iterations"),
         F.round(F.avg(v), 3).alias("mean_ms"),
-        F.round(med, 3).alias("median_ms"),
         F.round(F.min(v), 3).alias("min_ms"),
         F.round(F.max(v), 3).alias("max_ms"),
         F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 3).alias("std_dev_ms"),
     ]
     if peak:
         aggs.append(F.round(F.max(peak), 1).alias("memory_peak_kb"))
-    return timings.groupBy(*keys).agg(*aggs)
+    summary = timings.groupBy(*keys).agg(*aggs)
+    names = list(keys)
+    medians = exact_median(timings, names, value).select(*[F.col(k).alias(f"_{k}") for k in names], F.round("median", 3).alias("median_ms"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names])
+    order = [*names, "iterations", "mean_ms", "median_ms", *[c for c in summary.columns if c not in (*names, "iterations", "mean_ms")]]
+    return summary.join(medians, same, "left").select(*order)
 
 
 def speedups(summary: DataFrame, baseline: str, key: str = "suite", name: str = "name") -> DataFrame:
     """M2: ``median(other) / median(baseline)`` within each key, only where
     the baseline median is positive."""
-    from pyspark.sql import Window
-
     # the summary has one row per (key, name): a window over it replaces a
     # self-join that would aggregate the raw timings twice
     w = Window.partitionBy(key)

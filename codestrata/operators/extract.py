@@ -60,7 +60,7 @@ def _parse_batches(with_dump: bool, carry: list[str], arrow_schema, python_only:
                         try:
                             for rid, pat, msg, sev in rules:
                                 for m in PT.find_matches(pat, tree, text or ""):
-                                    found.append({"rule_id": rid, "line": m["start_line"], "column": m["start_col"], "end_line": m["end_line"], "text": m["text"][:200], "message": msg, "severity": sev})
+                                    found.append({"rule_id": rid, "line": m["start_line"], "column": m["start_col"], "end_line": m["end_line"], "text": m["text"], "message": msg, "severity": sev})
                         except RecursionError:
                             found = []
                     rec["findings"] = found

@@ -215,7 +215,7 @@ def check_rules(files: DataFrame, rules=None, language: str = "python") -> DataF
                 for (rid, _, msg, sev), matches in found:
                     for m in matches:
                         out.append(
-                            {"project": proj, "path": path, "rule_id": rid, "line": m["start_line"], "column": m["start_col"], "end_line": m["end_line"], "text": m["text"][:200], "message": msg, "severity": sev}
+                            {"project": proj, "path": path, "rule_id": rid, "line": m["start_line"], "column": m["start_col"], "end_line": m["end_line"], "text": m["text"], "message": msg, "severity": sev}
                         )
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 

@@ -27,8 +27,8 @@ def absolute_target(path, target):
 
 
 def symbols(analysis: DataFrame) -> DataFrame:
-    """one row per definition with its dotted ``full_name``; docstrings
-    capped at 500 characters."""
+    """one row per definition with its dotted ``full_name`` and its whole
+    docstring."""
     mod = module_name(F.col("path"))
     base = analysis.select(*KEY_COLS, mod.alias("module"), "functions", "classes", "bindings")
     fns = base.select(*KEY_COLS, "module", F.explode("functions").alias("f")).select(
@@ -36,18 +36,18 @@ def symbols(analysis: DataFrame) -> DataFrame:
         F.concat_ws(".", "module", "f.qualname").alias("full_name"),
         F.when(F.col("f.nested"), F.regexp_replace("f.qualname", r"\.[^.]+$", "")).otherwise(F.lit("<module>")).alias("scope"),
         F.col("f.line").cast("long").alias("line"), F.lit(None).cast("long").alias("column"),
-        F.col("f.description").alias("description"), F.substring("f.docstring", 1, 500).alias("docstring"),
+        F.col("f.description").alias("description"), F.col("f.docstring"),
     )
     cls = base.select(*KEY_COLS, "module", F.explode("classes").alias("c"))
     classes = cls.select(
         *KEY_COLS, "module", F.col("c.name").alias("name"), F.lit("class").alias("type"), F.concat_ws(".", "module", "c.name").alias("full_name"),
         F.lit("<module>").alias("scope"), F.col("c.line").cast("long").alias("line"), F.lit(None).cast("long").alias("column"),
-        F.col("c.description").alias("description"), F.substring("c.docstring", 1, 500).alias("docstring"),
+        F.col("c.description").alias("description"), F.col("c.docstring"),
     )
     methods = cls.select(*KEY_COLS, "module", F.col("c.name").alias("cls"), F.explode("c.methods").alias("m")).select(
         *KEY_COLS, "module", F.col("m.name").alias("name"), F.lit("function").alias("type"), F.concat_ws(".", "module", "cls", "m.name").alias("full_name"),
         F.col("cls").alias("scope"), F.col("m.line").cast("long").alias("line"), F.lit(None).cast("long").alias("column"),
-        F.col("m.description").alias("description"), F.substring("m.docstring", 1, 500).alias("docstring"),
+        F.col("m.description").alias("description"), F.col("m.docstring"),
     )
     stmts = base.select(*KEY_COLS, "module", F.explode("bindings").alias("b")).where((F.col("b.scope") == "<module>") & (F.col("b.kind") == "assign")).select(
         *KEY_COLS, "module", F.col("b.name").alias("name"), F.lit("statement").alias("type"), F.concat_ws(".", "module", "b.name").alias("full_name"),

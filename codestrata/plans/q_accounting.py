@@ -54,35 +54,31 @@ def cost(spark, sf_dir):
     )
 
 
-def _doc_estimates(spark, sf_dir):
-    """Four estimates per document (raw text and word count without the
-    skill; first line and 400-character head with it) from ONE scan: the
-    estimates are an exploded array of structs, not a union of four scans."""
-    d = table(spark, sf_dir, "documents")
-    t = F.col("text")
-
-    def est(side, label, body, quality, method="approximate"):
-        tok = A.tokens(body, method)
-        return F.struct(
-            F.lit(side).alias("side"), F.lit(label).alias("label"), F.length(F.coalesce(body, F.lit(""))).cast("long").alias("text_length"),
-            tok.alias("tokens"), A.cost_usd(tok).alias("cost_usd"), F.lit(quality).alias("info_quality"),
-        )
-
-    rows = F.array(
-        est("without", "raw text", t, 5),
-        est("without", "word estimate", t, 5, "word"),
-        est("with", "first line", F.split(t, "\n").getItem(0), 2),
-        est("with", "head", F.substring(t, 1, 400), 3),
+def _doc_comparison(spark, sf_dir, keys):
+    """Raw text and word count without the skill; with it the structured record
+    and the outline (first word of every line), all from one scan and one row."""
+    d = table(spark, sf_dir, "documents").withColumn("scenario", F.col("doc_id").cast("string"))
+    t = F.coalesce("text", F.lit(""))
+    lines = F.split(t, "\n", -1)
+    record = F.concat(
+        F.lit('{"doc_id": '), F.col("scenario"), F.lit(', "lang": "'), F.coalesce("lang", F.lit("")), F.lit('", "source": "'), F.coalesce("source", F.lit("")),
+        F.lit('", "characters": '), F.length(t).cast("string"), F.lit(', "lines": '), F.size(lines).cast("string"), F.lit("}"),
     )
-    return d.select(F.col("doc_id").cast("string").alias("scenario"), "lang", F.explode(rows).alias("e")).select("scenario", "lang", "e.*")
+    outline = F.array_join(F.transform(lines, lambda x: F.substring_index(x, " ", 1)), "\n")
+    return A.compare_in_row(d, [A.tokens(F.col("text")), A.tokens(F.col("text"), "word")], [A.tokens(record), A.tokens(outline)], keys=keys)
 
 
 _SAVINGS_CTE = f"""
+rec AS (
+  SELECT doc_id, '{{"doc_id": ' || CAST(doc_id AS VARCHAR) || ', "lang": "' || coalesce(lang, '') || '", "source": "' || coalesce(source, '')
+         || '", "characters": ' || CAST(length(coalesce(text, '')) AS VARCHAR) || ', "lines": ' || CAST(len(string_split(coalesce(text, ''), chr(10))) AS VARCHAR) || '}}' AS record,
+         array_to_string([split_part(x, ' ', 1) for x in string_split(coalesce(text, ''), chr(10))], chr(10)) AS outline
+  FROM documents),
 est AS (
   SELECT CAST(doc_id AS VARCHAR) AS scenario, 'without' AS side, {_approx('text')} AS tokens FROM documents
   UNION ALL SELECT CAST(doc_id AS VARCHAR), 'without', {WORD_SQL.format(t='text')} FROM documents
-  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'with', {_approx("split_part(text, chr(10), 1)")} FROM documents
-  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'with', {_approx("substr(text, 1, 400)")} FROM documents),
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'with', {_approx("record")} FROM rec
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'with', {_approx("outline")} FROM rec),
 cmp AS (
   SELECT scenario, CAST(min(tokens) FILTER (WHERE side = 'without') AS BIGINT) AS best_without_tokens,
          CAST(min(tokens) FILTER (WHERE side = 'with') AS BIGINT) AS best_with_tokens
@@ -99,7 +95,7 @@ cmp AS (
          FROM cmp""",
 )
 def token_savings(spark, sf_dir):
-    c = A.compare(_doc_estimates(spark, sf_dir))
+    c = _doc_comparison(spark, sf_dir, ("scenario",))
     return c.withColumn("savings_pct", F.round("savings_pct", 6)).withColumn("cost_saved_per_1k", F.round("cost_saved_per_1k", 9))
 
 
@@ -114,7 +110,7 @@ def token_savings(spark, sf_dir):
          FROM j GROUP BY ROLLUP (lang)""",
 )
 def token_total_rollup(spark, sf_dir):
-    c = A.compare(_doc_estimates(spark, sf_dir), keys=("scenario", "lang"))
+    c = _doc_comparison(spark, sf_dir, ("scenario", "lang"))
     return A.savings_rollup(c, "lang").withColumn("savings_pct", F.round("savings_pct", 6))
 
 

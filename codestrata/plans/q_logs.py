@@ -78,16 +78,18 @@ def session_log_ingest(spark, sf_dir):
 
 @query(
     "free_text_sessions",
-    """SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS turn_count,
-              CAST(CASE WHEN sum(length(upper(role) || ': ' || text)) > 0 THEN greatest(1, sum(length(upper(role) || ': ' || text)) // 4) ELSE 0 END AS BIGINT) AS total_tokens
-         FROM conversations GROUP BY conv_id""",
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id,
+              CAST(sum(len(string_split(line, 'ASSISTANT:')) - 1 + len(string_split(line, 'assistant')) - 1) AS BIGINT) AS turn_count,
+              CAST(CASE WHEN sum(length(line)) > 0 THEN greatest(1, sum(length(line)) // 4) ELSE 0 END AS BIGINT) AS total_tokens
+         FROM (SELECT conv_id, CASE WHEN turn % 2 = 0 THEN upper(role) ELSE role END || ': ' || text AS line FROM conversations) GROUP BY conv_id""",
 )
 def free_text_sessions(spark, sf_dir):
-    """One free-text log file per turn (``ROLE: text``), grouped by conversation."""
+    """One free-text log file per turn, grouped by conversation: ``ROLE: text``
+    on even turns and ``role: text`` on odd ones, so both halves of the
+    counting rule meet rows."""
     c = table(spark, sf_dir, "conversations")
-    f = c.select(F.col("conv_id").cast("string").alias("project"), F.concat(F.col("turn").cast("string"), F.lit(".txt")).alias("path"), F.concat(F.upper("role"), F.lit(": "), F.col("text")).alias("text"))
-    # the corpus text never contains the role words on its own, so counts come from the prefixes
-    f = f.withColumn("text", F.regexp_replace("text", "(?i)assistant(?!:)", "asst"))
+    role = F.when(F.col("turn") % 2 == 0, F.upper("role")).otherwise(F.col("role"))
+    f = c.select(F.col("conv_id").cast("string").alias("project"), F.concat(F.col("turn").cast("string"), F.lit(".txt")).alias("path"), F.concat(role, F.lit(": "), F.col("text")).alias("text"))
     return L.free_text_sessions(f)
 
 

@@ -78,10 +78,8 @@ def save_runs(runs: DataFrame, directory: str) -> None:
     """Last write wins per (task, agent, flag): dynamic partition
     overwrite of exactly the partitions present in ``runs``, stamped with the
     UTC write time."""
-    spark = runs.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     stamped = runs.withColumn("timestamp", F.coalesce(F.col("timestamp"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
-    stamped.write.mode("overwrite").partitionBy("task_id", "agent", "skill_enabled").parquet(directory)
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id", "agent", "skill_enabled").parquet(directory)
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:

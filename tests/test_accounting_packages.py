@@ -109,3 +109,18 @@ def test_hit_count_rises_before_ttl(spark):
     pk = spark.createDataFrame([("e", "pkg", "1.0")], "env string, name string, version string")
     r = {x.name: (x.status, x.hit_count_after) for x in P.doc_freshness(idx, pk, F.lit(now)).collect()}
     assert r == {"old": ("expired", 3), "new": ("hit", 3), "stale": ("stale_version", 2)}
+
+
+def test_exact_median_ties_nulls_and_a_hot_group(spark):
+    import statistics
+
+    values = {"hot": [float(i * 7919 % 5003) for i in range(4000)], "tied": [2.0] * 9 + [5.0] * 9, "one": [3.5], "even": [1.0, 4.0], None: [8.0, 1.0, 2.0]}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("one", None), ("void", None)]
+    got = {r.k: r.median for r in A.exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert got == {k: statistics.median(v) for k, v in values.items()}
+
+
+def test_timing_summary_keeps_groups_without_values(spark):
+    t = spark.createDataFrame([("s", "a", 1.0), ("s", "a", 4.0), ("s", "b", None), (None, "a", 7.0)], "suite string, name string, ms double")
+    got = {(r.suite, r.name): r.median_ms for r in A.timing_summary(t, peak=None).collect()}
+    assert got == {("s", "a"): 2.5, ("s", "b"): None, (None, "a"): 7.0}
