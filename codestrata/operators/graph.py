@@ -51,12 +51,10 @@ def resolve_relative(path: Column, module: Column, level: Column) -> Column:
     """Absolute name of ``from <level dots><module> import ...`` in the file
     at ``path``: the file's package (the module itself for ``__init__``),
     minus ``level - 1`` trailing components, plus ``module``."""
-    parts = F.split(module_name(path), r"\.")
-    is_pkg = path.rlike(r"(^|/)__init__\.pyi?$")
-    pkg = F.when(is_pkg, parts).otherwise(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
-    keep = F.size(pkg) - (level - 1)
-    base = F.when(keep > 0, F.array_join(F.slice(pkg, 1, F.greatest(keep, F.lit(1))), ".")).otherwise(F.lit(""))
-    return F.when(base == "", module).when(module == "", base).otherwise(F.concat_ws(".", base, module))
+    # the package of a file is its folder, for __init__ too
+    folder = F.split(F.regexp_replace(path, r"/?[^/]*$", ""), "/")
+    kept = F.slice(folder, 1, F.greatest(F.size(folder) - (level - 1), F.lit(0)).cast("int"))
+    return F.array_join(F.filter(F.concat(kept, F.array(module)), lambda part: part != ""), ".")
 
 
 def import_edges(analysis: DataFrame, resolve_relative_imports: bool = False) -> DataFrame:

@@ -69,14 +69,43 @@ def search_symbols(syms: DataFrame, query: str) -> DataFrame:
     return syms.where(F.col("name") == q)
 
 
+def _import_names(analysis: DataFrame) -> DataFrame:
+    """Import bindings, targets absolute."""
+    b = bindings(analysis).where(F.col("kind") == "import")
+    return b.withColumn("target", absolute_target(F.col("path"), F.col("target")))
+
+
+def _reexports(imports: DataFrame) -> DataFrame:
+    """Module-level imports as names of their module: ``(project, target, next_target)``."""
+    return imports.where(F.col("scope") == "<module>").select(
+        "project", F.concat_ws(".", module_name(F.col("path")), F.col("name")).alias("target"), F.col("target").alias("next_target")
+    )
+
+
+def _attribute_targets(analysis: DataFrame, imports: DataFrame) -> DataFrame:
+    """Dotted uses whose first name is imported, as ``(project, path, line,
+    column, name, target)``: ``import a.b; a.b.f`` has target ``a.b.f``."""
+    a = analysis.select(*KEY_COLS, F.explode("attribute_uses").alias("a")).where(F.col("a.resolved").isNotNull()).select(
+        *KEY_COLS, F.col("a.line").cast("long").alias("line"), F.col("a.col").cast("long").alias("column"), F.col("a.resolved").alias("scope"),
+        F.substring_index("a.chain", ".", 1).alias("name"), F.expr("substring(a.chain, instr(a.chain, '.'))").alias("rest"),
+    )
+    named = imports.select("project", "path", "scope", "name", "target").distinct()
+    return a.join(named, ["project", "path", "scope", "name"]).select(
+        "project", "path", "line", "column", F.substring_index("rest", ".", -1).alias("name"), F.concat("target", "rest").alias("target")
+    )
+
+
 def references(analysis: DataFrame, syms: DataFrame | None = None) -> DataFrame:
     """``(project, full_name, path, line, column, kind)`` for every
     definition: the definition itself, same-file uses that resolve to it,
-    imports of it in other files and the uses of those imports."""
+    imports of it in other files, through re-exports of any length, the uses of
+    those imports and dotted uses of imported modules (``pkg.mod.f``)."""
     from pyspark import StorageLevel
 
     syms = syms if syms is not None else symbols(analysis)
-    b = bindings(analysis).withColumn("target", absolute_target(F.col("path"), F.col("target")))
+    b = _import_names(analysis)
+    dotted = _attribute_targets(analysis, b)
+    finals = resolve_import_targets(b.select("project", "target").unionByName(dotted.select("project", "target")), _reexports(b))
     u = uses(analysis).where(F.col("resolved").isNotNull())
     # the symbol table is a four-branch union read three times below: derive once
     d = syms.select("project", "path", "module", "name", "scope", "full_name", "line", "column").persist(StorageLevel.MEMORY_AND_DISK)
@@ -85,15 +114,15 @@ def references(analysis: DataFrame, syms: DataFrame | None = None) -> DataFrame:
         "project", "full_name", "path", "line", "column", F.lit("use").alias("kind")
     )
     # imports of the definition in other files
-    imp = b.where(F.col("kind") == "import").join(
-        d.select("project", F.col("full_name").alias("target"), "full_name"), ["project", "target"]
-    )
+    named = finals.join(d.select("project", F.col("full_name").alias("final"), "full_name").distinct(), ["project", "final"]).select("project", "target", "full_name")
+    imp = b.join(named, ["project", "target"])
+    dotted_rows = dotted.join(named, ["project", "target"]).select("project", "full_name", "path", "line", "column", F.lit("use").alias("kind"))
     imp_rows = imp.select("project", "full_name", "path", "line", "column", F.lit("import").alias("kind"))
     imp_uses = u.join(imp.select("project", "path", F.col("scope").alias("resolved"), "name", "full_name"), ["project", "path", "resolved", "name"]).select(
         "project", "full_name", "path", "line", "column", F.lit("use").alias("kind")
     )
     defs = d.select("project", "full_name", "path", "line", "column", F.lit("definition").alias("kind"))
-    return defs.unionByName(local).unionByName(imp_rows).unionByName(imp_uses)
+    return defs.unionByName(local).unionByName(imp_rows).unionByName(imp_uses).unionByName(dotted_rows)
 
 
 def goto(analysis: DataFrame) -> DataFrame:
@@ -129,15 +158,15 @@ def resolve_import_targets(targets: DataFrame, reexports: DataFrame) -> DataFram
 
 
 def definitions(analysis: DataFrame) -> DataFrame:
-    """like :func:`goto`, then import bindings are followed to the symbol
-    they name, through re-exports of any length."""
+    """like :func:`goto`, then import bindings and dotted uses of imported
+    modules are followed to the symbol they name, through re-exports of any
+    length."""
     g = goto(analysis)
     syms = symbols(analysis).select("project", F.col("full_name").alias("final"), F.col("path").alias("def_path"), F.col("line").alias("def_line2"), "type")
-    reexp = bindings(analysis).withColumn("target", absolute_target(F.col("path"), F.col("target"))).where((F.col("kind") == "import") & (F.col("scope") == "<module>")).select(
-        "project", F.concat_ws(".", module_name(F.col("path")), F.col("name")).alias("target"), F.col("target").alias("next_target")
-    )
+    imports = _import_names(analysis)
     imp = g.where(F.col("def_kind") == "import").select("project", "path", "line", "column", "name", "target")
-    finals = resolve_import_targets(imp.select("project", "target"), reexp)
+    imp = imp.unionByName(_attribute_targets(analysis, imports))
+    finals = resolve_import_targets(imp.select("project", "target"), _reexports(imports))
     resolved = (
         imp.join(finals, ["project", "target"])
         .join(syms, ["project", "final"])

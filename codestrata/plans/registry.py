@@ -33,6 +33,7 @@ def _load_all() -> None:
         q_accounting,
         q_code,
         q_docs,
+        q_layout,
         q_logs,
         q_packages,
         q_search,

@@ -102,3 +102,34 @@ def synthetic_project(spark: SparkSession, n_files: int, lines_per_file: int, pr
         F.concat(F.lit("file_"), _s(i), F.lit(".py")).alias("path"),
         text.alias("text"),
     )
+
+
+#: Files of one layout project; ``{s}`` is the project's key. All projects have
+#: the same paths, so a join that forgets the project shows at once.
+LAYOUT_FILES = {
+    "pkg/__init__.py": "from .core import run\n",
+    "pkg/core.py": 'def run(x):\n    """Run in {s}."""\n    return x\n\n\ndef outer():\n    def inner():\n        return run(1)\n    return inner()\n',
+    "pkg/c1.py": "from .core import run\n",
+    **{f"pkg/c{i}.py": f"from .c{i - 1} import run\n" for i in range(2, 13)},
+    "app.py": "from pkg.c12 import run\n\nprint('run', obj.run, run(1))\n",
+    "use.py": "import pkg.core\n\npkg.core.run(1)\n",
+    "top.py": "from pkg import run as go\n\ngo(2)\n",
+    # branching imports: a>d, b>c, c>d, d>b, d>c
+    "a.py": "import d\n",
+    "b.py": "import c\n",
+    "c.py": "import d\n",
+    "d.py": "import b\nimport c\n",
+    # line ends of the parser that are no line feeds
+    "cr.py": "import os\rprint(os.sep)\r",
+    "rules.py": "from os import *\n\ntry:\n    assert x\nexcept:\n    pass\n\ntry:\n    print(1)\nexcept Exception:\n    pass\n",
+}
+
+
+def layout_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files(project, path, text)``: one project of packages, relative
+    imports, a chain of 13 re-exports, dotted uses, a nested function, branching
+    import cycles and carriage-return line ends for each ``supplier`` row."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey").repartition(_parallelism(spark) * 2, "s_suppkey")
+    s = _s(F.col("s_suppkey"))
+    files = F.array(*[F.struct(F.lit(p).alias("path"), F.replace(F.lit(t), F.lit("{s}"), s).alias("text")) for p, t in LAYOUT_FILES.items()])
+    return suppliers.select(F.concat(F.lit("lib"), s).alias("project"), F.explode(files).alias("f")).select("project", "f.path", "f.text")

@@ -3,6 +3,8 @@
 import __spark_entry__ as E
 
 EXPECTED = [
+    'layout_cycles', 'layout_definitions', 'layout_edges', 'layout_hover', 'layout_lint', 'layout_references',
+    'layout_rename', 'layout_signature_help', 'layout_undefined',
     'decode_files',
     'main_exports',
     'doc_text_tokens',
