@@ -250,7 +250,7 @@ GOAL_FIELDS = {
     "debugging": ["name", "found", "signature", "short_description", "raises", "source_file", "related"],
     "refactor": ["name", "found", "signature", "parameters", "returns", "related", "methods", "attributes", "source_file"],
     "testing": ["name", "found", "signature", "parameters", "returns", "raises", "examples"],
-    "general": ["name", "found", "object_type", "import_statement", "signature", "short_description", "source_file", "related", "examples"],
+    "research": ["name", "found", "object_type", "import_statement", "signature", "short_description", "source_file", "related", "examples"],
 }
 
 
@@ -282,7 +282,9 @@ def apply_budget(docs: DataFrame, budget: str) -> DataFrame:
 def apply_goal(docs: DataFrame, goal: str, budget: str = "medium") -> DataFrame:
     """Keep the goal's field set (short budgets also drop source file,
     methods and attributes)."""
-    keep = list(GOAL_FIELDS.get(goal, GOAL_FIELDS["general"]))
+    if goal not in GOAL_FIELDS:
+        raise ValueError(f"task_goal must be one of: {', '.join(sorted(GOAL_FIELDS))}")
+    keep = list(GOAL_FIELDS[goal])
     if budget == "short":
         keep = [k for k in keep if k not in ("source_file", "methods", "attributes")]
     return docs.select(*[c for c in keep if c in docs.columns]).withColumn("task_goal", F.lit(goal))

@@ -60,6 +60,34 @@ def test_analyze_project_and_context(spark, files):
     assert c.found and c.import_statement == "from utils import helper" and not c.is_compatible and len(c.warnings) == 1
 
 
+def test_context_uses_every_request_field(spark, files):
+    import pytest
+
+    a = analyze_project(files([("utils.py", "def helper(a):\n    'Help.'\n    return a\n")]))["analysis"]
+    pk = spark.createDataFrame([("e", "Pillow", "10.1", ["PIL"])], "env string, name string, version string, import_names array<string>")
+    rows = [
+        (1, "utils.helper", "pillow", "PIL", "uv", "3.8", "==10.1", "Full ", "testing"),
+        (2, "utils.gone", "requests", "pil", "uv", "3.99", None, "short", None),
+        (3, None, "pillow", "nope", None, None, None, None, "debugging"),
+    ]
+    req = spark.createDataFrame(rows, "request_id int, object_name string, package_name string, import_name string, manager string, min_python string, package_version_spec string, budget string, task_goal string").withColumn("env", F.lit("e"))
+    got = {r.request_id: r for r in codegen_context(req, H.api_docs(a), pk).collect()}
+    assert len(got) == 3 and got[1].is_compatible and got[1].budget == "full" and got[1].resolved_package == "Pillow"
+    assert got[1].recommendations[-1] == "No compatibility blockers detected for the current request" and len(got[1].recommendations) == 3
+    assert got[1].docs.name == "utils.helper"
+    assert got[2].warnings == [
+        "Object 'utils.gone' is not importable in the local environment",
+        "Package 'requests' is not installed in the local runtime",
+        "Import 'pil' resolves to 'Pillow', not 'requests'",
+        "Current Python 3.13 is below required minimum 3.99",
+    ]
+    assert got[2].install_command.endswith("requests") and got[2].docs is None
+    assert got[3].warnings == ["Import 'nope' does not map to any installed package"] and got[3].recommendations == ["Target installed package version 10.1 for API compatibility"]
+    for bad in ({"budget": "bogus"}, {"task_goal": "bogus"}):
+        with pytest.raises(Exception, match="must be one of"):
+            codegen_context(req.withColumns({k: F.lit(v) for k, v in bad.items()}), H.api_docs(a), pk).collect()
+
+
 def test_streaming_search_and_sessions(spark, tmp_path):
     src = tmp_path / "files"
     src.mkdir()
