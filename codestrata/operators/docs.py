@@ -49,7 +49,7 @@ def _raises(doc: str) -> list[dict]:
     sphinx = re.findall(r":raises?\s+([\w.]+):\s*(.*)", doc)
     if sphinx:
         return [{"exception": e, "description": d.strip()} for e, d in sphinx]
-    out, in_section, cur, described = [], False, None, None
+    out, in_section, cur = [], False, None
     for line in doc.split("\n"):
         stripped = line.strip()
         if stripped in ("Raises:", "Exceptions:", "Raises", "Exceptions"):
@@ -59,17 +59,14 @@ def _raises(doc: str) -> list[dict]:
             continue
         if stripped.endswith(":") and not line.startswith(" ") and stripped[:-1].replace(" ", "").isalpha():
             break  # next section
-        if not stripped or not stripped.strip("-"):
-            described = described or ""  # a blank line or underline ends a description
-            continue
+        if not stripped.strip("-"):
+            continue  # blank, or the line under a heading
         indent = len(line) - len(line.lstrip(" "))
         m = re.match(r"^([\w.]+)\s*(?::\s*(.*))?$", stripped)
         if indent == 4 and m:
-            described = (m.group(2) or "").strip() or None
-            cur = {"exception": m.group(1), "description": described or ""}
+            cur = {"exception": m.group(1), "description": (m.group(2) or "").strip()}
             out.append(cur)
-        elif indent > 4 and described is None and cur is not None:
-            # the lines below describe an entry that says nothing itself
+        elif indent > 4 and cur is not None:
             cur["description"] = (cur["description"] + " " + stripped).strip()
         elif indent < 4 and not line.startswith(" "):
             break

@@ -109,3 +109,7 @@ def test_markers_are_reduced_per_folder(spark):
     mk = spark.createDataFrame([("a", "poetry.lock", "")] * 50 + [("a", "uv.lock", ""), ("b", "x", "")], "dir string, file string, text string")
     req = spark.createDataFrame([(1, "a/b/c"), (2, "b")], "request_id int, dir string")
     assert {r.request_id: r.manager for r in P.detect_manager(mk, req).collect()} == {1: "uv", 2: "pip"}
+
+
+def test_raises_under_an_underlined_heading():
+    assert H._raises("x\n\nRaises\n------\n    OSError\n        why\n") == [{"exception": "OSError", "description": "why"}]
