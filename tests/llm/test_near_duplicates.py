@@ -191,3 +191,32 @@ def test_line_of_many_steps(monkeypatch):
     whole = L.simhash_blocks(lines)
     monkeypatch.setattr(L, "STEP", 64)
     assert (L.simhash_blocks(lines) == whole).all()
+
+
+@pytest.mark.parametrize("words,changed", [(10, 1), (20, 4), (27, 5), (55, 5), (55, 11)])
+def test_line_recall_against_edit_similarity_alone(words, changed):
+    """Of pairs at similarity 0.8 or more, by whatever hash, nearly all are candidates."""
+    rnd = random.Random(words)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    left, right = [], []
+    while len(left) < 300:
+        a = [word() for _ in range(words)]
+        b = list(a)
+        for k in rnd.sample(range(words), changed):
+            b[k] = word()
+        x, y = " ".join(a), " ".join(b)
+        if levenshtein(x, y) <= int(0.2 * len(max(x, y, key=len)) + 1e-9):
+            left.append([w.encode() for w in a])
+            right.append([w.encode() for w in b])
+    assert (L.simhash_blocks(left) == L.simhash_blocks(right)).any(axis=1).mean() > 0.95
+
+
+def test_line_dedup_finds_pairs_at_the_threshold(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(40):
+        own = [word() for _ in range(27)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:11], *(word() for _ in range(5)), *own[16:]]))]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped="gone").where("size(gone) > 0").collect()
+    assert len(got) >= 37 and all(r.doc_id % 2 for r in got)
