@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import chat_format, decontam, line_dedup, lm_scoring, packing, quality, secret_scan, simhash, token_counts, token_files, warc
+from codestrata.llm import chat_format, decontam, line_dedup, lm_scoring, packing, quality, secret_scan, simhash, spelling, token_counts, token_files, warc
 from codestrata.llm.common import materialize, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(materialize(chat_format.format_conversations(rows), "chat"))
 
 
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLES["op9_decontamination"] = rf"""
