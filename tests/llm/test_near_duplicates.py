@@ -220,3 +220,39 @@ def test_line_dedup_finds_pairs_at_the_threshold(spark):
         rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:11], *(word() for _ in range(5)), *own[16:]]))]
     got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped="gone").where("size(gone) > 0").collect()
     assert len(got) >= 37 and all(r.doc_id % 2 for r in got)
+
+
+def test_edit_distances_of_many_pairs():
+    from codestrata.llm.edit_batch import within
+
+    rnd = random.Random(11)
+    pairs, most = [], []
+    for _ in range(900):
+        a = "".join(rnd.choice("abcdé") for _ in range(rnd.choice([0, 1, 3, 20, 63, 64, 65, 128, 130, 200])))
+        b = list(a)
+        for _ in range(rnd.randrange(max(2, len(a) // 3))):
+            k = rnd.randrange(len(b) + 1)
+            b[k : k + rnd.randrange(2)] = rnd.choice(["", "z", "ab", "\U0001f600"])
+        other = "".join(b) if rnd.random() < 0.9 else "".join(rnd.choice("abc") for _ in range(rnd.randrange(200)))
+        pairs.append((a, other))
+        most.append(int(0.2 * max(len(a), len(other))) if rnd.random() < 0.7 else rnd.randrange(200))
+    assert within(pairs, most).tolist() == [levenshtein(a, b) <= m for (a, b), m in zip(pairs, most, strict=True)]
+    assert within([], []).tolist() == []
+
+
+def test_forests_side_by_side_equal_one_by_one():
+    rnd = random.Random(12)
+    buckets = []
+    for _ in range(30):
+        base = ["".join(rnd.choice("abcde ") for _ in range(60)) for _ in range(3)]
+        buckets.append([x[:k] + rnd.choice("xyz") * rnd.randrange(9) + x[k:] for x in base for k in (5, 20, 40)])
+    for bucket, links in zip(buckets, L.forests(buckets, 0.8), strict=True):
+        sets, want = Sets(len(bucket)), Sets(len(bucket))
+        for a, b in links:
+            assert L.similar(bucket[a], bucket[b], 0.8)
+            sets.join(a, b)
+        for a in range(len(bucket)):
+            for b in range(a):
+                if L.similar(bucket[a], bucket[b], 0.8):
+                    want.join(a, b)
+        assert [[sets.find(a) == sets.find(b) for b in range(len(bucket))] for a in range(len(bucket))] == [[want.find(a) == want.find(b) for b in range(len(bucket))] for a in range(len(bucket))]
