@@ -9,12 +9,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from codestrata.llm.common import ragged
 from codestrata.llm.token_counts import LETTER, NUMBER, PLAIN, byte_alphabet, parts
 
 #: Distinct words that a task's pool holds at most before it begins anew.
 CACHE = 700_000
+#: Plain characters whose small letters are plain, too.
+LOWERED = regex.compile("[" + "".join(f"\\U{ord(c):08X}" for c in map(chr, range(0x2100)) if PLAIN.fullmatch(c) and PLAIN.fullmatch(c.lower())) + "]*+")
 
 
 class ByteIds:
@@ -80,7 +83,7 @@ class WordIds:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [[] if "<|" in t or not PLAIN.fullmatch(t) else self.pattern.findall(t.lower()) for t in texts]
+        cut = [[] if "<|" in t or not LOWERED.fullmatch(t) else self.pattern.findall(t.lower()) for t in texts]
         coded = pa.array(itertools.chain.from_iterable(cut), pa.string()).dictionary_encode()
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.place]

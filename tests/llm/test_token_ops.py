@@ -145,3 +145,16 @@ def test_word_pool_begins_anew(monkeypatch):
     for k in range(0, len(many), 7):
         for got, text in zip(engine.batch(many[k : k + 7]), many[k : k + 7], strict=True):
             assert got.tolist() == ids(text).tolist()
+
+
+def test_word_ids_of_every_plain_letter():
+    """Capitals whose small letters are not plain go through the library."""
+    from codestrata.llm.token_counts import PLAIN
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    letters = [c for c in map(chr, range(0x2100)) if PLAIN.fullmatch(c)]
+    texts = [t for c in letters for t in (c, f"the {c}LI", f"a{c}b {c}{c}", f"x{c}1")]
+    got = WordIds(path).batch(texts)
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in got] == want
