@@ -137,7 +137,8 @@ def pack(df: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, id_
     ``doc_tokens``, ``sequence_id``, ``offset`` (and ``ids``)."""
     groups = max(1, -(-df.select(id_col).count() // group_docs))
     cut = pieces(df, tokenizer, length, end_id, id_col, text_col, with_ids)
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "id", "start"), F.lit(groups)))
+    # the row's number, too: an id that is repeated or null endlessly still spreads
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "id", "start", F.monotonically_increasing_id()), F.lit(groups)))
     ordered = dealt.repartition("grp").sortWithinPartitions("grp", F.desc("length"), "id", "start", "ids_crc32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
