@@ -7,9 +7,11 @@ its language's references by Jensen-Shannon distance (base 2, 0 to 1) and
 rejects documents that lie too far off. Guards: a histogram is compared only
 if the document has enough words for it to mean something.
 
-References are bounded: at most ``MAX_LANGS`` languages (the largest ones) of
-``COMMON`` words each are sent to the tasks; documents in other languages, or
-without one, are held against the reference pooled over all languages.
+Every language has a reference of its own, kept as a table. What is sent to the
+tasks is bounded: the references of the ``MAX_LANGS`` largest languages. The
+documents of other languages are joined to theirs, by the same rules and with
+the same answers. Documents without a language are held against the reference
+pooled over all of them.
 
 Defined results: a null text has no words and fails the base rule; one row per
 input row; an empty table gives no rows. Ties among common words go to the
@@ -38,6 +40,10 @@ SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 
 
+#: Class counts; place of each common word; counts of them and of all others.
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
+
+
 class Limits(NamedTuple):
     """Base limits are fixed; the distances and guards are the method's."""
 
@@ -107,9 +113,15 @@ def base_metrics(text: str, words: list[bytes], repeats: int) -> tuple[int, int,
     return n, word_chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeats, n < 50 or 100 * repeats > 50 * n
 
 
-def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON, max_langs: int = MAX_LANGS) -> dict[str | None, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
+def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON, max_langs: int = MAX_LANGS) -> dict[str | None, Reference]:
+    """The references of the largest languages and (None) of all pooled."""
+    return language_references(df, text_col, lang_col, common, max_langs)[0]
+
+
+def language_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON, max_langs: int = MAX_LANGS) -> tuple[dict[str | None, Reference], DataFrame | None]:
     """By language (None: all pooled): class counts, place of each common word,
-    and the counts of the common words with that of all others at the end."""
+    and the counts of the common words with that of all others at the end; and
+    a table ``(lang, ref)`` of the languages beyond the ``max_langs`` largest."""
     slim = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,25 +154,44 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", co
     counts = parts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     # the commonest words of each language, of all of them pooled, and the sums: a bounded table
     counts = materialize(counts, "language-counts")
-    keep = counts.where("kind = 'd' and lang is not null").orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
+    sizes = counts.where("kind = 'd' and lang is not null")
+    largest = [r.lang for r in sizes.orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
     pooled = counts.where("kind != 'd'").groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "item", "n")
-    own = counts.where("kind != 'd'").join(F.broadcast(keep), "lang")  # keep has at most max_langs rows
-    both = own.unionByName(pooled)
+    both = counts.where("kind != 'd' and lang is not null").unionByName(pooled)
     top = top_k_per_group(both.where("kind = 'w'"), ["lang"], [F.desc("n"), F.asc("item")], common, salt_cols=["item"]).select("lang", "kind", "item", "n")
     sums = both.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit("t").alias("kind"), F.lit(b"").alias("item"), "n")
-    rows = top.unionByName(sums).unionByName(both.where("kind = 'c'")).collect()  # at most (max_langs + 1) * (common + 12) rows
-    found = {}
-    for lang in {r.lang for r in rows}:
-        own_rows = [r for r in rows if r.lang == lang]
-        classes = np.zeros(CLASSES - 1)
-        for r in own_rows:
-            if r.kind == "c":
-                classes[int(bytes(r.item))] = r.n
-        ranked = sorted(((-r.n, bytes(r.item)) for r in own_rows if r.kind == "w"))
-        total = sum(r.n for r in own_rows if r.kind == "t")
-        hist = np.array([-n for n, _ in ranked] + [total + sum(n for n, _ in ranked)], float)
-        found[lang] = classes, {w: k for k, (_, w) in enumerate(ranked)}, hist
-    return found
+    rows = materialize(top.unionByName(sums).unionByName(both.where("kind = 'c'")), "language-references")
+    entries = rows.groupBy("lang").agg(F.collect_list(F.struct("kind", "item", "n")).alias("ref"))  # common + 12 entries at most
+    known = F.col("lang").isNull() | F.col("lang").isin(largest)
+    found = {r.lang: reference([e.asDict() for e in r.ref]) for r in entries.where(known).collect()}
+    return found, None if sizes.count() <= max_langs else entries.where(~known)
+
+
+def reference(entries: list[dict]) -> Reference:
+    classes = np.zeros(CLASSES - 1)
+    for e in entries:
+        if e["kind"] == "c":
+            classes[int(bytes(e["item"]))] = e["n"]
+    ranked = sorted((-e["n"], bytes(e["item"])) for e in entries if e["kind"] == "w")
+    total = sum(e["n"] for e in entries if e["kind"] == "t")
+    hist = np.array([-n for n, _ in ranked] + [total + sum(n for n, _ in ranked)], float)
+    return classes, {w: k for k, (_, w) in enumerate(ranked)}, hist
+
+
+def with_references(df: DataFrame, lang_col: str, refs: dict[str | None, Reference], rest: DataFrame | None) -> DataFrame:
+    """``(row, lang, ref)``: rows as structs, so that no column of theirs clashes;
+    ref is null where the tasks have the language's reference."""
+    rows = df.select(F.struct("*").alias("row"), F.col(lang_col).cast("string").alias("lang"))
+    none = F.lit(None).cast("array<struct<kind:string,item:binary,n:bigint>>").alias("ref")
+    if rest is None:
+        return rows.select("row", "lang", none)
+    known = F.col("lang").isNull() | F.col("lang").isin([x for x in refs if x is not None])
+    return rows.where(known).select("row", "lang", none).union(rows.where(~known).join(rest, "lang").select("row", "lang", "ref"))
+
+
+def references_of(batch: pa.RecordBatch, refs: dict[str | None, Reference]) -> Iterator[Reference | None]:
+    for lang, entries in zip(column(batch, "lang").to_pylist(), column(batch, "ref").to_pylist(), strict=True):
+        yield refs.get(lang, refs.get(None)) if entries is None else reference(entries)
 
 
 def judge(text: str, ref, limits: Limits):
@@ -184,32 +215,34 @@ def judge(text: str, ref, limits: Limits):
     return *base, by_class, by_word, kept
 
 
-def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
+def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), max_langs: int = MAX_LANGS) -> DataFrame:
     """One row per row: the id, base metrics, ``base_failed``, ``kept`` and the
     two distances."""
-    refs = references(df, text_col, lang_col)
-    slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    refs, rest = language_references(df, text_col, lang_col, max_langs=max_langs)
+    slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [judge(t.as_py(), refs.get(lang, refs.get(None)), limits) for t, lang in zip(column(batch, "text"), column(batch, "lang").to_pylist(), strict=True)]
+            ids, texts, _ = column(batch, "row").flatten()
+            rows = [judge(t.as_py(), ref, limits) for t, ref in zip(texts, references_of(batch, refs), strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", *names])
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", *names])
 
-    out = slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    out = with_references(slim, "lang", refs, rest).mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
     return out.withColumnRenamed("id", id_col).select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
-def quality_filter(df: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
+def quality_filter(df: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), max_langs: int = MAX_LANGS) -> DataFrame:
     """The rows of ``df`` that the rules keep, with all their columns."""
-    refs = references(df, text_col, lang_col)
+    refs, rest = language_references(df, text_col, lang_col, max_langs=max_langs)
+    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = column(batch, lang_col).cast(pa.string()).to_pylist()
-            keep = [judge(t.as_py() or "", refs.get(lang, refs.get(None)), limits)[-1] for t, lang in zip(column(batch, text_col), langs, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            row = column(batch, "row")
+            keep = [judge(t.as_py() or "", ref, limits)[-1] for t, ref in zip(row.flatten()[at], references_of(batch, refs), strict=True)]
+            yield pa.RecordBatch.from_arrays(row.filter(pa.array(keep, pa.bool_())).flatten(), [f.name for f in row.type])
 
-    return df.mapInArrow(run, df.schema)
+    return with_references(df, lang_col, refs, rest).mapInArrow(run, df.schema)

@@ -130,3 +130,14 @@ def test_quality(spark):
 def test_repeat_words_with_many_distinct_words():
     words = [b"w%d" % (k % 1_100_000) for k in range(1_100_010)]
     assert Q.repeat_words(words)[0] == 20
+
+
+@pytest.mark.parametrize("max_langs", [0, 1])
+def test_languages_beyond_those_sent_to_the_tasks_get_the_same_verdicts(spark, max_langs):
+    rows = quality_rows()
+    df = spark.createDataFrame([(*r, 1, "r") for r in rows], "doc_id long, text string, lang string, kept int, row string").repartition(3)
+    key = lambda r: str((r[0], *[round(x, 9) if isinstance(x, float) else x for x in r[1:]]))
+    want = sorted(key(r) for r in Q.quality(df).collect())
+    assert sorted(key(r) for r in Q.quality(df, max_langs=max_langs).collect()) == want
+    left = lambda out: sorted(str(tuple(r)) for r in out.collect())
+    assert left(Q.quality_filter(df, max_langs=max_langs)) == left(Q.quality_filter(df))
