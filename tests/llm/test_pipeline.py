@@ -55,7 +55,7 @@ def test_nulls_and_repeated_rows(spark, tmp_path):
 
 def test_run_and_registration(spark):
     found = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(found)
     assert corpus_pipeline.run(spark, SF).count() > 0
 
@@ -63,9 +63,40 @@ def test_run_and_registration(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want))
+
+
+def odd_documents(spark):
+    """Two unlike texts on one id, repeated rows, null ids and a clashing column."""
+    words = [f"{w}{k}" for k in range(40) for w in ("stone", "river", "cloud")]
+    text = lambda k: " ".join(words[k:] + words[:k])
+    a, b, c = text(1), " ".join(w[::-1] for w in words), " ".join(w.upper() + "x" for w in words)
+    rows = [(1, a, 0), (1, b, 0), (1, a, 0), (2, a, 1), (None, c, 2), (None, c, 2), (None, a, 3), (5, None, 4), (6, "", 5), (1, b, 9)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, key int")
+
+
+def test_near_dedup_keeps_one_document_of_each_component(spark):
+    rows, df = odd_documents(spark)
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, df.repartition(4), SF).collect()), key=str)
+    a, b, c = rows[0][1], rows[1][1], rows[4][1]
+    assert got == sorted([(1, a, 0), (1, b, 0), (None, c, 2), (5, None, 4)], key=str)
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), SF).count() == 0
+
+
+def test_decontamination_judges_texts_that_share_an_id_apart(spark, tmp_path):
+    rows, df = odd_documents(spark)
+    b, c = rows[1][1], rows[4][1]
+    spark.createDataFrame([(1, " ".join(b.split()[:40])), (2, " ".join(c.split()[-30:]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect()), key=str)
+    assert got == sorted([r for r in rows if r[1] not in (b, c)], key=str)
+
+
+def test_line_stage_without_n_chars_and_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "same line here\nown one", 1, 2, "x"), (2, "same line here\nanother thing", 3, 4, "y")], "doc_id long, text string, gone_id int, numbers int, row string")
+    got = {tuple(r) for r in corpus_pipeline.repeated_lines(spark, df, SF).collect()}
+    assert got == {(1, "same line here\nown one", 1, 2, "x"), (2, "another thing", 3, 4, "y")}
