@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pyast import BUILTIN_NAMES
 from .extract import KEY_COLS, syntax_errors
+from .scopes import resolve, uses
 
 DIAG_COLS = ["project", "path", "line", "column", "severity", "source", "message"]
 
@@ -21,22 +22,16 @@ def builtins_array() -> Column:
     return F.array(*[F.lit(n) for n in sorted(BUILTIN_NAMES | set(dir(builtins)))])
 
 
-def uses(analysis: DataFrame) -> DataFrame:
-    return analysis.select(*KEY_COLS, "star_import", F.explode("uses").alias("u")).select(
-        *KEY_COLS, "star_import", "u.name", "u.scope", F.col("u.line").cast("long").alias("line"), F.col("u.col").cast("long").alias("column"), "u.resolved"
-    )
-
-
 def bindings(analysis: DataFrame) -> DataFrame:
     return analysis.select(*KEY_COLS, "dunder_all", F.explode("bindings").alias("b")).select(
-        *KEY_COLS, "dunder_all", "b.name", "b.scope", "b.kind", F.col("b.line").cast("long").alias("line"), F.col("b.col").cast("long").alias("column"), "b.target"
+        *KEY_COLS, "dunder_all", "b.name", "b.scope", "b.scope_id", "b.kind", F.col("b.line").cast("long").alias("line"), F.col("b.col").cast("long").alias("column"), "b.target"
     )
 
 
 def undefined_names(analysis: DataFrame) -> DataFrame:
     """Uses bound nowhere in their scope chain and not builtins; files
     with a star import are skipped (any name may come from it)."""
-    u = uses(analysis).where(F.col("resolved").isNull() & ~F.col("star_import"))
+    u = uses(analysis.where(~F.col("star_import"))).where(F.col("resolved_id").isNull())
     u = u.where(~F.array_contains(builtins_array(), F.col("name")))
     return u.select(
         *KEY_COLS, "line", "column", F.lit("error").alias("severity"), F.lit("pyflakes").alias("source"),
@@ -49,8 +44,8 @@ def unused_imports(analysis: DataFrame) -> DataFrame:
     name); names listed in ``__all__`` count as used."""
     # ``from __future__ import x`` is a compiler directive, never "unused"
     b = bindings(analysis).where((F.col("kind") == "import") & ~F.coalesce(F.col("target"), F.lit("")).startswith("__future__."))
-    used = uses(analysis).where(F.col("resolved").isNotNull()).select(*KEY_COLS, F.col("resolved").alias("scope"), "name").distinct()
-    un = b.join(used, [*KEY_COLS, "scope", "name"], "left_anti").where(~((F.col("scope") == "<module>") & F.array_contains("dunder_all", F.col("name"))))
+    used = resolve(analysis, "uses").where(F.col("resolved_id").isNotNull()).select(*KEY_COLS, F.col("resolved_id").alias("scope_id"), "name").distinct()
+    un = b.join(used, [*KEY_COLS, "scope_id", "name"], "left_anti").where(~((F.col("scope_id") == 0) & F.array_contains("dunder_all", F.col("name"))))
     return un.select(
         *KEY_COLS, "line", "column", F.lit("warning").alias("severity"), F.lit("pyflakes").alias("source"),
         F.concat(F.lit("'"), F.coalesce("target", "name"), F.lit("' imported but unused")).alias("message"), "name",

@@ -277,7 +277,7 @@ def cross_references(analysis: DataFrame, max_hits: int = 20) -> DataFrame:
     from ..plans.topk import top_k_per_group
 
     syms = analysis.select("project", module_name(F.col("path")).alias("module"), F.explode("bindings").alias("b")).where(
-        (F.col("b.scope") == "<module>") & F.col("b.kind").isin("function", "class", "import", "assign")
+        (F.col("b.scope_id") == 0) & F.col("b.kind").isin("function", "class", "import", "assign")
     ).select(
         "project", F.col("b.name").alias("name"), "module", F.col("b.line").cast("long").alias("line"), F.col("b.kind").alias("type")
     ).distinct()

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .diagnostics import bindings, uses
+from .diagnostics import bindings
 from .extract import KEY_COLS
 from .graph import module_name, resolve_relative
+from .scopes import attribute_uses, uses
 
 
 def absolute_target(path, target):
@@ -34,24 +35,24 @@ def symbols(analysis: DataFrame) -> DataFrame:
     fns = base.select(*KEY_COLS, "module", F.explode("functions").alias("f")).select(
         *KEY_COLS, "module", F.col("f.name").alias("name"), F.lit("function").alias("type"),
         F.concat_ws(".", "module", "f.qualname").alias("full_name"),
-        F.when(F.col("f.nested"), F.regexp_replace("f.qualname", r"\.[^.]+$", "")).otherwise(F.lit("<module>")).alias("scope"),
+        F.when(F.col("f.nested"), F.regexp_replace("f.qualname", r"\.[^.]+$", "")).otherwise(F.lit("<module>")).alias("scope"), F.col("f.scope_id").alias("scope_id"),
         F.col("f.line").cast("long").alias("line"), F.lit(None).cast("long").alias("column"),
         F.col("f.description").alias("description"), F.col("f.docstring"),
     )
     cls = base.select(*KEY_COLS, "module", F.explode("classes").alias("c"))
     classes = cls.select(
         *KEY_COLS, "module", F.col("c.name").alias("name"), F.lit("class").alias("type"), F.concat_ws(".", "module", "c.name").alias("full_name"),
-        F.lit("<module>").alias("scope"), F.col("c.line").cast("long").alias("line"), F.lit(None).cast("long").alias("column"),
+        F.lit("<module>").alias("scope"), F.col("c.scope_id").alias("scope_id"), F.col("c.line").cast("long").alias("line"), F.lit(None).cast("long").alias("column"),
         F.col("c.description").alias("description"), F.col("c.docstring"),
     )
     methods = cls.select(*KEY_COLS, "module", F.col("c.name").alias("cls"), F.explode("c.methods").alias("m")).select(
         *KEY_COLS, "module", F.col("m.name").alias("name"), F.lit("function").alias("type"), F.concat_ws(".", "module", "cls", "m.name").alias("full_name"),
-        F.col("cls").alias("scope"), F.col("m.line").cast("long").alias("line"), F.lit(None).cast("long").alias("column"),
+        F.col("cls").alias("scope"), F.col("m.scope_id").alias("scope_id"), F.col("m.line").cast("long").alias("line"), F.lit(None).cast("long").alias("column"),
         F.col("m.description").alias("description"), F.col("m.docstring"),
     )
-    stmts = base.select(*KEY_COLS, "module", F.explode("bindings").alias("b")).where((F.col("b.scope") == "<module>") & (F.col("b.kind") == "assign")).select(
+    stmts = base.select(*KEY_COLS, "module", F.explode("bindings").alias("b")).where((F.col("b.scope_id") == 0) & (F.col("b.kind") == "assign")).select(
         *KEY_COLS, "module", F.col("b.name").alias("name"), F.lit("statement").alias("type"), F.concat_ws(".", "module", "b.name").alias("full_name"),
-        F.lit("<module>").alias("scope"), F.col("b.line").cast("long").alias("line"), F.col("b.col").cast("long").alias("column"),
+        F.lit("<module>").alias("scope"), F.lit(0).alias("scope_id"), F.col("b.line").cast("long").alias("line"), F.col("b.col").cast("long").alias("column"),
         F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("docstring"),
     ).dropDuplicates(["project", "full_name"])
     return fns.unionByName(classes).unionByName(methods).unionByName(stmts)
@@ -77,7 +78,7 @@ def _import_names(analysis: DataFrame) -> DataFrame:
 
 def _reexports(imports: DataFrame) -> DataFrame:
     """Module-level imports as names of their module: ``(project, target, next_target)``."""
-    return imports.where(F.col("scope") == "<module>").select(
+    return imports.where(F.col("scope_id") == 0).select(
         "project", F.concat_ws(".", module_name(F.col("path")), F.col("name")).alias("target"), F.col("target").alias("next_target")
     )
 
@@ -85,32 +86,32 @@ def _reexports(imports: DataFrame) -> DataFrame:
 def _attribute_targets(analysis: DataFrame, imports: DataFrame) -> DataFrame:
     """Dotted uses whose first name is imported, as ``(project, path, line,
     column, name, target)``: ``import a.b; a.b.f`` has target ``a.b.f``."""
-    a = analysis.select(*KEY_COLS, F.explode("attribute_uses").alias("a")).where(F.col("a.resolved").isNotNull()).select(
-        *KEY_COLS, F.col("a.line").cast("long").alias("line"), F.col("a.col").cast("long").alias("column"), F.col("a.resolved").alias("scope"),
-        F.substring_index("a.chain", ".", 1).alias("name"), F.expr("substring(a.chain, instr(a.chain, '.'))").alias("rest"),
-    )
-    named = imports.select("project", "path", "scope", "name", "target").distinct()
-    return a.join(named, ["project", "path", "scope", "name"]).select(
+    a = attribute_uses(analysis).where(F.col("resolved_id").isNotNull()).withColumnRenamed("resolved_id", "scope_id")
+    named = imports.select("project", "path", "scope_id", "name", "target").distinct()
+    return a.join(named, ["project", "path", "scope_id", "name"]).select(
         "project", "path", "line", "column", F.substring_index("rest", ".", -1).alias("name"), F.concat("target", "rest").alias("target")
     )
 
 
-def references(analysis: DataFrame, syms: DataFrame | None = None) -> DataFrame:
+def references(analysis: DataFrame, syms: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """``(project, full_name, path, line, column, kind)`` for every
     definition: the definition itself, same-file uses that resolve to it,
     imports of it in other files, through re-exports of any length, the uses of
-    those imports and dotted uses of imported modules (``pkg.mod.f``)."""
+    those imports and dotted uses of imported modules (``pkg.mod.f``). With
+    ``members`` (of ``classes.class_members``) the uses of methods and attributes
+    through ``self`` and through classes, which go to the class that defines
+    them."""
     from pyspark import StorageLevel
 
     syms = syms if syms is not None else symbols(analysis)
     b = _import_names(analysis)
     dotted = _attribute_targets(analysis, b)
     finals = resolve_import_targets(b.select("project", "target").unionByName(dotted.select("project", "target")), _reexports(b))
-    u = uses(analysis).where(F.col("resolved").isNotNull())
+    u = uses(analysis).where(F.col("resolved_id").isNotNull())
     # the symbol table is a four-branch union read three times below: derive once
-    d = syms.select("project", "path", "module", "name", "scope", "full_name", "line", "column").persist(StorageLevel.MEMORY_AND_DISK)
+    d = syms.select("project", "path", "module", "name", "scope_id", "full_name", "line", "column").persist(StorageLevel.MEMORY_AND_DISK)
     # same-file uses resolving to the definition's scope
-    local = u.join(d.select("project", "path", F.col("scope").alias("resolved"), "name", "full_name"), ["project", "path", "resolved", "name"]).select(
+    local = u.join(d.select("project", "path", F.col("scope_id").alias("resolved_id"), "name", "full_name").distinct(), ["project", "path", "resolved_id", "name"]).select(
         "project", "full_name", "path", "line", "column", F.lit("use").alias("kind")
     )
     # imports of the definition in other files
@@ -118,19 +119,25 @@ def references(analysis: DataFrame, syms: DataFrame | None = None) -> DataFrame:
     imp = b.join(named, ["project", "target"])
     dotted_rows = dotted.join(named, ["project", "target"]).select("project", "full_name", "path", "line", "column", F.lit("use").alias("kind"))
     imp_rows = imp.select("project", "full_name", "path", "line", "column", F.lit("import").alias("kind"))
-    imp_uses = u.join(imp.select("project", "path", F.col("scope").alias("resolved"), "name", "full_name"), ["project", "path", "resolved", "name"]).select(
+    imp_uses = u.join(imp.select("project", "path", F.col("scope_id").alias("resolved_id"), "name", "full_name"), ["project", "path", "resolved_id", "name"]).select(
         "project", "full_name", "path", "line", "column", F.lit("use").alias("kind")
     )
     defs = d.select("project", "full_name", "path", "line", "column", F.lit("definition").alias("kind"))
-    return defs.unionByName(local).unionByName(imp_rows).unionByName(imp_uses).unionByName(dotted_rows)
+    out = defs.unionByName(local).unionByName(imp_rows).unionByName(imp_uses).unionByName(dotted_rows)
+    if members is None:
+        return out
+    from .classes import member_uses
+
+    used = member_uses(analysis, members).select("project", "full_name", "path", "line", "column", F.lit("use").alias("kind"))
+    return out.unionByName(used).distinct()
 
 
 def goto(analysis: DataFrame) -> DataFrame:
     """for every use, the in-file binding it resolves to (no import
     following): ``(project, path, line, column, name, def_line, def_kind, target)``."""
-    u = uses(analysis).where(F.col("resolved").isNotNull()).select("project", "path", "line", "column", "name", F.col("resolved").alias("scope"))
-    b = bindings(analysis).withColumn("target", absolute_target(F.col("path"), F.col("target"))).groupBy("project", "path", "scope", "name").agg(F.min_by(F.struct("line", "kind", "target"), "line").alias("b"))
-    return u.join(b, ["project", "path", "scope", "name"]).select(
+    u = uses(analysis).where(F.col("resolved_id").isNotNull()).select("project", "path", "line", "column", "name", F.col("resolved_id").alias("scope_id"))
+    b = bindings(analysis).withColumn("target", absolute_target(F.col("path"), F.col("target"))).groupBy("project", "path", "scope_id", "name").agg(F.min_by(F.struct("line", "kind", "target"), "line").alias("b"))
+    return u.join(b, ["project", "path", "scope_id", "name"]).select(
         "project", "path", "line", "column", "name", F.col("b.line").alias("def_line"), F.col("b.kind").alias("def_kind"), F.col("b.target").alias("target")
     )
 
@@ -157,10 +164,11 @@ def resolve_import_targets(targets: DataFrame, reexports: DataFrame) -> DataFram
     return cur
 
 
-def definitions(analysis: DataFrame) -> DataFrame:
+def definitions(analysis: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """like :func:`goto`, then import bindings and dotted uses of imported
     modules are followed to the symbol they name, through re-exports of any
-    length."""
+    length; with ``members``, uses of methods and attributes to the class that
+    defines them."""
     g = goto(analysis)
     syms = symbols(analysis).select("project", F.col("full_name").alias("final"), F.col("path").alias("def_path"), F.col("line").alias("def_line2"), "type")
     imports = _import_names(analysis)
@@ -177,7 +185,15 @@ def definitions(analysis: DataFrame) -> DataFrame:
         "project", "path", "line", "column", "name", F.lit(None).cast("string").alias("target"), F.col("path").alias("def_path"),
         F.col("def_line").alias("def_line2"), F.col("def_kind").alias("type"), F.col("name").alias("def_name"),
     )
-    return local.unionByName(resolved).withColumnRenamed("def_line2", "def_line")
+    out = local.unionByName(resolved).withColumnRenamed("def_line2", "def_line")
+    if members is None:
+        return out
+    from .classes import member_uses
+
+    used = member_uses(analysis, members).select(
+        *KEY_COLS, "line", "column", "name", F.col("full_name").alias("target"), "def_path", "def_line", F.when(F.col("params").isNull(), "statement").otherwise("function").alias("type"), F.col("name").alias("def_name")
+    )
+    return out.join(used, [*KEY_COLS, "line", "column"], "left_anti").unionByName(used.distinct())
 
 
 def completions(syms: DataFrame, requests: DataFrame) -> DataFrame:

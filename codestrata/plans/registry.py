@@ -31,6 +31,7 @@ def _load_all() -> None:
     # Importing the modules registers their queries.
     from . import (  # noqa: F401
         q_accounting,
+        q_classes,
         q_code,
         q_docs,
         q_layout,

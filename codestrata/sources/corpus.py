@@ -125,11 +125,42 @@ LAYOUT_FILES = {
 }
 
 
+#: Classes over several files: a diamond through a re-export and a dotted base, a
+#: property, an overridden method, bases that disagree, and a circle.
+CLASS_FILES = {
+    "shapes/__init__.py": "from .left import Left\n",
+    "shapes/base.py": (
+        'class Root:\n    """Root of {s}."""\n\n    size: int = 0\n\n    def run(self, n: int) -> int:\n        """Run once."""\n        return self.step(n)\n\n'
+        "    def step(self, n: int) -> int:\n        return n + self.size\n\n    @property\n    def label(self):\n        return ''\n\n    def _hidden(self):\n        pass\n"
+    ),
+    "shapes/left.py": "from .base import Root\n\n\nclass Left(Root):\n    def step(this, n, twice=False):\n        \"\"\"Left step.\"\"\"\n        return this.run(n)\n",
+    "shapes/right.py": "import shapes.base\n\n\nclass Right(shapes.base.Root):\n    color: str = ''\n\n    def step(self, n):\n        return n\n\n    def stop(self):\n        return self.run(1)\n",
+    "both.py": "from shapes import Left\nfrom shapes.right import Right\n\n\nclass Both(Left, Right):\n    def go(self):\n        return self.step(1, True) + self.stop()\n\n\nprint(Both.run, Both().go())\n",
+    "user.py": "import both\n\nboth.Both.stop(None)\n",
+    "odd.py": "class A:\n    def a(self):\n        pass\n\n\nclass B(A):\n    pass\n\n\nclass X(A, B):\n    pass\n\n\nclass P(Q):\n    def p(self):\n        pass\n\n\nclass Q(P):\n    pass\n",
+}
+
+#: Names that hide each other: functions of one name, accessors, class bodies,
+#: comprehensions, global and nonlocal names.
+SCOPE_FILES = {
+    "same.py": "def f(a):\n    return b\n\n\ndef f(b):\n    return b\n",
+    "access.py": "class C:\n    limit = 1\n\n    @property\n    def x(self):\n        return value\n\n    @x.setter\n    def x(self, value):\n        self.y = value\n\n    def z(self):\n        return limit\n\n    w = [limit for _ in range(limit)]\n",
+    "outer.py": "import os\nimport sys\n\n\ndef a():\n    import os\n\n    def inner():\n        nonlocal n\n        n = os.sep\n        return m\n\n    n = 1\n    return inner\n\n\ndef b():\n    global m, k\n    m = 1\n    return k\n",
+    "imports.py": "def one():\n    import json\n    return json\n\n\ndef one():\n    import json\n\n\ndef two():\n    return json\n",
+}
+
+
+def file_corpus(spark: SparkSession, sf_dir: str, files: dict[str, str], prefix: str) -> DataFrame:
+    """``files(project, path, text)``: the given files once for each ``supplier``
+    row, whose key stands for ``{s}``."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey").repartition(_parallelism(spark) * 2, "s_suppkey")
+    s = _s(F.col("s_suppkey"))
+    each = F.array(*[F.struct(F.lit(p).alias("path"), F.replace(F.lit(t), F.lit("{s}"), s).alias("text")) for p, t in files.items()])
+    return suppliers.select(F.concat(F.lit(prefix), s).alias("project"), F.explode(each).alias("f")).select("project", "f.path", "f.text")
+
+
 def layout_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(project, path, text)``: one project of packages, relative
     imports, a chain of 13 re-exports, dotted uses, a nested function, branching
     import cycles and carriage-return line ends for each ``supplier`` row."""
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey").repartition(_parallelism(spark) * 2, "s_suppkey")
-    s = _s(F.col("s_suppkey"))
-    files = F.array(*[F.struct(F.lit(p).alias("path"), F.replace(F.lit(t), F.lit("{s}"), s).alias("text")) for p, t in LAYOUT_FILES.items()])
-    return suppliers.select(F.concat(F.lit("lib"), s).alias("project"), F.explode(files).alias("f")).select("project", "f.path", "f.text")
+    return file_corpus(spark, sf_dir, LAYOUT_FILES, "lib")
