@@ -94,10 +94,24 @@ def import_statement(name: Column, obj_type: Column) -> Column:
     )
 
 
+def docstring_signature(docstring: Column) -> Column:
+    """H4: without a signature, the first of a docstring's first three lines
+    that holds both brackets."""
+    lines = F.transform(F.slice(F.split(docstring, "\n"), 1, 3), lambda x: F.trim(x))
+    return F.get(F.filter(lines, lambda x: x.contains("(") & x.contains(")")), F.lit(0))
+
+
+def defining_import(docs: DataFrame) -> DataFrame:
+    """H9: ``import_statement`` with the module that defines the object: a
+    method's own module is the one that can be imported from, not its class."""
+    own = F.concat(F.lit("from "), F.col("module"), F.lit(" import "), F.element_at(F.split("name", r"\."), -1))
+    return docs.withColumn("import_statement", F.when(F.col("name") == F.col("module"), F.concat(F.lit("import "), F.col("name"))).when(F.col("object_type") == "builtin", F.col("import_statement")).otherwise(own))
+
+
 def api_docs(analysis: DataFrame) -> DataFrame:
     """One record per documented object."""
     mod = module_name(F.col("path"))
-    base = analysis.where(F.col("error").isNull()).select("project", "path", mod.alias("module"), "module_doc", "functions", "classes")
+    base = analysis.where(F.col("error").isNull()).select("project", "path", mod.alias("module"), "module_doc", "functions", "classes", exports_of().alias("exports"))
 
     def params(p: Column) -> Column:
         return F.transform(p, lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x["default"].alias("default"), x["required"].alias("required"), x["kind"].alias("kind")))
@@ -124,15 +138,17 @@ def api_docs(analysis: DataFrame) -> DataFrame:
         F.col("m.returns").alias("returns"), F.col("m.docstring").alias("docstring"), F.col("m.description").alias("short_description"),
         F.array().cast("array<string>").alias("methods"), F.array().cast("array<string>").alias("attributes"),
     )
-    exports = module_exports(analysis)
-    modules = base.join(exports, ["project", "module"], "left").select(
+    # a module may have a stub beside its source: one record, of the source
+    own = F.min_by(F.struct("path", "module_doc", "exports"), F.struct(F.col("path").endswith(".pyi"), "path"))
+    modules = base.groupBy("project", "module").agg(own.alias("m")).select("project", "m.path", "module", "m.module_doc", "m.exports").select(
         "project", "path", "module", F.col("module").alias("name"), F.lit("module").alias("object_type"), F.lit(None).cast("string").alias("signature"),
         F.array().cast(fns.schema["parameters"].dataType).alias("parameters"), F.lit(None).cast("string").alias("returns"),
         F.col("module_doc").alias("docstring"), F.trim(F.split("module_doc", "\n").getItem(0)).alias("short_description"),
         F.coalesce("exports", F.array().cast("array<string>")).alias("methods"), F.array().cast("array<string>").alias("attributes"),
     )
     docs = fns.unionByName(classes).unionByName(meths).unionByName(modules)
-    return docs.withColumn("import_statement", import_statement(F.col("name"), F.col("object_type"))).withColumn("source_file", F.col("path"))
+    docs = docs.withColumn("signature", F.coalesce("signature", F.when(F.col("object_type") != "module", docstring_signature(F.col("docstring")))))
+    return defining_import(docs.withColumn("import_statement", import_statement(F.col("name"), F.col("object_type")))).withColumn("source_file", F.col("path"))
 
 
 def with_doc_details(docs: DataFrame) -> DataFrame:
@@ -140,21 +156,27 @@ def with_doc_details(docs: DataFrame) -> DataFrame:
     return docs.withColumn("examples", doc_examples(F.col("docstring"))).withColumn("raises", doc_raises(F.col("docstring")))
 
 
-def module_exports(analysis: DataFrame, limit: int = 20) -> DataFrame:
-    """Public module-level function and class names, sorted, first 20
-    (``__all__`` when the module defines it)."""
-    mod = module_name(F.col("path"))
+def exports_of(limit: int | None = None) -> Column:
+    """H12 of one file: public module-level function and class names, sorted
+    (``__all__`` when the module defines it); ``limit`` is for reports."""
     names = F.concat(
         F.transform(F.filter("functions", lambda f: ~f["nested"] & ~f["name"].startswith("_")), lambda f: f["name"]),
         F.transform(F.filter("classes", lambda c: ~c["name"].startswith("_")), lambda c: c["name"]),
     )
-    ex = F.when(F.size("dunder_all") > 0, F.col("dunder_all")).otherwise(names)
-    return analysis.select("project", mod.alias("module"), F.slice(F.array_sort(F.array_distinct(ex)), 1, limit).alias("exports"))
+    ex = F.array_sort(F.array_distinct(F.when(F.size("dunder_all") > 0, F.col("dunder_all")).otherwise(names)))
+    return F.slice(ex, 1, limit) if limit else ex
+
+
+def module_exports(analysis: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(project, module, exports)``, whole unless a report asks for the
+    first ``limit`` (the reference shows 20)."""
+    return analysis.select("project", module_name(F.col("path")).alias("module"), exports_of(limit).alias("exports"))
 
 
 def _runs(s: Column) -> Column:
     """The distinct runs of one, two and three letters of a name."""
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.array(*[F.substring(s, i, F.lit(n)) for n in (1, 2, 3)]))))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.array(*[F.substring(s, i, F.lit(n)) for n in (1, 2, 3)])))
+    return F.array_distinct(runs)
 
 
 def see_also(docstring: Column) -> Column:
@@ -171,9 +193,11 @@ def related(docs: DataFrame, limit: int = 5) -> DataFrame:
     entries first (in order), then public members of the same module whose
     short names contain each other (case-insensitive), in name order.
 
-    A name that another contains begins with one of its runs of up to three
-    letters, so an equi-join on ``(project, module, run)`` finds all pairs:
-    one key for the contained name, as many as it has letters for the other."""
+    A name holds every run of three letters of the names it contains (names of
+    one or two letters are runs themselves), so an equi-join on ``(project,
+    module, run)`` finds all pairs. A contained name is joined on the run of its
+    own that the fewest names of the module hold, so names with a common
+    beginning (``get_*``) do not all meet."""
     from ..plans.topk import top_k_per_group
 
     from pyspark import StorageLevel
@@ -188,7 +212,10 @@ def related(docs: DataFrame, limit: int = 5) -> DataFrame:
     )
     member = (F.col("name") == F.concat_ws(".", "module", F.element_at(F.split("name", r"\."), -1))) & ~F.col("s").startswith("_") & (F.col("s") != "")
     subs = d.where(member).select("project", "module", "name", "s", F.explode(_runs(F.col("s"))).alias("sub"))
-    others = d.where(member).select("project", "module", F.col("name").alias("other"), F.col("s").alias("part"), F.substring("s", 1, 3).alias("sub"))
+    held = subs.groupBy("project", "module", "sub").agg(F.count("*").alias("n"))
+    whole = subs.where(F.length("sub") == F.least(F.length("s"), F.lit(3)))
+    rarest = whole.join(held, ["project", "module", "sub"]).groupBy("project", "module", "name").agg(F.min(F.struct("n", "sub", "s")).alias("r"))
+    others = rarest.select("project", "module", F.col("name").alias("other"), F.col("r.s").alias("part"), F.col("r.sub").alias("sub"))
     contained = subs.join(others, ["project", "module", "sub"]).where((F.col("name") != F.col("other")) & F.col("s").contains(F.col("part"))).select("project", "name", "other")
     pairs = contained.unionByName(contained.select("project", F.col("other").alias("name"), F.col("name").alias("other"))).distinct()
     pairs = pairs.select("project", "name", "other", F.lit(1).alias("prio"), F.lit(0).alias("pos"))
@@ -225,7 +252,8 @@ def resolve_names(docs: DataFrame, requests: DataFrame) -> DataFrame:
     ``project`` are answered from that project (and the builtins) alone.
     Builtin names resolve first (pass
     ``docs.unionByName(builtin_docs(spark))``). Unknown names get ``found =
-    false``."""
+    false`` and say why in ``error``: no name, no such module, or a module
+    without that attribute."""
     parts = F.split("object_name", r"\.")
     own = ["project"] if "project" in requests.columns else []
     pref = requests.select(
@@ -236,11 +264,29 @@ def resolve_names(docs: DataFrame, requests: DataFrame) -> DataFrame:
     best = pref.join(mods, [*own, "prefix"], "left_semi").groupBy("request_id").agg(F.max_by("prefix", "n").alias("module"))
     r = requests.join(best, "request_id", "left")
     d = docs.select(F.col("name").alias("object_name"), F.struct(*docs.columns).alias("doc"))
+    # how far the name goes along existing objects: the error names the last one
+    known = docs.select(*own, F.col("name").alias("prefix"), F.struct("name", "object_type").alias("at")).where("object_type is not null")
+    reached = pref.join(known.distinct(), [*own, "prefix"]).groupBy("request_id").agg(F.max_by("at", "n").alias("reached"))
+    r = r.join(reached, "request_id", "left")
+
+    def told(df: DataFrame) -> DataFrame:
+        df = df.withColumn("found", F.col("doc").isNotNull())
+        name, last = F.col("object_name"), F.col("reached.name")
+        missing = F.get(F.split(F.expr("substring(object_name, length(reached.name) + 2)"), r"\."), F.lit(0))
+        holder = F.when(F.col("reached.object_type") == "module", F.concat(F.lit("module '"), last, F.lit("'"))).otherwise(F.concat(F.lit("type object '"), F.element_at(F.split(last, r"\."), -1), F.lit("'")))
+        error = (
+            F.when(F.col("found"), F.lit(None))
+            .when(F.coalesce(F.length(name), F.lit(0)) == 0, F.lit("Empty name provided"))
+            .when(last.isNotNull(), F.concat(F.lit("Attribute error: "), holder, F.lit(" has no attribute '"), missing, F.lit("'")))
+            .otherwise(F.concat(F.lit("Could not resolve '"), name, F.lit("': module not found")))
+        )
+        return df.withColumn("error", error).drop("reached")
+
     if not own:
-        return r.join(d, "object_name", "left").withColumn("found", F.col("doc").isNotNull())
+        return told(r.join(d, "object_name", "left"))
     d = d.withColumnRenamed("object_name", "_name")
     same = (F.col("object_name") == F.col("_name")) & (F.col("doc.project").isNull() | (F.col("doc.project") == F.col("project")))
-    return r.join(d, same, "left").drop("_name").withColumn("found", F.col("doc").isNotNull())
+    return told(r.join(d, same, "left").drop("_name"))
 
 
 # Fields kept per budget and per task goal.

@@ -36,7 +36,7 @@ def analysis_schema(extra: T.StructType | None = None, with_findings: bool = Fal
     return base
 
 
-def _parse_batches(with_dump: bool, carry: list[str], arrow_schema, python_only: bool = True, rules=None):
+def _parse_batches(with_dump: bool, carry: list[str], arrow_schema, python_only: bool = True, rules=None, recovered: bool = False):
     def run(batches):
         import pyarrow as pa
 
@@ -52,7 +52,7 @@ def _parse_batches(with_dump: bool, carry: list[str], arrow_schema, python_only:
                     rec = P.analyze(None)
                     rec["error"] = f"Not a Python file: {path}"
                 else:
-                    rec = P.analyze(text, with_dump, keep_tree=rules is not None)
+                    rec = P.analyze(text, with_dump, keep_tree=rules is not None, recovered=recovered)
                 tree = rec.pop("_tree", None)
                 if rules is not None:
                     found = []
@@ -75,7 +75,7 @@ def _parse_batches(with_dump: bool, carry: list[str], arrow_schema, python_only:
 
 
 def analyze_files(
-    files: DataFrame, with_dump: bool = False, carry: list[str] | None = None, python_only: bool = True, rules=None
+    files: DataFrame, with_dump: bool = False, carry: list[str] | None = None, python_only: bool = True, rules=None, recovered: bool = False
 ) -> DataFrame:
     """``files(project, path, text, ...)`` -> ``analysis`` rows (one per file).
 
@@ -84,7 +84,8 @@ def analyze_files(
     on ``(project, path)`` when a report needs it. With ``python_only`` (B2),
     files not ending in ``.py``/``.pyi`` get an error row instead of a parse.
     ``rules`` (a rule list, YAML text, or ``"default"``) adds a ``findings``
-    column evaluated in the same task, so analysis plus lint is one pass.
+    column evaluated in the same task, so analysis plus lint is one pass. With
+    ``recovered``, a file with syntax errors keeps what stands between them.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -101,7 +102,7 @@ def analyze_files(
         rows = _rule_rows(None if rules == "default" else rules)
         compiled = [(rid, PT.compile_pattern(p), msg, sev) for rid, p, msg, sev in rows if p and p.strip()]
     schema = analysis_schema(extra, with_findings=compiled is not None)
-    fn = _parse_batches(with_dump, carry, to_arrow_schema(schema), python_only, compiled)
+    fn = _parse_batches(with_dump, carry, to_arrow_schema(schema), python_only, compiled, recovered)
     return files.select("project", "path", "text", *carry).mapInArrow(fn, schema)
 
 
@@ -259,11 +260,13 @@ def attributes(analysis: DataFrame) -> DataFrame:
     )
 
 
-def variables(analysis: DataFrame, first: int | None = 10) -> DataFrame:
-    """Assigned public names (first ``first`` per file, as reported)."""
+def variables(analysis: DataFrame, first: int | None = None, width: int | None = None) -> DataFrame:
+    """Assigned public names with their whole values; a report may show the
+    ``first`` of a file and so many characters (the reference 10 and 50)."""
     arr = F.slice("variables", 1, first) if first else F.col("variables")
+    value = F.substring("v.value", 1, width) if width else F.col("v.value")
     return analysis.select(*KEY_COLS, F.posexplode(arr).alias("pos", "v")).select(
-        *KEY_COLS, "v.name", F.col("v.line").cast("long").alias("line"), "v.type", "v.value"
+        *KEY_COLS, "v.name", F.col("v.line").cast("long").alias("line"), "v.type", value.alias("value")
     )
 
 
@@ -276,14 +279,17 @@ def findings(analysis: DataFrame) -> DataFrame:
 
 
 def syntax_errors(analysis: DataFrame) -> DataFrame:
-    """G1: one error row per unparseable file."""
-    return analysis.where(F.col("error").isNotNull()).select(
+    """G1: one row for every syntax error of a file (see ``pyast.recover``), or
+    for the reason why it could not be parsed at all."""
+    only = F.array(F.struct(F.col("error").alias("message"), F.col("error_line").alias("line"), F.col("error_col").alias("col"), F.col("error_end_line").alias("end_line"), F.col("error_end_col").alias("end_col")))
+    e = analysis.where(F.col("error").isNotNull()).select(*KEY_COLS, F.explode(F.when(F.size("errors") > 0, F.col("errors")).otherwise(only)).alias("e"))
+    return e.select(
         *KEY_COLS,
-        F.col("error_line").cast("long").alias("line"),
-        F.col("error_col").cast("long").alias("column"),
-        F.col("error_end_line").cast("long").alias("end_line"),
-        F.col("error_end_col").cast("long").alias("end_column"),
+        F.col("e.line").cast("long").alias("line"),
+        F.col("e.col").cast("long").alias("column"),
+        F.col("e.end_line").cast("long").alias("end_line"),
+        F.col("e.end_col").cast("long").alias("end_column"),
         F.lit("error").alias("severity"),
         F.lit("syntax").alias("source"),
-        F.col("error").alias("message"),
+        F.col("e.message").alias("message"),
     )

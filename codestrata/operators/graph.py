@@ -3,10 +3,9 @@
 Edges come from the ``all_imports`` column of the extraction pass (every
 import in the file, class bodies included). Locality is decided with two
 left-semi joins against the module table, so nothing is collected to the
-driver. Cycle detection trims acyclic nodes with iterative semi-joins
-(checkpointed), splits the cyclic core into strongly connected components by
-label propagation when it is large, and runs the canonical DFS per component
-in ``applyInPandas``.
+driver. Cycle detection walks a project's edges in one Python group; projects
+too large for that are peeled of what reaches no cycle and cut into weakly
+connected components (checkpointed rounds of joins) first.
 """
 
 from __future__ import annotations
@@ -185,19 +184,49 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return roots.union(cur.select("project", F.col("b"), F.col("b")).distinct()).toDF("project", "node", "root")
 
 
-def circular_dependencies(edges: DataFrame, by_component: bool = False, component_buckets: int = 4096) -> DataFrame:
+#: Edges that a project may have to be walked as one group.
+WALKED = 200_000
+
+
+def peel_sinks(edges: DataFrame, share: float = 0.1) -> DataFrame:
+    """``edges`` without those into modules that import nothing (left), round
+    by round: such modules reach no cycle, so a depth-first walk over the
+    others meets the same back edges in the same order. A round is a semi-join;
+    they end when one takes less than ``share`` of what is left, so a long chain
+    does not cost a round a link."""
+    cur = _checkpoint(edges.select("project", "src", "dst").distinct())
+    n = cur.count()
+    while n:
+        kept = _checkpoint(cur.join(cur.select("project", F.col("src").alias("dst")).distinct(), ["project", "dst"], "left_semi").select("project", "src", "dst"))
+        left = kept.count()
+        few = n - left < share * n
+        cur, n = kept, left
+        if few:
+            break
+    return cur
+
+
+def circular_dependencies(edges: DataFrame, by_component: bool | None = False, component_buckets: int = 4096) -> DataFrame:
     """``(project, cycle array<string>, length)``, a depth-first walk over
     the sorted modules of each project.
 
     A project is a Python group of its (narrow) edges. With ``by_component``
-    each project is first cut into its weakly connected components, hashed
-    into buckets: for very large projects. The walk never leaves a weak
-    component, so the answer is the same either way, and no project's answer
-    depends on another's size.
+    modules that reach no cycle are peeled off first and the rest is cut into
+    weakly connected components, hashed into buckets: for very large projects.
+    The walk never leaves a weak component, so the answer is the same either
+    way, and no project's answer depends on another's size. With None, the
+    projects of over ``WALKED`` edges go that way.
     """
     e = edges.select("project", "src", "dst").distinct()
+    if by_component is None:
+        e = _checkpoint(e)
+        large = _checkpoint(e.groupBy("project").count().where(F.col("count") > WALKED).select("project"))
+        if large.isEmpty():
+            return circular_dependencies(e)
+        return circular_dependencies(e.join(large, "project", "left_anti")).unionByName(circular_dependencies(e.join(large, "project", "left_semi"), True, component_buckets))
     if not by_component:
         return e.groupBy("project").applyInPandas(_dfs_cycles, CYCLE_SCHEMA)
+    e = peel_sinks(e)
     roots = weak_components(e).withColumnsRenamed({"node": "src"})
     lab = e.join(roots, ["project", "src"], "left")
     bucket = F.pmod(F.xxhash64(F.coalesce("root", "src")), F.lit(component_buckets)).alias("_b")
@@ -269,11 +298,12 @@ def project_rollup(files: DataFrame, analysis: DataFrame) -> DataFrame:
     return discovered.join(stats, "project", "left").join(deps, "project", "left").fillna(0, ["stdlib_deps", "third_party_deps"])
 
 
-def cross_references(analysis: DataFrame, max_hits: int = 20) -> DataFrame:
+def cross_references(analysis: DataFrame, max_hits: int | None = None) -> DataFrame:
     """For every public module-level function/class name, the project's
     module-level symbols of that name (definitions and imports) as
-    ``(project, name, module, line, type)``, first ``max_hits`` per name in
-    ``(module, line)`` order. Skew-safe two-phase top-k, no file cap."""
+    ``(project, name, module, line, type)``; a report may ask for the first
+    ``max_hits`` per name in ``(module, line)`` order (the reference shows 20),
+    by a skew-safe two-phase top-k."""
     from ..plans.topk import top_k_per_group
 
     syms = analysis.select("project", module_name(F.col("path")).alias("module"), F.explode("bindings").alias("b")).where(
@@ -283,4 +313,4 @@ def cross_references(analysis: DataFrame, max_hits: int = 20) -> DataFrame:
     ).distinct()
     defs = syms.where(F.col("type").isin("function", "class") & ~F.col("name").startswith("_")).select("project", "name").distinct()
     hits = syms.join(defs, ["project", "name"], "left_semi")
-    return top_k_per_group(hits, ["project", "name"], ["module", "line", "type"], max_hits).drop("rank")
+    return hits if max_hits is None else top_k_per_group(hits, ["project", "name"], ["module", "line", "type"], max_hits).drop("rank")

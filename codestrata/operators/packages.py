@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERSION_RE = r"\d+(?:\.\d+){0,3}"
-BUILTIN_TYPES = ("str", "int", "float", "bool", "list", "dict", "set", "tuple", "bytes", "object", "type", "complex", "frozenset", "bytearray")
+# Roots of dotted names that are no packages.
+BUILTIN_TYPES = ("str", "int", "float", "bool", "list", "dict", "set", "tuple")
 
 # Install command per package manager.
 INSTALL_COMMANDS = {"uv": "uv add {}", "poetry": "poetry add {}", "pipenv": "pipenv install {}", "pip": "pip install {}"}
@@ -26,7 +27,8 @@ INSTALL_COMMANDS = {"uv": "uv add {}", "poetry": "poetry add {}", "pipenv": "pip
 def import_names(top_level: Column, files: Column, name: Column) -> Column:
     """``top_level.txt`` lines; else first path components of installed
     files (``.py`` removed; metadata dirs, ``_*``, tests/test/docs skipped),
-    sorted, first 5; else the normalised distribution name."""
+    sorted; else the normalised distribution name. All of them, because imports
+    are looked up here; a report shows the first few (the reference 5)."""
     tl = F.filter(F.transform(F.split(F.coalesce(F.trim(top_level), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     firsts = F.transform(F.coalesce(files, F.array().cast("array<string>")), lambda f: F.split(f, "/").getItem(0))
     keep = F.filter(
@@ -34,16 +36,18 @@ def import_names(top_level: Column, files: Column, name: Column) -> Column:
         lambda p: ~p.endswith(".dist-info") & ~p.endswith(".egg-info"),
     )
     names = F.filter(F.transform(keep, lambda p: F.replace(p, F.lit(".py"), F.lit(""))), lambda n: (n != "") & ~n.startswith("_") & ~n.isin("tests", "test", "docs"))
-    from_files = F.slice(F.array_sort(F.array_distinct(names)), 1, 5)
+    from_files = F.array_sort(F.array_distinct(names))
     fallback = F.when(F.coalesce(name, F.lit("")) != "", F.array(F.lower(F.replace(name, F.lit("-"), F.lit("_"))))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(tl) > 0, tl).when(F.size(from_files) > 0, from_files).otherwise(fallback)
 
 
-def dependency_names(requires: Column, limit: int = 20) -> Column:
+def dependency_names(requires: Column, limit: int | None = None) -> Column:
     """I4: requirement names, cut at the first ``; [ < > = ! ~ (`` or space
-    (the reference does not cut at ``~``: ``a~=1`` gives ``a~``), first 20."""
+    (the reference does not cut at ``~``: ``a~=1`` gives ``a~``); ``limit`` is
+    for reports (the reference shows 20)."""
     names = F.transform(F.coalesce(requires, F.array().cast("array<string>")), lambda r: F.trim(F.regexp_extract(r, r"^[^;\[<>=!~( ]*", 0)))
-    return F.slice(F.filter(names, lambda n: n != ""), 1, limit)
+    names = F.filter(names, lambda n: n != "")
+    return F.slice(names, 1, limit) if limit else names
 
 
 def normalise(packages: DataFrame) -> DataFrame:
@@ -101,12 +105,34 @@ def find_package_by_import(packages: DataFrame, requests: DataFrame) -> DataFram
     )
 
 
-def main_exports(api_docs_exports: DataFrame, packages: DataFrame) -> DataFrame:
+def main_exports(api_docs_exports: DataFrame, packages: DataFrame, limit: int | None = None) -> DataFrame:
     """I8: per package, module exports of its import names (static: from the
-    API index, never by importing)."""
+    API index, never by importing); ``limit`` is for reports (the reference
+    shows 10)."""
     imp = packages.select("env", "name", F.explode("import_names").alias("module"))
-    return imp.join(api_docs_exports, "module", "left").groupBy("env", "name").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list(F.coalesce("exports", F.array().cast("array<string>"))))), 1, 10).alias("main_exports")
+    names = F.array_sort(F.flatten(F.collect_list(F.coalesce("exports", F.array().cast("array<string>")))))
+    return imp.join(api_docs_exports, "module", "left").groupBy("env", "name").agg((F.slice(names, 1, limit) if limit else names).alias("main_exports"))
+
+
+def install_location(root: Column, files: Column) -> Column:
+    """I8: the folder of a distribution's first installed file, below the
+    environment's package folder ``root``; null without files."""
+    first = F.get(files, F.lit(0))
+    folder = F.regexp_replace(first, r"/?[^/]*$", "")
+    return F.when(first.isNotNull(), F.when(folder == "", root).otherwise(F.concat_ws("/", root, folder)))
+
+
+def install_instructions(packages: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests(request_id, env, package, manager)`` -> whether the
+    package is installed (names without case), in which version, a note, and
+    the command of the project's manager (of :func:`detect_manager`)."""
+    pk = packages.groupBy("env", F.lower("name").alias("_k")).agg(F.min_by("version", "name").alias("installed_version"), F.lit(True).alias("_there"))
+    j = requests.withColumn("_k", F.lower("package")).join(pk, ["env", "_k"], "left")
+    there = F.coalesce("_there", F.lit(False))
+    return j.select(
+        "request_id", "package", there.alias("already_installed"), F.when(there, F.coalesce("installed_version", F.lit("unknown"))).alias("installed_version"),
+        F.when(there, F.concat(F.lit("'"), F.col("package"), F.lit("' is already installed."))).alias("note"),
+        F.col("manager").alias("detected_package_manager"), install_command(F.col("manager"), F.col("package")).alias("install_command"),
     )
 
 
@@ -210,12 +236,16 @@ def derive_package(object_name: Column) -> Column:
 
 def import_audit(file_imports: DataFrame, lookup: DataFrame, stdlib: Column) -> DataFrame:
     """For each imported top-level module, whether it resolves to an
-    installed package (via I6), to the standard library, or to nothing."""
-    tops = file_imports.select("env", "path", F.split("module", r"\.").getItem(0).alias("top")).distinct()
+    installed package (via I6), to the standard library, or to nothing. With a
+    column ``expected`` (the package a caller means) an import that another
+    package provides is ``other-package``."""
+    own = ["expected"] if "expected" in file_imports.columns else []
+    tops = file_imports.select("env", "path", *own, F.split("module", r"\.").getItem(0).alias("top")).distinct()
     j = tops.join(lookup.select("env", F.col("import_key"), "package"), (tops.env == lookup.env) & (F.lower(tops.top) == lookup.import_key), "left")
+    other = F.lower("package") != F.lower("expected") if own else F.lit(False)
     return j.select(
-        tops.env, "path", "top", "package",
-        F.when(F.array_contains(stdlib, F.col("top")), "stdlib").when(F.col("package").isNotNull(), "installed").otherwise("missing").alias("status"),
+        tops.env, "path", *own, "top", "package",
+        F.when(F.array_contains(stdlib, F.col("top")), "stdlib").when(other, "other-package").when(F.col("package").isNotNull(), "installed").otherwise("missing").alias("status"),
     )
 
 
@@ -243,6 +273,59 @@ def stale_inventories(old: DataFrame, new: DataFrame, key: str = "env") -> DataF
     return a.join(b, key, "full_outer").select(key, "old_fp", "new_fp", (~F.col("old_fp").eqNullSafe(F.col("new_fp"))).alias("stale"))
 
 
+#: Name ranges of an environment.
+RANGES = 1024
+
+
+def _entry_sums(name: Column, version: Column) -> list[Column]:
+    """Two sums over an entry's SHA-256, whatever the order of the entries."""
+    said = F.sha2(F.concat(F.length(name).cast("string"), F.lit(":"), name, F.lit("="), F.coalesce(version, F.lit("-"))), 256)
+    return [F.sum(F.conv(F.substring(said, at, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)") for at in (1, 16)]
+
+
+def name_range(name: Column, ranges: int = RANGES) -> Column:
+    """The range of a name, by its hash."""
+    return (F.conv(F.substring(F.sha2(name, 256), 57, 8), 16, 10).cast("bigint") % ranges).cast("long")
+
+
+def range_digests(packages: DataFrame, key: str = "env", ranges: int = RANGES) -> DataFrame:
+    """J1, lower level: ``(key, range, digest, n)``. A range's digest comes from
+    sums over its entries' hashes, so tasks add up before the shuffle and no
+    value grows with the inventory."""
+    low, high = _entry_sums(F.col("name"), F.col("version"))
+    sums = packages.groupBy(key, name_range(F.col("name"), ranges).alias("range")).agg(low.alias("a"), high.alias("b"), F.count("*").alias("n"))
+    said = F.concat_ws(",", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"))
+    return sums.select(key, "range", F.sha2(said, 256).alias("digest"), "n")
+
+
+def inventory_digest(packages: DataFrame, key: str = "env", ranges: int = RANGES) -> DataFrame:
+    """J1 at any size: 16 digits of the SHA-256 over an environment's range
+    digests (at most ``ranges`` of them). Like :func:`inventory_fingerprint` it
+    changes with any name or version, but it is not that hash of the whole list,
+    which would gather an inventory into one value."""
+    d = range_digests(packages, key, ranges)
+    per = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("range", "digest"))).alias("r"), F.sum("n").cast("long").alias("packages_count"))
+    said = F.array_join(F.transform("r", lambda x: F.concat(x["range"].cast("string"), F.lit(":"), x["digest"])), ",")
+    return per.select(key, F.substring(F.sha2(said, 256), 1, 16).alias("fingerprint"), "packages_count")
+
+
+def inventory_changes(old: DataFrame, new: DataFrame, key: str = "env", ranges: int = RANGES) -> DataFrame:
+    """J2 in detail: ``(key, name, old_version, new_version, change)``. Digests
+    tell which ranges differ, and only their entries are compared. Repeated
+    entries of a name are compared as a sorted list."""
+    a, b = range_digests(old, key, ranges), range_digests(new, key, ranges)
+    same = b.select(key, "range", F.col("digest").alias("other"))
+    unlike = a.join(same, [key, "range"], "full_outer").where(~F.col("digest").eqNullSafe(F.col("other"))).select(key, "range")
+
+    def entries(packages: DataFrame, version: str) -> DataFrame:
+        own = packages.select(key, "name", "version", name_range(F.col("name"), ranges).alias("range")).join(unlike, [key, "range"], "left_semi")
+        return own.groupBy(key, "name").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("version", F.lit("-")))), ",").alias(version))
+
+    both = entries(old, "old_version").join(entries(new, "new_version"), [key, "name"], "full_outer")
+    change = F.when(F.col("old_version").isNull(), "added").when(F.col("new_version").isNull(), "removed").otherwise("changed")
+    return both.where(~F.col("old_version").eqNullSafe(F.col("new_version"))).select(key, "name", "old_version", "new_version", change.alias("change"))
+
+
 def refresh(old: DataFrame, new: DataFrame, doc_index: DataFrame, key: str = "env") -> DataFrame:
     """Per environment: added/removed/changed packages and, when the
     inventory changed at all, the number of doc entries invalidated."""

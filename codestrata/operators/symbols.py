@@ -144,24 +144,30 @@ def goto(analysis: DataFrame) -> DataFrame:
 
 def resolve_import_targets(targets: DataFrame, reexports: DataFrame) -> DataFrame:
     """Follow ``(project, target)`` names through module-level re-exports
-    (``reexports(project, target, next_target)``) to their end. Every round
-    doubles the steps a pointer spans, so a chain of any length takes a
-    logarithm of rounds, each one join and a checkpoint; a name that only
+    (``reexports(project, target, next_target)``) to their end. Only names that
+    are re-exports move; without any, nothing is written. Every round doubles
+    the steps a pointer spans, so a chain of any length takes a logarithm of
+    rounds, and a round ends them when no pointer has moved; a name that only
     leads in a circle keeps whatever it reached when all steps are spanned."""
     from .graph import _checkpoint
 
-    cur = _checkpoint(targets.select("project", "target").distinct().withColumn("final", F.col("target")))
-    jump = _checkpoint(reexports.select("project", F.col("target").alias("final"), F.col("next_target").alias("to")).distinct())
+    every = targets.select("project", "target").distinct()
+    jump = reexports.select("project", F.col("target").alias("final"), F.col("next_target").alias("to")).distinct()
+    cur = _checkpoint(every.join(jump.select("project", F.col("final").alias("target")), ["project", "target"], "left_semi"))
+    if cur.isEmpty():
+        return every.withColumn("final", F.col("target"))
+    still = every.join(cur, ["project", "target"], "left_anti").withColumn("final", F.col("target"))
+    cur, jump = cur.withColumn("final", F.col("target")), _checkpoint(jump)
     for _ in range(max(1, jump.count()).bit_length()):
         step = cur.join(jump, ["project", "final"], "left")
-        nxt = _checkpoint(step.select("project", "target", F.coalesce("to", "final").alias("final")).distinct())
-        done = nxt.join(cur, ["project", "target", "final"], "left_anti").isEmpty()
-        cur = nxt
-        if done:
+        moved = step.groupBy("project", "target", F.coalesce("to", "final").alias("final")).agg(F.max(F.coalesce(F.col("to") != F.col("final"), F.lit(False))).alias("moved"))
+        cur = _checkpoint(moved)
+        if cur.where("moved").isEmpty():
             break
+        cur = cur.drop("moved")
         onward = jump.select("project", F.col("final").alias("to"), F.col("to").alias("further"))
         jump = _checkpoint(jump.join(onward, ["project", "to"], "left").select("project", "final", F.coalesce("further", "to").alias("to")).distinct())
-    return cur
+    return still.unionByName(cur.select("project", "target", "final"))
 
 
 def definitions(analysis: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -200,14 +206,14 @@ def completions(syms: DataFrame, requests: DataFrame) -> DataFrame:
     """F8: ``requests(request_id, project, module, prefix)`` -> visible
     module-level names of that module starting with the prefix.
 
-    An equi-join on ``(project, module, first character)``, then the prefix
-    test: a request meets only names of its module with its first letter. An
-    empty prefix asks for every name of the module."""
-    s = syms.where(F.col("scope") == "<module>").select("project", "module", "name", "type", F.substring("name", 1, 1).alias("_c"))
-    keyed = requests.where(F.length("prefix") > 0).withColumn("_c", F.substring("prefix", 1, 1))
-    hit = keyed.join(s, ["project", "module", "_c"]).where(F.col("name").startswith(F.col("prefix"))).select("request_id", "name", "type")
-    everything = requests.where(F.coalesce(F.length("prefix"), F.lit(0)) == 0).join(s, ["project", "module"]).select("request_id", "name", "type")
-    return hit.unionByName(everything)
+    An equi-join on the prefix: names are cut to the lengths that requests for
+    their module have, so a request meets its answers alone. An empty prefix
+    asks for every name of the module."""
+    s = syms.where(F.col("scope") == "<module>").select("project", "module", "name", "type")
+    r = requests.withColumn("_n", F.coalesce(F.length("prefix"), F.lit(0)))
+    lengths = r.select("project", "module", "_n").distinct()
+    cut = s.join(lengths, ["project", "module"]).where(F.length("name") >= F.col("_n")).withColumn("_p", F.substring("name", F.lit(1), F.col("_n")))
+    return r.withColumn("_p", F.coalesce("prefix", F.lit(""))).join(cut.drop("_n"), ["project", "module", "_p"]).select("request_id", "name", "type")
 
 
 RENAME_TYPE = T.StructType(
@@ -293,6 +299,47 @@ def rename_batch(files: DataFrame, refs: DataFrame, renames: DataFrame) -> DataF
     return joined.select("project", "path", "text", "edits").mapInArrow(splice, RENAME_TYPE)
 
 
+HUNK_TYPE = T.StructType(
+    [T.StructField("project", T.StringType()), T.StructField("path", T.StringType()), T.StructField("hunk", T.LongType())]
+    + [T.StructField(c, T.LongType()) for c in ("old_start", "old_lines", "new_start", "new_lines")]
+    + [T.StructField("text", T.StringType())]
+)
+
+
+def diff_hunks(changed: DataFrame, context: int = 3) -> DataFrame:
+    """the changes of every file (``project, path, old_text, new_text``, as
+    from :func:`rename`) as hunks, numbered from 1; unchanged files have none."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(HUNK_TYPE)
+
+    def run(batches):
+        import pyarrow as pa
+
+        from codestrata.functions import diff as D
+
+        for b in batches:
+            rows = [
+                {"project": d["project"], "path": d["path"], "hunk": n, **h}
+                for d in b.to_pylist()
+                for n, h in enumerate(D.hunks(d["old_text"] or "", d["new_text"] or "", context), 1)
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return changed.select("project", "path", "old_text", "new_text").mapInArrow(run, HUNK_TYPE)
+
+
+def unified_diff(hunks: DataFrame) -> DataFrame:
+    """``(project, path, diff)``: a file's hunks as one unified diff."""
+
+    def span(start, lines):
+        return F.when(F.col(lines) == 1, F.col(start).cast("string")).otherwise(F.concat(F.col(start).cast("string"), F.lit(","), F.col(lines).cast("string")))
+
+    text = F.concat(F.lit("@@ -"), span("old_start", "old_lines"), F.lit(" +"), span("new_start", "new_lines"), F.lit(" @@\n"), F.col("text"))
+    per = hunks.groupBy("project", "path").agg(F.array_sort(F.collect_list(F.struct("hunk", text.alias("text")))).alias("h"))
+    return per.select("project", "path", F.concat(F.lit("--- "), "path", F.lit("\n+++ "), "path", F.lit("\n"), F.array_join(F.transform("h", lambda x: x["text"]), "")).alias("diff"))
+
+
 def hover(analysis: DataFrame, docs: DataFrame) -> DataFrame:
     """every resolved use with its definition's documentation record
     (``docs`` is the H1 index keyed by dotted ``name``)."""

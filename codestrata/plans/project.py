@@ -53,9 +53,9 @@ def analyze_project(
             out["edges"] = edges
             out["adjacency"] = G.import_adjacency(a, edges)
         if include_cycles:
-            out["cycles"] = G.circular_dependencies(edges)
+            out["cycles"] = G.circular_dependencies(edges, by_component=None)
     if include_cross_refs:
-        out["cross_references"] = G.cross_references(a)
+        out["cross_references"] = G.cross_references(a, max_hits=20)
     if rules is not None:
         out["findings"] = X.findings(a)
     return out

@@ -72,7 +72,7 @@ docs AS (
          'from ' || module || ' import C' || CAST(k AS VARCHAR), CAST(NULL AS VARCHAR), '' FROM ok
   UNION ALL
   SELECT module || '.C' || CAST(k AS VARCHAR) || '.g', 'function', 'g(x: int) -> str', CAST(1 AS BIGINT), CAST(1 AS BIGINT),
-         'from ' || module || '.C' || CAST(k AS VARCHAR) || ' import g', CAST(NULL AS VARCHAR), 'x:true' FROM ok
+         'from ' || module || ' import g', CAST(NULL AS VARCHAR), 'x:true' FROM ok
   UNION ALL
   SELECT module || '.f' || CAST(k AS VARCHAR), 'function', 'f' || CAST(k AS VARCHAR) || '(a: int, b) -> int', CAST(2 AS BIGINT), CAST(1 AS BIGINT),
          'from ' || module || ' import f' || CAST(k AS VARCHAR), 'Return a.', 'a:true,b:false' FROM ok)

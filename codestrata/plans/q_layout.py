@@ -9,7 +9,7 @@ from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import structural as E
 from ..operators import symbols as S
-from ..sources.corpus import LAYOUT_FILES, layout_corpus
+from ..sources.corpus import BROKEN_FILES, LAYOUT_FILES, STUB_FILES, file_corpus, layout_corpus
 from .registry import query
 
 
@@ -148,3 +148,91 @@ def layout_lint(spark, sf_dir):
 def layout_undefined(spark, sf_dir):
     """A star import hides what a file leaves undefined."""
     return D.undefined_names(_analysis(spark, sf_dir)).select("project", "path", "line", "name")
+
+
+def _changed_lines(path: str, text: str) -> str:
+    """The expected diff of a file so short that it is one hunk, whose lines
+    change in place."""
+    old, new = text.split("\n")[:-1], _renamed(path, text).split("\n")[:-1]
+    body, gone, come = [], [], []
+    for a, b in [*zip(old, new), (None, None)]:
+        if a == b:
+            body += [f"-{x}" for x in gone] + [f"+{x}" for x in come] + ([f" {a}"] if a is not None else [])
+            gone, come = [], []
+        else:
+            gone.append(a)
+            come.append(b)
+    n = "1" if len(old) == 1 else f"1,{len(old)}"
+    return f"--- {path}\n+++ {path}\n@@ -{n} +{n} @@\n" + "\n".join(body) + "\n"
+
+
+# two changes seven lines apart: their contexts touch, so they are one hunk
+@query("layout_diff", _per_project(["path", "diff"], [(p, _changed_lines(p, LAYOUT_FILES[p])) for p in [*IMPORTERS, "use.py", "pkg/core.py"]]))
+def layout_diff(spark, sf_dir):
+    """the unified diff of a rename."""
+    a = _analysis(spark, sf_dir)
+    r = S.rename(layout_corpus(spark, sf_dir), S.references(a), "pkg.core.run", "execute")
+    return S.unified_diff(S.diff_hunks(r))
+
+
+def _broken(spark, sf_dir):
+    return X.analyze_files(file_corpus(spark, sf_dir, BROKEN_FILES, "lib"), recovered=True).persist()
+
+
+@query(
+    "broken_errors",
+    _per_project(["path", "line"], [("three.py", 8), ("three.py", 16), ("three.py", 23), ("open.py", 2), ("empty.py", 2)]),
+)
+def broken_errors(spark, sf_dir):
+    """G1: every syntax error of a file."""
+    return X.syntax_errors(_broken(spark, sf_dir)).select("project", "path", "line")
+
+
+@query(
+    "broken_functions",
+    _per_project(
+        ["path", "name", "line"],
+        [("three.py", "first", 4), ("three.py", "last", 26), ("three.py", "Kept.good", 13), ("three.py", "Kept.after", 19), ("open.py", "one", 1), ("open.py", "two", 5), ("empty.py", "shown", 6), ("fine.py", "fine", 1)],
+    ),
+)
+def broken_functions(spark, sf_dir):
+    """B5, B9 of files with errors: what stands between and around them, at its
+    lines (only the statement with the error goes)."""
+    a = _broken(spark, sf_dir)
+    fns = X.functions(a).select("project", "path", "name", "line")
+    return fns.unionByName(X.methods(a).select("project", "path", F.concat_ws(".", "class_name", "name").alias("name"), "line"))
+
+
+def _stubs(spark, sf_dir):
+    return H.api_docs(X.analyze_files(file_corpus(spark, sf_dir, STUB_FILES, "lib")))
+
+
+@query(
+    "stub_modules",
+    _per_project(["name", "source_file", "short_description", "n_exports"], [("pkg", "pkg/__init__.py", "-", 0), ("pkg.m", "pkg/m.py", "Module of {s}.", 32)]),
+)
+def stub_modules(spark, sf_dir):
+    """A module with a stub is one record, with all its exports."""
+    d = _stubs(spark, sf_dir).where("object_type = 'module'")
+    return d.select("project", "name", "source_file", F.coalesce("short_description", F.lit("-")).alias("short_description"), F.size("methods").cast("long").alias("n_exports"))
+
+
+_ASKED = [
+    ("pkg.m.A.run", None, "from pkg.m import run"),
+    ("pkg.m", None, "import pkg.m"),
+    ("pkg.m.B.gone", "Attribute error: module 'pkg.m' has no attribute 'B'", None),
+    ("pkg.m.A.gone", "Attribute error: type object 'A' has no attribute 'gone'", None),
+    ("pkg.gone", "Attribute error: module 'pkg' has no attribute 'gone'", None),
+    ("other.thing", "Could not resolve 'other.thing': module not found", None),
+    ("", "Empty name provided", None),
+]
+
+
+@query("lookup_errors", _per_project(["object_name", "error", "import_statement"], [(n, e or "-", i or "-") for n, e, i in _ASKED]))
+def lookup_errors(spark, sf_dir):
+    """H2, H9: why a name is not found, and where from a found one is imported."""
+    docs = _stubs(spark, sf_dir)
+    names = F.array(*[F.lit(n) for n, _, _ in _ASKED])
+    req = docs.select("project").distinct().select("project", F.posexplode(names).alias("n", "object_name")).select(F.concat_ws("/", "project", "n").alias("request_id"), "project", "object_name")
+    r = H.resolve_names(docs.where("source_file not like '%.pyi'"), req)
+    return r.select("project", "object_name", F.coalesce("error", F.lit("-")).alias("error"), F.coalesce("doc.import_statement", F.lit("-")).alias("import_statement"))

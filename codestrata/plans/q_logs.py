@@ -115,3 +115,60 @@ def generic_sessions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     f = c.select(F.lit("logs").alias("project"), F.concat(F.lit("sessions/"), F.col("conv_id").cast("string"), F.lit(".log")).alias("path"), "text")
     return L.generic_sessions(f)
+
+
+def _runs(spark, sf_dir):
+    """Evaluation runs, several of one key, in the order of their suppliers."""
+    s = table(spark, sf_dir, "supplier").orderBy("s_suppkey")
+    none = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in L.RUN_SCHEMA.split(", ")}
+    k = F.col("s_suppkey")
+    own = {
+        "task_id": F.concat(F.lit("t"), (k % 5).cast("string")),
+        "agent": F.concat(F.lit("a"), (k % 2).cast("string")),
+        "skill_enabled": k % 3 == 0,
+        "tests_total": k,
+        "total_tokens": k * 10,
+        "timestamp": F.lit("2024-01-01T00:00:00+00:00"),
+    }
+    return s.select(*[own.get(c, none[c]).alias(c) for c in L.RUN_KEYS])
+
+
+def _folder(spark, name):
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/codestrata-{name}-{uuid.uuid4().hex}"
+
+
+_RUNS_CTE = "runs AS (SELECT 't' || CAST(s_suppkey % 5 AS VARCHAR) AS task_id, 'a' || CAST(s_suppkey % 2 AS VARCHAR) AS agent, s_suppkey % 3 = 0 AS skill_enabled, s_suppkey AS k FROM supplier)"
+
+
+@query("saved_runs", f"WITH {_RUNS_CTE} SELECT task_id, agent, skill_enabled, max(k) AS tests_total, max(k) * 10 AS total_tokens FROM runs GROUP BY ALL")
+def saved_runs(spark, sf_dir):
+    """Of the rows of one key the last one is kept."""
+    path = _folder(spark, "runs")
+    L.save_runs(_runs(spark, sf_dir), path)
+    return spark.read.parquet(path).select("task_id", "agent", "skill_enabled", "tests_total", "total_tokens")
+
+
+@query("loaded_runs", f"WITH {_RUNS_CTE} SELECT task_id, agent, skill_enabled, k AS tests_total, k * 10 AS total_tokens FROM runs WHERE k % 7 <> 0 AND k % 11 <> 0")
+def loaded_runs(spark, sf_dir):
+    """One JSON file a run; every seventh is cut off, every eleventh has a
+    key too many."""
+    path = _folder(spark, "run-files")
+    json = L.to_json_lines(_runs(spark, sf_dir)).withColumn("k", F.get_json_object("json", "$.tests_total").cast("long"))
+    cut, odd = F.expr("substring(json, 1, length(json) - 3)"), F.concat(F.lit('{"surprise": 1, '), F.expr("substring(json, 2)"))
+    text = F.when(F.col("k") % 7 == 0, cut).when(F.col("k") % 11 == 0, odd).otherwise(F.col("json"))
+    json.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return L.load_results(spark, path).select("task_id", "agent", "skill_enabled", "tests_total", "total_tokens")
+
+
+@query(
+    "json_lines",
+    """SELECT '{"n":' || CAST(s_suppkey AS VARCHAR) || ',"name":"' || s_name || '","flag":' || CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS json FROM supplier""",
+)
+def json_lines(spark, sf_dir):
+    """Rows as JSON documents."""
+    s = table(spark, sf_dir, "supplier")
+    return L.to_json_lines(s.select(F.col("s_suppkey").alias("n"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("flag")))

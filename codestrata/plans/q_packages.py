@@ -353,3 +353,119 @@ def metadata_files(spark, sf_dir):
 def metadata_packages(spark, sf_dir):
     p = P.packages_from_metadata(metadata_files(spark, sf_dir))
     return p.select("env", "name", "version", F.explode("import_names").alias("import_name"), F.size("dependencies").cast("long").alias("n_dependencies"))
+
+
+def _grown(packages):
+    """The packages over environments whose number grows with their own: about
+    the square root."""
+    n = packages.agg(F.greatest(F.lit(4), F.floor(F.sqrt(F.max("k")))).alias("n")).scalar()
+    return packages.withColumn("env", F.concat(F.lit("env"), (F.col("k") % n).cast("string")))
+
+
+_DIGEST_CTE = (
+    _SNAP_CTE.replace("'env' || CAST(p_partkey % 4 AS VARCHAR) AS env", "'env' || CAST(p_partkey % (SELECT greatest(4, CAST(floor(sqrt(max(p_partkey))) AS BIGINT)) FROM part) AS VARCHAR) AS env")
+    + """,
+both_inv AS (SELECT 'old' AS side, env, name, version FROM pk UNION ALL SELECT 'new', env, name, version FROM new),
+hashed AS (
+  SELECT side, env, CAST('0x' || substr(sha256(name), 57, 8) AS BIGINT) % 1024 AS range, sha256(CAST(length(name) AS VARCHAR) || ':' || name || '=' || version) AS h FROM both_inv),
+ranged AS (
+  SELECT side, env, range, count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS a, sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS b FROM hashed GROUP BY ALL),
+digests AS (SELECT side, env, range, n, sha256(CAST(n AS VARCHAR) || ',' || CAST(a AS VARCHAR) || ',' || CAST(b AS VARCHAR)) AS digest FROM ranged),
+tops AS (
+  SELECT side, env, substr(sha256(string_agg(CAST(range AS VARCHAR) || ':' || digest, ',' ORDER BY range)), 1, 16) AS fingerprint, CAST(sum(n) AS BIGINT) AS packages_count FROM digests GROUP BY side, env)
+"""
+)
+
+
+@query("inventory_digest", with_(_DIGEST_CTE) + "SELECT env, fingerprint, packages_count FROM tops WHERE side = 'old'")
+def inventory_digest(spark, sf_dir):
+    return P.inventory_digest(_grown(packages_view(spark, sf_dir)))
+
+
+@query(
+    "inventory_ranges",
+    with_(_DIGEST_CTE)
+    + """SELECT coalesce(o.env, n.env) AS env, coalesce(o.range, n.range) AS range FROM (SELECT * FROM digests WHERE side = 'old') o
+         FULL OUTER JOIN (SELECT * FROM digests WHERE side = 'new') n ON o.env = n.env AND o.range = n.range WHERE o.digest IS DISTINCT FROM n.digest""",
+)
+def inventory_ranges(spark, sf_dir):
+    """The name ranges in which two snapshots differ."""
+    pk = _grown(packages_view(spark, sf_dir))
+    a, b = P.range_digests(pk), P.range_digests(_new_snapshot(pk)).select("env", "range", F.col("digest").alias("other"))
+    return a.join(b, ["env", "range"], "full_outer").where(~F.col("digest").eqNullSafe(F.col("other"))).select("env", "range")
+
+
+@query(
+    "inventory_changes",
+    with_(_DIGEST_CTE)
+    + """SELECT coalesce(o.env, n.env) AS env, coalesce(o.name, n.name) AS name, coalesce(o.version, '-') AS old_version, coalesce(n.version, '-') AS new_version,
+              CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' ELSE 'changed' END AS change
+         FROM pk o FULL OUTER JOIN new n ON o.env = n.env AND o.name = n.name WHERE o.version IS DISTINCT FROM n.version""",
+)
+def inventory_changes(spark, sf_dir):
+    pk = _grown(packages_view(spark, sf_dir))
+    c = P.inventory_changes(pk, _new_snapshot(pk))
+    return c.select("env", "name", F.coalesce("old_version", F.lit("-")).alias("old_version"), F.coalesce("new_version", F.lit("-")).alias("new_version"), "change")
+
+
+@query(
+    "install_answers",
+    with_(_PKG_CTE)
+    + """SELECT k AS request_id, k % 2 = 0 AS already_installed, CASE WHEN k % 2 = 0 THEN version ELSE '-' END AS installed_version,
+              CASE WHEN k % 2 = 0 THEN '''' || upper(name) || ''' is already installed.' ELSE '-' END AS note,
+              (['uv add ', 'poetry add ', 'pipenv install ', 'pip install '])[k % 4 + 1] || CASE WHEN k % 2 = 0 THEN upper(name) ELSE 'no-' || name END AS install_command FROM pk""",
+)
+def install_answers(spark, sf_dir):
+    """Every other request asks for an installed package, in capitals."""
+    pk = packages_view(spark, sf_dir)
+    k = F.col("k")
+    manager = F.element_at(F.array(*[F.lit(m) for m in ("uv", "poetry", "pipenv", "pip")]), (k % 4 + 1).cast("int"))
+    req = pk.select(k.alias("request_id"), "env", F.when(k % 2 == 0, F.upper("name")).otherwise(F.concat(F.lit("no-"), "name")).alias("package"), manager.alias("manager"))
+    r = P.install_instructions(pk, req)
+    dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    return r.select("request_id", "already_installed", dash("installed_version"), dash("note"), "install_command")
+
+
+def _wide(spark, sf_dir):
+    """Distributions of eight modules each, all from their file lists."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    own, none = F.col("k").cast("string"), F.array().cast("array<string>")
+    files = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.concat(F.lit("mod"), own, F.lit("_"), i.cast("string"), F.lit("/__init__.py")))
+    pk = p.select(
+        "k", F.lit("env0").alias("env"), F.concat(F.lit("Wide"), own).alias("name"), F.lit("1.0").alias("version"), none.alias("import_names"), none.alias("requires"), files.alias("files"),
+        F.lit(None).cast("string").alias("top_level"),
+    )
+    return P.normalise(pk)
+
+
+@query(
+    "wide_imports",
+    """SELECT 'env0' AS env, 'MOD' || CAST(p_partkey AS VARCHAR) || '_' || CAST(i AS VARCHAR) AS import_name, 'Wide' || CAST(p_partkey AS VARCHAR) AS package
+       FROM part, (SELECT unnest(range(1, 9)) AS i)""",
+)
+def wide_imports(spark, sf_dir):
+    """I3 into I6: the eighth module of a package is found like the first."""
+    pk = _wide(spark, sf_dir)
+    req = pk.select("env", F.explode("import_names").alias("n")).select("env", F.upper("n").alias("import_name"))
+    return P.find_package_by_import(pk, req)
+
+
+@query(
+    "expected_packages",
+    """SELECT 'mod' || CAST(p_partkey AS VARCHAR) || '_8' AS top, CASE WHEN p_partkey % 3 = 0 THEN 'other-package' ELSE 'installed' END AS status FROM part""",
+)
+def expected_packages(spark, sf_dir):
+    """Imports that another package than the expected one provides."""
+    from ..operators.extract import stdlib_array
+
+    pk = _wide(spark, sf_dir)
+    own = F.col("k").cast("string")
+    expected = F.when(F.col("k") % 3 == 0, F.lit("else")).otherwise(F.lower("name"))
+    imps = pk.select("env", F.concat(F.lit("p"), own, F.lit(".py")).alias("path"), expected.alias("expected"), F.concat(F.lit("mod"), own, F.lit("_8.sub")).alias("module"))
+    return P.import_audit(imps, P.import_to_package(pk), stdlib_array()).select("top", "status")
+
+
+@query("install_locations", "SELECT 'Wide' || CAST(p_partkey AS VARCHAR) AS name, '/site/mod' || CAST(p_partkey AS VARCHAR) || '_1' AS location FROM part")
+def install_locations(spark, sf_dir):
+    """I8: the folder of a distribution's first file."""
+    return _wide(spark, sf_dir).select("name", P.install_location(F.lit("/site"), F.col("files")).alias("location"))

@@ -188,3 +188,35 @@ def decode_files(spark, sf_dir):
         content.alias("content"),
     )
     return decode(files).select("path", F.length("text").cast("long").alias("n_chars"))
+
+
+def _index(spark, sf_dir):
+    """The documents' trigram index, in a folder of its own."""
+    import uuid
+
+    from ..operators import trigrams as I
+    from ..session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/codestrata-index-{uuid.uuid4().hex}"
+    I.build_index(document_files(spark, sf_dir), path)
+    return path
+
+
+@query(
+    "indexed_search",
+    with_(DOC_FILES) + "SELECT project, path, CAST(line AS BIGINT) AS line, text FROM doc_lines WHERE regexp_matches(text, 'License')",
+)
+def indexed_search(spark, sf_dir):
+    from ..operators import trigrams as I
+
+    return I.search_index(spark, _index(spark, sf_dir), PATTERN)
+
+
+@query(
+    "indexed_search_regex",
+    with_(DOC_FILES) + "SELECT project, path, CAST(line AS BIGINT) AS line, text FROM doc_lines WHERE regexp_matches(text, '(?i)(apache|mit) +lic[a-z]+ns[ei]')",
+)
+def indexed_search_regex(spark, sf_dir):
+    from ..operators import trigrams as I
+
+    return I.search_index(spark, _index(spark, sf_dir), "(apache|mit) +lic[a-z]+ns[ei]", case_sensitive=False)

@@ -223,7 +223,7 @@ def apply_rewrite(spark, sf_dir):
 )
 def variables(spark, sf_dir):
     a = X.analyze_files(_seeded_files(spark, sf_dir))
-    return X.variables(a).select("path", "name", "line", "value")
+    return X.variables(a, first=10, width=50).select("path", "name", "line", "value")
 
 
 @query(

@@ -150,6 +150,25 @@ SCOPE_FILES = {
 }
 
 
+#: Syntax errors with valid code between them; each on the line named.
+BROKEN_FILES = {
+    "three.py": (
+        "import os\n\n\ndef first():\n    return 1\n\n\ndef second()\n    return 2\n\n\nclass Kept:\n    def good(self):\n        return 3\n\n    def bad(self:\n        return 4\n\n"
+        "    def after(self):\n        return 5\n\n\nvalue = = 1\n\n\ndef last():\n    return os.sep\n"
+    ),
+    "open.py": "def one():\n    return (\n\n\ndef two():\n    '''\ndef inside():\n    '''\n    return 2\n",
+    "empty.py": "def nothing():\nvalue = 1\n\n\n@decorated\ndef shown():\n    pass\n",
+    "fine.py": "def fine():\n    pass\n",
+}
+
+#: A stub beside its module, and a module that lacks what is asked of it.
+STUB_FILES = {
+    "pkg/__init__.py": "",
+    "pkg/m.py": '"""Module of {s}."""\n\n\ndef f(a):\n    """f(a, b) does."""\n    return a\n\n\nclass A:\n    def run(self):\n        pass\n' + "".join(f"\n\ndef g{k:02d}():\n    pass\n" for k in range(30)),
+    "pkg/m.pyi": "def f(a: int) -> int: ...\n",
+}
+
+
 def file_corpus(spark: SparkSession, sf_dir: str, files: dict[str, str], prefix: str) -> DataFrame:
     """``files(project, path, text)``: the given files once for each ``supplier``
     row, whose key stands for ``{s}``."""

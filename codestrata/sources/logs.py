@@ -75,9 +75,12 @@ def load_results(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def save_runs(runs: DataFrame, directory: str) -> None:
-    """Last write wins per (task, agent, flag): dynamic partition
-    overwrite of exactly the partitions present in ``runs``, stamped with the
-    UTC write time."""
+    """Last write wins per (task, agent, flag), also among the rows of
+    ``runs``, by their order: dynamic partition overwrite of exactly the
+    partitions present in ``runs``, stamped with the UTC write time."""
+    keys = ["task_id", "agent", "skill_enabled"]
+    rows = runs.select(F.struct("*").alias("r"), F.monotonically_increasing_id().alias("at"))
+    runs = rows.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(F.max_by("r", "at").alias("r")).select("r.*")
     stamped = runs.withColumn("timestamp", F.coalesce(F.col("timestamp"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
     stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id", "agent", "skill_enabled").parquet(directory)
 

@@ -6,6 +6,8 @@ streaming versions reuse them; state is bounded by watermarks.
 * S1 session metrics over append-only event logs: session windows per
   ``session_id`` closed by the watermark (append mode). In a stream the
   file order is not defined, so wall clock uses event-time min/max.
+  ``session_metrics_stateful`` keeps a session for good; ``expiring_sessions``
+  lets it go when event time has passed it by.
 * S2 doc-index TTL: ``dropDuplicatesWithinWatermark`` keeps the first entry
   per name inside the 168 h TTL.
 * S3 text search / lint over newly landed files: the batch functions applied
@@ -14,8 +16,12 @@ streaming versions reuse them; state is bounded by watermarks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import search as S
 
@@ -124,3 +130,89 @@ def session_metrics_stateful(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").applyInPandasWithState(
         _session_state_update, _OUT_SCHEMA, _STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
     )
+
+
+TOTALS_SCHEMA = "input_tokens long, output_tokens long, turn_count long, tool_calls long, first_line long, first_ts string, last_line long, last_ts string, until_ms long"
+EXPIRED_SCHEMA = _OUT_SCHEMA
+
+
+class _ExpiringSession(StatefulProcessor):
+    """Running totals of a session, with one event-time timer at its end."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", TOTALS_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.totals.get()
+        inp, out, turns, tools, first_line, first, last_line, last, until = held if held is not None else (0, 0, 0, 0, None, None, None, None, None)
+        before = until
+        for r in rows:
+            turn = r.type in ("assistant", "turn.completed")
+            inp += (r.usage_in or 0) + ((r.top_in or 0) if turn else 0)
+            out += (r.usage_out or 0) + ((r.top_out or 0) if turn else 0)
+            turns += turn
+            tools += (r.type == "tool_use" or r.role == "tool") + (r.tool_blocks or 0)
+            if r.ts is not None:  # by line number, in whatever order the rows come
+                if first_line is None or r.line_no < first_line:
+                    first_line, first = r.line_no, r.ts
+                if last_line is None or r.line_no > last_line:
+                    last_line, last = r.line_no, r.ts
+            if r.event_time is not None:
+                end = int(r.event_time.replace(tzinfo=r.event_time.tzinfo or datetime.timezone.utc).timestamp() * 1000) + self.gap_ms
+                until = end if until is None else max(until, end)
+        if until is None:  # no time at all: it ends a gap after what has been seen
+            until = max(timerValues.getCurrentWatermarkInMs(), 0) + self.gap_ms
+        if until != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(until)
+        self.totals.update((inp, out, turns, tools, first_line, first, last_line, last, until))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        inp, out, turns, tools, _, first, _, last, _ = self.totals.get()
+        self.totals.clear()
+        yield Row(
+            session_id=key[0], input_tokens=inp, output_tokens=out, total_tokens=inp + out, turn_count=turns, tool_calls=tools,
+            first_ts=first, last_ts=last, wall_clock_seconds=_seconds(first, last),
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def _seconds(first: str | None, last: str | None) -> float:
+    import pandas as pd
+
+    if not first or not last:
+        return 0.0
+    a, b = (pd.to_datetime(x, utc=True, errors="coerce") for x in (first, last))
+    return 0.0 if pd.isna(a) or pd.isna(b) else (b - a).total_seconds()
+
+
+def expiring_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
+    """S1 with bounded state: one row a session, when the watermark has passed
+    its last event by ``gap``; then its state is gone, and rows that come later
+    begin a session anew. First and last timestamps go by line number, however
+    the rows are cut into batches. ``events`` has the columns of
+    ``accounting.parse_session_events`` and ``event_time``. Output mode
+    ``append``; needs the RocksDB state store (:func:`use_rocksdb`)."""
+    gap_ms = int(pd_timedelta(gap) * 1000)
+    slim = events.select("session_id", "line_no", "type", "role", "ts", "usage_in", "usage_out", "top_in", "top_out", "tool_blocks", "event_time")
+    keyed = slim.withWatermark("event_time", watermark).groupBy("session_id")
+    return keyed.transformWithState(_ExpiringSession(gap_ms), EXPIRED_SCHEMA, "Append", "EventTime")
+
+
+def pd_timedelta(span: str) -> float:
+    import pandas as pd
+
+    return pd.Timedelta(span).total_seconds()
+
+
+def use_rocksdb(spark) -> None:
+    """Timers need this state store; set before the stream starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -3,6 +3,11 @@
 import __spark_entry__ as E
 
 EXPECTED = [
+    'class_orders', 'class_members', 'class_docs', 'method_references', 'method_definitions', 'method_help',
+    'scope_undefined', 'scope_unused', 'scope_goto', 'scope_rows', 'layout_diff', 'broken_errors', 'broken_functions',
+    'stub_modules', 'lookup_errors', 'indexed_search', 'indexed_search_regex', 'inventory_digest', 'inventory_ranges',
+    'inventory_changes', 'install_answers', 'wide_imports', 'expected_packages', 'install_locations', 'saved_runs',
+    'loaded_runs', 'json_lines',
     'layout_cycles', 'layout_definitions', 'layout_edges', 'layout_hover', 'layout_lint', 'layout_references',
     'layout_rename', 'layout_signature_help', 'layout_undefined',
     'decode_files',

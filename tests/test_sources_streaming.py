@@ -166,3 +166,35 @@ def test_stateful_session_metrics_across_batches(spark, tmp_path):
     rows = spark.sql("SELECT * FROM s1_state ORDER BY turn_count DESC").collect()
     last = rows[0]
     assert (last.input_tokens, last.output_tokens, last.turn_count, last.tool_calls, last.wall_clock_seconds) == (6, 8, 2, 1, 30.0)
+
+
+def test_sessions_expire_with_the_watermark(spark, tmp_path):
+    """Three batches: lines out of order, a session that ends, one that comes back."""
+    kinds = "session_id string, line_no long, type string, role string, ts string, usage_in long, usage_out long, top_in long, top_out long, tool_blocks int, event_time timestamp"
+    t0 = dt.datetime(2024, 1, 1)
+
+    def row(sid, line, minutes, tools=0):
+        at = t0 + dt.timedelta(minutes=minutes)
+        return (sid, line, "assistant", None, at.strftime("%Y-%m-%dT%H:%M:%SZ"), 1, 2, 0, 0, tools, at)
+
+    batches = [
+        [row("s1", 2, 5), row("s1", 0, 1, 1), row("s2", 0, 1)],
+        [row("s1", 1, 3), row("s1", 3, 8), row("s2", 1, 600)],
+        [row("s1", 9, 1200), row("s3", 0, 1200)],
+        [row("s3", 1, 3000)],
+    ]
+    ST.use_rocksdb(spark)
+    q = None
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+        if q is None:
+            stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+            out = ST.expiring_sessions(stream, gap="30 minutes", watermark="10 minutes")
+            q = out.writeStream.outputMode("append").format("memory").queryName("s1_expired").option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in map(json.loads, (x.json for x in q.recentProgress)) if p["stateOperators"]]
+    q.stop()
+    got = sorted((r.session_id, r.turn_count, r.total_tokens, r.tool_calls, r.wall_clock_seconds) for r in spark.sql("SELECT * FROM s1_expired").collect())
+    # s1: lines 0 to 3 are one session, whatever their order; its line 9 begins anew
+    assert ("s1", 4, 12, 1, 420.0) in got and ("s1", 1, 3, 0, 0.0) in got and ("s2", 1, 3, 0, 0.0) in got
+    assert max(held) > 0
