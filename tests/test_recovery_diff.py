@@ -15,7 +15,7 @@ def test_errors_keep_lines_and_leave_valid_code():
     for _ in range(400):
         text = "\n".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 25)))
         found, left = recover(text)
-        assert left.count("\n") == text.count("\n") and (found or left == text)
+        assert left.count("\n") == text.count("\n") and (found or left == text.replace(chr(13), chr(10)))
         assert all(1 <= e["line"] <= text.count("\n") + 2 for e in found)
         try:
             ast.parse(left)
