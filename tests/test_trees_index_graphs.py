@@ -37,6 +37,7 @@ def test_deep_trees_and_errors_are_rows(spark, tmp_path):
     assert sorted(r.path for r in listed if r.kind == "dir") == ["d0", "d0/d1", "d0/d1/d2"]
     errors = {r.path: r.error for r in tree_errors(spark, str(tmp_path)).collect()}
     assert set(errors) == {"bad.py", "d0/link.py"} and errors["bad.py"].startswith("UnicodeDecodeError")
+    register(spark)
     same = spark.read.format("source_tree").option("path", str(tmp_path)).load()
     assert sorted(r.path for r in same.collect()) == got
 
