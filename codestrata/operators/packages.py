@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import by_merge
+
 VERSION_RE = r"\d+(?:\.\d+){0,3}"
 # Roots of dotted names that are no packages.
 BUILTIN_TYPES = ("str", "int", "float", "bool", "list", "dict", "set", "tuple")
@@ -79,7 +81,7 @@ def package_details(packages: DataFrame, requests: DataFrame) -> DataFrame:
     p = packages.select("env", F.lower("name").alias("_k"), F.struct(*packages.columns).alias("pkg"))
     first = p.groupBy("env", "_k").agg(F.min_by("pkg", F.col("pkg.name")).alias("pkg"))
     r = requests.withColumn("_k", F.lower("request"))
-    return r.join(first, ["env", "_k"], "left").select("env", "request", F.col("pkg.name").isNotNull().alias("installed"), "pkg").drop("_k")
+    return r.join(by_merge(first), ["env", "_k"], "left").select("env", "request", F.col("pkg.name").isNotNull().alias("installed"), "pkg").drop("_k")
 
 
 def import_to_package(packages: DataFrame) -> DataFrame:
@@ -99,8 +101,8 @@ def find_package_by_import(packages: DataFrame, requests: DataFrame) -> DataFram
     ci = e.groupBy("env", F.lower("imp").alias("_k")).agg(F.min("name").alias("ci_pkg"))
     r = requests.withColumn("_k", F.lower("import_name"))
     return (
-        r.join(exact, ["env", "import_name"], "left")
-        .join(ci, ["env", "_k"], "left")
+        r.join(by_merge(exact), ["env", "import_name"], "left")
+        .join(by_merge(ci), ["env", "_k"], "left")
         .select("env", "import_name", F.coalesce("exact_pkg", "ci_pkg").alias("package"))
     )
 
@@ -111,7 +113,7 @@ def main_exports(api_docs_exports: DataFrame, packages: DataFrame, limit: int |
     shows 10)."""
     imp = packages.select("env", "name", F.explode("import_names").alias("module"))
     names = F.array_sort(F.flatten(F.collect_list(F.coalesce("exports", F.array().cast("array<string>")))))
-    return imp.join(api_docs_exports, "module", "left").groupBy("env", "name").agg((F.slice(names, 1, limit) if limit else names).alias("main_exports"))
+    return imp.join(by_merge(api_docs_exports), "module", "left").groupBy("env", "name").agg((F.slice(names, 1, limit) if limit else names).alias("main_exports"))
 
 
 def install_location(root: Column, files: Column) -> Column:
@@ -127,7 +129,7 @@ def install_instructions(packages: DataFrame, requests: DataFrame) -> DataFrame:
     package is installed (names without case), in which version, a note, and
     the command of the project's manager (of :func:`detect_manager`)."""
     pk = packages.groupBy("env", F.lower("name").alias("_k")).agg(F.min_by("version", "name").alias("installed_version"), F.lit(True).alias("_there"))
-    j = requests.withColumn("_k", F.lower("package")).join(pk, ["env", "_k"], "left")
+    j = requests.withColumn("_k", F.lower("package")).join(by_merge(pk), ["env", "_k"], "left")
     there = F.coalesce("_there", F.lit(False))
     return j.select(
         "request_id", "package", there.alias("already_installed"), F.when(there, F.coalesce("installed_version", F.lit("unknown"))).alias("installed_version"),
@@ -214,8 +216,8 @@ def detect_manager(markers: DataFrame, requests: DataFrame, max_levels: int = 10
         lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, F.size(parts) - i), "/").alias("dir")),
     )
     levels = requests.select("request_id", F.explode(anc).alias("a")).select("request_id", F.col("a.depth").alias("depth"), F.col("a.dir").alias("dir"))
-    hit = levels.join(mk, "dir").groupBy("request_id").agg(F.min_by("k.m", F.struct("depth", "k.p")).alias("manager"))
-    return requests.join(hit, "request_id", "left").withColumn("manager", F.coalesce("manager", F.lit("pip")))
+    hit = levels.join(by_merge(mk), "dir").groupBy("request_id").agg(F.min_by("k.m", F.struct("depth", "k.p")).alias("manager"))
+    return requests.join(by_merge(hit), "request_id", "left").withColumn("manager", F.coalesce("manager", F.lit("pip")))
 
 
 def install_command(manager: Column, package: Column) -> Column:
@@ -241,7 +243,7 @@ def import_audit(file_imports: DataFrame, lookup: DataFrame, stdlib: Column) ->
     package provides is ``other-package``."""
     own = ["expected"] if "expected" in file_imports.columns else []
     tops = file_imports.select("env", "path", *own, F.split("module", r"\.").getItem(0).alias("top")).distinct()
-    j = tops.join(lookup.select("env", F.col("import_key"), "package"), (tops.env == lookup.env) & (F.lower(tops.top) == lookup.import_key), "left")
+    j = tops.join(by_merge(lookup.select("env", F.col("import_key"), "package")), (tops.env == lookup.env) & (F.lower(tops.top) == lookup.import_key), "left")
     other = F.lower("package") != F.lower("expected") if own else F.lit(False)
     return j.select(
         tops.env, "path", *own, "top", "package",
@@ -321,7 +323,7 @@ def inventory_changes(old: DataFrame, new: DataFrame, key: str = "env", ranges:
         own = packages.select(key, "name", "version", name_range(F.col("name"), ranges).alias("range")).join(unlike, [key, "range"], "left_semi")
         return own.groupBy(key, "name").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("version", F.lit("-")))), ",").alias(version))
 
-    both = entries(old, "old_version").join(entries(new, "new_version"), [key, "name"], "full_outer")
+    both = entries(old, "old_version").join(by_merge(entries(new, "new_version")), [key, "name"], "full_outer")
     change = F.when(F.col("old_version").isNull(), "added").when(F.col("new_version").isNull(), "removed").otherwise("changed")
     return both.where(~F.col("old_version").eqNullSafe(F.col("new_version"))).select(key, "name", "old_version", "new_version", change.alias("change"))
 
@@ -331,7 +333,7 @@ def refresh(old: DataFrame, new: DataFrame, doc_index: DataFrame, key: str = "en
     inventory changed at all, the number of doc entries invalidated."""
     o = old.select(key, "name", F.col("version").alias("old_v"))
     n = new.select(key, "name", F.col("version").alias("new_v"))
-    diff = o.join(n, [key, "name"], "full_outer").groupBy(key).agg(
+    diff = o.join(by_merge(n), [key, "name"], "full_outer").groupBy(key).agg(
         F.count_if(F.col("old_v").isNull()).cast("long").alias("added"),
         F.count_if(F.col("new_v").isNull()).cast("long").alias("removed"),
         F.count_if(F.col("old_v").isNotNull() & F.col("new_v").isNotNull() & (F.col("old_v") != F.col("new_v"))).cast("long").alias("changed"),
@@ -348,7 +350,7 @@ def doc_freshness(doc_index: DataFrame, packages: DataFrame, now: Column, ttl_ho
     differs from the cached one (NULL cached version counts as different), or
     the entry is older than the TTL."""
     cur = packages.select(key, F.col("name").alias("package"), F.col("version").alias("current_version"))
-    j = doc_index.join(cur, [key, "package"], "left")
+    j = doc_index.join(by_merge(cur), [key, "package"], "left")
     stale_version = F.col("package").isNotNull() & F.col("current_version").isNotNull() & ~F.col("package_version").eqNullSafe(F.col("current_version"))
     expired = F.col("cached_at").isNotNull() & (F.col("cached_at") < now - F.expr(f"INTERVAL {int(ttl_hours)} HOURS"))
     status = F.when(stale_version, "stale_version").when(expired, "expired").otherwise("hit")
@@ -402,7 +404,7 @@ def packages_from_metadata(files: DataFrame) -> DataFrame:
     rec = f.where(F.col("kind") == "RECORD").select(
         "env", "dist", F.filter(F.transform(lines, lambda l: F.split(l, ",").getItem(0)), lambda x: x != "").alias("files")
     )
-    out = meta.join(top, ["env", "dist"], "left").join(rec, ["env", "dist"], "left")
+    out = meta.join(by_merge(top), ["env", "dist"], "left").join(by_merge(rec), ["env", "dist"], "left")
     return normalise(
         out.select("env", "name", "version", F.array().cast("array<string>").alias("import_names"), "requires", "files", "top_level")
     )

@@ -4,6 +4,7 @@ derived from ``part`` (packages, markers) and ``events`` (doc lookups)."""
 from pyspark.sql import functions as F
 
 from ..operators import packages as P
+from ..operators.joins import by_merge
 from ..sources.tables import table
 from .registry import query
 from .sql_common import GEN, with_
@@ -180,7 +181,7 @@ def doc_index_view(spark, sf_dir):
     attributed to the package of part ``user_id``."""
     e = table(spark, sf_dir, "events")
     pk = packages_view(spark, sf_dir).select(F.col("k").alias("user_id"), F.col("name").alias("package"), F.col("version").alias("real_version"))
-    d = e.join(pk, "user_id", "left")
+    d = e.join(by_merge(pk), "user_id", "left")
     return d.select(
         F.concat(F.lit("env"), (F.col("event_id") % 4).cast("string")).alias("env"),
         F.concat(F.lit("obj"), F.col("event_id").cast("string")).alias("name"),
