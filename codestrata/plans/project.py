@@ -14,6 +14,7 @@ from ..operators import docs as H
 from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import packages as P
+from ..operators.joins import by_merge
 
 
 def analyze_project(
@@ -122,10 +123,10 @@ def codegen_context(requests: DataFrame, docs: DataFrame, packages: DataFrame, c
     if "import_names" not in packages.columns:
         packages = packages.withColumn("import_names", F.array().cast("array<string>"))
     imports = P.find_package_by_import(packages, r.where(F.col("import_name").isNotNull()).select("env", "import_name").distinct())
-    j = r.join(known, [*own, "object_name"], "left").withColumn("_k", F.lower("target")).join(pk, ["env", "_k"], "left").drop("_k")
-    j = j.join(imports.withColumnRenamed("package", "resolved_package"), ["env", "import_name"], "left")
+    j = r.join(by_merge(known), [*own, "object_name"], "left").withColumn("_k", F.lower("target")).join(by_merge(pk), ["env", "_k"], "left").drop("_k")
+    j = j.join(by_merge(imports.withColumnRenamed("package", "resolved_package")), ["env", "import_name"], "left")
     spec = P.check_spec(j.select("request_id", F.col("p.pkg_version").alias("version"), F.col("package_version_spec").alias("spec")))
-    j = j.join(spec.select("request_id", F.col("compatible").alias("version_ok"), "details"), "request_id", "left")
+    j = j.join(by_merge(spec.select("request_id", F.col("compatible").alias("version_ok"), "details")), "request_id", "left")
 
     python_ok = P.python_check(F.col("min_python"), F.lit(current_python))
     missing = F.col("target").isNotNull() & F.col("p").isNull()
