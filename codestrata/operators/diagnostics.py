@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pyast import BUILTIN_NAMES
 from .extract import KEY_COLS, syntax_errors
+from .joins import by_merge
 from .scopes import resolve, uses
 
 DIAG_COLS = ["project", "path", "line", "column", "severity", "source", "message"]
@@ -45,7 +46,7 @@ def unused_imports(analysis: DataFrame) -> DataFrame:
     # ``from __future__ import x`` is a compiler directive, never "unused"
     b = bindings(analysis).where((F.col("kind") == "import") & ~F.coalesce(F.col("target"), F.lit("")).startswith("__future__."))
     used = resolve(analysis, "uses").where(F.col("resolved_id").isNotNull()).select(*KEY_COLS, F.col("resolved_id").alias("scope_id"), "name").distinct()
-    un = b.join(used, [*KEY_COLS, "scope_id", "name"], "left_anti").where(~((F.col("scope_id") == 0) & F.array_contains("dunder_all", F.col("name"))))
+    un = b.join(by_merge(used), [*KEY_COLS, "scope_id", "name"], "left_anti").where(~((F.col("scope_id") == 0) & F.array_contains("dunder_all", F.col("name"))))
     return un.select(
         *KEY_COLS, "line", "column", F.lit("warning").alias("severity"), F.lit("pyflakes").alias("source"),
         F.concat(F.lit("'"), F.coalesce("target", "name"), F.lit("' imported but unused")).alias("message"), "name",
@@ -87,14 +88,14 @@ def project_diagnostics(files: DataFrame, diags: DataFrame) -> DataFrame:
         F.sum("warnings").cast("long").alias("warnings"),
         F.sum("info").cast("long").alias("info"),
     )
-    return checked.join(tot, "project", "left").fillna(0, ["files_with_issues", "errors", "warnings", "info"])
+    return checked.join(by_merge(tot), "project", "left").fillna(0, ["files_with_issues", "errors", "warnings", "info"])
 
 
 def type_checker_fallback(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """Secondary checker rows only for files where the primary found none;
     files are told apart by project too where both sides have one."""
     keys = [c for c in ("project", "path") if c in primary.columns and c in secondary.columns]
-    return primary.unionByName(secondary.join(primary.select(*keys).distinct(), keys, "left_anti"))
+    return primary.unionByName(secondary.join(by_merge(primary.select(*keys).distinct()), keys, "left_anti"))
 
 
 # ---------------------------------------------------------------------------

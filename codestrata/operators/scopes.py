@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .extract import KEY_COLS
+from .joins import by_merge
 
 
 def scope_rows(analysis: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def resolve(analysis: DataFrame, column: str, carry: tuple[str, ...] = ()) -> Da
         *KEY_COLS, F.col("u.scope_id").alias("scope_id"), F.col("u.name").alias("name"), "depth", "seen_id", F.get("scopes", F.col("seen_id"))["name"].alias("seen"), places.alias("c")
     )
     there = bound_names(analysis).select(*KEY_COLS, F.col("scope_id").alias("seen_id"), "name", F.lit(True).alias("there"))
-    met = slim.join(there, [*KEY_COLS, "seen_id", "name"], "left")
+    met = slim.join(by_merge(there), [*KEY_COLS, "seen_id", "name"], "left")
     nearest = F.min(F.when(F.col("there"), F.struct("depth", "seen_id", "seen")))
     out = met.groupBy(*KEY_COLS, "scope_id", "name").agg(nearest.alias("hit"), F.first("c", ignorenulls=True).alias("c"))
     return out.select(*KEY_COLS, *[F.col(f"c.{c}").alias(c) for c in carry], "name", F.col("c.scope").alias("scope"), "scope_id", F.col("c.places").alias("places"), F.col("hit.seen_id").alias("resolved_id"), F.col("hit.seen").alias("resolved"))
