@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from .diagnostics import bindings
 from .extract import KEY_COLS
 from .graph import module_name, resolve_relative
+from .joins import by_merge
 from .scopes import attribute_uses, uses
 
 
@@ -88,7 +89,7 @@ def _attribute_targets(analysis: DataFrame, imports: DataFrame) -> DataFrame:
     column, name, target)``: ``import a.b; a.b.f`` has target ``a.b.f``."""
     a = attribute_uses(analysis).where(F.col("resolved_id").isNotNull()).withColumnRenamed("resolved_id", "scope_id")
     named = imports.select("project", "path", "scope_id", "name", "target").distinct()
-    return a.join(named, ["project", "path", "scope_id", "name"]).select(
+    return a.join(by_merge(named), ["project", "path", "scope_id", "name"]).select(
         "project", "path", "line", "column", F.substring_index("rest", ".", -1).alias("name"), F.concat("target", "rest").alias("target")
     )
 
@@ -111,15 +112,15 @@ def references(analysis: DataFrame, syms: DataFrame | None = None, members: Data
     # the symbol table is a four-branch union read three times below: derive once
     d = syms.select("project", "path", "module", "name", "scope_id", "full_name", "line", "column").persist(StorageLevel.MEMORY_AND_DISK)
     # same-file uses resolving to the definition's scope
-    local = u.join(d.select("project", "path", F.col("scope_id").alias("resolved_id"), "name", "full_name").distinct(), ["project", "path", "resolved_id", "name"]).select(
+    local = u.join(by_merge(d.select("project", "path", F.col("scope_id").alias("resolved_id"), "name", "full_name").distinct()), ["project", "path", "resolved_id", "name"]).select(
         "project", "full_name", "path", "line", "column", F.lit("use").alias("kind")
     )
     # imports of the definition in other files
-    named = finals.join(d.select("project", F.col("full_name").alias("final"), "full_name").distinct(), ["project", "final"]).select("project", "target", "full_name")
-    imp = b.join(named, ["project", "target"])
-    dotted_rows = dotted.join(named, ["project", "target"]).select("project", "full_name", "path", "line", "column", F.lit("use").alias("kind"))
+    named = finals.join(by_merge(d.select("project", F.col("full_name").alias("final"), "full_name").distinct()), ["project", "final"]).select("project", "target", "full_name")
+    imp = b.join(by_merge(named), ["project", "target"])
+    dotted_rows = dotted.join(by_merge(named), ["project", "target"]).select("project", "full_name", "path", "line", "column", F.lit("use").alias("kind"))
     imp_rows = imp.select("project", "full_name", "path", "line", "column", F.lit("import").alias("kind"))
-    imp_uses = u.join(imp.select("project", "path", F.col("scope_id").alias("resolved_id"), "name", "full_name"), ["project", "path", "resolved_id", "name"]).select(
+    imp_uses = u.join(by_merge(imp.select("project", "path", F.col("scope_id").alias("resolved_id"), "name", "full_name")), ["project", "path", "resolved_id", "name"]).select(
         "project", "full_name", "path", "line", "column", F.lit("use").alias("kind")
     )
     defs = d.select("project", "full_name", "path", "line", "column", F.lit("definition").alias("kind"))
@@ -137,7 +138,7 @@ def goto(analysis: DataFrame) -> DataFrame:
     following): ``(project, path, line, column, name, def_line, def_kind, target)``."""
     u = uses(analysis).where(F.col("resolved_id").isNotNull()).select("project", "path", "line", "column", "name", F.col("resolved_id").alias("scope_id"))
     b = bindings(analysis).withColumn("target", absolute_target(F.col("path"), F.col("target"))).groupBy("project", "path", "scope_id", "name").agg(F.min_by(F.struct("line", "kind", "target"), "line").alias("b"))
-    return u.join(b, ["project", "path", "scope_id", "name"]).select(
+    return u.join(by_merge(b), ["project", "path", "scope_id", "name"]).select(
         "project", "path", "line", "column", "name", F.col("b.line").alias("def_line"), F.col("b.kind").alias("def_kind"), F.col("b.target").alias("target")
     )
 
@@ -153,20 +154,20 @@ def resolve_import_targets(targets: DataFrame, reexports: DataFrame) -> DataFram
 
     every = targets.select("project", "target").distinct()
     jump = reexports.select("project", F.col("target").alias("final"), F.col("next_target").alias("to")).distinct()
-    cur = _checkpoint(every.join(jump.select("project", F.col("final").alias("target")), ["project", "target"], "left_semi"))
+    cur = _checkpoint(every.join(by_merge(jump.select("project", F.col("final").alias("target"))), ["project", "target"], "left_semi"))
     if cur.isEmpty():
         return every.withColumn("final", F.col("target"))
-    still = every.join(cur, ["project", "target"], "left_anti").withColumn("final", F.col("target"))
+    still = every.join(by_merge(cur), ["project", "target"], "left_anti").withColumn("final", F.col("target"))
     cur, jump = cur.withColumn("final", F.col("target")), _checkpoint(jump)
     for _ in range(max(1, jump.count()).bit_length()):
-        step = cur.join(jump, ["project", "final"], "left")
+        step = cur.join(by_merge(jump), ["project", "final"], "left")
         moved = step.groupBy("project", "target", F.coalesce("to", "final").alias("final")).agg(F.max(F.coalesce(F.col("to") != F.col("final"), F.lit(False))).alias("moved"))
         cur = _checkpoint(moved)
         if cur.where("moved").isEmpty():
             break
         cur = cur.drop("moved")
         onward = jump.select("project", F.col("final").alias("to"), F.col("to").alias("further"))
-        jump = _checkpoint(jump.join(onward, ["project", "to"], "left").select("project", "final", F.coalesce("further", "to").alias("to")).distinct())
+        jump = _checkpoint(jump.join(by_merge(onward), ["project", "to"], "left").select("project", "final", F.coalesce("further", "to").alias("to")).distinct())
     return still.unionByName(cur.select("project", "target", "final"))
 
 
@@ -182,8 +183,8 @@ def definitions(analysis: DataFrame, members: DataFrame | None = None) -> DataFr
     imp = imp.unionByName(_attribute_targets(analysis, imports))
     finals = resolve_import_targets(imp.select("project", "target"), _reexports(imports))
     resolved = (
-        imp.join(finals, ["project", "target"])
-        .join(syms, ["project", "final"])
+        imp.join(by_merge(finals), ["project", "target"])
+        .join(by_merge(syms), ["project", "final"])
         .withColumn("def_name", F.element_at(F.split("final", r"\."), -1))
         .drop("final")
     )
@@ -199,7 +200,7 @@ def definitions(analysis: DataFrame, members: DataFrame | None = None) -> DataFr
     used = member_uses(analysis, members).select(
         *KEY_COLS, "line", "column", "name", F.col("full_name").alias("target"), "def_path", "def_line", F.when(F.col("params").isNull(), "statement").otherwise("function").alias("type"), F.col("name").alias("def_name")
     )
-    return out.join(used, [*KEY_COLS, "line", "column"], "left_anti").unionByName(used.distinct())
+    return out.join(by_merge(used), [*KEY_COLS, "line", "column"], "left_anti").unionByName(used.distinct())
 
 
 def completions(syms: DataFrame, requests: DataFrame) -> DataFrame:
@@ -212,8 +213,8 @@ def completions(syms: DataFrame, requests: DataFrame) -> DataFrame:
     s = syms.where(F.col("scope") == "<module>").select("project", "module", "name", "type")
     r = requests.withColumn("_n", F.coalesce(F.length("prefix"), F.lit(0)))
     lengths = r.select("project", "module", "_n").distinct()
-    cut = s.join(lengths, ["project", "module"]).where(F.length("name") >= F.col("_n")).withColumn("_p", F.substring("name", F.lit(1), F.col("_n")))
-    return r.withColumn("_p", F.coalesce("prefix", F.lit(""))).join(cut.drop("_n"), ["project", "module", "_p"]).select("request_id", "name", "type")
+    cut = s.join(by_merge(lengths), ["project", "module"]).where(F.length("name") >= F.col("_n")).withColumn("_p", F.substring("name", F.lit(1), F.col("_n")))
+    return r.withColumn("_p", F.coalesce("prefix", F.lit(""))).join(by_merge(cut.drop("_n")), ["project", "module", "_p"]).select("request_id", "name", "type")
 
 
 RENAME_TYPE = T.StructType(
@@ -227,7 +228,8 @@ def rename(files: DataFrame, refs: DataFrame, full_name: str, new_name: str) ->
     if not new_name:
         raise ValueError("new name must not be empty")
     spark = files.sparkSession
-    return rename_batch(files, refs, spark.createDataFrame([(full_name, new_name)], "full_name string, new_name string"))
+    one = F.broadcast(spark.createDataFrame([(full_name, new_name)], "full_name string, new_name string"))
+    return rename_batch(files, refs, one)
 
 
 def _spans(raw: bytes, column: int | None, kind: str, old: bytes) -> list[tuple[int, int]]:
@@ -278,9 +280,9 @@ def rename_batch(files: DataFrame, refs: DataFrame, renames: DataFrame) -> DataF
     empty = F.coalesce(F.length("new_name"), F.lit(0)) == 0
     r = renames.withColumn("new_name", F.when(empty, F.raise_error(F.lit("new name must not be empty"))).otherwise(F.col("new_name")))
     r = r.withColumn("old_name", F.element_at(F.split("full_name", r"\."), -1))
-    pos = refs.join(r, [c for c in ("project", "full_name") if c in r.columns]).select("project", "path", "line", "column", "kind", "old_name", "new_name").distinct()
+    pos = by_merge(refs).join(r, [c for c in ("project", "full_name") if c in r.columns]).select("project", "path", "line", "column", "kind", "old_name", "new_name").distinct()
     per_file = pos.groupBy("project", "path").agg(F.collect_list(F.struct("line", "column", "kind", "old_name", "new_name")).alias("edits"))
-    joined = files.select("project", "path", "text").join(per_file, ["project", "path"])
+    joined = files.select("project", "path", "text").join(by_merge(per_file), ["project", "path"])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -347,9 +349,9 @@ def hover(analysis: DataFrame, docs: DataFrame) -> DataFrame:
     syms = symbols(analysis).select(
         "project", F.col("path").alias("def_path"), F.col("line").alias("def_line"), F.col("name").alias("def_name"), F.col("full_name").alias("target_name")
     )
-    d = d.join(syms, ["project", "def_path", "def_line", "def_name"], "left")
+    d = d.join(by_merge(syms), ["project", "def_path", "def_line", "def_name"], "left")
     doc = docs.select("project", F.col("name").alias("target_name"), "signature", "docstring", "short_description")
-    return d.join(doc, ["project", "target_name"], "left")
+    return d.join(by_merge(doc), ["project", "target_name"], "left")
 
 
 def signature_help(analysis: DataFrame) -> DataFrame:
@@ -362,12 +364,12 @@ def signature_help(analysis: DataFrame) -> DataFrame:
         F.col("c.col").cast("long").alias("column"), F.col("c.n_args").alias("n_args"), F.col("c.keywords").alias("keywords"),
     ).where(~F.col("name").contains("."))
     defs = definitions(analysis).select(*KEY_COLS, "line", "column", "name", "def_path", "def_line")
-    j = calls.join(defs, [*KEY_COLS, "line", "column", "name"])
+    j = calls.join(by_merge(defs), [*KEY_COLS, "line", "column", "name"])
     fn = analysis.select("project", F.col("path").alias("def_path"), F.explode("functions").alias("f")).select(
         "project", "def_path", F.col("f.line").cast("long").alias("def_line"), F.col("f.name").alias("callee"),
         F.filter("f.params", lambda p: ~p["name"].isin("self", "cls")).alias("params"), F.col("f.returns").alias("returns"),
     )
-    out = j.join(fn, ["project", "def_path", "def_line"])
+    out = j.join(by_merge(fn), ["project", "def_path", "def_line"])
     return out.select(
         *KEY_COLS, "line", "column", "callee", "def_path", "params", "n_args", "keywords",
         (F.least(F.col("n_args"), F.size("params")) - 1).cast("long").alias("active_parameter"),
