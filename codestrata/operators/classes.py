@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from .diagnostics import bindings
 from .extract import KEY_COLS, method_signature
 from .graph import _checkpoint, module_name
+from .joins import by_merge
 from .scopes import attribute_uses
 from .symbols import _import_names, _reexports, resolve_import_targets
 
@@ -49,12 +50,12 @@ def class_bases(analysis: DataFrame, classes: DataFrame | None = None) -> DataFr
     named = named.withColumn("first", F.substring_index("text", ".", 1))
     imports = _import_names(analysis)
     own = imports.where("scope_id = 0").groupBy("project", "path", F.col("name").alias("first")).agg(F.max_by("target", "line").alias("imported"))
-    aimed = named.join(own, ["project", "path", "first"], "left").select(
+    aimed = named.join(by_merge(own), ["project", "path", "first"], "left").select(
         "project", "class_name", "pos", F.coalesce(F.concat("imported", F.expr("substring(text, length(first) + 1)")), F.concat_ws(".", "module", "text")).alias("target")
     )
     aimed = _checkpoint(aimed)
     finals = resolve_import_targets(aimed.select("project", "target"), _reexports(imports))
-    found = aimed.join(finals, ["project", "target"]).join(classes.select("project", F.col("class_name").alias("final")), ["project", "final"])
+    found = aimed.join(by_merge(finals), ["project", "target"]).join(by_merge(classes.select("project", F.col("class_name").alias("final"))), ["project", "final"])
     return found.select("project", "class_name", "pos", F.col("final").alias("base"))
 
 
@@ -83,18 +84,18 @@ def class_orders(classes: DataFrame, bases: DataFrame) -> DataFrame:
     edges = _checkpoint(bases.where("class_name != base"))
     counts = edges.groupBy("project", "class_name").agg(F.count("*").alias("n"))
     every = classes.select("project", "class_name")
-    alone = every.join(counts, ["project", "class_name"], "left_anti")
+    alone = every.join(by_merge(counts), ["project", "class_name"], "left_anti")
     done = _checkpoint(alone.select("project", "class_name", F.array("class_name").alias("mro"), F.lit(True).alias("consistent")))
     todo = _checkpoint(counts)
     while not todo.isEmpty():
-        ready = edges.join(todo, ["project", "class_name"]).join(done.select("project", F.col("class_name").alias("base"), "mro", "consistent"), ["project", "base"])
+        ready = edges.join(by_merge(todo), ["project", "class_name"]).join(by_merge(done.select("project", F.col("class_name").alias("base"), "mro", "consistent")), ["project", "base"])
         ready = ready.groupBy("project", "class_name", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "mro"))).alias("b"), F.bool_and("consistent").alias("good")).where(F.size("b") == F.col("n"))
         merged = ready.select("project", "class_name", _merged(F.col("class_name"), F.transform("b", lambda x: x["mro"]), F.col("good")).alias("m"))
         new = _checkpoint(merged.select("project", "class_name", "m.mro", "m.consistent"))
         if new.isEmpty():
             break  # what is left hangs on circles
         done = done.unionByName(new)
-        todo = _checkpoint(todo.join(new, ["project", "class_name"], "left_anti"))
+        todo = _checkpoint(todo.join(by_merge(new), ["project", "class_name"], "left_anti"))
     left = todo.select("project", "class_name", F.array("class_name").alias("mro"), F.lit(False).alias("consistent"))
     return done.unionByName(left)
 
@@ -127,7 +128,7 @@ def class_members(analysis: DataFrame) -> DataFrame:
     orders = class_orders(classes, class_bases(analysis, classes))
     steps = orders.select("project", "class_name", F.posexplode("mro").alias("depth", "defined_in"))
     own = own_members(analysis).withColumnRenamed("class_name", "defined_in")
-    met = steps.join(own, ["project", "defined_in"])
+    met = steps.join(by_merge(own), ["project", "defined_in"])
     best = F.min_by(F.struct("kind", "defined_in", "depth", "path", "line", "signature", "description", "params"), "depth")
     return met.groupBy("project", "class_name", "name").agg(best.alias("m")).select("project", "class_name", "name", "m.*")
 
@@ -146,7 +147,7 @@ def with_members(docs: DataFrame, members: DataFrame) -> DataFrame:
     same = (docs.project == shown.project) & (docs.name == F.col("name_")) & (F.col("object_type") == "class")
     rest = [docs[c] for c in docs.columns if c not in ("methods", "attributes")]
     none = F.array().cast(kind)
-    return docs.join(shown, same, "left").select(*rest, F.coalesce("methods_", none).alias("methods"), F.coalesce("attributes_", none).alias("attributes"))
+    return docs.join(by_merge(shown), same, "left").select(*rest, F.coalesce("methods_", none).alias("methods"), F.coalesce("attributes_", none).alias("attributes"))
 
 
 def member_uses(analysis: DataFrame, members: DataFrame) -> DataFrame:
@@ -158,19 +159,19 @@ def member_uses(analysis: DataFrame, members: DataFrame) -> DataFrame:
     one = a.where(F.col("rest").rlike(r"^\.[^.]+$")).withColumn("member", F.expr("substring(rest, 2)"))
     b = analysis.select(*KEY_COLS, F.explode("bindings").alias("b")).select(*KEY_COLS, F.col("b.scope_id").alias("scope_id"), F.col("b.name").alias("name"), F.col("b.kind").alias("kind"), F.col("b.of_class").alias("body_id"))
     bodies = analysis.select(*KEY_COLS, module_name(F.col("path")).alias("module"), F.explode("classes").alias("c")).select(*KEY_COLS, F.col("c.body_id").alias("body_id"), F.concat_ws(".", "module", "c.name").alias("class_name"))
-    selves = b.where("body_id is not null").join(bodies, [*KEY_COLS, "body_id"]).select(*KEY_COLS, "scope_id", "name", "class_name").distinct()
-    by_self = one.join(selves, [*KEY_COLS, "scope_id", "name"]).select(*KEY_COLS, "line", "column", "class_name", F.col("member").alias("name"))
+    selves = b.where("body_id is not null").join(by_merge(bodies), [*KEY_COLS, "body_id"]).select(*KEY_COLS, "scope_id", "name", "class_name").distinct()
+    by_self = one.join(by_merge(selves), [*KEY_COLS, "scope_id", "name"]).select(*KEY_COLS, "line", "column", "class_name", F.col("member").alias("name"))
     local = b.where("kind = 'class' and scope_id = 0").select(*KEY_COLS, "scope_id", "name").distinct()
-    by_name = one.join(local, [*KEY_COLS, "scope_id", "name"]).select(*KEY_COLS, "line", "column", F.concat_ws(".", module_name(F.col("path")), "name").alias("class_name"), F.col("member").alias("name"))
+    by_name = one.join(by_merge(local), [*KEY_COLS, "scope_id", "name"]).select(*KEY_COLS, "line", "column", F.concat_ws(".", module_name(F.col("path")), "name").alias("class_name"), F.col("member").alias("name"))
     imports = _import_names(analysis)
     named = imports.select("project", "path", "scope_id", "name", "target").distinct()
-    dotted = a.join(named, [*KEY_COLS, "scope_id", "name"]).select(
+    dotted = a.join(by_merge(named), [*KEY_COLS, "scope_id", "name"]).select(
         *KEY_COLS, "line", "column", F.substring_index("rest", ".", -1).alias("name"), F.concat("target", F.expr("substring(rest, 1, length(rest) - length(substring_index(rest, '.', -1)) - 1)")).alias("target")
     )
     finals = resolve_import_targets(dotted.select("project", "target"), _reexports(imports))
-    by_import = dotted.join(finals, ["project", "target"]).select(*KEY_COLS, "line", "column", F.col("final").alias("class_name"), "name")
+    by_import = dotted.join(by_merge(finals), ["project", "target"]).select(*KEY_COLS, "line", "column", F.col("final").alias("class_name"), "name")
     met = by_self.unionByName(by_name).unionByName(by_import).join(
-        members.select("project", "class_name", "name", "defined_in", F.col("path").alias("def_path"), F.col("line").alias("def_line"), "params"), ["project", "class_name", "name"]
+        by_merge(members.select("project", "class_name", "name", "defined_in", F.col("path").alias("def_path"), F.col("line").alias("def_line"), "params")), ["project", "class_name", "name"]
     )
     return met.select(*KEY_COLS, "line", "column", "name", "class_name", "defined_in", F.concat_ws(".", "defined_in", "name").alias("full_name"), "def_path", "def_line", "params")
 
@@ -182,7 +183,7 @@ def method_help(analysis: DataFrame, members: DataFrame) -> DataFrame:
         *KEY_COLS, F.col("c.line").cast("long").alias("call_line"), F.col("c.col").cast("long").alias("call_column"), F.col("c.name_line").cast("long").alias("line"),
         F.col("c.name_col").cast("long").alias("column"), F.col("c.n_args").alias("n_args"), F.col("c.keywords").alias("keywords"),
     )
-    met = calls.join(member_uses(analysis, members).where("params is not null"), [*KEY_COLS, "line", "column"])
+    met = calls.join(by_merge(member_uses(analysis, members).where("params is not null")), [*KEY_COLS, "line", "column"])
     shown = F.filter("params", lambda p: ~p["name"].isin("self", "cls"))
     return met.select(
         *KEY_COLS, F.col("call_line").alias("line"), F.col("call_column").alias("column"), F.col("name").alias("callee"), "full_name", "def_path", "def_line", shown.alias("params"), "n_args", "keywords",

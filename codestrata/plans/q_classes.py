@@ -9,6 +9,7 @@ from ..operators import docs as H
 from ..operators import extract as X
 from ..operators import scopes as SC
 from ..operators import symbols as S
+from ..operators.joins import by_merge
 from ..sources.corpus import CLASS_FILES, SCOPE_FILES, file_corpus
 from .q_layout import _per_project
 from .registry import query
@@ -161,4 +162,4 @@ def scope_rows(spark, sf_dir):
     a = _scopes(spark, sf_dir)
     n = SC.scope_rows(a).groupBy("project", "path").agg(F.count("*").alias("n_scopes"))
     seen = SC.visible_scopes(a).groupBy("project", "path").agg(F.count("*").alias("n_seen"))
-    return n.join(seen, ["project", "path"])
+    return n.join(by_merge(seen), ["project", "path"])
