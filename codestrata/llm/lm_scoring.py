@@ -14,8 +14,8 @@ itself is trained by the tasks in parallel:
 4. Tasks train copies of the attention model on the training documents; their
    weights are averaged, in integers so that the order of addition does not
    matter, and trained once more. The documents are dealt over these rounds by
-   a hash, so that each is learned from once, by one in ``EVERY`` of its runs
-   of ``RUN`` words.
+   a hash, so that each is learned from once, by all of its runs of ``RUN``
+   words.
 5. Each block meets its list and is scored: p(subword) is the model's p(class)
    from overlapping windows times p(subword | class, class before). A word is
    spelled by its subwords, up to a subword that begins another, or copied from
@@ -55,9 +55,10 @@ BLOCK = 17_000_000
 PIECE = 1_000_000
 #: Rounds of training; each has one in so many training documents, and others than the rounds before.
 SHARE = 2
-#: Words of a run (a sequence of its own), and runs of a training document for
-#: one that the model learns from (one at least); counts come from all of them.
-RUN, EVERY = 64, 8
+#: Words of a run (a sequence of its own).
+RUN = 64
+#: Characters of the texts that are learned from together.
+LESSON = 125_000
 #: Weight of a word's share of the text so far, and bounds of its spelling's.
 COPIED = 0.15
 SPELLED = 0.25, 0.5
@@ -252,6 +253,12 @@ def subwords(runs: list[list[bytes]], tokenizer: str) -> tuple[np.ndarray, np.nd
     return pool[ragged((np.cumsum(length) - length)[at], length[at])], np.add.reduceat(length[at], np.cumsum(count) - count)
 
 
+def lesson(texts: list[str], tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """What the model learns from texts: the subword ids of all their runs laid
+    end to end, and how many each run has."""
+    return subwords(word_runs(text_words(texts), 1), tokenizer)
+
+
 def train(df: DataFrame, model: Model, tokenizer: str, text_col: str) -> Model:
     """Average of the weights that the tasks trained on the training texts ``df``."""
     size = len(attention.flat(model.weights))
@@ -259,8 +266,8 @@ def train(df: DataFrame, model: Model, tokenizer: str, text_col: str) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         adam, seen = None, 0
         for batch in batches:
-            for _, texts in chunks(column(batch, "text").to_pylist(), PIECE):
-                ids, sizes = subwords(word_runs(text_words(texts), EVERY), tokenizer)
+            for _, texts in chunks(column(batch, "text").to_pylist(), LESSON):
+                ids, sizes = lesson(texts, tokenizer)
                 adam = attention.train(model.weights, ids, model.classes.astype(np.int16)[ids], sizes, adam)
                 seen += len(ids)
         if seen:

@@ -224,3 +224,11 @@ def test_every_training_document_is_learned_from_once(docs, monkeypatch):
     M.lm_scores(docs, PATH, held_out())
     want = [(r.doc_id, r.text) for r in docs.where(~held_out()).collect()]
     assert sorted(map(str, seen)) == sorted(map(str, want))
+
+
+def test_the_model_learns_from_every_run():
+    texts = [" ".join(f"w{t}x{k}" for k in range(n)) for t, n in enumerate((0, 5, 64, 3000))]
+    ids, sizes = M.lesson(texts, PATH)
+    whole, own = M.subwords(M.word_runs(M.text_words(texts), 1), PATH)
+    assert np.array_equal(ids, whole) and np.array_equal(sizes, own)
+    assert len(sizes) == sum(-(-(n + 1) // M.RUN) for n in (0, 5, 64, 3000)) and sizes.sum() == len(ids)
