@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import accounting as A
 from ..operators import search as S
 from ..sources import logs as L
+from ..sources.corpus import _parallelism
 from ..sources.tables import document_files, table
 from .corpus_views import code_files
 from .registry import query
@@ -160,7 +161,9 @@ def loaded_runs(spark, sf_dir):
     json = L.to_json_lines(_runs(spark, sf_dir)).withColumn("k", F.get_json_object("json", "$.tests_total").cast("long"))
     cut, odd = F.expr("substring(json, 1, length(json) - 3)"), F.concat(F.lit('{"surprise": 1, '), F.expr("substring(json, 2)"))
     text = F.when(F.col("k") % 7 == 0, cut).when(F.col("k") % 11 == 0, odd).otherwise(F.col("json"))
-    json.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    # a file a run: written by all tasks, and moved into place by them (not one after the other by the driver)
+    runs = json.select(text.alias("value")).repartition(_parallelism(spark) * 2)
+    runs.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
     return L.load_results(spark, path).select("task_id", "agent", "skill_enabled", "tests_total", "total_tokens")
 
 
