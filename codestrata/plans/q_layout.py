@@ -204,7 +204,7 @@ def broken_functions(spark, sf_dir):
 
 
 def _stubs(spark, sf_dir):
-    return H.api_docs(X.analyze_files(file_corpus(spark, sf_dir, STUB_FILES, "lib")))
+    return H.api_docs(X.analyze_files(file_corpus(spark, sf_dir, STUB_FILES, "lib")).persist())
 
 
 @query(
