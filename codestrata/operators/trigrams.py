@@ -2,9 +2,10 @@
 regular expression, so that a search reads only those.
 
 ``build_index`` writes two tables: the files, dealt into buckets (one folder
-each), and the postings ``(gram, bucket, project, path)`` sorted by gram, so
-that a lookup skips most of the table by its statistics. A gram is three
-neighbouring characters of the folded text.
+each), and the postings ``(gram, bucket, file)`` sorted by gram, so that a
+lookup skips most of the table by its statistics. A gram is three neighbouring
+characters of the folded text, a file the hash of its project and path: files
+that share one are read together, and the search itself tells them apart.
 
 A pattern gives clauses that every match satisfies: literal runs must be there
 whole, of an alternation some branch. What cannot be told (classes, options,
@@ -22,18 +23,26 @@ from pyspark.sql import functions as F
 from . import search as S
 
 BUCKETS = 256
+#: Postings that a task hands on together.
+TOGETHER = 100_000
 #: An alternation with more ways than this asks for nothing.
 WAYS = 16
 
 
-def grams_of(text: str) -> list[int]:
-    """The distinct trigrams of a folded text, as numbers."""
+def _grams(text: str):
     import numpy as np
 
     c = np.frombuffer(text.casefold().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    if len(c) < 3:
-        return []
-    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]).tolist()
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def grams_of(text: str) -> list[int]:
+    """The distinct trigrams of a folded text, as numbers."""
+    return _grams(text).tolist()
+
+
+def _file() -> Column:
+    return F.xxhash64("project", "path")
 
 
 # ------------------------------------------------------------ what a pattern asks
@@ -119,32 +128,43 @@ def required(pattern: str, case_sensitive: bool = True) -> list[Ways]:
 # ---------------------------------------------------------------------- the index
 def build_index(files: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Write the index of ``files(project, path, text)`` below ``path``."""
-    bucket = F.pmod(F.xxhash64("project", "path"), F.lit(buckets)).cast("int")
-    files.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/files")
+    files.withColumn("bucket", F.pmod(_file(), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/files")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
+        def rows(held):
+            size = [len(g) for _, g in held]
+            columns = [np.concatenate([g for _, g in held]), np.repeat(np.array([f for f, _ in held], np.int64), size)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "file"])
+
+        held, size = [], 0
         for batch in batches:
-            for project, name, own, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                grams = grams_of(text or "")
-                n = len(grams)
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array([own] * n, pa.int32()), pa.array([project] * n, pa.string()), pa.array([name] * n, pa.string())], ["gram", "bucket", "project", "path"])
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((file, _grams(text or "")))
+                size += len(held[-1][1])
+                if size > TOGETHER:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
 
-    postings = files.select("project", "path", bucket.alias("bucket"), "text").mapInArrow(run, "gram long, bucket int, project string, path string")
-    # a frequent gram has a row for each file: the path keeps its rows apart
-    postings.repartitionByRange("gram", "bucket", "path").sortWithinPartitions("gram", "bucket").write.parquet(f"{path}/grams")
+    postings = files.select(_file().alias("file"), "text").mapInArrow(run, "gram long, file long")
+    # a frequent gram has a row for each file: the file keeps its rows apart
+    dealt = postings.repartitionByRange("gram", "file").withColumn("bucket", F.pmod("file", F.lit(buckets)).cast("int"))
+    dealt.sortWithinPartitions("gram", "bucket").write.parquet(f"{path}/grams")
 
 
 def candidates(spark: SparkSession, path: str, pattern: str, case_sensitive: bool = True) -> DataFrame | None:
-    """``(bucket, project, path)`` of the files that can match; None if the
-    pattern asks for nothing."""
+    """``(bucket, file)`` of the files that can match; None if the pattern asks
+    for nothing."""
     clauses = required(pattern, case_sensitive)
     if not clauses:
         return None
     grams = sorted(set().union(*(way for c in clauses for way in c)))
     met = spark.read.parquet(f"{path}/grams").where(F.col("gram").isin(grams))
-    per = met.groupBy("bucket", "project", "path").agg(F.collect_set("gram").alias("held"))  # at most the pattern's grams
+    per = met.groupBy("bucket", "file").agg(F.collect_set("gram").alias("held"))  # at most the pattern's grams
 
     def has(way: frozenset[int]) -> Column:
         return F.size(F.array_intersect("held", F.array(*[F.lit(g) for g in sorted(way)]))) == len(way)
@@ -155,7 +175,7 @@ def candidates(spark: SparkSession, path: str, pattern: str, case_sensitive: boo
         for way in ways:
             some = some | has(way)
         good = good & some
-    return per.where(good).select("bucket", "project", "path")
+    return per.where(good).select("bucket", "file")
 
 
 def indexed_files(spark: SparkSession, path: str, pattern: str, case_sensitive: bool = True) -> DataFrame:
@@ -166,7 +186,7 @@ def indexed_files(spark: SparkSession, path: str, pattern: str, case_sensitive:
     if found is None:
         return files.drop("bucket")
     buckets = [r.bucket for r in found.select("bucket").distinct().collect()]
-    return files.where(F.col("bucket").isin(buckets)).join(found, ["bucket", "project", "path"], "left_semi").drop("bucket")
+    return files.where(F.col("bucket").isin(buckets)).withColumn("file", _file()).join(found, ["bucket", "file"], "left_semi").drop("bucket", "file")
 
 
 def search_index(spark: SparkSession, path: str, pattern: str, case_sensitive: bool = True, **how) -> DataFrame:
