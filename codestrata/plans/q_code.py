@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..operators import graph as G
-from .corpus_views import code_analysis, code_files
+from .corpus_views import code_analysis, code_files, parsed_once
 from .registry import query
 from .sql_common import GEN, with_
 
@@ -109,7 +109,7 @@ def file_summary(spark, sf_dir):
     with_(GEN) + "SELECT project, path, CAST(16 + CASE WHEN d IS NULL THEN 0 ELSE 1 END AS BIGINT) AS line FROM gen WHERE broken",
 )
 def parse_errors(spark, sf_dir):
-    return X.syntax_errors(code_analysis(spark, sf_dir)).select("project", "path", "line")
+    return X.syntax_errors(parsed_once(spark, sf_dir)).select("project", "path", "line")
 
 
 @query(
