@@ -1,10 +1,12 @@
 """Steps whose tasks must not grow with the tables, and work done once."""
 
+import ast
 import os
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from codestrata.functions import pyast
 from codestrata.operators import trigrams as I
 from codestrata.plans import q_code, q_docs, q_layout, q_logs
 from codestrata.sources import corpus
@@ -47,3 +49,36 @@ def test_postings_hold_no_paths(spark, files, tmp_path):
     assert postings.where(F.col("bucket") != F.pmod("file", F.lit(8))).isEmpty()
     assert sorted(r.path for r in I.search_index(spark, f"{tmp_path}/i", "License").collect()) == sorted(p for p, t in rows if "License" in t)
     assert np.array_equal(I._grams("abcab"), I.grams_of("abcab"))
+
+
+def test_a_task_reads_few_files():
+    assert corpus.PARTITION_FILES <= 5_000
+
+
+def test_the_visitor_goes_through_nodes_as_its_base_does():
+    seen = {"base": [], "own": []}
+
+    class Base(ast.NodeVisitor):
+        def generic_visit(self, node):
+            seen["base"].append(node)
+            super().generic_visit(node)
+
+        visit_Constant = generic_visit
+
+    class Own(pyast._Visitor):
+        def generic_visit(self, node):
+            seen["own"].append(node)
+            super().generic_visit(node)
+
+    tree = ast.parse("@d.e\nclass A(B, k=1):\n    x: int = -1\n\n    def f(self, *a, b=(yield), **c):\n        x.y[1:2] += not a < b is c\n        return [i for i in a if i or b] + [f'{x!r:>{b}}']\n\nmatch x:\n    case [1, *r] | {'k': A(y=0)}:\n        pass\ntry:\n    pass\nexcept E as e:\n    del x\n")
+    Base().visit(tree)
+    Own().visit(tree)
+    bare = (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop, ast.Constant)
+    assert ast.Name in Own._methods and len(seen["base"]) > len(seen["own"])
+    assert [id(n) for n in seen["base"] if not isinstance(n, bare)] == [id(n) for n in seen["own"]]
+
+
+def test_names_and_numbers_are_written_as_unparse_writes_them():
+    for text in ("int", "0", "-1", "1.5", "True", "None", "...", "'a'", "1e400", "a.b[c]", "10 ** 9"):
+        node = ast.parse(text, mode="eval").body
+        assert pyast._unparse(node) == ast.unparse(node)
