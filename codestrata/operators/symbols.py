@@ -104,9 +104,12 @@ def references(analysis: DataFrame, syms: DataFrame | None = None, members: Data
     them."""
     from pyspark import StorageLevel
 
+    from .graph import _checkpoint
+
     syms = syms if syms is not None else symbols(analysis)
     b = _import_names(analysis)
-    dotted = _attribute_targets(analysis, b)
+    # read by the rounds and three branches below: written once, so that no plan holds its parts again
+    dotted = _checkpoint(_attribute_targets(analysis, b))
     finals = resolve_import_targets(b.select("project", "target").unionByName(dotted.select("project", "target")), _reexports(b))
     u = uses(analysis).where(F.col("resolved_id").isNotNull())
     # the symbol table is a four-branch union read three times below: derive once
@@ -116,7 +119,7 @@ def references(analysis: DataFrame, syms: DataFrame | None = None, members: Data
         "project", "full_name", "path", "line", "column", F.lit("use").alias("kind")
     )
     # imports of the definition in other files
-    named = finals.join(by_merge(d.select("project", F.col("full_name").alias("final"), "full_name").distinct()), ["project", "final"]).select("project", "target", "full_name")
+    named = _checkpoint(finals.join(by_merge(d.select("project", F.col("full_name").alias("final"), "full_name").distinct()), ["project", "final"]).select("project", "target", "full_name"))
     imp = b.join(by_merge(named), ["project", "target"])
     dotted_rows = dotted.join(by_merge(named), ["project", "target"]).select("project", "full_name", "path", "line", "column", F.lit("use").alias("kind"))
     imp_rows = imp.select("project", "full_name", "path", "line", "column", F.lit("import").alias("kind"))
@@ -145,14 +148,15 @@ def goto(analysis: DataFrame) -> DataFrame:
 
 def resolve_import_targets(targets: DataFrame, reexports: DataFrame) -> DataFrame:
     """Follow ``(project, target)`` names through module-level re-exports
-    (``reexports(project, target, next_target)``) to their end. Only names that
-    are re-exports move; without any, nothing is written. Every round doubles
+    (``reexports(project, target, next_target)``) to their end. The names are
+    written once, so a round's plan holds none of the joins that found them.
+    Only names that are re-exports move. Every round doubles
     the steps a pointer spans, so a chain of any length takes a logarithm of
     rounds, and a round ends them when no pointer has moved; a name that only
     leads in a circle keeps whatever it reached when all steps are spanned."""
     from .graph import _checkpoint
 
-    every = targets.select("project", "target").distinct()
+    every = _checkpoint(targets.select("project", "target").distinct())
     jump = reexports.select("project", F.col("target").alias("final"), F.col("next_target").alias("to")).distinct()
     cur = _checkpoint(every.join(by_merge(jump.select("project", F.col("final").alias("target"))), ["project", "target"], "left_semi"))
     if cur.isEmpty():
@@ -176,11 +180,13 @@ def definitions(analysis: DataFrame, members: DataFrame | None = None) -> DataFr
     modules are followed to the symbol they name, through re-exports of any
     length; with ``members``, uses of methods and attributes to the class that
     defines them."""
+    from .graph import _checkpoint
+
     g = goto(analysis)
     syms = symbols(analysis).select("project", F.col("full_name").alias("final"), F.col("path").alias("def_path"), F.col("line").alias("def_line2"), "type")
     imports = _import_names(analysis)
     imp = g.where(F.col("def_kind") == "import").select("project", "path", "line", "column", "name", "target")
-    imp = imp.unionByName(_attribute_targets(analysis, imports))
+    imp = _checkpoint(imp.unionByName(_attribute_targets(analysis, imports)))
     finals = resolve_import_targets(imp.select("project", "target"), _reexports(imports))
     resolved = (
         imp.join(by_merge(finals), ["project", "target"])

@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from codestrata.functions import pyast
+from codestrata.operators import extract as X
+from codestrata.operators import symbols as S
 from codestrata.operators import trigrams as I
 from codestrata.plans import q_code, q_docs, q_layout, q_logs
 from codestrata.sources import corpus
@@ -51,6 +53,17 @@ def test_postings_hold_no_paths(spark, files, tmp_path):
     assert np.array_equal(I._grams("abcab"), I.grams_of("abcab"))
 
 
+def test_import_targets_are_written_once(spark, files):
+    """The rounds and the branches read them; no plan holds their joins again."""
+    a = X.analyze_files(files([("m.py", "def f(a):\n    return a\n"), ("n.py", "from m import f\n\nf(1)\n"), ("o.py", "import n\n\nn.f(2)\n")]))
+    refs, defs = S.references(a), S.definitions(a)
+    assert "explode(attribute_uses" not in _plan(refs) and "explode(attribute_uses" not in _plan(defs)
+    found = S.resolve_import_targets(a.select("project", F.lit("m.f").alias("target")), a.limit(0).select("project", F.lit("").alias("target"), F.lit("").alias("next_target")))
+    assert "MapInArrow" not in _plan(found)
+    assert sorted((r.path, r.line, r.kind) for r in refs.where("full_name = 'm.f'").collect()) == [("m.py", 1, "definition"), ("n.py", 1, "import"), ("n.py", 3, "use"), ("o.py", 3, "use")]
+    assert sorted((r.path, r.def_path) for r in defs.where("def_name = 'f'").collect()) == [("n.py", "m.py"), ("o.py", "m.py")]
+
+
 def test_a_task_reads_few_files():
     assert corpus.PARTITION_FILES <= 5_000
 
