@@ -256,3 +256,30 @@ def test_forests_side_by_side_equal_one_by_one():
                 if L.similar(bucket[a], bucket[b], 0.8):
                     want.join(a, b)
         assert [[sets.find(a) == sets.find(b) for b in range(len(bucket))] for a in range(len(bucket))] == [[want.find(a) == want.find(b) for b in range(len(bucket))] for a in range(len(bucket))]
+
+
+def test_a_pair_of_many_buckets_is_verified_once(monkeypatch):
+    """And of a bucket no pair that something connects already; few rounds ask for many pairs."""
+    rnd = random.Random(13)
+    line = lambda: "".join(rnd.choice("abcde ") for _ in range(60))
+    near = [x[:k] + "xy" + x[k:] for x in [line()] for k in range(5, 50, 3)]
+    far = [line() for _ in range(24)]
+    asked, real = [], L.within
+    monkeypatch.setattr(L, "within", lambda pairs, most: asked.append(pairs) or real(pairs, most))
+    buckets = [rnd.sample(near, 8) + rnd.sample(far, 12) for _ in range(9)] + [near, far]
+    links = L.forests(buckets, 0.8)
+    pairs = [frozenset(p) for round_ in asked for p in round_]
+    assert len(pairs) == len(set(pairs)) and len(asked) < 10
+    made = [(b[x], b[y]) for b, own in zip(buckets, links, strict=True) for x, y in own]
+    assert len(made) == len(near) - 1 and {x for p in made for x in p} == set(near)
+
+
+def test_letters_alone_rule_out_only_what_is_too_far():
+    from codestrata.llm import edit_batch
+
+    rnd = random.Random(14)
+    pairs = [tuple("".join(rnd.choice(k) for _ in range(rnd.randrange(1, 40))) for k in (rnd.choice(["ab", "bc\u0163", "cd\U0001f600"]), rnd.choice(["ab", "bc"]))) for _ in range(1500)]
+    most = [rnd.randrange(20) for _ in pairs]
+    kept = set(edit_batch._open(pairs, most))
+    assert 100 < len(kept) < 1400
+    assert all(levenshtein(a, b) > m for k, ((a, b), m) in enumerate(zip(pairs, most, strict=True)) if k not in kept)
