@@ -283,3 +283,14 @@ def test_letters_alone_rule_out_only_what_is_too_far():
     kept = set(edit_batch._open(pairs, most))
     assert 100 < len(kept) < 1400
     assert all(levenshtein(a, b) > m for k, ((a, b), m) in enumerate(zip(pairs, most, strict=True)) if k not in kept)
+
+
+def test_a_bucket_of_near_copies_costs_one_comparison_a_line(monkeypatch):
+    """Even with a line among them that is like none."""
+    near = [f"{'abcde ' * 10}{k:04d}" for k in range(3000)]
+    held, real = [0], L.plain_verdict
+    monkeypatch.setattr(L, "plain_verdict", lambda *a: held.__setitem__(0, held[0] + 1) or real(*a))
+    links = L.forest([*near, "x" * 60], 0.8)
+    assert len(links) == len(near) - 1 and held[0] < 2.1 * len(near)
+    monkeypatch.setattr(L, "TOGETHER", 3)
+    assert sorted(L.forest(near[:50], 0.8)) == [(0, k) for k in range(1, 50)]
