@@ -294,3 +294,58 @@ def test_a_bucket_of_near_copies_costs_one_comparison_a_line(monkeypatch):
     assert len(links) == len(near) - 1 and held[0] < 2.1 * len(near)
     monkeypatch.setattr(L, "TOGETHER", 3)
     assert sorted(L.forest(near[:50], 0.8)) == [(0, k) for k in range(1, 50)]
+
+
+def test_aligned_words_bound_the_distance_from_above():
+    rnd = random.Random(15)
+    words = ["a", "bcd", "efghij", "klm", "nopqrstu", "v"]
+    found = 0
+    for _ in range(1500):
+        left = [rnd.choice(words) for _ in range(rnd.randrange(1, 14))]
+        right = list(left)
+        for _ in range(rnd.randrange(6)):
+            k = rnd.randrange(len(right) + 1)
+            right[k : k + rnd.randrange(3)] = [rnd.choice(words) for _ in range(rnd.randrange(3))]
+        right = right or ["v"]
+        most = rnd.randrange(25)
+        if L.aligned(left, right, most):
+            found += 1
+            assert levenshtein(" ".join(left), " ".join(right)) <= most
+    assert found > 300
+
+
+def test_words_put_in_need_no_edit_distance(monkeypatch):
+    rnd = random.Random(16)
+    own = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    asked, real = [], L.within
+    monkeypatch.setattr(L, "within", lambda pairs, most: asked.extend(pairs) or real(pairs, most))
+    assert L.forest([" ".join(own), " ".join([*own[:9], "new", "words", *own[9:30], *own[31:]])], 0.8) == [(0, 1)]
+    assert not asked
+
+
+def test_a_repeated_line_is_hashed_once_a_task(spark, monkeypatch):
+    lines = [" ".join(f"w{k * j % 97}" for j in range(1, 12)) for k in range(30)]
+    rows = [(k, "\n".join([lines[k % 30], lines[k * 7 % 30], lines[k % 30]])) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    places = L.line_places(L._keyed(df, "doc_id", "text"), L.BLOCKS).collect()
+    given = {}
+    for r in places:
+        if r.blocks is not None:
+            assert given.setdefault((r.h1, r.h2), r.blocks) is r.blocks
+    assert len(places) == 270 and set(given) == {(r.h1, r.h2) for r in places} and len(given) == 30
+    want = L.simhash_blocks([x.encode().split(b" ") for x in lines])
+    assert sorted(map(list, given.values())) == sorted(map(list, want.tolist()))
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 1000])
+def test_buckets_hold_a_line_once(spark, batch):
+    """Equal lines of several tasks, also where a batch ends between them."""
+    rnd = random.Random(17)
+    rows = [(h, [h % 3, h % 5]) for h in range(20) for _ in range(rnd.randrange(1, 4))]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = L.shared_blocks(spark.createDataFrame(rows, "h1 long, blocks array<int>").repartition(3), 4_096).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(map(tuple, got)) == sorted((b << 32 | h % (3, 5)[b], h) for h in range(20) for b in (0, 1))
