@@ -349,3 +349,30 @@ def test_buckets_hold_a_line_once(spark, batch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted(map(tuple, got)) == sorted((b << 32 | h % (3, 5)[b], h) for h in range(20) for b in (0, 1))
+
+
+def test_counts_of_letters_tell_only_what_is_too_far(monkeypatch):
+    from codestrata.llm import edit_batch
+
+    rnd = random.Random(18)
+    texts = ["", "a", *("".join(rnd.choice(rnd.choice(["abc", "abcdefgh", "xy\u0163\U0001f600"])) for _ in range(rnd.randrange(60))) for _ in range(60))]
+    texts += [x[:9] + "q" + x[10:] for x in texts]
+    pairs = [(rnd.randrange(len(texts)), rnd.randrange(len(texts))) for _ in range(1500)]
+    most = [rnd.randrange(20) for _ in pairs]
+    want = edit_batch.Letters(texts).apart(pairs, most)
+    assert 300 < want.sum() < 1400
+    assert all(levenshtein(texts[a], texts[b]) > m for (a, b), m, far in zip(pairs, most, want.tolist(), strict=True) if far)
+    monkeypatch.setattr(edit_batch, "LANES", 7)
+    monkeypatch.setattr(edit_batch, "KEPT", 14)
+    monkeypatch.setattr(edit_batch, "COUNTED", 100)
+    assert (edit_batch.Letters(texts).apart(pairs, most) == want).all()
+
+
+def test_unlike_lines_are_not_compared_one_by_one(monkeypatch):
+    """Lines that share a common word and no more, as in a large bucket."""
+    rnd = random.Random(19)
+    kinds = ["abcdefg", "hijklmn", "opqrstu", "vwxyz01", "2345678"]
+    lines = ["common " + "".join(rnd.choice(kinds[k % 5] + " ") for _ in range(80)) for k in range(150)]
+    held, real = [0], L.plain_verdict
+    monkeypatch.setattr(L, "plain_verdict", lambda *a: held.__setitem__(0, held[0] + 1) or real(*a))
+    assert L.forest(lines, 0.8) == [] and held[0] < 150 * 149 / 2 / 3
