@@ -165,18 +165,30 @@ def gradient(w: Weights, inputs: np.ndarray, own: np.ndarray, targets: np.ndarra
 
 
 class Adam:
+    """All weights as one row of numbers; ``w`` are views of it."""
+
     def __init__(self, weights: Weights, rate: float = 0.01):
-        self.w, self.rate, self.t = {k: v.copy() for k, v in weights.items()}, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.v = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.rate, self.t = rate, 0
+        self.row = flat(weights)
+        self.w = unflat(self.row)
+        self.m, self.v = np.zeros_like(self.row), np.zeros_like(self.row)
 
     def step(self, g: Weights) -> None:
         self.t += 1
-        for k in SHAPES:
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g[k] ** 2
-            m, v = self.m[k] / (1 - 0.9**self.t), self.v[k] / (1 - 0.99**self.t)
-            self.w[k] -= (self.rate * m / (np.sqrt(v) + 1e-8)).astype(self.w[k].dtype)
+        row = flat(g)
+        self.m *= 0.9
+        self.m += 0.1 * row
+        self.v *= 0.99
+        row *= row
+        row *= 0.01
+        self.v += row
+        np.divide(self.v, 1 - 0.99**self.t, out=row)
+        np.sqrt(row, out=row)
+        row += 1e-8
+        change = self.m / (1 - 0.9**self.t)
+        change *= self.rate
+        change /= row
+        self.row -= change
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

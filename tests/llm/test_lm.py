@@ -232,3 +232,19 @@ def test_the_model_learns_from_every_run():
     whole, own = M.subwords(M.word_runs(M.text_words(texts), 1), PATH)
     assert np.array_equal(ids, whole) and np.array_equal(sizes, own)
     assert len(sizes) == sum(-(-(n + 1) // M.RUN) for n in (0, 5, 64, 3000)) and sizes.sum() == len(ids)
+
+
+def test_adam_moves_all_weights_as_one_row():
+    """The same numbers as by one array after another, and the weights are views of them."""
+    rng = np.random.default_rng(6)
+    adam, w = A.Adam(weights(3)), {k: v.copy() for k, v in weights(3).items()}
+    m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
+    for t in range(1, 4):
+        g = {k: rng.standard_normal(x.shape).astype(np.float32) for k, x in w.items()}
+        adam.step(g)
+        for k in w:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+            w[k] -= 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+    assert all(np.allclose(adam.w[k], w[k], rtol=1e-6, atol=1e-7) for k in w)
+    assert np.array_equal(adam.row, A.flat(adam.w)) and all(np.shares_memory(adam.row, x) for x in adam.w.values())
