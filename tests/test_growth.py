@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from codestrata.functions import pyast
+from codestrata.operators import docs as H
 from codestrata.operators import extract as X
 from codestrata.operators import symbols as S
 from codestrata.operators import trigrams as I
@@ -95,3 +96,24 @@ def test_names_and_numbers_are_written_as_unparse_writes_them():
     for text in ("int", "0", "-1", "1.5", "True", "None", "...", "'a'", "1e400", "a.b[c]", "10 ** 9"):
         node = ast.parse(text, mode="eval").body
         assert pyast._unparse(node) == ast.unparse(node)
+
+
+def test_names_of_all_projects_meet_inside_their_project(spark):
+    """Every project has ``m.f``; a record without a project answers all."""
+    kinds = "project string, name string, object_type string, import_statement string"
+    rows = [(p, n, k, f"{p}:{n}") for p in "abc" for n, k in (("m", "module"), ("m.f", "function"), ("m.f", "class"))]
+    docs = spark.createDataFrame([*rows, (None, "len", "builtin", "# Built-in: len"), (None, "m.f", "builtin", "everywhere")], kinds)
+    asked = [(f"{p}{n}", p, n) for p in ("a", "b", None) for n in ("m.f", "len", "m.g.h", "x", "", None)]
+    r = H.resolve_names(docs, spark.createDataFrame(asked, "request_id string, project string, object_name string"))
+    joins = [x for x in r._jdf.queryExecution().sparkPlan().toString().split("\n") if "SortMergeJoin" in x and "_name" in x and "LeftOuter" in x]
+    assert len(joins) == 1 and "project" in joins[0].split("], [")[0]  # a key of the join, not only a condition on its pairs
+    got = sorted((x.project or "-", x.object_name or "-", x.module or "-", x.found, x.doc.import_statement if x.doc else "-", x.error or "-") for x in r.collect())
+    gone, lost = "Attribute error: module 'm' has no attribute 'g'", "Could not resolve 'x': module not found"
+    want = [("-", "m.f", "-", True, "everywhere", "-"), ("-", "m.g.h", "-", False, "-", "Could not resolve 'm.g.h': module not found")]
+    for p in "ab":
+        want += [(p, "m.f", "m", True, f"{p}:m.f", "-")] * 2 + [(p, "m.f", "m", True, "everywhere", "-"), (p, "m.g.h", "m", False, "-", gone)]
+    for p in "-ab":
+        want += [(p, "len", "-", True, "# Built-in: len", "-"), (p, "x", "-", False, "-", lost), (p, "-", "-", False, "-", "Empty name provided")]
+        want.append((p, "-", "-", False, "-", "Empty name provided"))
+    assert got == sorted(want)
+    assert set(r.columns) == {"request_id", "project", "object_name", "module", "doc", "found", "error"}
