@@ -2,6 +2,7 @@
 
 import ast
 import os
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -117,3 +118,31 @@ def test_names_of_all_projects_meet_inside_their_project(spark):
         want.append((p, "-", "-", False, "-", "Empty name provided"))
     assert got == sorted(want)
     assert set(r.columns) == {"request_id", "project", "object_name", "module", "doc", "found", "error"}
+
+
+def test_objects_come_from_one_pass_and_no_analysis_is_kept_for_related_names(spark, files):
+    spark.catalog.clearCache()
+    docs = H.api_docs(X.analyze_files(files([("m.py", "def f(a):\n    return a\n")])))
+    assert _plan(docs.where("object_type in ('function', 'class')")).count("MapInArrow") == 1
+    kept = re.findall(r"InMemoryRelation \[([^\]]*)\]", _plan(q_docs.related_names(spark, SF)))
+    assert kept and not any("error" in x or "classes" in x for x in kept)
+
+
+def test_small_and_large_modules_relate_the_same_names(spark, monkeypatch):
+    names = ["get", "Get_all", "all", "a", "_get", "get_b", "other", "xgetx", "B"]
+    rows = [(p, m, f"{m}.{n}", "function", f"See Also:\n    {n}_see\n" if n == "all" else None) for p in ("p", None) for m in ("m", "q.n") for n in names]
+    rows += [("p", "m", "m.get", "class", "again"), ("p", "m", "m.C.get", "function", None), ("p", "q.n", "q.n.only", "function", None), ("p", "q.n", "q.n.single", "function", None)]
+    docs = spark.createDataFrame(rows, "project string, module string, name string, object_type string, docstring string")
+    want = {}
+    for module in ("m", "q.n"):
+        own = [n for n in [*names, *(["only", "single"] if module == "q.n" else [])] if not n.startswith("_")]
+        for x in own:
+            near = sorted(f"{module}.{y}" for y in own if x != y and (x.lower() in y.lower() or y.lower() in x.lower()))
+            see = ["all_see"] if x == "all" else []
+            if see or near:
+                want["p", f"{module}.{x}"] = [*see, *near][:3]
+        want[None, f"{module}.all"] = ["all_see"]
+    for most in (9, 2, 64):  # one module is large, both are, none is
+        monkeypatch.setattr(H, "ALIKE", most)
+        spark.catalog.clearCache()
+        assert {(r.project, r.name): r.related for r in H.related(docs, 3).collect()} == want
