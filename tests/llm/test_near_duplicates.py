@@ -376,3 +376,19 @@ def test_unlike_lines_are_not_compared_one_by_one(monkeypatch):
     held, real = [0], L.plain_verdict
     monkeypatch.setattr(L, "plain_verdict", lambda *a: held.__setitem__(0, held[0] + 1) or real(*a))
     assert L.forest(lines, 0.8) == [] and held[0] < 150 * 149 / 2 / 3
+
+
+def test_bucket_rows_are_sorted_by_one_number(spark):
+    """Lines with equal last bits may come twice, and none is lost or changed."""
+    rnd = random.Random(5)
+    hashes = [*(rnd.randrange(-(2**63), 2**63) for _ in range(40)), *(k << L.TAIL for k in range(-3, 3)), -1, 2**63 - 1, -(2**63)]
+    rows = [(h, [[-7, 2**31 - 1, -(2**31)][h % 3], h % 5, *[0] * 25, h % 2]) for h in hashes]
+    found = L.shared_blocks(spark.createDataFrame(rows * 3, "h1 long, blocks array<int>").repartition(3), 4_096)
+    assert {tuple(r) for r in found.collect()} == {(b << 32 | v & 0xFFFFFFFF, h) for h, own in rows for b, v in enumerate(own)}
+
+
+def test_bucket_rows_have_one_sort_key(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(L, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or df)
+    L.shared_blocks(spark.createDataFrame([(1, [2, 3])], "h1 long, blocks array<int>"), 4_096)
+    assert [x.count(" ASC ") for x in plans[0].split("\n") if "Sort [" in x] == [1]
